@@ -34,20 +34,27 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, text by text, and each text's first index (one more entry than texts).
+def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts (a zero byte ends each), where words begin and end in them, the words' 64-bit hashes, and
+    where each text's bytes begin (one more entry than texts).
 
     A word is a maximal run of ASCII letters, digits, "_" and non-ASCII characters; lower case is up to the caller.
     """
-    data = "\0".join(texts).encode("utf-8", "surrogatepass") + b"\0"
-    raw = np.frombuffer(data, dtype=np.uint8)
+    coded = [x.encode("utf-8", "surrogatepass") for x in texts]
+    raw = np.frombuffer(b"\0".join(coded) + b"\0", dtype=np.uint8)
     inside = _WORD[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
     total = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=_U)))
     hashes = mix((total[end] - total[begin]) * _power(_INVERSE, len(raw))[begin] + (end - begin).astype(_U))
-    stops = np.array([len(x.encode("utf-8", "surrogatepass")) + 1 for x in texts], dtype=np.int64).cumsum()
-    return hashes, np.concatenate(([0], np.searchsorted(begin, stops)))
+    at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in coded], dtype=np.int64)))
+    return raw, begin, end, hashes, at
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text by text, and each text's first index (one more entry than texts)."""
+    _, begin, _, hashes, at = spans(texts)
+    return hashes, np.searchsorted(begin, at)
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
