@@ -51,34 +51,43 @@ def _chunks(docs: DataFrame, *keep: str) -> DataFrame:
     return spans.select(*keep, F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.array_join(F.slice("lines", F.col("p.at") + 1, F.col("p.n")), "\n").alias("chunk"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text without repeated chunks, n_lines, removed_chunks and removed_lines of each row.
+def remove_chunks(docs: DataFrame) -> DataFrame:
+    """All columns of docs, text without repeated chunks, and _lc_gone: the (at, n) of what went, null where nothing did.
 
     The first occurrence (smallest doc_id, null ids last, then smallest line) stays. A null text counts as empty and
-    stays null; chunks whose hashes agree but not their bytes stay; a text of one line never changes; a document whose chunks all go becomes empty. Rows repeated with the
-    same doc_id and text are one document and get equal results. An empty table gives an empty result. Other columns
-    are ignored.
+    stays null; chunks whose hashes agree but not their bytes stay; a text of one line never changes; a document whose
+    chunks all go becomes empty. Rows repeated with the same doc_id and text are one document and get equal results. An
+    empty table gives an empty result. Other columns pass through, whatever their names.
     """
-    rows = docs.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("of")).alias("row"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("of")).alias("row")
+    rows = docs.select("text", row)
     seen = materialize(_chunks(rows, "row").select("row", "at", "n", F.unhex(F.md5(F.col("chunk").cast("binary"))).alias("code")).distinct())
     often = seen.groupBy("code").agg(F.count("*").alias("c")).where("c > 1").select("code")
-    hits = seen.join(often, "code", "left_semi")
+    hits = materialize(seen.join(often, "code", "left_semi"))
     # the bytes of candidates only: one row for each different text behind a code, with its first occurrence
     texts = _chunks(rows.join(hits.select("row").distinct(), "row", "left_semi"), "row").withColumn("code", F.unhex(F.md5(F.col("chunk").cast("binary"))))
-    same = texts.join(often, "code", "left_semi").groupBy("code", "chunk").agg(F.count_distinct("row", "at").alias("c"), F.min(F.struct("row", "at")).alias("first"))
-    different = same.groupBy("code").agg(F.count("*").alias("texts"), F.max("first").alias("first"), F.max("c").alias("c"))
-    sure = different.where("texts = 1 AND c > 1").select("code", "first")
+    same = texts.join(hits.select("code").distinct(), "code", "left_semi").groupBy("code", "chunk").agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("first"))
+    sure = same.groupBy("code").agg(F.count("*").alias("texts"), F.max("first").alias("first")).where("texts = 1").select("code", "first")
     gone = hits.join(sure, "code").where(F.struct("row", "at") != F.col("first")).select("row", "at", "n")
-    gone = gone.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    out = rows.join(gone, "row", "left")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
+    gone = gone.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_lc_gone")).withColumnRenamed("row", "_lc_row")
+    out = docs.withColumn("_lc_row", row).join(gone, "_lc_row", "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_lc_gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
+    return out.withColumn("text", F.when(F.col("_lc_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_lc_row")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text without repeated chunks, n_lines (of the original), removed_chunks and removed_lines of each row.
+
+    See remove_chunks for nulls, ties, repeated rows and empty tables.
+    """
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    out = remove_chunks(docs.select("doc_id", "text", lines.alias("n_lines")))
     return out.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0)).cast("long").alias("removed_lines"),
+        "text",
+        "n_lines",
+        F.coalesce(F.size("_lc_gone"), F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.aggregate("_lc_gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0)).cast("long").alias("removed_lines"),
     )
 
 
