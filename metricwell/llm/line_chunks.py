@@ -63,14 +63,14 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("text", row)
     seen = materialize(_chunks(rows, "row").select("row", "at", "n", F.unhex(F.md5(F.col("chunk").cast("binary"))).alias("code")).distinct())
     often = seen.groupBy("code").agg(F.count("*").alias("c")).where("c > 1").select("code")
-    hits = materialize(seen.join(often, "code", "left_semi"))
+    hits = materialize(seen.join(often.hint("merge"), "code", "left_semi"))
     # the bytes of candidates only: one row for each different text behind a code, with its first occurrence
-    texts = _chunks(rows.join(hits.select("row").distinct(), "row", "left_semi"), "row").withColumn("code", F.unhex(F.md5(F.col("chunk").cast("binary"))))
+    texts = _chunks(rows.join(hits.select("row").distinct().hint("merge"), "row", "left_semi"), "row").withColumn("code", F.unhex(F.md5(F.col("chunk").cast("binary"))))
     same = texts.join(hits.select("code").distinct(), "code", "left_semi").groupBy("code", "chunk").agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("first"))
     sure = same.groupBy("code").agg(F.count("*").alias("texts"), F.max("first").alias("first")).where("texts = 1").select("code", "first")
     gone = hits.join(sure, "code").where(F.struct("row", "at") != F.col("first")).select("row", "at", "n")
     gone = gone.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("_lc_gone")).withColumnRenamed("row", "_lc_row")
-    out = docs.withColumn("_lc_row", row).join(gone, "_lc_row", "left")
+    out = docs.withColumn("_lc_row", row).join(gone.hint("merge"), "_lc_row", "left")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.exists("_lc_gone", lambda g: (i >= g["at"]) & (i < g["at"] + g["n"])))
     return out.withColumn("text", F.when(F.col("_lc_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_lc_row")
 
