@@ -1,4 +1,6 @@
 """The registered queries outside the training-data subpackage, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import analytics, canonical, text
+
+QUERIES: dict = {**canonical.query.queries, **analytics.query.queries, **text.query.queries}
+ORACLE_SQL: dict = {**canonical.query.sql, **analytics.query.sql, **text.query.sql}
