@@ -30,7 +30,7 @@ SEQUENCE, END, ISLAND = 2048, 0, 16384
 #: Chromosomes of an island, offspring of a spell, and bins that migrate.
 POPULATION, OFFSPRING, MIGRANTS = 4, 16, 64
 #: Words whose ids a Python worker remembers; it forgets all when there are more.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 _TAIL = ".,;:!?"
 
 
