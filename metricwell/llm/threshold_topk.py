@@ -76,9 +76,11 @@ def threshold_top_k(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarr
             fresh, last = np.flatnonzero(~met), None
             depth = n
         else:
-            down, up = lists[used[weight > 0]][:, n - upto : n - depth], lists[used[weight < 0]][:, depth:upto]
-            near = np.concatenate((down.ravel(), up.ravel()))
-            fresh = np.unique(near[~met[near]])
+            down, up = lists[:, n - upto : n - depth][used[weight > 0]], lists[:, depth:upto][used[weight < 0]]
+            mark = np.zeros(n, dtype=bool)
+            mark[down.ravel()] = True
+            mark[up.ravel()] = True
+            fresh = np.flatnonzero(mark & ~met)
             edge = np.where(weight > 0, lists[used, n - upto], lists[used, upto - 1])
             last = (rows[edge, used] * weight).sum()
             depth = upto
@@ -88,7 +90,7 @@ def threshold_top_k(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarr
         if len(best) > k:
             keep = np.lexsort((best, -score))[:k]
             best, score = best[keep], score[keep]
-        if last is not None and len(best) >= k and last < score.min():
+        if last is not None and (len(best) >= k and last < score.min() or met.all()):
             break
         step *= 2
     order = np.lexsort((best, -score))[:k]
@@ -120,9 +122,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
                 ids, have = _matrix(cell["c"], d)
                 qids, queries = _matrix(cell["q"], d)
                 most = float(np.abs(have).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1)
-                if most < _EXACT:
-                    have, queries = have.astype(np.float64), queries.astype(np.float64)
-                lists = np.argsort(have.T, axis=1, kind="stable") if d else np.zeros((0, len(ids)), np.int64)
+                if most < _EXACT:  # integers that a float type holds exactly; its products are faster
+                    kind = np.float32 if most < 1 << 24 else np.float64
+                    have, queries = have.astype(kind), queries.astype(kind)
+                lists = np.argsort(have.T, axis=1, kind="stable").astype(np.int32) if d else np.zeros((0, len(ids)), np.int64)
                 found = [threshold_top_k(q, own, ids, have, lists, k) for own, q in zip(qids.tolist(), queries, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(qids, [len(f[0]) for f in found])), pa.array(ids[np.concatenate([f[0] for f in found])]), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))],
