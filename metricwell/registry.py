@@ -1,6 +1,7 @@
 """The registered queries outside the training-data subpackage, and their SQL."""
 
-from .plans import analytics, canonical, text
+from .plans import analytics, canonical, more, text
 
-QUERIES: dict = {**canonical.query.queries, **analytics.query.queries, **text.query.queries}
-ORACLE_SQL: dict = {**canonical.query.sql, **analytics.query.sql, **text.query.sql}
+_ALL = (canonical.query, analytics.query, text.query, more.query)
+QUERIES: dict = {name: f for r in _ALL for name, f in r.queries.items()}
+ORACLE_SQL: dict = {name: sql for r in _ALL for name, sql in r.sql.items()}
