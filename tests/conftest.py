@@ -38,6 +38,8 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
     """Columns and rows in order, numbers rounded, nulls alike."""
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if pd.api.types.is_datetime64_any_dtype(df[c]):
+            df[c] = df[c].astype("datetime64[us]").astype(str)
         try:
             df[c] = pd.to_numeric(df[c]).astype(float).round(6)
         except (ValueError, TypeError):
