@@ -69,3 +69,36 @@ def monthly_pvm(items: DataFrame, key: str) -> DataFrame:
     grid = now.unionByName(was).groupBy("month", key).agg(*(F.sum(c).alias(c) for c in ("q0", "r0", "q1", "r1")))
     known = base.select("month").distinct()
     return pvm(grid, ["month"]).join(F.broadcast(known), "month", "left_semi")
+
+
+def driver_rows(bridge: DataFrame) -> DataFrame:
+    """One row per driver of a bridge: effect, percent of the size of the change, direction."""
+    rows = bridge.selectExpr("total_change", "stack(3, 'volume', volume_effect, 'price', price_effect, 'mix', mix_effect) AS (driver, effect)")
+    direction = F.when(F.col("effect") > 0, "UP").when(F.col("effect") < 0, "DOWN").otherwise("FLAT")
+    return rows.select("driver", "effect", F.round(F.try_divide(100 * F.col("effect"), F.abs("total_change")), 2).alias("pct_of_change"), direction.alias("direction"))
+
+
+def worst_tier(*tiers: str):
+    """The worst of several data-quality tiers: LOW, MEDIUM, UNKNOWN, HIGH."""
+    every = F.array(*tiers)
+    out = F.lit("HIGH")
+    for name in ("UNKNOWN", "MEDIUM", "LOW"):
+        out = F.when(F.array_contains(every, name), name).otherwise(out)
+    return out
+
+
+def contribution_tree(segments: DataFrame) -> DataFrame:
+    """(segment_type, children): the ranked segments of each type as JSON."""
+    nested = F.array_sort(F.collect_list(F.struct("rank", "segment_value")))
+    return ranked(segments).groupBy("segment_type").agg(F.to_json(nested).alias("children"))
+
+
+def allowed_segments(requested: list[str] | None, clearance: str) -> tuple[list[str], list[str]]:
+    """Dimensions a caller may see and warnings; one asked for by name and not allowed is an error."""
+    from .kpi import CLEARANCE, DIMENSION_CLEARANCE
+
+    every = requested or ["product_category", "customer_state", "seller_state"]
+    hidden = [d for d in every if CLEARANCE[DIMENSION_CLEARANCE.get(d, "PUBLIC_ANALYTICAL")] > CLEARANCE[clearance]]
+    if hidden and requested:
+        raise PermissionError(f"{', '.join(hidden)} need a higher clearance than {clearance}")
+    return [d for d in every if d not in hidden], [f"{d} left out: needs {DIMENSION_CLEARANCE[d]}" for d in hidden]

@@ -149,3 +149,47 @@ def compare_periods(tables: Canonical, current: str, previous: str, dim: str = "
     both = rows.groupBy(dim).agg(F.sum(F.when(F.col("month") == previous, F.col("price"))).cast(MONEY).alias("previous"), F.sum(F.when(F.col("month") == current, F.col("price"))).cast(MONEY).alias("current"))
     change = F.col("current").cast("double") - F.col("previous").cast("double")
     return both.withColumn("absolute_change", F.round(change, 4)).withColumn("percent_change", F.round(F.try_divide(100 * change, F.abs(F.col("previous").cast("double"))), 6))
+
+
+#: Contract values: KPI, source, grain, unit, classification.
+CONTRACTS = (
+    ("revenue", "fact_order_items", "item", "currency", "PUBLIC_ANALYTICAL"),
+    ("freight_revenue", "fact_order_items", "item", "currency", "PUBLIC_ANALYTICAL"),
+    ("quantity_sold", "fact_order_items", "item", "count", "PUBLIC_ANALYTICAL"),
+    ("orders", "fact_orders", "order", "count", "PUBLIC_ANALYTICAL"),
+    ("aov", "agg_order_items", "order", "currency", "PUBLIC_ANALYTICAL"),
+    ("avg_delivery_days", "fact_orders", "order", "days", "PUBLIC_ANALYTICAL"),
+    ("on_time_delivery_rate", "fact_orders", "order", "share", "PUBLIC_ANALYTICAL"),
+    ("avg_review_score", "agg_order_reviews", "order", "score", "PUBLIC_ANALYTICAL"),
+    ("review_volume", "fact_reviews", "review", "count", "PUBLIC_ANALYTICAL"),
+    ("repeat_purchase_rate", "fact_orders", "customer", "share", "RESTRICTED"),
+)
+
+
+def contracts(spark) -> DataFrame:
+    """CONTRACTS as a table."""
+    return spark.createDataFrame(CONTRACTS, "kpi string, source_table string, grain string, unit string, classification string")
+
+
+def overview(tables: Canonical, current: str, previous: str) -> DataFrame:
+    """(kpi, previous, current, absolute_change, percent_change) of nine KPIs: one pass at order grain for both months."""
+    both = tables.order_dates.where(F.col("month").isin(current, previous)).join(tables.agg_order_items.select("order_id", "item_price_total", "item_freight_total", "item_count"), "order_id", "left")
+    both = both.join(tables.agg_order_reviews.select("order_id", "latest_review_score", "review_count"), "order_id", "left")
+    valid = F.col("delivery_data_quality_flag") == "VALID"
+    values = {
+        "revenue": F.sum("item_price_total"), "freight_revenue": F.sum("item_freight_total"), "quantity_sold": F.coalesce(F.sum("item_count"), F.lit(0)), "orders": F.count("*"),
+        "aov": F.try_divide(F.sum("item_price_total").cast("double"), F.count("item_price_total")), "avg_delivery_days": F.avg(F.when(valid, F.col("delivery_days"))),
+        "on_time_delivery_rate": F.try_divide(F.count_if(valid & (F.col("delivery_delay_days") <= 0)), F.count_if(valid)), "avg_review_score": F.avg("latest_review_score"), "review_volume": F.coalesce(F.sum("review_count"), F.lit(0)),
+    }
+    months = both.groupBy("month").agg(*(v.cast("double").alias(k) for k, v in values.items()))
+    rows = months.select("month", F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), F.col(k).alias("v")) for k in values))).alias("x")).select("month", "x.*")
+    out = rows.groupBy("kpi").agg(F.round(F.max(F.when(F.col("month") == previous, F.col("v"))), 4).alias("previous"), F.round(F.max(F.when(F.col("month") == current, F.col("v"))), 4).alias("current"))
+    change = F.col("current") - F.col("previous")
+    return out.withColumn("absolute_change", F.round(change, 4)).withColumn("percent_change", F.round(F.try_divide(100 * change, F.abs("previous")), 4))
+
+
+def contract_violations(tables: Canonical, statuses: tuple[str, ...]) -> DataFrame:
+    """(rule, value, n): statuses outside the contract's, and item rows without a category."""
+    bad = tables.order_dates.where(~F.col("order_status").isin(*statuses)).groupBy(F.lit("status_not_allowed").alias("rule"), F.col("order_status").alias("value")).agg(F.count("*").alias("n"))
+    none = Kpi(tables, window=False).items(["product_category"]).where("product_category IS NULL").agg(F.count("*").alias("n")).where("n > 0")
+    return bad.unionByName(none.select(F.lit("category_missing").alias("rule"), F.lit("NULL").alias("value"), "n"))

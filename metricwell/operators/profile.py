@@ -49,3 +49,34 @@ def date_column(df: DataFrame, column: str) -> DataFrame:
     """parseable, failed and null values of a text column of dates, with the range."""
     ts = F.try_to_timestamp(F.col(column))
     return df.agg(F.count(ts).alias("parseable"), F.count_if(F.col(column).isNotNull() & ts.isNull()).alias("failed"), F.count_if(F.col(column).isNull()).alias("nulls"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+#: Accented letters and what stands for them when names are compared.
+ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn")
+
+
+def fold(text):
+    """Trimmed, lower-cased and without accents."""
+    return F.translate(F.lower(F.trim(text)), *ACCENTS)
+
+
+def geolocation_profile(geo: DataFrame) -> DataFrame:
+    """One row: exact duplicate rows, prefixes of several cities (raw and folded) or wide coordinates, rows per prefix."""
+    once = geo.groupBy(*geo.columns).agg(F.count("*").alias("n"))
+    wide = lambda c: F.coalesce(F.stddev(c) > 0.1, F.lit(False))
+    per = geo.groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("city").alias("cities"), F.count_distinct(fold(F.col("city"))).alias("folded"), (wide("lat") | wide("lng")).alias("wide"))
+    out = per.agg(F.count_if(F.col("cities") > 1).alias("multi_city"), F.count_if(F.col("folded") > 1).alias("multi_city_folded"), F.count_if("wide").alias("wide_spread"), F.min("n").alias("min_rows"), F.median("n").alias("median_rows"), F.max("n").alias("max_rows"))
+    return once.agg((F.sum("n") - F.count("*")).alias("duplicate_rows")).crossJoin(out)
+
+
+def relationships(pairs: dict) -> DataFrame:
+    """Matched and unmatched rows of both sides, multiplicity and fan-out risk of each (left, key, right, key)."""
+    out = None
+    for name, (left, lk, right, rk) in pairs.items():
+        a, b = left.groupBy(F.col(lk).alias("k")).agg(F.count("*").alias("l")), right.groupBy(F.col(rk).alias("k")).agg(F.count("*").alias("r"))
+        total = lambda x, other, has: F.coalesce(F.sum(F.when(F.col(other).isNotNull() if has else F.col(other).isNull(), F.col(x))), F.lit(0))
+        row = a.join(b, "k", "full_outer").agg(total("l", "r", True).alias("left_matched"), total("l", "r", False).alias("left_unmatched"), total("r", "l", True).alias("right_matched"), total("r", "l", False).alias("right_unmatched"), F.max("l").alias("left_max"), F.max("r").alias("right_max"))
+        kind = F.when((F.col("left_max") > 1) & (F.col("right_max") > 1), "N:M").when(F.col("left_max") > 1, "N:1").when(F.col("right_max") > 1, "1:N").otherwise("1:1")
+        row = row.select(F.lit(name).alias("relationship"), "*", kind.alias("multiplicity"), (F.col("right_max") > 1).alias("fanout_risk"))
+        out = row if out is None else out.unionByName(row)
+    return out

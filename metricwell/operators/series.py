@@ -73,3 +73,79 @@ def change_stats(ts: DataFrame, window: int, value: str = "value", key: str = "s
     out = ts.withColumn("pct_change", 100 * (F.try_divide(F.col(value), F.nullif(F.lag(value).over(order), F.lit(0.0))) - 1))
     out = out.withColumn("roll_mean", F.when(enough, F.avg(value).over(frame))).withColumn("roll_std", F.when(enough, F.stddev(value).over(frame)))
     return out.withColumn("roll_z", F.try_divide(F.col(value) - F.col("roll_mean"), F.nullif(F.col("roll_std"), F.lit(0.0))))
+
+
+def select_level(levels: DataFrame, least: int, keys: list[str]) -> DataFrame:
+    """The first sufficient level of each entity; the last one, marked insufficient, where there is none.
+
+    levels: keys, level, level_rank, n_periods (not null), observations; one row per entity and level. A level suffices
+    with LEAST periods and least observations. The reason names all levels passed over.
+    """
+    fine = (F.col("n_periods") >= LEAST) & (F.coalesce("observations", F.lit(0)) >= least)
+    rows = F.array_sort(F.collect_list(F.struct("level_rank", "level", "n_periods", "observations", fine.alias("fine"))))
+    out = levels.groupBy(*keys).agg(rows.alias("l")).withColumn("good", F.filter("l", lambda x: x["fine"]))
+    out = out.withColumn("chosen", F.coalesce(F.get("good", F.lit(0)), F.element_at("l", -1))).withColumn("insufficient", F.size("good") == 0)
+    skipped = F.array_join(F.transform(F.filter("l", lambda x: x["level_rank"] < F.col("chosen.level_rank")), lambda x: x["level"]), ", ")
+    reason = F.when(F.col("insufficient"), "all_levels_insufficient").when(skipped != "", F.concat(skipped, F.lit("_history_insufficient")))
+    first = F.get("l", F.lit(0))["level_rank"]
+    out = out.withColumn("confidence", level_confidence(F.col("chosen.n_periods"), F.col("chosen.level_rank") > first, F.col("insufficient")))
+    return out.select(*keys, F.col("chosen.level").alias("level"), F.col("chosen.n_periods").alias("n_periods"), F.col("chosen.observations").alias("observations"), reason.alias("fallback_reason"), "insufficient", "confidence")
+
+
+def level_confidence(n_periods: Column, fallback: Column, insufficient: Column) -> Column:
+    """NONE if insufficient; HIGH or MEDIUM for the first level, MEDIUM or LOW for one fallen back to."""
+    healthy = n_periods >= 2 * LEAST
+    return F.when(insufficient, "NONE").when(~fallback, F.when(healthy, "HIGH").otherwise("MEDIUM")).otherwise(F.when(healthy, "MEDIUM").otherwise("LOW"))
+
+
+def agreement(signal: DataFrame) -> DataFrame:
+    """signals_agree (z and robust z at most 1 apart, null without both) and the caveats of short histories."""
+    n = F.size("h")
+    notes = F.array_compact(F.array(F.when(n < 6, "directional_only"), F.when(n < 3, "no_percentile").when(n < 10, "coarse_percentile")))
+    return signal.withColumn("signals_agree", F.abs(F.col("z") - F.col("robust_z")) <= 1).withColumn("caveats", F.array_join(notes, ","))
+
+
+def verdict(material: DataFrame, absolute: float, relative: float, least: int, confidence: Column | None = None) -> DataFrame:
+    """The final verdict: disagreement of the baselines first (no score), then caps at WATCH.
+
+    Methods disagree if their magnitude tiers lie two or more apart, unless the seasonal baseline leads. Low confidence
+    in the baseline (by default that of its own level) or a sample under least caps the verdict.
+    """
+    change = lambda b: F.col("value") - F.col(b)
+    of = lambda b: F.when(F.col(b).isNotNull(), tier(F.greatest(F.abs(change(b)) / absolute, F.abs(F.try_divide(100 * change(b), F.nullif(F.col(b), F.lit(0.0)))) / relative), (1, 2, 4)))
+    tiers = F.array_compact(F.array(*(of(b) for b in ("seasonal", "rolling_mean", "ewma", "previous_period"))))
+    sure = level_confidence(F.least("n_history", F.lit(10_000)), F.lit(False), F.col("n_history") < LEAST) if confidence is None else confidence
+    out = material.withColumn("spread", F.array_max(tiers) - F.array_min(tiers)).withColumn("baseline_confidence", sure).withColumn("low_quality", F.coalesce(F.col("sample_size") < least, F.lit(True)))
+    split = (F.col("method") != "seasonal") & (F.size(tiers) >= 2) & (F.col("spread") >= 2)
+    capped = F.col("baseline_confidence").isin("LOW", "NONE") | F.col("low_quality")
+    final = F.when(capped, F.least("combined_tier", F.lit(1))).otherwise(F.col("combined_tier"))
+    named = F.element_at(F.array(*(F.lit(x) for x in ("NORMAL", "WATCH", "MATERIAL", "CRITICAL"))), final + 1)
+    missing = F.col("value").isNull() | F.col("baseline").isNull()
+    out = out.withColumn("final_verdict", F.when(missing, "INSUFFICIENT_DATA").when(split, "BASELINE_DISAGREEMENT").otherwise(named))
+    return out.withColumn("final_score", F.when(~missing & ~split, F.col("score"))).withColumn("capped", F.coalesce(~missing & ~split & capped & (F.col("combined_tier") > 1), F.lit(False)))
+
+
+def persistence(material: DataFrame, absolute: float, relative: float, required: int = 2) -> DataFrame:
+    """ONE_OFF, REVERSING, PERSISTENT, TRENDING or UNKNOWN by the periods that follow each one, and how many it affects.
+
+    Later periods are held against the same baseline; the run ends at the first that is null, back to normal or turned.
+    """
+    following = Window.partitionBy("series_id").orderBy("period").rowsBetween(1, Window.unboundedFollowing)
+    base, delta = F.col("baseline"), F.col("value") - F.col("baseline")
+    moved = lambda v: F.greatest(F.abs(v - base) / absolute, F.abs(F.try_divide(100 * (v - base), F.nullif(base, F.lit(0.0)))) / relative) >= 1
+    same = lambda v: F.when(delta == 0, F.lit(False)).otherwise((v > base) == (delta > 0))
+    out = material.withColumn("later", F.collect_list(F.struct("value")).over(following)).withColumn("first", F.get("later", F.lit(0))["value"])
+    start = F.struct(F.lit(0).alias("run"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("last"))
+
+    def step(state: Column, row: Column) -> Column:
+        goes = state["open"] & F.coalesce(moved(row["value"]) & same(row["value"]), F.lit(False))
+        return F.struct((state["run"] + goes.cast("int")).alias("run"), goes.alias("open"), F.when(goes, F.abs(row["value"] - base)).otherwise(state["last"]).alias("last"))
+
+    out = out.withColumn("run", F.aggregate("later", start, step))
+    unknown = F.col("value").isNull() | base.isNull() | F.col("first").isNull()
+    affected = F.when(F.col("value").isNull() | base.isNull(), 0).when(unknown | ~moved(F.col("first")) | ~same(F.col("first")), 1).otherwise(1 + F.col("run.run"))
+    name = (
+        F.when(unknown, "UNKNOWN").when(~moved(F.col("first")), "ONE_OFF").when(~same(F.col("first")), "REVERSING")
+        .when((1 + F.col("run.run") >= required) & (F.col("run.last") > F.abs(delta)), "TRENDING").otherwise("PERSISTENT")
+    )
+    return out.withColumn("persistence", name).withColumn("periods_affected", affected).drop("later", "first", "run")
