@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: BM25+ parameters and the constant of rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
+#: Queries and vectors that meet in one step of the exact search.
+BLOCK, PART = 256, 8192
 # Patterns of personal data and of text that tries to give orders.
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -38,7 +40,11 @@ def bm25(index: DataFrame, doc_count: DataFrame, queries: DataFrame, k: int, key
 
     queries: (query_id, text). doc_count: one row with n and avgdl over all documents. Query terms count once.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return bm25_terms(index, doc_count, queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), k, key)
+
+
+def bm25_terms(index: DataFrame, doc_count: DataFrame, asked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """bm25 for queries given as rows (query_id, term)."""
     hits = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rows = hits.join(df, "term").crossJoin(F.broadcast(doc_count)).join(asked, "term")
@@ -52,12 +58,14 @@ def bm25(index: DataFrame, doc_count: DataFrame, queries: DataFrame, k: int, key
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine search; vectors of length zero score 0.
 
-    Queries travel in blocks, each a row that every vector batch meets; every batch keeps its own k best only.
+    Queries travel in blocks of about BLOCK, vectors in as many parts as keep a part near PART rows, so that one pairing of
+    a block and a part fits a task at every size; every pairing keeps its own k best only.
     """
-    block = F.floor(F.col("query_id") / 256)
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((vectors, PART), (queries, BLOCK)))
+    block, part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(parts))
     grouped = queries.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
-    paired = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(grouped.select("block").distinct())).repartition("block", F.pmod("vec_id", F.lit(64)))
-    joined = paired.groupBy("block", F.pmod("vec_id", F.lit(64)).alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v")).join(grouped, "block")
+    dealt = vectors.select("vec_id", "embedding").groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))
+    joined = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(grouped, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
@@ -108,3 +116,129 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, key: str) -> DataF
     wanted = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
     out = per.join(wanted, "query_id")
     return out.select("query_id", F.round(F.try_divide("hits", "returned"), 6).alias("precision"), F.round(F.try_divide("hits", "relevant"), 6).alias("recall"), F.round(F.coalesce(F.try_divide(F.lit(1), "first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
+# Frequent words by which a language is guessed, and words of an address.
+WORDS = {"de": ("der", "die", "und", "das", "ist", "zu", "den"), "en": ("the", "of", "and", "is", "that", "with", "on"), "es": ("el", "los", "que", "de", "del", "las", "con"), "fr": ("le", "les", "et", "pour", "dans", "pas", "que")}
+ADDRESS = r"\b[0-9]{5}-[0-9]{3}\b|(?i)\b(rua|avenida|alameda|rodovia)\b"
+DIMENSION, MMR = 64, 0.7
+
+
+def normalise(text: Column) -> Column:
+    """NFKC and single blanks. Null stays null."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return F.trim(F.regexp_replace(nfkc(text), r"\s+", " "))
+
+
+def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(query_id, term, original): the distinct tokens of each query and the synonyms of these. synonyms: (term, synonym)."""
+    own = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    more = own.join(synonyms, "term").select("query_id", F.col("synonym").alias("term")).distinct().join(own, ["query_id", "term"], "left_anti")
+    return own.withColumn("original", F.lit(True)).unionByName(more.withColumn("original", F.lit(False)))
+
+
+def hash_buckets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, bucket, n): feature hashing of the tokens, the embedding that needs no model."""
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(DIMENSION))
+    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def hash_vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, embedding) by hash_buckets; texts without a token have none."""
+    sparse = hash_buckets(docs, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("embedding"))
+
+
+def unseen(docs: DataFrame, stored: DataFrame, model: str, text: str = "text") -> DataFrame:
+    """(key, text): the distinct texts whose key (text, model) is not among stored keys."""
+    keyed = docs.where(F.col(text).isNotNull()).select(F.sha2(F.concat_ws("|", text, F.lit(model)), 256).alias("key"), text)
+    return keyed.groupBy("key").agg(F.any_value(text).alias(text)).join(stored.select("key"), "key", "left_anti")
+
+
+def embed(docs: DataFrame, provider, key: str = "key", text: str = "text") -> DataFrame:
+    """(key, embedding) by a caller's provider, made once per batch stream: provider() gives a function from texts to lists."""
+
+    def run(batches):
+        model = provider()
+        for b in batches:
+            yield b[[key]].assign(embedding=list(model(b[text].fillna("").tolist())))
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, embedding array<double>")
+
+
+def rerank(pairs: DataFrame, scorer, k: int, key: str = "doc_id") -> DataFrame:
+    """The k best of each query by a caller's scorer of (query, text) pairs. pairs: query_id, key, query, text."""
+
+    def run(batches):
+        model = scorer()
+        for b in batches:
+            yield b[["query_id", key]].assign(score=[float(x) for x in model(list(zip(b["query"], b["text"], strict=True)))])
+
+    scored = pairs.mapInPandas(run, f"query_id long, {key} long, score double")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
+def mmr(pool: DataFrame, k: int, weight: float = MMR, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, rank): maximal marginal relevance over each query's bounded pool (query_id, key, score, embedding).
+
+    Relevance is weighed against the largest similarity to what is taken already; ties keep the order of the pool.
+    """
+
+    def run(rows):
+        rows = rows.sort_values(["score", key], ascending=[False, True], kind="stable").reset_index(drop=True)
+        v = np.array(rows["embedding"].tolist(), np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+        relevance, near, taken = rows["score"].to_numpy(), np.zeros(len(rows)), []
+        free = np.ones(len(rows), bool)
+        while free.any() and len(taken) < k:
+            worth = np.where(free, np.round(weight * relevance - (1 - weight) * near, 9), -np.inf)
+            i = int(worth.argmax())
+            near = v @ v[i] if not taken else np.maximum(near, v @ v[i])
+            free[i] = False
+            taken.append(i)
+        return rows.iloc[taken][["query_id", key]].assign(rank=np.arange(1, len(taken) + 1))
+
+    return pool.groupBy("query_id").applyInPandas(run, f"query_id long, {key} long, rank int")
+
+
+def diversify(ranked: DataFrame, group: str, k: int, key: str = "doc_id") -> DataFrame:
+    """Round robin over the values of group, in the order in which they first appear."""
+    within = Window.partitionBy("query_id", group)
+    out = ranked.withColumn("turn", F.row_number().over(within.orderBy("rank"))).withColumn("best", F.min("rank").over(within))
+    return out.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "best"))).where(F.col("new_rank") <= k).select("query_id", key, group, F.col("new_rank").alias("rank"))
+
+
+def ladder(queries: DataFrame, rungs: list[tuple[str, DataFrame, float]]) -> DataFrame:
+    """(query_id, rung, best): the first rung whose best score reaches its floor, or insufficient."""
+    out, rung, best = queries.select("query_id").distinct(), F.lit("insufficient"), F.lit(None).cast("double")
+    for i, (_, ranking, _) in enumerate(rungs):
+        out = out.join(ranking.groupBy("query_id").agg(F.max("score").alias(f"s{i}")), "query_id", "left")
+    for i, (name, _, floor) in reversed(list(enumerate(rungs))):
+        rung, best = F.when(F.col(f"s{i}") >= floor, name).otherwise(rung), F.when(F.col(f"s{i}") >= floor, F.col(f"s{i}")).otherwise(best)
+    return out.select("query_id", rung.alias("rung"), best.alias("best"))
+
+
+def language(text: Column) -> Column:
+    """UNKNOWN under ten characters or without a known word, else the language with most known words (ties by name)."""
+    words = tokens(text)
+    n = {k: F.size(F.filter(words, lambda x, v=v: x.isin(*v))) for k, v in WORDS.items()}
+    most = F.greatest(*n.values())
+    out = F.lit("UNKNOWN")
+    for k in reversed(sorted(n)):
+        out = F.when(n[k] == most, k).otherwise(out)
+    return F.when((F.length(F.coalesce(text, F.lit(""))) < 10) | (most == 0), "UNKNOWN").otherwise(out)
+
+
+def pii_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column, kind, n): values of every string column that look like personal data, in one pass per table."""
+    out = None
+    for name, df in tables.items():
+        parts = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count_if(F.col(c).rlike(p)).alias("n")) for c, t in df.dtypes if t == "string" for kind, p in PII.items()]
+        rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -1,7 +1,7 @@
 """The registered queries outside the training-data subpackage, and their SQL."""
 
-from .plans import analytics, canonical, hypotheses, more, movement, text
+from .plans import analytics, bundle, canonical, hypotheses, more, movement, retrieval, text
 
-_ALL = (canonical.query, analytics.query, text.query, more.query, movement.query, hypotheses.query)
+_ALL = (canonical.query, analytics.query, text.query, more.query, movement.query, hypotheses.query, bundle.query, retrieval.query)
 QUERIES: dict = {name: f for r in _ALL for name, f in r.queries.items()}
 ORACLE_SQL: dict = {name: sql for r in _ALL for name, sql in r.sql.items()}
