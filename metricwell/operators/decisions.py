@@ -191,3 +191,15 @@ def threshold_gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:
 def append(df: DataFrame, path: str) -> None:
     """Adds records to a log of Parquet files."""
     df.write.mode("append").parquet(path)
+
+
+def run_candidates(cases: DataFrame, runner, schema: str) -> DataFrame:
+    """Outputs of a caller's runner, made once per batch stream: runner() gives a function from a case (dict) to an output (dict)."""
+    import pandas as pd
+
+    def run(batches):
+        one = runner()
+        for b in batches:
+            yield pd.DataFrame([one(r) for r in b.to_dict("records")])
+
+    return cases.mapInPandas(run, schema)

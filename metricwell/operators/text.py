@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,8 +127,6 @@ DIMENSION, MMR = 64, 0.7
 
 def normalise(text: Column) -> Column:
     """NFKC and single blanks. Null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
@@ -223,10 +222,14 @@ def ladder(queries: DataFrame, rungs: list[tuple[str, DataFrame, float]]) -> Dat
     return out.select("query_id", rung.alias("rung"), best.alias("best"))
 
 
+def _one_of(values: tuple[str, ...]):
+    return lambda x: x.isin(*values)
+
+
 def language(text: Column) -> Column:
     """UNKNOWN under ten characters or without a known word, else the language with most known words (ties by name)."""
     words = tokens(text)
-    n = {k: F.size(F.filter(words, lambda x, v=v: x.isin(*v))) for k, v in WORDS.items()}
+    n = {k: F.size(F.filter(words, _one_of(v))) for k, v in WORDS.items()}
     most = F.greatest(*n.values())
     out = F.lit("UNKNOWN")
     for k in reversed(sorted(n)):
