@@ -11,10 +11,12 @@ receiver owns pieces of those lengths. Pieces never leave their island, so no ta
 from __future__ import annotations
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ from .common import chunks, materialize, small_batches, table
 SEQUENCE, END, ISLAND = 2048, 0, 16384
 #: Chromosomes of an island, offspring of a spell, and bins that migrate.
 POPULATION, OFFSPRING, MIGRANTS = 4, 16, 64
-#: Words whose ids a Python worker remembers; it forgets all when there are more.
+#: Words whose ids a Python worker remembers; it forgets the later half when there are more.
 REMEMBERED = 900_000
 _TAIL = ".,;:!?"
 
@@ -50,44 +52,51 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.model = Tokenizer.from_file(path)
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids without the offsets that nobody asks for."""
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids([text])[0].tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        split, simple = {}, set()
+        known, split, simple, other = self.known, [], set(), []
         for w in words:
-            core = w.rstrip(_TAIL).lower()
-            if core.isalpha() and max(core) < "Ͱ" and "İ" not in w:
-                split[w] = core, w[len(w.rstrip(_TAIL)) :]
-                if core not in self.known:
+            stem = w.rstrip(_TAIL)
+            core = stem.lower()
+            if core.isalpha() and (core.isascii() or max(core) < "Ͱ" and "İ" not in w):
+                if core not in known:
                     simple.add(core)
+                if core != w:
+                    split.append((w, core, w[len(stem) :]))
             else:
-                self.known[w] = self._whole(w)
-        order = sorted(simple)
+                other.append(w)
+        known.update(zip(other, (x.tobytes() for x in self._ids(other)), strict=True))
+        order = list(simple)
         if order:  # a word of letters ends with the one token that has the end mark
-            ids = np.array(self.model.encode(" ".join(order), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids([" ".join(order)])[0]
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(order):
-                start = np.concatenate(([0], stop[:-1]))
-                data = ids.tobytes()
-                self.known |= {w: data[4 * a : 4 * b] for w, a, b in zip(order, start.tolist(), stop.tolist(), strict=True)}
+                data, ends = ids.tobytes(), (4 * stop).tolist()
+                known.update(zip(order, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
-                self.known |= {w: self._whole(w) for w in order}
-        for w, (core, tail) in split.items():
-            if tail and tail not in self.known:
-                self.known[tail] = self._whole(tail)
-            self.known[w] = self.known[core] + self.known.get(tail, b"") if tail else self.known[core]
+                known.update(zip(order, (x.tobytes() for x in self._ids(order)), strict=True))
+        for w, core, tail in split:
+            if tail and tail not in known:
+                known[tail] = self._whole(tail)
+            known[w] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [None if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split() for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # the words met first are the most frequent ones
+            self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
         if new:
             self._learn(new)
