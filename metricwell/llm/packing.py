@@ -32,7 +32,7 @@ SEQUENCE, END, ISLAND = 2048, 0, 16384
 #: Chromosomes of an island, offspring of a spell, and bins that migrate.
 POPULATION, OFFSPRING, MIGRANTS = 4, 16, 64
 #: Words whose ids a Python worker remembers; it forgets the later half when there are more.
-REMEMBERED = 900_000
+REMEMBERED = 1_100_000
 _TAIL = ".,;:!?"
 
 
@@ -42,6 +42,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lower(text: str) -> str:
+    """Lower case, as the tokenizer makes it too, of texts in Latin-1; others are left to the tokenizer."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian bytes, by a tokenizer that drops white space and never joins over it.
 
@@ -94,7 +103,7 @@ class WordTokenizer:
             known[w] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split() for x in texts]
+        parts = [None if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else _lower(x).split() for x in texts]
         if len(self.known) > REMEMBERED:  # the words met first are the most frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
         new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
