@@ -5,6 +5,11 @@ window's last line. Boundaries depend on a few neighbouring lines only, so the s
 wherever it stands in a document. Chunks of two or more lines that occur more than once in all documents are removed
 but for their first occurrence. Hashes only find the candidates: what is removed has been grouped by the chunk's own
 bytes, never by a hash alone.
+
+Chunks miss most short passages: both cuts must fall inside the passage, two lines apart at least. remove_runs misses
+none: a run of two or more lines occurs again exactly if each pair of neighbouring lines in it does, so it compares all
+pairs, and the union of the pairs found is the whole repeated run. The pipeline uses it; the query op8_line_chunks keeps
+to the chunks that its SQL defines.
 """
 
 from __future__ import annotations
@@ -75,6 +80,37 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("_lc_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_lc_row")
 
 
+def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, at (first line) and pair (text) of every two neighbouring lines, unless both are blank."""
+    cut = docs.select(*keep, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    pairs = F.transform(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x, i: F.struct(i.alias("at"), F.concat_ws("\n", x, F.get("lines", i + 1)).alias("pair")))
+    return cut.select(*keep, F.explode(F.filter(pairs, lambda p: F.trim(p["pair"], F.lit(" \t\r\n")) != "")).alias("p")).select(*keep, "p.at", "p.pair")
+
+
+def remove_runs(docs: DataFrame) -> DataFrame:
+    """All columns of docs, text without repeated runs of lines, and _lc_gone: the lines that went, null where none did.
+
+    A line goes if it belongs to a run of two or more lines that occurs earlier (smaller doc_id, null ids last, then
+    smaller line), whatever stands around it; the first occurrence of a line never goes. Two blank lines are no run. For
+    nulls, repeated rows, texts whose hashes agree and empty tables see remove_chunks.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("of")).alias("row")
+    rows = docs.select("text", row)
+    code = F.unhex(F.md5(F.col("pair").cast("binary"))).alias("code")
+    seen = materialize(_pairs(rows, "row").select("row", "at", code).distinct())
+    often = seen.groupBy("code").agg(F.count("*").alias("c")).where("c > 1").select("code")
+    hits = materialize(seen.join(often.hint("merge"), "code", "left_semi"))
+    texts = _pairs(rows.join(hits.select("row").distinct().hint("merge"), "row", "left_semi"), "row").select("row", "at", "pair", code)
+    same = texts.join(hits.select("code").distinct(), "code", "left_semi").groupBy("code", "pair").agg(F.min(F.struct("row", "at")).alias("first"))
+    sure = same.groupBy("code").agg(F.count("*").alias("texts"), F.max("first").alias("first")).where("texts = 1").select("code", "first")
+    gone = hits.join(sure, "code").where(F.struct("row", "at") != F.col("first")).select("row", "at")
+    gone = gone.groupBy("row").agg(F.collect_list("at").alias("ats")).select(F.col("row").alias("_lc_row"), F.array_union("ats", F.transform("ats", lambda i: i + 1)).alias("_lc_gone"))
+    out = docs.withColumn("_lc_row", row).join(gone.hint("merge"), "_lc_row", "left")
+    lines = F.split("text", "\n", -1)
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lc_gone"), lambda i: F.get(lines, i))
+    return out.withColumn("text", F.when(F.col("_lc_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).drop("_lc_row")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated chunks, n_lines (of the original), removed_chunks and removed_lines of each row.
 
