@@ -25,6 +25,8 @@ from .common import chunks, held_out, materialize, small_batches, table
 SAMPLE, SAMPLE_CHARS, LANDMARKS, RIDGE = 400, 24_000_000, 192, 1e-3
 #: Characters known to the model: the commonest of the sample; all others count as one.
 ALPHABET = 63
+#: Distinct n-grams that a text has at least before a low margin speaks against it.
+JUDGED_GRAMS = 32
 _BITS, _N = 6, 3
 _GRAMS = (1 << _BITS) + (1 << 2 * _BITS) + (1 << 3 * _BITS)
 
@@ -102,13 +104,21 @@ class KernelClassifier:
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """(texts x languages) values of the one-versus-rest functions."""
+        return self.scored(texts)[0]
+
+    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The margins, and the number of distinct n-grams of each text."""
         column, first = self.grams(texts, self.alphabet)
         own = np.diff(first)
         some = own > 0
         out = np.tile(self.weights[-1].astype(np.float64), (len(texts), 1))
         if some.any():  # the presence matrix times the weights, over its entries that are not 0
             out[some] += np.add.reduceat(self.weights[column], first[:-1][some], axis=0) / np.sqrt(own[some])[:, None]
-        return out
+        return out, own
+
+
+def lettered(texts: list[str]) -> np.ndarray:
+    return np.array([any(c.isalpha() for c in x) for x in texts], dtype=bool)
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
@@ -132,6 +142,22 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list
     return texts, labels
 
 
+def margin_floor(texts: list[str], labels: list[str]) -> float:
+    """The lowest winning margin of texts that get their own label from a model of the other half; -inf if there are none.
+
+    A text's margin in the model fitted on it says nothing of texts not seen. Short texts are left aside.
+    """
+    low = np.inf
+    for k in (0, 1):
+        model = KernelClassifier.fit(texts[k::2], labels[k::2])
+        for at in range(1 - k, len(texts) if model.languages else 0, 128):
+            some, own_label = texts[at : at + 128 : 2], labels[at : at + 128 : 2]
+            margin, own = model.scored(some)
+            right = np.array([model.languages[b] == l for b, l in zip(margin.argmax(axis=1), own_label, strict=True)])
+            low = min(low, margin.max(axis=1)[right & (own >= JUDGED_GRAMS) & lettered(some)].min(initial=np.inf))
+    return float(low) if np.isfinite(low) else -np.inf
+
+
 def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
     """doc_id, lang_pred and score of every row; see identify_languages."""
     spark = docs.sparkSession
@@ -141,7 +167,7 @@ def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch, texts in chunks(batches):
-            letters = np.array([any(c.isalpha() for c in x) for x in texts])
+            letters = lettered(texts)
             margin = fitted.margins(texts)
             if fitted.languages:
                 best = margin.argmax(axis=1)
@@ -168,17 +194,26 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language: those that would get "und" go. The columns stay as they are."""
+    """The rows of docs whose text has a language by the classifier. The columns stay as they are.
+
+    Every text is scored. Those that would get "und" go, and those whose winning margin is below margin_floor,
+    the lowest that a sampled text with the right label gets: no language fits them. Texts of fewer than JUDGED_GRAMS
+    distinct n-grams have low margins for want of evidence, and go only with "und".
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(KernelClassifier.fit(*sample(docs)))
-    at = docs.columns.index("text")
+    texts, labels = sample(docs)
+    model = KernelClassifier.fit(texts, labels)
+    shared = spark.sparkContext.broadcast((model, margin_floor(texts, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([bool(fitted.languages) and any(c.isalpha() for c in x) for x in texts]))
+        fitted, floor = shared.value
+        for batch, texts in chunks(batches):
+            keep = lettered(texts) & bool(fitted.languages)
+            if fitted.languages:
+                margin, own = fitted.scored(texts)
+                keep &= (margin.max(axis=1) >= floor) | (own < JUDGED_GRAMS)
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -1,8 +1,13 @@
 """Stages of the pipeline against brute force."""
 
 import random
+from itertools import combinations
+
+import numpy as np
 
 import corpus_pipeline
+from metricwell.llm.language_id import JUDGED_GRAMS, KernelClassifier, sample
+from tests.llm.test_models import bags, similarity
 
 
 def test_line_dedup_removes_whole_repeated_runs(spark):
@@ -29,3 +34,47 @@ def test_line_dedup_removes_whole_repeated_runs(spark):
     got = corpus_pipeline.line_dedup(spark, docs, "").collect()
     assert len(got) == len(want) and sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for (i, _), t in want.items())
     assert all(r.n_chars == len(r.text or "") for r in got) and len(got) < len(rows)
+
+
+def test_language_id_scores_every_text(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    junk = [(9001, "xqzj kkwv zzqx wvkq jjxz qqkw zvxj " * 9), (9002, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 20), (9003, "12 34 !!"), (9004, None)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "s", 1) for i, t in junk], "doc_id long, text string, lang string, source string, n_chars long"))
+    texts, labels = sample(docs)
+    model = KernelClassifier.fit(texts, labels)
+
+    def best(text, model=model):  # one text at a time, over the whole presence matrix
+        row = model.presence([text], model.alphabet)[0].astype(float)
+        margin = row @ model.weights[:-1] / np.sqrt(max(row.sum(), 1)) + model.weights[-1]
+        return margin.max(), row.sum(), model.languages[int(margin.argmax())]
+
+    halves, right = [KernelClassifier.fit(texts[k::2], labels[k::2]) for k in (0, 1)], []
+    for i, (t, lang) in enumerate(zip(texts, labels, strict=True)):
+        m, n, got = best(t, halves[1 - i % 2])
+        right += [m] if got == lang and n >= JUDGED_GRAMS and any(map(str.isalpha, t)) else []
+    floor = min(right)
+    want, all_ids = set(), {}
+    for r in docs.collect():
+        all_ids[r.doc_id] = r.text
+        m, n, _ = best(r.text or "")
+        if any(map(str.isalpha, r.text or "")) and (m >= floor - 1e-5 or n < JUDGED_GRAMS):
+            want.add(r.doc_id)
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, data).collect()}
+    assert got == want and not got & {9001, 9003, 9004} and len(got) >= 0.99 * (len(all_ids) - len(junk))
+
+
+def test_near_dedup_keeps_one_of_each_class(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets, root = bags([r.text for r in rows]), {r.doc_id: r.doc_id for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, s), (b, t) in combinations(zip(root, sets, strict=True), 2):
+        if s and t and similarity(s, t) >= 0.8 - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()} == {i for i in root if find(i) == i}
