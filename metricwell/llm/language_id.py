@@ -23,7 +23,7 @@ from .common import chunks, held_out, materialize, small_batches, table
 
 #: Rows to fit on for each language, characters of all of them together at most (rows are left out whole), landmarks.
 SAMPLE, SAMPLE_CHARS, LANDMARKS, RIDGE = 400, 24_000_000, 192, 1e-3
-#: Characters known to the model: the commonest of the sample; all others count as one.
+#: Characters known to the model: the commonest of each language in turn; all others count as one.
 ALPHABET = 63
 #: Distinct n-grams that a text has at least before a low margin speaks against it.
 JUDGED_GRAMS = 32
@@ -73,13 +73,24 @@ class KernelClassifier:
         out[np.repeat(np.arange(len(texts)), np.diff(first)), column] = 1
         return out
 
+    @staticmethod
+    def letters(texts: list[str], labels: list[str]) -> np.ndarray:
+        """ALPHABET code points in order: by their best rank in any language, so that each language has its commonest."""
+        rank, total = {}, {}
+        for lang in sorted(set(labels)):
+            joined = "".join(x.lower() for x, l in zip(texts, labels, strict=True) if l == lang)
+            points, seen = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+            for k, i in enumerate(np.lexsort((points, -seen)).tolist()):
+                p = int(points[i])
+                rank[p], total[p] = min(rank.get(p, k), k), total.get(p, 0) + int(seen[i])
+        return np.array(sorted(sorted(rank, key=lambda p: (rank[p], -total[p], p))[:ALPHABET]), dtype=np.int64)
+
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelClassifier:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros(0, np.int64), np.zeros((_GRAMS, 0), np.float32))
-        points, seen = np.unique(np.frombuffer("".join(x.lower() for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-        alphabet = np.sort(points[np.lexsort((points, -seen))][:ALPHABET]).astype(np.int64)
+        alphabet = cls.letters(texts, labels)
         chosen = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
         land = cls.presence([texts[i] for i in chosen], alphabet)
         used = np.flatnonzero(land.any(axis=0))
@@ -124,12 +135,10 @@ def lettered(texts: list[str]) -> np.ndarray:
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
     """A bounded sample of rows outside the held-out fold with a language, chosen by a hash of the row."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return [], []
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(42)), F.lit(1 << 30)) / float(1 << 30)
     found = rows.where(draw < share).select("text", "lang", draw.alias("draw"), F.length("text").alias("size"))
     found = found.limit(2 * per_language * len(sizes))

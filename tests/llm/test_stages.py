@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from metricwell.llm.language_id import JUDGED_GRAMS, KernelClassifier, sample
+from metricwell.llm.language_id import JUDGED_GRAMS, KernelClassifier, identify_languages, sample
 from tests.llm.test_models import bags, similarity
 
 
@@ -78,3 +78,19 @@ def test_near_dedup_keeps_one_of_each_class(spark, data):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()} == {i for i in root if find(i) == i}
+
+
+def test_languages_beyond_the_64_commonest_are_learnt(spark):
+    rows = [(70 * k + j, f"l{j:02d}", f"text {k}") for k in range(6) for j in range(70)]
+    texts, labels = sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert set(labels) == {f"l{j:02d}" for j in range(70)} and len(texts) == len(labels)
+
+
+def test_minority_scripts_are_told_apart(spark):
+    draw, rows = random.Random(3), []
+    words = {"la": "abcdefghijklmnopqrstuvwxyz0123456789àâçéèêëîïôûùüÿñæœäöß.,;:!?()", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщыэюя"}
+    for i in range(330):
+        lang = "la" if i % 11 < 9 else ("el", "ru")[i % 2]
+        rows.append((i, lang, " ".join("".join(draw.choices(words[lang], k=6)) for _ in range(200 if lang == "la" else 4))))
+    got = identify_languages(spark.createDataFrame(rows, "doc_id long, lang string, text string")).toPandas().set_index("doc_id")
+    assert all(got.lang_pred[i] == lang for i, lang, _ in rows)
