@@ -84,8 +84,13 @@ def _feature(name: str) -> int:
     return _seen[name]
 
 
-def features(text: str, span: tuple[int, int], size: int) -> list[int]:
-    """Hashed features of one token: shape, neighbouring words, file."""
+def file_features(text: str) -> list[str]:
+    """Features that all tokens of a text share, over all of it: its size, and whether a cue word stands anywhere."""
+    return [f"file={min(len(text) // 1000, 4)}", f"file-cue={bool(_CUE.search(text))}"]
+
+
+def features(text: str, span: tuple[int, int], file: list[str]) -> list[int]:
+    """Hashed features of one token: shape, neighbouring words, and those of the file."""
     a, b = span
     token, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 24]
     lower, upper, digit = (sum(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
@@ -101,7 +106,7 @@ def features(text: str, span: tuple[int, int], size: int) -> list[int]:
         f"digits={round(4 * digit / n)}", f"changes={min(changes // 2, 6)}", f"entropy={round(2 * entropy)}", f"dots={min(token.count('.'), 4)}",
         f"hex={bool(re.fullmatch('[0-9a-f]+', token))}", f"mark={mark}", f"after={after[:1]}", f"cue={bool(_CUE.search(before[-24:]))}",
         f"word={near.lower()[-12:] if not any(map(str.isdigit, near)) else '0'}", f"next={(after.split() or [''])[0][:6] if not any(map(str.isdigit, after[:8])) else '0'}",
-        f"eq={'=' in before[-4:] or ':' in before[-4:]}", f"file={min(size // 1000, 4)}", f"file-cue={bool(_CUE.search(text[:200]))}",
+        f"eq={'=' in before[-4:] or ':' in before[-4:]}", *file,
     ]
     return [_feature(x) for x in names]
 
@@ -176,8 +181,9 @@ class Field:
     def spans(self, text: str, runs: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """(start, end) of each secret: from a B to its last I."""
         out: list[tuple[int, int]] = []
+        file = file_features(text) if runs else []
         for run in runs:
-            for span, tag in zip(run, self.decode([features(text, s, len(text)) for s in run]), strict=True):
+            for span, tag in zip(run, self.decode([features(text, s, file) for s in run]), strict=True):
                 if tag == _B:
                     out.append(span)
                 elif tag == _I:
@@ -203,9 +209,10 @@ def examples(texts: list[str]) -> list[tuple[list[list[int]], list[int]]]:
         spans = base_spans(text)
         secret = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, b, k in spans if k != "assign"]
         for shown in (text, _CUE.sub(lambda m: "x" * len(m[0]), text)) if spans else (text,):
+            file = file_features(shown)
             for run in candidates([text])[0]:
                 tags = [_B if any(a < e and s < b for a, b in secret) else _O for s, e in run]
-                out.append(([features(shown, s, len(text)) for s in run], tags))
+                out.append(([features(shown, s, file) for s in run], tags))
     return out
 
 

@@ -1,0 +1,11 @@
+"""Features of the file read all of a text."""
+
+from metricwell.llm.secrets import Field, _feature, candidates
+
+
+def test_file_cue_is_found_anywhere(monkeypatch):
+    seen = []
+    monkeypatch.setattr(Field, "decode", lambda self, run: seen.extend(run) or [2] * len(run))
+    for text in ("ab12cd " + "word " * 100, "ab12cd " + "word " * 100 + "password"):
+        Field().spans(text, candidates([text])[0])
+    assert _feature("file-cue=False") in seen[0] and _feature("file-cue=True") in seen[1]
