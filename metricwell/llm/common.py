@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker looks at in one go; bounds its memory whatever a batch holds.
 CHUNK_CHARS = 1_000_000
+#: A key is hot if it holds more than a HEAVY-th of all rows; there are fewer than HEAVY such keys in any data.
+HEAVY = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one where none is set and Spark runs in one process."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='metricwell-')}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -36,9 +40,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_keyed(many: DataFrame, one: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key and, in the column rows, how many rows of many it meets.
+
+    Hot keys, fewer than HEAVY by their definition, are joined by broadcast, so that their rows stay where they are;
+    the others are shuffled, and none of them is more than a HEAVY-th of many. how: inner or left_semi; both sides are
+    read more than once and should be written tables. Null keys match nothing, and hold no rows of one.
+    """
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    heavy = F.col(rows) * HEAVY > F.lit(total)
+    hot, cold = one.where(heavy), one.where(~heavy)
+    light = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys, how)
+    return many.join(F.broadcast(hot), keys, how).unionByName(light)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of few rows, so that a batch of long texts stays small in a Python worker.
+
+    Spark reads the setting when a query starts, so it stays in the session; a lower one of the caller's is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 def held_out(doc_id: Column) -> Column:

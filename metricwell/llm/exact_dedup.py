@@ -1,27 +1,31 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every partition turns its rows into a run sorted by digest. In each of a few rounds the partitions of a group (those
-whose numbers differ in one digit only) exchange the pieces of their runs by that digit of the digest, and every
-receiver merges the pieces it gets: of equal digests the smallest identifier stays, with the number of rows behind it.
-After the last round each digest is left in one partition, and no partition has ever seen more than its share. Two
-digests are taken as equal only if a second hash and the length agree too, at every level.
+Every partition turns its rows into a run: sorted by digest, one row for each. Then partitions exchange runs in the
+rounds of a binomial tree, STEPS levels of it at a time: the 2 ** STEPS partitions whose numbers differ in those binary
+digits only deal the pieces of their runs among themselves by the same digits of the digest. Every receiver merges the
+sorted pieces it gets (Spark's external sorter does the multiway merge) and keeps, of equal digests, the row with the
+smallest identifier and the number of rows behind it, which makes a sorted run again. After the last round each digest
+is left in one partition; before it, a digest that every partition holds has been a single row of each run, so that a
+hot group never meets in one task. At every level digests are equal only if a second hash and the length agree too.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_keyed, materialize, table
 
 #: The characters that a comparison ignores: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
-#: Exchange rounds; each merges as many runs as the root of this degree of the number of partitions.
-ROUNDS = 2
+#: Levels of the binomial tree in one exchange; 2 ** STEPS runs meet in a merge.
+STEPS = 3
+_KEY = ["digest", "proof", "bytes"]
+_ORDER = [*_KEY, "less", "none", "doc_id"]
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -36,39 +40,50 @@ def _runs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _local_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorts each batch by digest and keeps one row of equal ones, so that copies meet before the first exchange."""
-    key = ["digest", "proof", "bytes"]
-    for rows in batches:
-        rows = rows.sort_values([*key, "chars", "doc_id"], ascending=[True, True, True, False, True], na_position="last")
-        count = rows.groupby(key, sort=False, as_index=False).size()
-        yield rows.drop_duplicates(key).merge(count, on=key).rename(columns={"size": "n"})
-
-
-def merge_runs(runs: DataFrame, partitions: int, rounds: int = ROUNDS) -> DataFrame:
-    """One row for each (digest, proof, bytes): best, the struct of the row that stays, and n, the rows behind it."""
-    fan = max(2, math.ceil(partitions ** (1 / rounds)))
-    key = ["digest", "proof", "bytes"]
-    size = fan**rounds
+def _same_as_last(column: pa.Array) -> np.ndarray:
+    """For each value but the first whether it equals the one before; values are not null."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+        return (raw[1:] == raw[:-1]).all(axis=1)
+    values = column.to_numpy(zero_copy_only=False)
+    return values[1:] == values[:-1]
+
+
+def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows the first one of each key, with the rows of all; the last key of a batch waits for the next batch."""
+    wait: pa.RecordBatch | None = None
+    for batch in batches:
+        if wait is not None:
+            batch = pa.Table.from_batches([wait, batch]).combine_chunks().to_batches()[0]
+        if len(batch) == 0:
+            continue
+        same = np.logical_and.reduce([_same_as_last(batch.column(c)) for c in _KEY])
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        count = np.add.reduceat(batch.column("n").to_numpy(), first)
+        kept = batch.take(pa.array(first)).set_column(batch.schema.get_field_index("n"), "n", pa.array(count))
+        yield kept.slice(0, len(kept) - 1)
+        wait = kept.slice(len(kept) - 1)
+    if wait is not None:
+        yield wait
+
+
+def merge_runs(runs: DataFrame, partitions: int, steps: int = STEPS) -> DataFrame:
+    """One row for each (digest, proof, bytes): less and doc_id of the row that stays, and n, the rows behind it."""
+    levels = max(1, (partitions - 1).bit_length())
+    size = 1 << levels
     slot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(size)).cast("int")
-    shape = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in runs.schema)}, n long"
-    level = runs.mapInPandas(_local_run, shape).select(
-        *key,
-        F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id").alias("best"),
-        "n",
-        slot.alias("slot"),
-        (F.spark_partition_id() % size).alias("at"),
-    )
-    for k in range(rounds):
-        unit = fan**k
-        digit = lambda c: F.floor(F.col(c) / unit).cast("int") % fan  # noqa: B023, E731
-        to = (F.col("at") + (digit("slot") - digit("at")) * unit).cast("int")
-        level = level.select(*key, "best", "n", "slot", to.alias("at")).repartitionById(size, F.col("at"))
-        level = level.groupBy("at", "slot", *key).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    return level.select(*key, "best", "n")
+    level = runs.select(*_KEY, (-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", F.lit(1).cast("long").alias("n"), (F.spark_partition_id() % size).alias("at"))
+    shape = level.schema
+    level = level.sortWithinPartitions(*_ORDER).mapInArrow(_retain, shape)
+    for low in range(0, levels, steps):
+        here = ((1 << min(steps, levels - low)) - 1) << low
+        to = F.col("at").bitwiseAND(F.lit(size - 1 - here)).bitwiseOR(slot.bitwiseAND(F.lit(here)))
+        level = level.withColumn("at", to).repartitionById(size, F.col("at")).sortWithinPartitions(*_ORDER).mapInArrow(_retain, shape)
+    return level.drop("none", "at")
 
 
-def exact_dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def exact_dedup(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """Groups of rows whose texts are equal without white space: one row out for each row in.
 
     Null text counts as empty, and empty texts are copies of each other. Of a group the row with the most code points
@@ -77,15 +92,13 @@ def exact_dedup(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     spark = docs.sparkSession
     runs = materialize(_runs(docs))
-    best = merge_runs(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), rounds)
-    here, won = runs.alias("r"), best.alias("b")
-    same = [F.col(f"r.{c}") == F.col(f"b.{c}") for c in ("digest", "proof", "bytes")]
-    return here.join(won, same).select(
-        F.col("r.doc_id"),
-        F.col("b.best.doc_id").alias("keep_id"),
-        F.col("b.n").alias("group_size"),
-        (F.col("r.doc_id").eqNullSafe(F.col("b.best.doc_id")) & (F.col("r.chars") == -F.col("b.best.less"))).alias("kept"),
-        F.lower(F.hex("r.digest")).alias("text_sha256"),
+    best = materialize(merge_runs(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), steps).select(*_KEY, "less", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")))
+    return join_keyed(runs, best, _KEY, "group_size").select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == -F.col("less"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from metricwell.llm import registry
-from metricwell.llm.exact_dedup import exact_dedup
+from metricwell.llm.exact_dedup import _runs, exact_dedup, merge_runs
 from metricwell.llm.line_chunks import dedup_lines, remove_chunks
 from metricwell.llm.mixing import mix
 from metricwell.llm.quotes import link_quotes
@@ -24,6 +24,26 @@ def test_exact_dedup_cases(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_exact_dedup_keeps_large_ids_beside_null_ones(spark):
+    rows = [(9007199254740993, "t u"), (9007199254740995, "tu"), (None, "t  u"), (None, "other"), (9007199254740997, "x")] * 2
+    for parts in (1, 3):
+        got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        by = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got}
+        assert by[9007199254740993] == by[9007199254740995] == (None, 6, False) and by[9007199254740997] == (9007199254740997, 2, True)
+        assert len(got) == len(rows) and sum(r.kept for r in got) == 6 and {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id is None} == {(None, 6, True), (None, 2, True)}
+
+
+@pytest.mark.parametrize(("partitions", "steps"), [(1, 3), (5, 1), (16, 2), (64, 3)])
+def test_every_level_of_the_tree_keeps_the_smallest(spark, partitions, steps):
+    rows = [(i, f"text {i % 37 if i % 3 else 0}" + " " * (i % 2)) for i in range(900)]
+    runs = _runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    got = {(r.doc_id, -r.less, r.n) for r in merge_runs(runs, partitions, steps).collect()}
+    want = {}
+    for i, t in rows:
+        want.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    assert got == {(min(v)[1], -min(v)[0], len(v)) for v in want.values()}
+
+
 def test_top_k_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, -0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (20, [0.0, 0.0]), (None, [1.0, 1.0]), (6, [0.5, 9.0])]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).toPandas()
