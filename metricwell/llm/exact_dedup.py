@@ -61,7 +61,8 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.logical_and.reduce([_same_as_last(batch.column(c)) for c in _KEY])
         first = np.flatnonzero(np.concatenate(([True], ~same)))
         count = np.add.reduceat(batch.column("n").to_numpy(), first)
-        kept = batch.take(pa.array(first)).set_column(batch.schema.get_field_index("n"), "n", pa.array(count))
+        place = batch.schema.get_field_index("n")
+        kept = batch.take(pa.array(first)).set_column(place, batch.schema.field(place), pa.array(count))
         yield kept.slice(0, len(kept) - 1)
         wait = kept.slice(len(kept) - 1)
     if wait is not None:

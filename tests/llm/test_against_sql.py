@@ -1,9 +1,10 @@
 """Queries that SQL can express, against DuckDB; and small fixtures with the awkward cases."""
 
+import pyarrow as pa
 import pytest
 
 from metricwell.llm import registry
-from metricwell.llm.exact_dedup import _runs, exact_dedup, merge_runs
+from metricwell.llm.exact_dedup import _retain, _runs, exact_dedup, merge_runs
 from metricwell.llm.line_chunks import dedup_lines, remove_chunks
 from metricwell.llm.mixing import mix
 from metricwell.llm.quotes import link_quotes
@@ -44,6 +45,15 @@ def test_every_level_of_the_tree_keeps_the_smallest(spark, partitions, steps):
     assert got == {(min(v)[1], -min(v)[0], len(v)) for v in want.values()}
 
 
+def test_runs_go_on_over_batches():
+    names, rows = ["digest", "proof", "bytes", "doc_id", "n"], [(b"a" * 32, 1, 1, i, 1) for i in range(5)] + [(b"a" * 32, 2, 1, 5, 1), (b"b" * 32, 1, 1, 6, 3), (b"b" * 32, 1, 1, 7, 4)]
+    schema = pa.schema([pa.field(x, pa.binary() if x == "digest" else pa.int64(), nullable=x == "doc_id") for x in names])
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]], schema=schema) for i in range(0, 8, size)]
+        got = [tuple(r.values()) for b in _retain(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert [(r[1], r[3], r[4]) for r in got] == [(1, 0, 5), (2, 5, 1), (1, 6, 7)]
+
+
 def test_top_k_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, -0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (20, [0.0, 0.0]), (None, [1.0, 1.0]), (6, [0.5, 9.0])]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).toPandas()
