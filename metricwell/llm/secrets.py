@@ -1,21 +1,25 @@
 """Secret scans with a linear-chain conditional random field.
 
-A text is cut into tokens (runs of letters, digits and + / _ . = -). A token can be secret only if it has six or more
-characters and a digit, or twenty or more characters; all others are outside by construction. The field tags tokens
-as secret begin (B), inside (I) or outside (O) from their shape, the words before and after them and features of the
-file; Viterbi decoding gives the best path. Since a token outside by construction fixes its tag, the chain falls apart
-there, and each run of candidates is decoded by itself without any change of the result.
-
-The field is trained on the driver, on a bounded sample of texts outside the evaluation fold, with the base patterns'
-matches as labels; half of these lose the word that gave them away, so that the field learns what secrets look like
-elsewhere. Base matches always stay; the field adds spans of kind "crf" that overlap none of them.
+A text is cut into tokens: runs of letters and digits, and every other visible character by itself. The field tags each
+token as secret begin (B), inside (I) or outside (O) from its shape, the words around it and features of the file, and
+Viterbi's algorithm finds the best tags of the whole chain. A secret runs from a B (or an I after O) over the I that
+follow. No token is left out by its size or looks: where O leads by more than all that the moves to and from a token
+could ever make good (Field.slack), the best path has O there, and the chain may be cut at such tokens without any
+change of the result.
+
+The field is trained on the driver, on windows of tokens from a bounded sample of texts outside the evaluation fold.
+Its labels are the values that the base patterns find. Every such window is shown as it is, without the word that
+gave the secret away, and then with the value spelled in other ways too (a case, an alphabet, a grouping that the
+patterns don't know), so that the field learns what secrets look like elsewhere. Base matches always stay; the field
+adds spans of kind "crf" that overlap none of them.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,19 +28,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, held_out, small_batches, table
+from .words import mix, power_sums
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Texts to train on: with a base match, without one (about; a hash chooses them).
-SAMPLE = 600
+#: Texts to train on: with a base match, without one (about; a hash chooses them); windows of a text; tokens of one.
+SAMPLE, WINDOWS, WINDOW = 400, 3, 32
+#: Other spellings in which a sampled value is shown.
+SPELLINGS = 3
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "crf")
 _B, _I, _O = 0, 1, 2
-_TOKEN = np.zeros(128, dtype=bool)
-_TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
-_CUE = re.compile(r"(password|passwd|secret|token|api_?key|credential|private|auth)", re.IGNORECASE | re.ASCII)
-_DIM = 1 << 12
+_CUES = "password passwd pwd secret token api apikey key credential credentials private auth bearer".split()
+_CUE = re.compile(r"(password|passwd|pwd|secret|token|api_?key|credential|private|auth|bearer)", re.IGNORECASE | re.ASCII)
+_KIND = np.full(129, 4, dtype=np.int8)  # 0 space, 1 lower, 2 upper, 3 digit, 4 sign, 5 beyond ASCII
+_KIND[[*b" \t\n\x0b\f\r\0\x1c\x1d\x1e\x1f"]] = 0
+_KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") : ord("9") + 1], _KIND[128] = 1, 2, 3, 5
+#: Values of each feature; their sums give every feature its place in one table of weights.
+_WORDS = 4096
+_SIZES = {"kinds,size": 32 * 16, "digits,changes": 8 * 8, "distinct,size": 8 * 8, "hex,size": 3 * 8, "sign,glue": 128 * 4, "before": _WORDS, "before2": _WORDS, "after": _WORDS, "run": 16 * 2 * 2, "cue": 2 * 32, "file": 5 * 2, "pair": 32 * 32 * 2}
+_AT = np.concatenate(([0], np.cumsum([*_SIZES.values()])))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -47,184 +59,351 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def candidates(texts: list[str]) -> list[list[list[tuple[int, int]]]]:
-    """For each text the runs of neighbouring candidate tokens, as (start, end) in code points."""
-    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    inside = (points < 128) & _TOKEN[np.minimum(points, 127)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    digits = np.concatenate(([0], np.cumsum((points >= 48) & (points <= 57))))
-    chosen = np.flatnonzero(((end - begin >= 6) & (digits[end] > digits[begin])) | (end - begin >= 20))
-    first = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
-    home = np.searchsorted(first, begin[chosen], side="right") - 1
-    out: list[list[list[tuple[int, int]]]] = [[] for _ in texts]
-    last = (-2, -1)
-    for k, t, a, b in zip(chosen.tolist(), home.tolist(), begin[chosen].tolist(), end[chosen].tolist(), strict=True):
-        span = (a - int(first[t]), b - int(first[t]))
-        if last == (k - 1, t):
-            out[t][-1].append(span)
+class Tokens:
+    """All tokens of some texts: begin and end in code points of their own text, text, and first token of each text."""
+
+    def __init__(self, texts: list[str]):
+        start = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)))
+        self.points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.kind = _KIND[np.minimum(self.points, 128)]
+        sign, word = self.kind == 4, (self.kind != 0) & (self.kind != 4)
+        self.left = np.flatnonzero(sign | word & ~np.concatenate(([False], word[:-1])))
+        self.right = np.flatnonzero(sign | word & ~np.concatenate((word[1:], [False]))) + 1
+        self.text = np.searchsorted(start, self.left, side="right") - 1
+        self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
+        self.begin, self.end = self.left - start[self.text], self.right - start[self.text]
+        self.size = np.diff(start) - 1
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of the lower-cased tokens."""
+        low = self.points + np.where(self.kind == 2, 32, 0).astype(np.uint32)
+        return power_sums(mix(low.astype(np.uint64)), self.left, self.right)
+
+
+_CUE_HASHES = Tokens([" ".join(_CUES)]).hashes()
+
+
+def features(t: Tokens) -> np.ndarray:
+    """(tokens x features) places in the table of weights: shape, neighbouring words, run without spaces, and file."""
+    n = len(t.left)
+    if n == 0:
+        return np.zeros((0, len(_SIZES)), np.int32)
+    size = t.right - t.left
+
+    def count(flag: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flag, dtype=np.int32)))
+        return total[t.right] - total[t.left]
+
+    lower, upper, digit = (count(t.kind == k) for k in (1, 2, 3))
+    beyond, sign = count(t.kind == 5) > 0, t.kind[t.left] == 4
+    kinds = (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * beyond + 16 * sign
+    is_digit = t.kind == 3
+    changes = count(np.concatenate(([False], is_digit[1:] != is_digit[:-1]))) - np.where(t.left > 0, is_digit[t.left] != is_digit[t.left - 1], False)
+    bits = np.uint64(1) << (t.points & np.uint32(63)).astype(np.uint64)
+    distinct = np.bitwise_count(np.bitwise_or.reduceat(bits, np.stack((t.left, t.right), axis=1).ravel())[::2]).astype(np.int64)
+    hexed = np.minimum(t.points, 127)
+    small, large = count(_HEX[0][hexed] & (t.points < 128)) == size, count(_HEX[1][hexed] & (t.points < 128)) == size
+    step = np.minimum(np.frexp(size.astype(np.float64))[1], 7)
+    same = t.text[1:] == t.text[:-1]
+    glue = np.concatenate(([False], (t.left[1:] == t.right[:-1]) & same))  # no space before
+    glued = np.concatenate((glue[1:], [False]))
+    word = t.hashes()
+    named = np.where(digit > 0, 1, 2 + word % np.uint64(_WORDS - 2)).astype(np.int64)  # 0: the text's end, 1: has digits
+
+    def beside(values: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n, dtype=np.int64)
+        if by > 0:
+            out[by:] = np.where(t.text[by:] == t.text[:-by], values[:-by], 0)
         else:
-            out[t].append([span])
-        last = (k, t)
-    return out
-
-
-def _index(name: str) -> int:
-    return int.from_bytes(hashlib.md5(name.encode("utf-8", "surrogatepass")).digest()[:4], "little") % _DIM
-
-
-_seen: dict[str, int] = {}
-
-
-def _feature(name: str) -> int:
-    if name not in _seen:
-        if len(_seen) > 100_000:
-            _seen.clear()
-        _seen[name] = _index(name)
-    return _seen[name]
-
-
-def file_features(text: str) -> list[str]:
-    """Features that all tokens of a text share, over all of it: its size, and whether a cue word stands anywhere."""
-    return [f"file={min(len(text) // 1000, 4)}", f"file-cue={bool(_CUE.search(text))}"]
-
+            out[:by] = np.where(t.text[:by] == t.text[-by:], values[-by:], 0)
+        return out
 
-def features(text: str, span: tuple[int, int], file: list[str]) -> list[int]:
-    """Hashed features of one token: shape, neighbouring words, and those of the file."""
-    a, b = span
-    token, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 24]
-    lower, upper, digit = (sum(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
-    n = len(token)
-    kinds = "".join(k for k, c in (("a", lower), ("A", upper), ("0", digit), ("+", n - lower - upper - digit)) if c)
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", token))))[:8]
-    changes = sum(x.isdigit() != y.isdigit() for x, y in zip(token, token[1:], strict=False))
-    entropy = -sum(c / n * math.log2(c / n) for c in (token.count(x) for x in set(token)))
-    words = before.split()
-    near, mark = (words[-1] if words else ""), before[-1:]
-    names = [
-        "bias", f"kinds={kinds}", f"len={min(n // 4, 12)}", f"kinds,len={kinds},{min(n // 8, 6)}", f"shape={shape}",
-        f"digits={round(4 * digit / n)}", f"changes={min(changes // 2, 6)}", f"entropy={round(2 * entropy)}", f"dots={min(token.count('.'), 4)}",
-        f"hex={bool(re.fullmatch('[0-9a-f]+', token))}", f"mark={mark}", f"after={after[:1]}", f"cue={bool(_CUE.search(before[-24:]))}",
-        f"word={near.lower()[-12:] if not any(map(str.isdigit, near)) else '0'}", f"next={(after.split() or [''])[0][:6] if not any(map(str.isdigit, after[:8])) else '0'}",
-        f"eq={'=' in before[-4:] or ':' in before[-4:]}", *file,
-    ]
-    return [_feature(x) for x in names]
+    run = np.cumsum(~glue) - 1
+    of = np.flatnonzero(~glue)
+    whole = np.add.reduceat(size, of)[run]
+    mixed = (np.add.reduceat(digit, of)[run] > 0) * 2 + (np.add.reduceat(upper, of)[run] > 0)
+    cue = np.isin(word, _CUE_HASHES) & ~sign
+    near = np.zeros(n, dtype=bool)
+    for by in range(1, 7):
+        near |= beside(cue, by).astype(bool)
+    told = np.bincount(t.text[cue], minlength=len(t.size)) > 0
+    out = np.stack(
+        (
+            kinds * 16 + np.minimum(size // 2, 15), np.ceil(7 * digit / size).astype(np.int64) * 8 + np.minimum(changes, 7), np.minimum(7 * distinct // size, 7) * 8 + step,
+            np.where(small, 1, np.where(large, 2, 0)) * 8 + step, np.where(sign, np.minimum(t.points[t.left], 127), 0) * 4 + glue * 2 + glued,
+            beside(named, 1), beside(named, 2), beside(named, -1), np.minimum(whole // 4, 15) * 4 + mixed, near * 32 + kinds,
+            (np.minimum(t.size // 1000, 4) * 2 + told)[t.text], (beside(kinds, 1) * 32 + kinds) * 2 + glue,
+        ),
+        axis=1,
+    )
+    return (out + _AT[:-1]).astype(np.int32)
+
+
+_HEX = np.zeros((2, 128), dtype=bool)
+_HEX[0, [*b"0123456789abcdef"]] = True
+_HEX[1, [*b"0123456789ABCDEF"]] = True
+
+
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
 class Field:
     """Weights of a linear-chain conditional random field over B, I and O, with its training and decoding."""
 
     def __init__(self) -> None:
-        self.own = np.zeros((_DIM, 3))
-        self.step = np.zeros((4, 3))  # the last row is the start
-        self.own[_index("bias"), _O] = 1.0
-
-    def emissions(self, run: list[list[int]]) -> np.ndarray:
-        return np.array([self.own[f].sum(axis=0) for f in run])
-
-    def moves(self) -> np.ndarray:
-        out = self.step.copy()
-        out[[_O, 3], _I] = -np.inf  # nothing is inside before it begins
+        self.own = np.zeros((_AT[-1], 3), dtype=np.float32)
+        self.step = np.zeros((3, 3))  # from, to; a chain begins and ends as if O stood there
+        self.own[_AT[10] : _AT[11], _O] = 1.0  # every token has one feature of the file: unfitted, all are outside
+
+    def emissions(self, where: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(where), 3), dtype=np.float32)
+        for k in range(where.shape[1]):
+            out += self.own[where[:, k]]
         return out
 
-    def gradient(self, run: list[list[int]], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected minus seen: tag probabilities by forward and backward sums, and expected moves."""
-        e, m = self.emissions(run), self.moves()
-        n = len(run)
-        f, b = np.zeros((n, 3)), np.zeros((n, 3))
-        f[0] = e[0] + m[3]
-        for t in range(1, n):
-            f[t] = e[t] + np.logaddexp.reduce(f[t - 1][:, None] + m[:3], axis=0)
-        for t in range(n - 2, -1, -1):
-            b[t] = np.logaddexp.reduce(m[:3] + e[t + 1] + b[t + 1], axis=1)
-        whole = np.logaddexp.reduce(f[-1])
-        p = np.exp(f + b - whole)
-        move = np.zeros((4, 3))
-        move[3] = p[0]
-        for t in range(1, n):
-            move[:3] += np.exp(f[t - 1][:, None] + m[:3] + e[t] + b[t] - whole)
-        last = 3
-        for t, y in enumerate(tags):
-            p[t, y] -= 1
-            move[last, y] -= 1
-            last = y
-        return p, move
-
-    def fit(self, runs: list[tuple[list[list[int]], list[int]]], rounds: int = 12, rate: float = 0.3) -> Field:
-        draw = np.random.default_rng(5)
-        square, moved = np.full((_DIM, 3), 1e-2), np.full((4, 3), 1e-2)
-        for _ in range(rounds):
-            for i in draw.permutation(len(runs)):
-                run, tags = runs[i]
-                p, move = self.gradient(run, tags)
-                for f, g in zip(run, p, strict=True):
-                    square[f] += g * g
-                    self.own[f] -= rate * g / np.sqrt(square[f])
-                moved += move * move
-                self.step -= rate * move / np.sqrt(moved)
-            self.own *= 0.999
+    def slack(self) -> float:
+        """What the moves to and from a token can gain at most if its tag is not O but another one."""
+        m = self.step
+        return float(max(m[p, y] + m[y, q] - m[p, _O] - m[_O, q] for p in range(3) for q in range(3) for y in (_B, _I)))
+
+    def gradient(self, e: np.ndarray, tags: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected minus seen tags and moves of chains (chains x tokens), padded behind their lengths, and the loss."""
+        n, width, _ = e.shape
+        m = self.step
+        f, b = np.zeros((n, width, 3)), np.zeros((n, width, 3))
+        live = np.arange(width) < length[:, None]
+        f[:, 0] = e[:, 0] + m[_O]
+        for t in range(1, width):
+            f[:, t] = np.where(live[:, t, None], e[:, t] + _sum(f[:, t - 1, :, None] + m, 1), f[:, t - 1])
+        b[:, -1] = m[:, _O]
+        for t in range(width - 2, -1, -1):
+            b[:, t] = np.where(live[:, t + 1, None], _sum(m + (e[:, t + 1] + b[:, t + 1])[:, None, :], 2), m[:, _O])
+        whole = _sum(f[:, -1] + m[:, _O], 1)
+        p = np.exp(f + b - whole[:, None, None]) * live[:, :, None]
+        i, t = np.nonzero(live)
+        seen = e[i, t, tags[i, t]].sum()
+        p[i, t, tags[i, t]] -= 1
+        move = np.zeros((3, 3))
+        last = np.arange(n), length - 1
+        for k in (0, 1):  # moves from the edge, and to it
+            flat = np.exp(f + b - whole[:, None, None])[:, 0] if k == 0 else np.exp(f[last] + b[last] - whole[:, None])
+            tag = tags[:, 0] if k == 0 else tags[last]
+            for y in range(3):
+                a = (_O, y) if k == 0 else (y, _O)
+                move[a] += flat[:, y].sum() - (tag == y).sum()
+                seen += m[a] * (tag == y).sum()
+        both = live[:, 1:]
+        joint = np.exp(f[:, :-1, :, None] + m + (e[:, 1:] + b[:, 1:])[:, :, None, :] - whole[:, None, None, None])
+        move += (joint * both[:, :, None, None]).sum(axis=(0, 1))
+        i, t = np.nonzero(both)
+        np.subtract.at(move, (tags[i, t], tags[i, t + 1]), 1)
+        seen += m[tags[i, t], tags[i, t + 1]].sum()
+        return p, move, float(whole.sum() - seen)
+
+    def fit(self, where: np.ndarray, tags: np.ndarray, length: np.ndarray, rounds: int = 60, rate: float = 0.1, decay: float = 0.02) -> Field:
+        """Adam on the whole loss. where: (chains x tokens x features); an empty sample leaves the field as it is."""
+        if len(where) == 0:
+            return self
+        n, width, k = where.shape
+        flat = where.reshape(-1, k)
+        own, m1, v1 = self.own.astype(np.float64), np.zeros(self.own.shape), np.zeros(self.own.shape)
+        m2, v2 = np.zeros((3, 3)), np.zeros((3, 3))
+        for t in range(1, rounds + 1):
+            p, move, _ = self.gradient(self.emissions(flat).reshape(n, width, 3), tags, length)
+            p = p.reshape(-1, 3)
+            g = np.stack([sum(np.bincount(flat[:, j], weights=p[:, y], minlength=len(own)) for j in range(k)) for y in range(3)], axis=1) + decay * own
+            move = move + decay * self.step
+            for x, grad, a, b in ((own, g, m1, v1), (self.step, move, m2, v2)):
+                a *= 0.9
+                a += 0.1 * grad
+                b *= 0.99
+                b += 0.01 * grad * grad
+                x -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+            self.own = own.astype(np.float32)
         return self
 
-    def decode(self, run: list[list[int]]) -> list[int]:
-        """The best tags by Viterbi's algorithm."""
-        e, m = self.emissions(run), self.moves()
-        best, back = e[0] + m[3], []
-        for t in range(1, len(run)):
-            at = best[:, None] + m[:3]
-            back.append(at.argmax(axis=0))
-            best = at.max(axis=0) + e[t]
-        tags = [int(best.argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
-
-    def spans(self, text: str, runs: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
-        """(start, end) of each secret: from a B to its last I."""
-        out: list[tuple[int, int]] = []
-        file = file_features(text) if runs else []
-        for run in runs:
-            for span, tag in zip(run, self.decode([features(text, s, file) for s in run]), strict=True):
-                if tag == _B:
-                    out.append(span)
-                elif tag == _I:
-                    out[-1] = (out[-1][0], span[1])
+    def decode(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best tags of the chains [first[i], first[i + 1]) by Viterbi's algorithm, all chains side by side."""
+        tags = np.full(len(e), _O, dtype=np.int8)
+        size = np.diff(first)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        begin, size = first[order], size[order]
+        if not len(order):
+            return tags
+        best, back = e[begin] + self.step[_O], []
+        alive = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]) + 1)]  # chains longer than t
+        for t in range(1, int(size[0])):
+            k = alive[t]
+            at = best[:k, :, None] + self.step
+            back.append(at.argmax(axis=1))
+            best[:k] = at.max(axis=1) + e[begin[:k] + t]
+        tag = (best + self.step[:, _O]).argmax(axis=1)
+        for t in range(int(size[0]) - 1, -1, -1):
+            k = alive[t]
+            tags[begin[:k] + t] = tag[:k]
+            if t:
+                tag[:k] = back[t - 1][np.arange(k), tag[:k]]
+        return tags
+
+    def tags(self, t: Tokens, where: np.ndarray) -> np.ndarray:
+        """The tags of all tokens; only stretches between tokens that are certainly outside are decoded."""
+        e = self.emissions(where)
+        open_ = e[:, _O] - np.maximum(e[:, _B], e[:, _I]) <= max(self.slack(), 0) + 1e-3
+        places = np.flatnonzero(open_)
+        tags = np.full(len(e), _O, dtype=np.int8)
+        new = np.concatenate(([True], (np.diff(places) > 1) | (np.diff(t.text[places]) > 0)))[: len(places)]
+        tags[places] = self.decode(e[places], np.concatenate((np.flatnonzero(new), [len(places)])))
+        return tags
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """(start, end) of each secret of each text."""
+        t = Tokens(texts)
+        tags = self.tags(t, features(t))
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        last = -2
+        for i in np.flatnonzero(tags != _O).tolist():
+            home, a, b = out[t.text[i]], int(t.begin[i]), int(t.end[i])
+            if tags[i] == _I and last == i - 1 and home:
+                home[-1] = (home[-1][0], b)
+            else:
+                home.append((a, b))
+            last = i
         return out
 
 
-def scan(text: str, runs: list[list[tuple[int, int]]], field: Field) -> list[tuple[int, int, str]]:
-    """All spans of a text: the base ones, and those of the field that overlap none of them."""
-    base = base_spans(text)
-    more = [(a, b, "crf") for a, b in field.spans(text, runs) if all(b <= s or a >= e for s, e, _ in base)] if runs else []
-    return sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+def scan(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
+    """All spans of each text: the base ones, and those of the field that overlap none of them."""
+    out = []
+    for text, more in zip(texts, field.spans(texts), strict=True):
+        base = base_spans(text)
+        covered: list[tuple[int, int]] = []  # the base spans' union, in order
+        for a, b, _ in base:
+            if covered and a < covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(b, covered[-1][1]))
+            else:
+                covered.append((a, b))
+        ends = [b for _, b in covered]
+        for a, b in more:
+            k = bisect_left(ends, a + 1)
+            if k == len(covered) or covered[k][0] >= b:
+                base.append((a, b, "crf"))
+        out.append(sorted(base, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
+    return out
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def examples(texts: list[str]) -> list[tuple[list[list[int]], list[int]]]:
-    """Runs with tags from the base matches, and the same with the telling words masked."""
-    out = []
-    for text in texts:
-        spans = base_spans(text)
-        secret = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] + [(a, b) for a, b, k in spans if k != "assign"]
-        for shown in (text, _CUE.sub(lambda m: "x" * len(m[0]), text)) if spans else (text,):
-            file = file_features(shown)
-            for run in candidates([text])[0]:
-                tags = [_B if any(a < e and s < b for a, b in secret) else _O for s, e in run]
-                out.append(([features(shown, s, file) for s in run], tags))
+def values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the secrets themselves in the base matches, without the words that announce them."""
+    found = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(a, b) for a, b, k in base_spans(text) if k != "assign"]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def respelled(value: str, nth: int = 1) -> str:
+    """Another secret in a spelling that no base pattern finds, the nth drawn by a hash of value."""
+    raw = hashlib.sha512(f"{nth} {value}".encode("utf-8", "surrogatepass")).digest()
+    kind, size = raw[63] % 5, 16 + raw[62] % 24
+    big, mixed = raw.hex().upper(), base64.b64encode(raw).decode()
+    if kind == 0:
+        return big[:size]
+    if kind == 1:
+        return "-".join(raw.hex()[i : i + n] for i, n in ((0, 8), (8, 4), (12, 4), (16, 4), (20, 12)))
+    if kind == 2:
+        return mixed[:size]
+    if kind == 3:
+        return f"{('sk', 'pk', 'ghp', 'xoxb')[raw[61] % 4]}_{base64.urlsafe_b64encode(raw).decode().replace('=', '')[:size]}"
+    return ".".join(mixed.replace("+", "a").replace("/", "b")[i : i + n] for i, n in ((0, 10), (10, 18), (28, 12)))
+
+
+def shown(text: str, found: list[tuple[int, int]], masked: bool, nth: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its cue words masked and its values in the nth other spelling (0: their own), and where they stand."""
+    parts, out, at, size = [], [], 0, 0
+    for a, b in [*found, (len(text), len(text))]:
+        gap = text[at:a]
+        if masked:
+            gap = _CUE.sub(lambda m: "x" * len(m[0]), gap)
+        value = respelled(text[a:b], nth) if nth and a < b else text[a:b]
+        parts += [gap, value]
+        if a < b:
+            out.append((size + len(gap), size + len(gap) + len(value)))
+        size, at = size + len(gap) + len(value), b
+    return "".join(parts), out
+
+
+def windows(text: str, width: int = WINDOW, most: int = WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training chains of a text: (places of features, tags) of up to width tokens, up to most for each way to show it.
+
+    They lie around the first values or, in a text without any, around tokens with digits and one other token; a hash
+    of the text shifts them.
+    """
+    found, out = values(text), []
+    shift = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+    for masked, nth in ((False, 0), (True, 0), *((True, k + 1) for k in range(SPELLINGS))) if found else ((False, 0),):
+        new, spans = shown(text, found, masked, nth)
+        t = Tokens([new])
+        if not len(t.left):
+            continue
+        tags = np.full(len(t.left), _O, dtype=np.int8)
+        for a, b in spans:
+            i, j = np.searchsorted(t.end, a, side="right"), np.searchsorted(t.begin, b)
+            tags[i:j] = _I
+            tags[i : min(i + 1, j)] = _B
+        if found:
+            centres = np.flatnonzero(tags == _B)[:most].tolist()
+        else:
+            centres = [int.from_bytes(shift[:4], "little") % len(tags), *[i for i in range(len(tags)) if new[t.begin[i]].isdigit()][: most - 1]]
+        where = features(t)
+        for k, c in enumerate(centres):
+            a = max(0, c - shift[4 + k] % width)
+            out.append((where[a : a + width], tags[a : a + width]))
     return out
 
 
+def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all texts as Field.fit takes them."""
+    return _padded([w for x in texts for w in windows(x)])
+
+
+def _padded(chains: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    where = np.zeros((len(chains), WINDOW, len(_SIZES)), dtype=np.int32)
+    tags = np.full((len(chains), WINDOW), _O, dtype=np.int64)
+    for i, (w, y) in enumerate(chains):
+        where[i, : len(w)], tags[i, : len(y)] = w, y
+    return where, tags, np.array([len(w) for w, _ in chains], dtype=np.int64)
+
+
 def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
-    """A field fitted to about size texts with a base match and as many without one, outside the held-out fold."""
+    """A field fitted to windows of about size texts with a base match and as many without one, outside the held-out fold.
+
+    Only windows reach the driver: at most WINDOWS of WINDOW tokens for each way to show a text.
+    """
+    small_batches(docs.sparkSession)
     has = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text", has.alias("has"))
     sizes = {r["has"]: r["count"] for r in rows.groupBy("has").count().collect()}
     share = F.when(F.col("has"), F.lit(min(1.0, size / sizes.get(True, 1)))).otherwise(F.lit(min(1.0, size / sizes.get(False, 1))))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = sorted(rows.where(draw < share).select("doc_id", "text").limit(3 * size).toLocalIterator(), key=lambda r: (str(r["doc_id"]), r["text"]))
-    return Field().fit(examples([r["text"] for r in chosen]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            chains = [w for x in texts for w in windows(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w, _ in chains], pa.binary()), pa.array([y.tobytes() for _, y in chains], pa.binary())], ["places", "tags"])
+
+    found = rows.where(draw < share).select("text").mapInArrow(run, "places binary, tags binary").limit(3 * size * WINDOWS * (3 + SPELLINGS))
+    parts = sorted((bytes(r["places"]), bytes(r["tags"])) for r in found.toLocalIterator())
+    return Field().fit(*_padded([(np.frombuffer(w, np.int32).reshape(-1, len(_SIZES)), np.frombuffer(y, np.int8)) for w, y in parts]))
 
 
 def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -239,7 +418,7 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            found = [scan(x, r, shared.value) for x, r in zip(texts, candidates(texts), strict=True)]
+            found = scan(texts, shared.value)
             base = [[s for s in f if s[2] != "crf"] for f in found]
             told = [digest(b) for b in base]
             yield pa.RecordBatch.from_arrays(

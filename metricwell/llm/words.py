@@ -34,6 +34,12 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def power_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the slices [begin, end) of values, by differences of running sums weighted with powers."""
+    total = np.concatenate((np.zeros(1, _U), np.cumsum(values * _power(_BASE, len(values)), dtype=_U)))
+    return mix((total[end] - total[begin]) * _power(_INVERSE, len(values))[begin] + (end - begin).astype(_U))
+
+
 def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of the texts (a zero byte ends each), where words begin and end in them, the words' 64-bit hashes, and
     where each text's bytes begin (one more entry than texts).
@@ -45,8 +51,7 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inside = _WORD[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    total = np.concatenate((np.zeros(1, _U), np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), dtype=_U)))
-    hashes = mix((total[end] - total[begin]) * _power(_INVERSE, len(raw))[begin] + (end - begin).astype(_U))
+    hashes = power_sums(_BYTE[raw], begin, end)
     at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in coded], dtype=np.int64)))
     return raw, begin, end, hashes, at
 

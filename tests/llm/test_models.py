@@ -1,7 +1,5 @@
 """Operators without SQL: brute force, round trips and held-out accuracy."""
 
-import base64
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -15,7 +13,6 @@ from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash
 from metricwell.llm.language_id import identify_languages, op4_language_id
 from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
 from metricwell.llm.quality import op1_quality, score_quality
-from metricwell.llm.secrets import Field, base_spans, candidates, examples, op6_secrets, scan
 
 EDGE = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the cat sat on the mat " * 3000), (None, "ein Text"), (5, "ein Text"), (5, "ein Text")]
 
@@ -100,30 +97,6 @@ def test_quality_held_out(spark, data, edge):
     assert set(score_quality(edge, none).toPandas().score) == {0.5}
 
 
-def test_secret_spans(spark, data):
-    text = 'x token: "ab12cd" AKIA' + "A1" * 8 + " " + "0a" * 12 + " token=abc PASSWORD = secret=12"
-    assert [(k, text[a:b]) for a, b, k in base_spans(text)] == [("assign", 'token: "ab12cd'), ("access", "AKIA" + "A1" * 8), ("hex", "0a" * 12), ("assign", "PASSWORD = secret=12")]
-    made = lambda i: base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode().rstrip("=")
-    docs = [f'words here token = "{made(i)}" and more words' for i in range(80)] + ["call 42.144.35.254 or +1 863 555-9426 now 4041894974608795"] * 30
-    field = Field().fit(examples(docs))
-    new, plain = f'words here thing is "{made(1000)}" and 42.144.35.25 more', "call 42.144.35.1 now"
-    spans = scan(new, candidates([new])[0], field)
-    assert [(k, new[a:b]) for a, b, k in spans] == [("crf", made(1000))] and not base_spans(new) and not scan(plain, candidates([plain])[0], field)
-    got = op6_secrets(spark, data).toPandas()
-    texts = spark.read.parquet(f"{data}/documents.parquet").toPandas().set_index("doc_id").text
-    assert all(r.n_assign + r.n_access + r.n_hex == len(base_spans(texts[r.doc_id])) for r in got.itertuples())
-
-
-def test_viterbi_is_the_best_path():
-    field, run = Field(), [[1, 2], [3], [4, 5], [6]]
-    field.own = np.random.default_rng(1).normal(size=field.own.shape)
-    field.step = np.random.default_rng(2).normal(size=field.step.shape)
-    e, m = field.emissions(run), field.moves()
-    paths = np.stack(np.meshgrid(*[range(3)] * 4), -1).reshape(-1, 4)
-    value = [m[3, p[0]] + e[0, p[0]] + sum(m[p[t - 1], p[t]] + e[t, p[t]] for t in range(1, 4)) for p in paths]
-    assert field.decode(run) == paths[int(np.argmax(value))].tolist()
-
-
 def test_tokens_are_those_of_the_tokenizer():
     t = WordTokenizer(default_tokenizer())
     for text in ("Hello, WORLD's café—naïve 1234!! x y", "a\x1cb <|endoftext|> c", "", "ΑΣ Σ İstanbul é", "don't... ​zero"):
