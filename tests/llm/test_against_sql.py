@@ -3,9 +3,9 @@
 import pyarrow as pa
 import pytest
 
-from metricwell.llm import registry
+from metricwell.llm import line_chunks, registry
 from metricwell.llm.exact_dedup import _retain, _runs, exact_dedup, merge_runs
-from metricwell.llm.line_chunks import dedup_lines, remove_chunks
+from metricwell.llm.line_chunks import dedup_lines, without_repeats
 from metricwell.llm.mixing import mix
 from metricwell.llm.quotes import link_quotes
 from metricwell.llm.threshold_topk import top_k
@@ -65,14 +65,24 @@ def test_top_k_cases(spark):
 def test_line_dedup_cases(spark):
     passage = "\n".join(f"line {i} of a passage" for i in range(40))
     rows = [(1, f"own\n{passage}\nend", "a"), (2, f"other start\nmore\n{passage}", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     got = {r.doc_id: r for r in dedup_lines(docs).collect()}
-    assert got[1].removed_chunks == 0 and got[2].removed_lines > 25 and got[2].text.startswith("other start")
+    assert got[1].removed_lines == got[1].removed_chunks == 0 and got[2].removed_lines == 40 and got[2].removed_chunks > 5 and got[2].text == "other start\nmore"
     assert got[3].text is None and got[4].text == "" and got[5].text == got[6].text == "one line"
-    assert "chunk" in remove_chunks(docs).columns
+    assert {r.row for r in without_repeats(docs.withColumnsRenamed({})).select("doc.row").collect()} == set("abcdef")
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_with_equal_codes_and_other_bytes_stay(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "aa\nbb\nc1\nd"), (2, "xx\naa\nbb\nc2"), (3, "bb\nc1\nd\nd"), (4, "bb\nc2")]
+    real = line_chunks._code
+    monkeypatch.setattr(line_chunks, "_code", lambda c: F.when(c.cast("string").startswith("c"), real(F.lit("c"))).otherwise(real(c)))
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "xx\nc2", 3: rows[2][1], 4: rows[3][1]}
+
+
 def test_mixing_cases(spark):
     rows = [(i, "w " * 10, "en" if i % 2 else None, f"s{i % 3}", "x") for i in range(200)] + [(500, None, "en", "s0", "x"), (501, "", "en", "s0", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch string")
