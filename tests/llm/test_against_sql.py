@@ -1,9 +1,12 @@
 """Queries that SQL can express, against DuckDB; and small fixtures with the awkward cases."""
 
+import math
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from metricwell.llm import line_chunks, registry
+from metricwell.llm import line_chunks, registry, threshold_topk
 from metricwell.llm.exact_dedup import _retain, _runs, exact_dedup, merge_runs
 from metricwell.llm.line_chunks import dedup_lines, without_repeats
 from metricwell.llm.mixing import mix
@@ -62,6 +65,42 @@ def test_top_k_cases(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_rows_of_one_id_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1e300, -1e300]), (3, [1e18, 1e18]), (4, [-1e300, 3.0]), (20, [1e300, 1e18])]
+    got = top_k(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), k=4, block=3).collect()
+    high, low = 2**63 - 1, -(2**63)
+    whole = [(i, [max(low, min(high, math.floor(64 * x))) for x in v]) for i, v in rows]
+    want = []
+    for n, (i, q) in enumerate(whole):
+        if i % 20 == 0:
+            found = sorted((-max(low, min(high, sum(a * b for a, b in zip(q, v, strict=True)))), j) for m, (j, v) in enumerate(whole) if m != n)[:4]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_top_k_over_many_blocks_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(threshold_topk, "QUERIES", 7)
+    draw = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in draw.integers(-2, 3, 3) / 64]) for i in range(300)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=10, block=40).collect()
+    e = {i: np.floor(64 * np.array(v)).astype(int) for i, v in rows}
+    want = {(q, r + 1, j, -s) for q in range(0, 300, 10) for r, (s, j) in enumerate(sorted((-int(e[q] @ e[j]), j) for j in e if j != q)[:5])}
+    assert {tuple(r) for r in got} == want
+
+
+def test_the_bound_leaves_vectors_out():
+    draw = np.random.default_rng(2)
+    rows = np.floor(64 * draw.normal(size=(4000, 16)) * 0.4 ** np.arange(16)).astype(np.int64)  # a few strong dimensions
+    lists = np.argsort(rows.T, axis=1, kind="stable")
+    for q in range(5):
+        score = rows @ rows[q]
+        want = [i for i in np.lexsort((np.arange(4000), -score)) if i != q][:10]
+        best, found, seen = threshold_topk.threshold_top_k(rows[q], q, rows, lists, 10)
+        assert best.tolist() == want and found.tolist() == score[want].tolist() and seen < 3000
+        again = threshold_topk.threshold_top_k(rows[q], q, rows, lists, 10, int(score[want[0]]))
+        assert again[2] <= seen and again[0][0] == want[0]  # a higher k-th score from elsewhere stops it sooner
+
+
 def test_line_dedup_cases(spark):
     passage = "\n".join(f"line {i} of a passage" for i in range(40))
     rows = [(1, f"own\n{passage}\nend", "a"), (2, f"other start\nmore\n{passage}", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f")]
