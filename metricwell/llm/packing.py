@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from .common import chunks, materialize, small_batches, table
 #: Tokens of a sequence; id that ends a document; pieces of an island.
 SEQUENCE, END, ISLAND = 2048, 0, 16384
 #: Chromosomes of an island, offspring of a spell, and bins that migrate.
-POPULATION, OFFSPRING, MIGRANTS = 4, 16, 64
+POPULATION, OFFSPRING, MIGRANTS = 8, 64, 64
 #: Words whose ids a Python worker remembers; it forgets the later half when there are more.
 REMEMBERED = 1_100_000
 _TAIL = ".,;:!?"
@@ -106,11 +105,16 @@ class WordTokenizer:
         parts = [None if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else _lower(x).split() for x in texts]
         if len(self.known) > REMEMBERED:  # the words met first are the most frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        new = set().union(*(p for p in parts if p is not None)) - self.known.keys()
+        get, new = self.known.get, set()
+        found = [[] if p is None else list(map(get, p)) for p in parts]
+        lacking = [i for i, f in enumerate(found) if None in f]
+        for i in lacking:
+            new.update(w for w, f in zip(parts[i], found[i], strict=True) if f is None)
         if new:
             self._learn(new)
-        get = self.known.__getitem__
-        return [self._whole(x) if p is None else b"".join(map(get, p)) for x, p in zip(texts, parts, strict=True)]
+        for i in lacking:
+            found[i] = map(get, parts[i])
+        return [self._whole(x) if p is None else b"".join(f) for x, p, f in zip(texts, parts, found, strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -136,7 +140,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), shape.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns], ["doc_id", *shape])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: Counter, size: int = SEQUENCE) -> list[list[int]]:
@@ -167,7 +171,7 @@ def fitness(bins: list[list[int]], size: int = SEQUENCE) -> tuple[int, float]:
 
 
 def crossover(receiver: list[list[int]], donor: list[list[int]], stock: Counter, draw: random.Random, size: int = SEQUENCE) -> list[list[int]]:
-    """Whole well-filled bins of donor go in; bins of receiver that lack a piece then are removed, their rest best-fitted."""
+    """Half of donor's better filled bins go in whole; bins of receiver that lack a piece then go, their rest is best-fitted."""
     left, child = stock.copy(), []
 
     def put(own: list[int]) -> None:
@@ -176,8 +180,8 @@ def crossover(receiver: list[list[int]], donor: list[list[int]], stock: Counter,
             left.subtract(need)
             child.append(own)
 
-    full = [b for b in donor if sum(b) >= 0.99 * size]
-    for own in draw.sample(full, k=len(full) // 2):
+    full = sorted(donor, key=sum, reverse=True)[: -(-len(donor) // 2)]
+    for own in draw.sample(full, k=-(-len(full) // 2)):
         put(own)
     for own in sorted(receiver, key=sum, reverse=True):
         if sum(own) >= 0.95 * size or draw.random() < 0.5:
@@ -186,43 +190,48 @@ def crossover(receiver: list[list[int]], donor: list[list[int]], stock: Counter,
 
 
 def evolve(lengths: list[int], seed: int, first: list[list[int]] | None = None, migrants: list[list[int]] | None = None, size: int = SEQUENCE) -> list[list[int]]:
-    """The best chromosome of an island. first: the one it had; migrants: bins of another island."""
+    """The best chromosome of an island. first: the one it had; migrants: bins of another island.
+
+    It ends as soon as a chromosome has no more bins than all tokens need, which no other could better.
+    """
     draw, stock = random.Random(seed), Counter(lengths)
-    people = [first] if first else []
-    people.append(best_fit(stock, size))
     least = -(-sum(lengths) // size)
-    while len(people) < POPULATION:  # others open their bins with pieces at random
+    people = [first] if first else [best_fit(stock, size)]
+    while len(people[0]) > least and len(people) < POPULATION:  # others open their bins with pieces at random
         left, bins = stock.copy(), []
-        some = draw.sample(lengths, k=len(lengths) // 4)
+        some = draw.sample(lengths, k=len(lengths) // 2)
         for n in some:
             if left[n]:
                 left[n] -= 1
                 own, free = [n], size - n
-                for m in draw.sample(some, k=min(3, len(some))):
+                for m in draw.sample(some, k=min(8, len(some))):
                     if left[m] and m <= free:
                         left[m] -= 1
                         own.append(m)
                         free -= m
-                if free > size // 20:
+                if free > size // 50:
                     left.update(own)
                 else:
                     bins.append(own)
         people.append(bins + best_fit(left, size))
     for step in range(OFFSPRING):
         people.sort(key=lambda b: fitness(b, size), reverse=True)
-        if -fitness(people[0], size)[0] <= least and not migrants:
+        if len(people[0]) <= least:
             break
         a, b = draw.sample(people, k=2)
-        child = crossover(a, migrants if migrants and step % 2 == 0 else b, stock, draw, size)
+        child = crossover(a, migrants if migrants and step % 4 == 0 else b, stock, draw, size)
         if fitness(child, size) > fitness(people[-1], size):
             people[-1] = child
     return max(people, key=lambda b: fitness(b, size))
 
 
-def _place(rows: pd.DataFrame, bins: list[list[int]]) -> pd.DataFrame:
+_SHAPE = "island int, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
+
+
+def _place(rows: pa.Table, bins: list[list[int]]) -> pa.Table:
     """Rows with bin and offset: each place of a bin takes the next row of its length."""
     free = defaultdict(list)
-    for i, n in enumerate(rows["length"].tolist()):
+    for i, n in enumerate(rows["length"].to_pylist()):
         free[n].append(i)
     number, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     for k, own in enumerate(bins):
@@ -231,22 +240,24 @@ def _place(rows: pd.DataFrame, bins: list[list[int]]) -> pd.DataFrame:
             i = free[n].pop()
             number[i], offset[i] = k, at
             at += n
-    return rows.assign(bin=number, offset=offset)
+    return rows.select(["island", "doc_id", "piece", "start", "length", "ids_crc32"]).append_column("bin", pa.array(number)).append_column("offset", pa.array(offset))
 
 
-_SHAPE = "island int, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
+def _in_order(rows: pa.Table) -> pa.Table:
+    return rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
 
 
-def _first_spell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"])
-    return _place(rows, evolve(rows["length"].tolist(), int(key[0])))
+def _first_spell(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = _in_order(rows)
+    return _place(rows, evolve(rows["length"].to_pylist(), key[0].as_py()))
 
 
-def _second_spell(key: tuple, rows: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"])
-    first = [x["length"].tolist() for _, x in rows.groupby("bin")]
-    migrants = sorted([int(n) for n in b] for b in came["lengths"])
-    return _place(rows, evolve(rows["length"].tolist(), int(key[0]) + 1_000_003, first, migrants))
+def _second_spell(key: tuple, rows: pa.Table, came: pa.Table) -> pa.Table:
+    rows = _in_order(rows)
+    lengths, first = rows["length"].to_pylist(), defaultdict(list)
+    for k, n in zip(rows["bin"].to_pylist(), lengths, strict=True):
+        first[k].append(n)
+    return _place(rows, evolve(lengths, key[0].as_py() + 1_000_003, [first[k] for k in sorted(first)], sorted(came["lengths"].to_pylist())))
 
 
 def pack(docs: DataFrame, path: str | None = None, island: int = ISLAND) -> DataFrame:
@@ -261,12 +272,12 @@ def pack(docs: DataFrame, path: str | None = None, island: int = ISLAND) -> Data
     short = every.where(F.col("length") < SEQUENCE)
     islands = max(1, math.ceil(short.count() / island))
     place = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(islands)).cast("int")
-    first = materialize(short.select(place.alias("island"), *short.columns).groupBy("island").applyInPandas(_first_spell, _SHAPE))
+    first = materialize(short.select(place.alias("island"), *short.columns).groupBy("island").applyInArrow(_first_spell, _SHAPE))
     filled = first.groupBy("island", "bin").agg(F.sort_array(F.collect_list("length"), asc=False).alias("lengths"), F.sum("length").alias("sum")).where(F.col("sum") == SEQUENCE)
     best = Window.partitionBy("island").orderBy(F.desc(F.size("lengths")), "bin")
     elite = filled.withColumn("n", F.row_number().over(best)).where(F.col("n") <= MIGRANTS)
     elite = elite.select(((F.col("island") + 1) % islands).alias("island"), "lengths")
-    second = first.groupBy("island").cogroup(elite.groupBy("island")).applyInPandas(_second_spell, _SHAPE)
+    second = first.groupBy("island").cogroup(elite.groupBy("island")).applyInArrow(_second_spell, _SHAPE)
     done = second.withColumn("sequence_id", F.col("island").cast("long") * (1 << 32) + F.col("bin"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return full.select(*columns).union(done.select(*columns))

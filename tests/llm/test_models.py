@@ -1,5 +1,6 @@
 """Operators without SQL: brute force, round trips and held-out accuracy."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ import corpus_pipeline
 from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash, signatures, spanning_links
 from metricwell.llm.language_id import identify_languages, op4_language_id
 from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
-from metricwell.llm.quality import op1_quality, score_quality
+from metricwell.llm.quality import FEATURES, AttentionModel, op1_quality, score_quality
 
 EDGE = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the cat sat on the mat " * 3000), (None, "ein Text"), (5, "ein Text"), (5, "ein Text")]
 
@@ -97,29 +98,118 @@ def test_quality_held_out(spark, data, edge):
     assert set(score_quality(edge, none).toPandas().score) == {0.5}
 
 
+def test_attention_by_plain_loops_and_gradient_by_differences():
+    draw = np.random.default_rng(0)
+    x, first, label = draw.normal(size=(9, FEATURES)), np.array([0, 2, 3, 7, 9]), np.array([1.0, 0, 1, 0])
+    model = AttentionModel(seed=3, width=4, gate=3)
+    p = model.p
+
+    def plain(x):
+        out = []
+        for a, b in zip(first, first[1:], strict=False):
+            h = [np.tanh(v @ p["E"] + p["e"]) for v in x[a:b]]
+            s = np.exp([p["w"] @ (np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) for v in h])
+            z = sum(w * v for w, v in zip(s / s.sum(), h, strict=True))
+            out.append(1 / (1 + np.exp(-(z @ p["c"] + p["b"][0]))))
+        return np.array(out)
+
+    assert np.allclose(model.forward(x, first)["y"], plain(x))
+    loss = lambda: -np.mean(label * np.log(plain(x)) + (1 - label) * np.log(1 - plain(x)))
+    grad = model.gradient(x, first, label, np.full(4, 0.25))
+    for name, i in [("E", (3, 1)), ("e", (2,)), ("V", (1, 2)), ("U", (0, 1)), ("w", (2,)), ("c", (3,)), ("b", (0,))]:
+        p[name][i] += 1e-5
+        up = loss()
+        p[name][i] -= 2e-5
+        assert abs((up - loss()) / 2e-5 - grad[name][i]) < 1e-6
+        p[name][i] += 1e-5
+
+
+def test_quality_awkward_tables(spark, edge):
+    words = lambda i: " ".join(f"w{(i * k) % 97}" for k in range(40)) if i % 2 else "!! ?? " * 30
+    rows = [(i, words(i)) for i in range(120)] + [(1, words(1)), (None, "x"), (7, "y " * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2, 5) for i in range(120)] + [(3, None, 5), (None, 1, 5), (4, 9, 5)], "doc_id int, quality long, score int")
+    got = score_quality(docs, labels).collect()
+    assert len(got) == len(rows) and np.mean([r.predicted == r.doc_id % 2 for r in got[:120] if r.held_out]) > 0.9
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and score_quality(edge.limit(0), labels).count() == 0
+
+
 def test_tokens_are_those_of_the_tokenizer():
     t = WordTokenizer(default_tokenizer())
     for text in ("Hello, WORLD's café—naïve 1234!! x y", "a\x1cb <|endoftext|> c", "", "ΑΣ Σ İstanbul é", "don't... ​zero"):
         assert np.frombuffer(t.encode([text])[0], "<u4").tolist() == t.model.encode(text, add_special_tokens=False).ids
 
 
-def test_packing_round_trip(spark, data, edge):
-    for got, docs in ((op10_packing(spark, data).toPandas(), None), (pack(edge).toPandas(), edge)):
-        docs = docs or spark.read.parquet(f"{data}/documents.parquet")
-        own = got.sort_values(["sequence_id", "offset"])
-        assert (own.groupby("sequence_id").length.cumsum() - own.length == own.offset).all() and own.groupby("sequence_id").length.sum().max() <= SEQUENCE
-        assert (got.piece == 0).sum() == docs.count() and got.sequence_id.nunique() <= -(-got.length.sum() // SEQUENCE) + 2
+def plain_pieces(texts):
+    """(row, piece, start, length, crc) of every piece, by the tokenizer itself, one text at a time."""
+    model = WordTokenizer(default_tokenizer()).model
+    for i, text in enumerate(texts):
+        ids = [*model.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), SEQUENCE):
+            own = ids[k : k + SEQUENCE]
+            yield i, k // SEQUENCE, k, len(own), zlib.crc32(np.array(own, "<u4").tobytes())
+
+
+def check_packing(got, rows):
+    """Every piece of every row once, sequences without gap or overflow."""
+    want = Counter((rows[i][0], *rest) for i, *rest in plain_pieces([t for _, t in rows]))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= SEQUENCE
+    return len(bins), -(-sum(r.length for r in got) // SEQUENCE)
+
+
+def test_packing_against_the_tokenizer(spark, data, edge):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    used, least = check_packing(op10_packing(spark, data).collect(), rows)
+    assert used <= least + 1
+    check_packing(pack(edge).collect(), EDGE)
     assert pack(edge.limit(0)).count() == 0
 
 
-def test_genetic_steps_keep_all_pieces():
-    import random
+def test_packing_on_islands_and_large_ids_beside_null(spark):
+    rows = [(2**53 + k if k % 9 else None, "the cat sat on a mat " * (1 + k * 7 % 260)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    used, least = check_packing(pack(docs, island=80).collect(), rows)
+    assert used <= least + 4
+
+
+def hard_lengths(times):
+    """Triples and quadruples that fill a sequence, of which greedy filling makes pairs that nothing fits beside."""
+    return [1044] * (6 * times) + [552] * (6 * times) + [532] * (6 * times) + [472] * (12 * times)
+
 
-    lengths = [random.Random(3).randint(1, 2047) for _ in range(500)]
+def test_genetic_steps_better_greedy_filling():
+    lengths = hard_lengths(10)
+    assert len(best_fit(Counter(lengths))) == 110 and len(evolve(lengths, 1)) == 90 == sum(lengths) // SEQUENCE
+    draw = random.Random(4)
+    lengths = [draw.randint(500, 1000) for _ in range(600)]
+    assert len(evolve(lengths, 2)) < 0.98 * len(best_fit(Counter(lengths)))
+
+
+def test_migrants_better_an_island():
+    lengths = hard_lengths(4)
+    poor, good = best_fit(Counter(lengths)), evolve(lengths, 1)
+    stock = Counter(lengths)
+    child = crossover(poor, [b for b in good if sum(b) == SEQUENCE], stock, random.Random(1))
+    assert len(child) < len(poor) and Counter(n for b in child for n in b) == stock
+    assert len(evolve(lengths, 3, poor, [b for b in good if sum(b) == SEQUENCE])) <= len(good)
+
+
+def test_genetic_steps_keep_all_pieces():
+    draw = random.Random(3)
+    lengths = [draw.randint(1, 2047) for _ in range(500)]
     stock = Counter(lengths)
     first = best_fit(stock)
-    for bins in (first, crossover(first, first[::-1], stock, random.Random(1)), evolve(lengths, 1), evolve(lengths, 2, first, first[:20])):
-        assert Counter(n for b in bins for n in b) == stock and max(map(sum, bins)) <= SEQUENCE
+    for bins in (first, crossover(first, first[::-1], stock, random.Random(1)), evolve(lengths, 1), evolve(lengths, 2, first, first[:20]), evolve([], 1)):
+        assert Counter(n for b in bins for n in b) == (stock if bins else Counter()) and max(map(sum, bins), default=0) <= SEQUENCE
 
 
 def test_pipeline_stages(spark, data):
