@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
                 score, names = np.zeros(len(texts)), ["und"] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

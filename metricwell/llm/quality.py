@@ -20,8 +20,9 @@ from .common import chunks, held_out, small_batches, table
 from .words import mix, spans
 
 PASSAGE = 512
-#: Labelled documents of each class to learn from, at most (about; a hash chooses them).
-SAMPLE = 1500
+#: Labelled documents of each class to learn from (about; a hash chooses them), passages of one, and of all together.
+#: Longer documents, and those beyond the sum, are left out of the sample whole; all texts are scored whole.
+SAMPLE, LONGEST, PASSAGES = 1500, 4096, 100_000
 _CLASSES = 8
 
 
@@ -95,21 +96,11 @@ class AttentionModel:
             self.p["b"][:] = 0 if len(label) == 0 else (4 if label[0] else -4)
             return self
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 0.02
-        scaled = (x - self.mean) / self.std
         weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / len(label)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         for t in range(1, rounds + 1):
-            p, f = self.p, self.forward(x, first)
-            dy = (f["y"] - label) * weight
-            dz = dy[:, None] * p["c"]
-            part = dz[f["doc"]]
-            da = (part * f["h"]).sum(axis=1)
-            ds = f["s"] * (da - np.add.reduceat(f["s"] * da, first[:-1])[f["doc"]])
-            dag = ds[:, None] * p["w"]
-            dta, dtg = dag * f["g"] * (1 - f["a"] ** 2), dag * f["a"] * f["g"] * (1 - f["g"])
-            dh = (f["s"][:, None] * part + dta @ p["V"].T + dtg @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"E": scaled.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dta, "U": f["h"].T @ dtg, "w": (f["a"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+            p, grad = self.p, self.gradient(x, first, label, weight)
             for k, gr in grad.items():
                 gr = gr + decay * p[k] * (k in "EVUwc")
                 m[k] = 0.9 * m[k] + 0.1 * gr
@@ -117,6 +108,19 @@ class AttentionModel:
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         return self
 
+    def gradient(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted logistic loss of all bags, by each parameter."""
+        p, f = self.p, self.forward(x, first)
+        dy = (f["y"] - label) * weight
+        part = (dy[:, None] * p["c"])[f["doc"]]
+        da = (part * f["h"]).sum(axis=1)
+        ds = f["s"] * (da - np.add.reduceat(f["s"] * da, first[:-1])[f["doc"]])
+        dag = ds[:, None] * p["w"]
+        dta, dtg = dag * f["g"] * (1 - f["a"] ** 2), dag * f["a"] * f["g"] * (1 - f["g"])
+        dh = (f["s"][:, None] * part + dta @ p["V"].T + dtg @ p["U"].T) * (1 - f["h"] ** 2)
+        scaled = (x - self.mean) / self.std
+        return {"E": scaled.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dta, "U": f["h"].T @ dtg, "w": (f["a"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+
     def score(self, texts: list[str]) -> np.ndarray:
         x, first = encode(texts)
         return self.forward(x, first)["y"]
@@ -126,6 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Attent
     """A model from a bounded sample of the labelled documents outside the held-out fold."""
     spark = docs.sparkSession
     small_batches(spark)
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().where("quality IN (0, 1)").collect()}
     share = F.lit(0.0)
@@ -137,11 +142,17 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Attent
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             x, first = encode(texts)
-            parts = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            parts = [x[a:b].tobytes() if b - a <= LONGEST else None for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())], ["doc_id", "quality", "bag"])
 
-    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    bags = sorted(((r["doc_id"], r["quality"], bytes(r["bag"])) for r in wanted.mapInArrow(run, "doc_id long, quality int, bag binary").toLocalIterator()), key=lambda r: r[:2])
+    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    bags, left = [], PASSAGES
+    for r in wanted.mapInArrow(run, "doc_id long, quality int, bag binary").where("bag IS NOT NULL").toLocalIterator():
+        left -= len(r["bag"]) // (4 * FEATURES)
+        if left < 0:
+            break
+        bags.append((r["doc_id"], r["quality"], bytes(r["bag"])))
+    bags.sort()
     x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for *_, b in bags]
     first = np.concatenate(([0], np.cumsum([len(b) for b in x], dtype=np.int64)))
     return AttentionModel().fit(np.concatenate([*x, np.zeros((0, FEATURES), np.float32)]), first, np.array([q for _, q, _ in bags], dtype=np.float64))
@@ -162,7 +173,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch, texts in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(texts))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
