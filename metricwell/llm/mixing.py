@@ -72,18 +72,18 @@ def budgets(leaves: DataFrame, epochs: int = EPOCHS, share: float = 1.0, weights
 
 
 def mix(docs: DataFrame, epochs: int = EPOCHS, share: float = 1.0, seed: int = SEED, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS), domain: Column | None = None) -> DataFrame:
-    """All columns of docs, with _mix_domain, _mix_lang, _mix_source, _mix_tokens, _mix_epoch and _mix_taken.
+    """doc (a struct of all columns of docs), domain, lang, source, tokens, epoch and taken.
 
-    One row for each document and epoch that a leaf takes it in; _mix_taken is the tokens taken, less than _mix_tokens
-    only for the document in which a leaf's prefix ends. A null lang or source is a node named "". Null texts and texts
+    One row for each document and epoch that a leaf takes it in; taken is the tokens taken, less than tokens only for
+    the document in which a leaf's prefix ends. A null lang or source is a node named "". Null texts and texts
     without tokens are never taken. Orders tie by doc_id, then by the number of tokens; repeated rows are taken one by
     one. A division by weights rounds down, so up to a token for each child stays unused. An empty table gives an empty
-    result. Other columns, whatever their names, pass through.
+    result.
     """
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     domain = domain_of(source) if domain is None else domain
-    rows = docs.select("*", domain.alias(_LEAF[0]), lang.alias(_LEAF[1]), source.alias(_LEAF[2]), tokens_of(F.col("text")).alias("_mix_tokens"))
-    slim = materialize(rows.select(*_LEAF, "_mix_tokens", F.col("doc_id").alias("_mix_id")))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_mix_id"), domain.alias(_LEAF[0]), lang.alias(_LEAF[1]), source.alias(_LEAF[2]), tokens_of(F.col("text")).alias("_mix_tokens"))
+    slim = materialize(rows.select(*_LEAF, "_mix_tokens", "_mix_id"))
     leaf = materialize(budgets(slim.groupBy(*_LEAF).agg(F.sum("_mix_tokens").alias("tokens")), epochs, share, weights))
     plan = leaf.select(*_LEAF, F.expr("budget div tokens").alias("_mix_whole"), (F.col("budget") % F.col("tokens")).alias("_mix_rest"))
     key = lambda who: F.md5(F.concat_ws("|", F.lit(seed), "_mix_whole", F.coalesce(F.col(who).cast("string"), F.lit(""))).cast("binary"))
@@ -93,8 +93,8 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, share: float = 1.0, seed: int = S
     border = sums.withColumn("_mix_before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("_mix_before <= _mix_rest AND _mix_rest < _mix_before + n")
     plan = materialize(plan.join(border.select(*_LEAF, F.col("_mix_bucket").alias("_mix_border"), "_mix_before"), _LEAF, "left"))
 
-    on = rows.where("_mix_tokens > 0").join(plan, _LEAF).withColumn("_mix_key", key("doc_id")).withColumn("_mix_bucket", bucket)
-    inner = Window.partitionBy(*_LEAF).orderBy("_mix_key", "doc_id", "_mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    on = rows.where("_mix_tokens > 0").join(plan, _LEAF).withColumn("_mix_key", key("_mix_id")).withColumn("_mix_bucket", bucket)
+    inner = Window.partitionBy(*_LEAF).orderBy("_mix_key", "_mix_id", "_mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
     last = on.where("_mix_bucket = _mix_border").withColumn("_mix_start", F.col("_mix_before") + F.coalesce(F.sum("_mix_tokens").over(inner), F.lit(0)))
     last = last.withColumn("_mix_part", F.greatest(F.lit(0).cast("long"), F.least("_mix_tokens", F.col("_mix_rest") - F.col("_mix_start")))).drop("_mix_start")
     rest = on.where("_mix_bucket <> _mix_border").withColumn("_mix_part", F.when(F.col("_mix_bucket") < F.col("_mix_border"), F.col("_mix_tokens")).otherwise(F.lit(0).cast("long")))
@@ -102,12 +102,12 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, share: float = 1.0, seed: int = S
     times = F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)
     taken = some.where(times > 0).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     taken = taken.withColumn("_mix_taken", F.when(F.col("_mix_epoch") < F.col("_mix_whole"), F.col("_mix_tokens")).otherwise(F.col("_mix_part")))
-    return taken.select(*docs.columns, *_LEAF, "_mix_tokens", "_mix_epoch", "_mix_taken")
+    return taken.select("doc", *[F.col(f"_mix_{c}").alias(c) for c in ("domain", "lang", "source", "tokens", "epoch", "taken")])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return taken.select("doc_id", F.col("_mix_domain").alias("domain"), F.col("_mix_lang").alias("lang"), F.col("_mix_source").alias("source"), F.col("_mix_tokens").alias("tokens"), F.col("_mix_epoch").alias("epoch"), F.col("_mix_taken").alias("taken"))
+    return taken.select("doc.doc_id", "domain", "lang", "source", "tokens", "epoch", "taken")
 
 
 def _sql_weight(column: str, weights: dict[str, int]) -> str:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metricwell.llm import line_chunks, registry, threshold_topk
 from metricwell.llm.exact_dedup import _retain, _runs, exact_dedup, merge_runs
@@ -113,8 +114,6 @@ def test_line_dedup_cases(spark):
 
 
 def test_lines_with_equal_codes_and_other_bytes_stay(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     rows = [(1, "aa\nbb\nc1\nd"), (2, "xx\naa\nbb\nc2"), (3, "bb\nc1\nd\nd"), (4, "bb\nc2")]
     real = line_chunks._code
     monkeypatch.setattr(line_chunks, "_code", lambda c: F.when(c.cast("string").startswith("c"), real(F.lit("c"))).otherwise(real(c)))
@@ -124,10 +123,10 @@ def test_lines_with_equal_codes_and_other_bytes_stay(spark, monkeypatch):
 
 def test_mixing_cases(spark):
     rows = [(i, "w " * 10, "en" if i % 2 else None, f"s{i % 3}", "x") for i in range(200)] + [(500, None, "en", "s0", "x"), (501, "", "en", "s0", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch string")
-    got = mix(docs, share=0.5).toPandas()
-    assert 900 <= got._mix_taken.sum() <= 1000 and not {500, 501} & set(got.doc_id) and set(got.epoch) == {"x"}
-    assert (got._mix_taken > 0).all() and (got._mix_taken <= got._mix_tokens).all()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _mix_key string").withColumn("_mix_tokens", F.lit(1)).withColumn("taken", F.lit("t"))
+    got = mix(docs, share=0.5).select("doc.doc_id", "doc._mix_key", "doc._mix_tokens", F.col("doc.taken").alias("own"), "tokens", "taken").toPandas()
+    assert 900 <= got.taken.sum() <= 1000 and not {500, 501} & set(got.doc_id) and set(got._mix_key) == {"x"} and set(got._mix_tokens) == {1} and set(got.own) == {"t"}
+    assert (got.taken > 0).all() and (got.taken <= got.tokens).all()
     assert mix(docs.limit(0)).count() == 0
 
 
