@@ -11,10 +11,15 @@ belong to the text. A register keeps the earliest time it gets, and a process en
 the text's registers. Two texts agree in a register with a probability equal to their weighted Jaccard similarity.
 
 Steps: (1) one pass makes, for each text, a digest of its word sequence and the bands of its signature; (2) equal
-digests are folded into one representative; (3) representatives sharing a band are joined into candidate clusters by
-large-star and small-star rounds, on identifiers only; (4) the multisets of clustered texts are shuffled once and
-compared, in blocks: a cluster above BLOCK texts is split, and each pair of its blocks is one task, so that no cluster
-lands in one task; (5) verified links are joined into classes, again by star rounds. Nothing is capped or dropped.
+digests are folded into one representative; (3) representatives that share a band are a bucket, and texts are compared
+inside buckets only; (4) verified links are joined into classes by large-star and small-star rounds, on identifiers.
+
+Comparing goes on in rounds, and a pair whose texts are in one class already is not compared again. The first round
+takes the buckets of EARLY bands, which joins most copies; the second all other buckets that still hold more than one
+class, those with equal members once. A hot bucket is split: its blocks of bounded texts and shingles are one task each,
+all of them with the bucket's first text, to which most copies are similar; a third round compares what is still apart
+from a hot bucket's largest class with all blocks of the bucket. So every pair that shares a band has been compared or
+is in one class, and no bucket lands in one task. Nothing is capped or dropped.
 """
 
 from __future__ import annotations
@@ -22,19 +27,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, small_batches, table
+from .common import chunks, join_keyed, materialize, small_batches, table
 from .words import mix, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS registers: two texts at similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 28 < 4e-7.
 BANDS, ROWS = 28, 4
-#: Texts of a cluster that are compared by one task at most, in two halves.
-BLOCK = 1024
+#: Bands of the first round.
+EARLY = 2
+#: Texts and shingles of a block (about; a hash deals them); a task compares one or two blocks.
+BLOCK, ITEMS = 512, 1_000_000
 _U = np.uint64
 
 
@@ -70,7 +76,7 @@ def signatures(gram: np.ndarray, count: np.ndarray, doc: np.ndarray, n: int, siz
         draw = mix(seed + _U(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log1p(-(draw >> _U(11)).astype(np.float64) * 2.0**-53) / wide
         draw = mix(draw ^ _U(0xD6E8FEB86659FD93))
-        place = low + ((draw >> _U(40)).astype(np.int64) * wide >> 24)  # its leading bits choose halves, one after another
+        place = low + ((draw >> _U(33)).astype(np.int64) * wide >> 31)  # its leading bits choose halves, one after another
         slot = doc * size + (draw & _U(0xFFFFFFFF)).astype(np.int64) % size
         mine = place < most
         np.minimum.at(registers, slot[mine], time[mine])
@@ -99,8 +105,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id"),
                 pa.array([x.tobytes() for x in digest], pa.binary()),
                 pa.array([b if f else [] for b, f in zip(bands, full, strict=True)], pa.list_(pa.int64())),
+                pa.array(np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)),
             ],
-            ["doc_id", "digest", "bands"],
+            ["doc_id", "digest", "bands", "items"],
         )
 
 
@@ -146,44 +153,92 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
 
 
-def spanning_links(items: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+def spanning_links(items: list[np.ndarray], known: list | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Pairs of sets with a Jaccard similarity of least or more that connect what all such pairs connect.
 
-    Sets still apart are compared with one reached set after another, by counting common bits; a comparison is left
-    out only where both sets are in one component already, so no component is missed.
+    known: the classes that the sets are in already (each in its own, if not given). Sets are compared one after
+    another with all others, those of the largest class last; a comparison is left out only where both sets are in one
+    class by then, so no connection is missed.
     """
     n = len(items)
     size = np.array([len(x) for x in items], dtype=np.int64)
-    owner = np.repeat(np.arange(n), size)
     value, code, seen = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
     shared = seen > 1
-    column = (np.cumsum(shared) - 1)[code]
-    keep = shared[code]
-    owner, column = owner[keep], column[keep]
-    words = int(shared.sum() + 63) // 64
-    bits = np.zeros((n, max(words, 1)), dtype=_U)
+    column, keep = (np.cumsum(shared) - 1)[code], shared[code]
+    owner, column = np.repeat(np.arange(n), size)[keep], column[keep]
+    bits = np.zeros((n, max(int(shared.sum() + 63) // 64, 1)), dtype=_U)
     np.bitwise_or.at(bits, (owner, column >> 6), _U(1) << (column & 63).astype(_U))
-    links, left, queue = [], np.arange(n), []
-    while len(left) and (len(left) > 1 or queue):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        c = queue.pop()
-        near = left[(size[left] >= least * size[c] - 1e-9) & (size[left] * least <= size[c] + 1e-9)]
+    group = np.arange(n) if known is None else np.unique(np.array(known, dtype=object), return_inverse=True)[1]
+    links, left = [], np.ones(n, dtype=bool)
+    for c in np.argsort(np.bincount(group)[group], kind="stable").tolist():
+        left[c] = False
+        near = np.flatnonzero(left & (group != group[c]) & (size >= least * size[c] - 1e-9) & (size * least <= size[c] + 1e-9))
         mine = np.flatnonzero(bits[c])
-        common = np.bitwise_count(bits[np.ix_(near, mine)] & bits[c][mine]).sum(axis=1, dtype=np.int64) if len(mine) else np.zeros(len(near), np.int64)
-        hit = near[common >= least * (size[c] + size[near] - common) - 1e-9]
-        if len(hit):
-            links += [(c, int(x)) for x in hit]
-            queue += hit.tolist()
-            left = left[~np.isin(left, hit)]
+        if not len(near) or not len(mine):
+            continue
+        common = np.bitwise_count(bits[np.ix_(near, mine)] & bits[c][mine]).sum(axis=1, dtype=np.int64)
+        for x in near[common >= least * (size[c] + size[near] - common) - 1e-9].tolist():
+            if group[x] != group[c]:
+                links.append((c, x))
+                group[group == group[x]] = group[c]
     return links
 
 
-def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("digest")
-    nodes = rows["digest"].tolist()
-    links = spanning_links([np.frombuffer(x, dtype=_U) for x in rows["items"]])
-    return pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype=object)
+def _compare(rows: pa.Table) -> pa.Table:
+    nodes, items, known = (rows[c].to_pylist() for c in ("digest", "items", "root"))
+    first = {d: i for i, d in reversed([*enumerate(nodes)])}  # the first text of a bucket may be there twice
+    nodes, items, known = [*first], [items[i] for i in first.values()], [known[i] for i in first.values()]
+    links = spanning_links([np.frombuffer(x, dtype=_U) for x in items], known)
+    return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.binary()), "b": pa.array([nodes[j] for _, j in links], pa.binary())})
+
+
+def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
+    """buckets with root, the class that each text is in by the links so far."""
+    if links is None:
+        return buckets.withColumn("root", F.col("digest"))
+    return buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def _apart(members: DataFrame, block: int) -> DataFrame:
+    """The members of buckets that hold more than one class, with the bucket's blocks (k), first text and code of members.
+
+    Buckets are not joined back to their rows by a shuffle where they are hot.
+    """
+    told = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("digest").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "digest")).alias("y"))
+    one = told.where("low <> high").groupBy("n", "x", "y", "first").agg(F.min(F.struct("band", "all")).alias("b"))
+    k = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.all") / ITEMS), F.lit(1)).cast("int")
+    return join_keyed(members, materialize(one.select("b.band", "n", "first", k.alias("k"))), ["band"], "n")
+
+
+def _links(tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """Verified links (a, b) inside each task: rows (task columns i, j, band; digest, root)."""
+    return materialize(tasks.join(items, "digest").groupBy("band", "i", "j").applyInArrow(_compare, "a binary, b binary"))
+
+
+def verified_links(buckets: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between similar texts that connect what all pairs of similar texts in one bucket connect.
+
+    buckets: band, number (of the band), digest, size (shingles); items: digest, items (their hashes as bytes).
+    """
+    own = F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")
+    links = None
+    for members in (buckets.where(F.col("number") < EARLY), buckets):
+        here = _apart(materialize(_rooted(members, links)), block)
+        at = here.select("band", "digest", "root", own.alias("i"), F.lit(0).alias("j"))
+        firsts = here.where("digest = first AND k > 1").select("band", "digest", "root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(0).alias("j"))
+        new = _links(at.unionByName(firsts), items)
+        links = new if links is None else materialize(links.unionByName(new))
+    hot = materialize(_apart(materialize(_rooted(buckets, links)), block).where("k > 1"))
+    if hot.isEmpty():
+        return links
+    sizes = hot.groupBy("band", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("b"), F.sum("m").alias("n"))
+    main = materialize(main.select("band", "n", F.col("b.root").alias("main"), F.ceil((F.col("n") - F.col("b.m")) / block).cast("int").alias("rest")))
+    both = join_keyed(hot.drop("n"), main, ["band"], "n")
+    mine, grid = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("rest")).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rest = both.where("root <> main").select("band", "digest", "root", mine.alias("i"), grid("k").alias("j"))
+    every = both.select("band", "digest", "root", grid("rest").alias("i"), own.alias("j"))
+    return materialize(links.unionByName(_links(rest.unionByName(every), items)))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -196,37 +251,22 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select("doc_id", "text")
-    signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"))
-    reps = signed.groupBy("digest").agg(F.any_value("bands").alias("bands"))
-    buckets = materialize(reps.select("digest", F.explode("bands").alias("band")))
-    centre = buckets.groupBy("band").agg(F.min("digest").alias("b"), F.count("*").alias("n")).where("n > 1")
-    edges = buckets.join(centre, "band").select(F.col("digest").alias("a"), "b")
-    clusters = materialize(components(edges))
-
-    size = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    half = max(block // 2, 1)
-    blocks = F.when(F.col("n") <= block, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("int")
-    placed = clusters.join(size, "root").select(F.col("node").alias("digest"), "root", blocks.alias("k"))
-    own = F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")
-    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda x: x != F.col("own")))
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(others))
-    task = placed.select("digest", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    wanted = signed.join(clusters.select(F.col("node").alias("digest")), "digest", "left_semi")
-    one = materialize(wanted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    named = one.select(F.col("doc_id").alias("id"))
-    items = texts.join(named, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_elements, "digest binary, items binary")
-    work = task.join(items, "digest")
-    links = work.groupBy("root", "i", "j").applyInPandas(_compare, "a binary, b binary")
-    linked = components(links)
-
-    of = signed.select("doc_id", "digest").join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))
-    of = materialize(of)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    same = of.groupBy("root", "digest").agg(F.count("*").alias("copies"), first.alias("f"))
-    whole = same.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("f").alias("f"))
-    named = same.join(whole.select("root", "class_size", F.col("f.doc_id").alias("class_id")), "root").select("digest", "copies", "class_size", "class_id")
-    return of.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "class_size", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, items long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    reps = materialize(signed.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("items").alias("size"), F.count("*").alias("copies"), first))
+    every = reps.select("digest", "size", F.posexplode("bands").alias("number", "band"))
+    often = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(join_keyed(every, materialize(often), ["band"], "n").drop("n"))
+
+    wanted = buckets.select("digest").distinct().join(reps, "digest").select(F.col("first.doc_id").alias("id")).distinct()
+    items = materialize(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_elements, "digest binary, items binary").dropDuplicates(["digest"]))
+    linked = components(verified_links(buckets, items, block))
+
+    of = materialize(reps.select("digest", "copies", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    whole = materialize(of.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("f"), F.count("*").alias("n")))
+    named = join_keyed(of, whole, ["root"], "n").select("digest", "copies", "class_size", F.col("f.doc_id").alias("class_id"))
+    return join_keyed(signed, materialize(named), ["digest"], "copies").select("doc_id", "class_id", "class_size", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash, signatures, spanning_links
+from metricwell.llm.bagminhash import components, multisets, near_duplicates, op9_bagminhash, signatures, spanning_links, verified_links
 from metricwell.llm.language_id import identify_languages, op4_language_id
 from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
 from metricwell.llm.quality import FEATURES, AttentionModel, op1_quality, score_quality
@@ -59,17 +59,46 @@ def test_near_duplicates_brute_force(spark, data):
     assert {i: find(i) for i in root} == dict(zip(got.doc_id, got.class_id, strict=True))
 
 
-def test_blocks_of_a_large_cluster_lose_no_link(spark):
+def test_hot_buckets_lose_no_link(spark):
     base = [f"w{i}" for i in range(60)]
-    rows = [(k, " ".join(base[:50] + [f"x{k}"] + base[50:])) for k in range(40)]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=8).toPandas()
-    assert set(got.class_id) == {0} and got.kept.sum() == 1
+    rows = [(k, " ".join(base[:50] + [f"x{k}"] + base[50:])) for k in range(60)]
+    rows += [(100 + k, " ".join(base[: 60 - k] + [f"y{k}_{j}" for j in range(k)])) for k in range(1, 40)]  # a chain away from it
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, root = bags([t for _, t in rows]), {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, s), (b, t) in combinations(zip(root, sets, strict=True), 2):
+        if similarity(s, t) >= 0.8 - 1e-9:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    want = {i: find(i) for i in root}
+    assert 3 < len(set(want.values())) < 90
+    for block in (8, 512):
+        assert {r.doc_id: r.class_id for r in near_duplicates(docs, block=block).collect()} == want
+
+
+def test_verified_links_connect_all_that_share_a_bucket(spark):
+    draw, sets = random.Random(5), []
+    for g in range(6):  # overlapping runs: neighbours are similar, others are not
+        sets += [np.arange(1000 * g + 9 * i, 1000 * g + 9 * i + 100, dtype=np.uint64) for i in range(12)]
+    names = [bytes([i]) * 16 for i in range(len(sets))]
+    buckets = [(7, 0, n, 100) for n in names] + [(100 + b, b, n, 100) for b in range(1, 5) for n in draw.sample(names, 30)]
+    b = spark.createDataFrame(buckets, "band long, number int, digest binary, size long")
+    i = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(names, sets, strict=True)], "digest binary, items binary")
+    for block in (5, 500):
+        roots = {bytes(r.node): bytes(r.root) for r in components(verified_links(b, i, block)).collect()}
+        assert [roots[n] for n in names] == [names[k - k % 12] for k in range(len(names))]
 
 
 def test_spanning_links_connect_chains():
     items = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 8, 16, 24, 500)]
     links = spanning_links(items)
     assert len(links) == 3 and 4 not in {x for p in links for x in p}
+    assert spanning_links(items, ["p", "p", "q", "q", "q"]) in ([(1, 2)], [(2, 1)], [(0, 2)], [(2, 0)]) and spanning_links(items[:4], ["p"] * 4) == []
 
 
 def test_near_duplicate_edges(edge):
