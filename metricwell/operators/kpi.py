@@ -10,9 +10,13 @@ from .canonical import MONEY, Canonical
 #: Contract values: coverage threshold in percent, absolute and relative materiality thresholds, least sample.
 COVERAGE_THRESHOLD = 95.0
 KPIS = ("revenue", "freight_revenue", "quantity_sold", "orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score", "review_volume", "repeat_purchase_rate")
-DIMENSIONS = ("month", "product_category", "customer_state", "seller_state", "order_status")
+DIMENSIONS = ("day", "week", "month", "product_category", "product", "customer_state", "seller_state", "seller", "order_status")
+ITEM_DIMENSIONS = ("product_category", "product", "seller_state", "seller")
+REVIEW_VARIANTS = ("order_level_representative", "order_level_true_average", "review_level_average")
+#: Customers below which a repeat purchase rate is not stable.
+MINIMUM_OBSERVATIONS = 30
 CLEARANCE = {"PUBLIC_ANALYTICAL": 0, "INTERNAL": 1, "RESTRICTED": 2}
-DIMENSION_CLEARANCE = {"seller_state": "INTERNAL"}
+DIMENSION_CLEARANCE = {"seller_state": "INTERNAL", "seller": "INTERNAL"}
 
 
 def bucket(ts: Column, grain: str) -> Column:
@@ -47,12 +51,20 @@ def in_range(ts: str, start: str | None, end: str | None) -> Column:
     return out
 
 
+def in_default_range(tables: Canonical, rows: DataFrame, ts: str = "purchase_timestamp") -> DataFrame:
+    """rows of the reliable months, the range where none is given, with its first_day and last_day."""
+    first, last = F.to_date(F.concat("first_month", F.lit("-01"))), F.last_day(F.to_date(F.concat("last_month", F.lit("-01"))))
+    out = rows.crossJoin(F.broadcast(tables.window.select(first.alias("first_day"), last.alias("last_day"))))
+    out = out.where((F.col(ts) >= F.col("first_day")) & (F.col(ts) < F.date_add("last_day", 1)))
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_day", "last_day")})
+
+
 def check_dimensions(kpi: str, dims: list[str], clearance: str = "RESTRICTED") -> None:
     """Rejects unknown or unsupported dimensions and those above the caller's clearance."""
     if kpi not in KPIS:
         raise ValueError(f"unknown KPI {kpi!r}")
     for d in dims:
-        if d not in DIMENSIONS or (kpi == "repeat_purchase_rate") or (kpi in ("orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score", "review_volume") and d in ("product_category", "seller_state")):
+        if d not in DIMENSIONS or (kpi == "repeat_purchase_rate") or (kpi in ("orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score", "review_volume") and d in ITEM_DIMENSIONS):
             raise ValueError(f"dimension {d!r} is not supported by {kpi}")
         if CLEARANCE[DIMENSION_CLEARANCE.get(d, "PUBLIC_ANALYTICAL")] > CLEARANCE[clearance]:
             raise PermissionError(f"dimension {d!r} needs {DIMENSION_CLEARANCE[d]} clearance")
@@ -65,9 +77,14 @@ class Kpi:
         self.t, self.clearance = tables, clearance
         self.window, self.start, self.end, self.statuses = window, start, end, statuses
 
-    def orders(self, dims: list[str] = [], window: bool | None = None, statuses: tuple[str, ...] | None = None) -> DataFrame:  # noqa: B006
+    def orders(self, dims: list[str] = [], window: bool | None = None, statuses: tuple[str, ...] | None = None, dated: bool = True) -> DataFrame:  # noqa: B006
+        """Orders in scope with the columns that dims need. dated: whether the range of days is that of the purchase."""
         out = self.t.scoped_orders if (self.window if window is None else window) else self.t.order_dates
-        out = out.where(in_range("purchase_timestamp", self.start, self.end))
+        if dated:
+            out = out.where(in_range("purchase_timestamp", self.start, self.end))
+        for grain in ("day", "week"):
+            if grain in dims and dated:
+                out = out.withColumn(grain, bucket(F.col("purchase_timestamp"), grain))
         if self.window if window is None else window:
             out = out.where("in_analytical_window")
         wanted = statuses or self.statuses
@@ -81,16 +98,25 @@ class Kpi:
         """Item rows in scope with the columns that dims need, and no join that they don't."""
         out = self.t.items.join(self.orders(dims), "order_id")
         if "product_category" in dims:
-            out = out.join(F.broadcast(self.t.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt) AS product_category")), "product_id", "left")
+            out = out.join(self.t.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt) AS product_category"), "product_id", "left")
         if "seller_state" in dims:
-            out = out.join(F.broadcast(self.t.dim_seller.select("seller_id", "seller_state")), "seller_id", "left")
+            out = out.join(self.t.dim_seller.select("seller_id", "seller_state"), "seller_id", "left")
+        for name in ("product", "seller"):
+            if name in dims:
+                out = out.withColumn(name, F.col(f"{name}_id"))
         return out
 
-    def compute(self, kpi: str, dims: list[str] | None = None) -> DataFrame:
-        """dims, value, sample_size, coverage and data_quality of a KPI; no rows are lost for null dimensions."""
+    def compute(self, kpi: str, dims: list[str] | None = None, details: bool = False, **options) -> DataFrame:
+        """dims, value, sample_size, coverage and data_quality of a KPI; no rows are lost for null dimensions.
+
+        details keeps what a KPI tells beyond that (excluded rows, numerators, warnings). options: variant of
+        avg_review_score, has_text of review_volume.
+        """
         dims = dims or []
         check_dimensions(kpi, dims, self.clearance)
-        return getattr(self, f"_{kpi}")(dims).select(*dims, "value", "sample_size", "coverage", quality_tier(F.col("coverage")).alias("data_quality"))
+        out = getattr(self, f"_{kpi}")(dims, **options)
+        more = [c for c in out.columns if c not in (*dims, "value", "sample_size", "coverage")] if details else []
+        return out.select(*dims, "value", "sample_size", "coverage", quality_tier(F.col("coverage")).alias("data_quality"), *more)
 
     def _item_sum(self, dims: list[str], column: str) -> DataFrame:
         items = self.items(dims)
@@ -117,30 +143,63 @@ class Kpi:
         coverage = F.lit(None).cast("double") if dims else F.try_divide(100.0 * F.col("n"), F.col("every"))
         return out.select(*dims, F.try_divide(F.col("s").cast("double"), F.col("n")).alias("value"), F.col("n").alias("sample_size"), coverage.alias("coverage"))
 
-    def _delivery(self, dims: list[str], value: Column) -> DataFrame:
-        valid = F.col("delivery_data_quality_flag") == "VALID"
-        return self.orders(dims).groupBy(*dims).agg(value.alias("value"), F.count_if(valid).alias("sample_size"), (100.0 * F.count_if(valid) / F.nullif(F.count("*"), F.lit(0))).alias("coverage"))
+    def _delivery(self, dims: list[str], **values: Column) -> DataFrame:
+        """values, with the orders left out for an invalid sequence of dates and for a missing date."""
+        flag = F.col("delivery_data_quality_flag")
+        missing = flag.isin("MISSING_CUSTOMER_DATE", "MISSING_CARRIER_DATE")
+        return self.orders(dims).groupBy(*dims).agg(
+            *(v.alias(n) for n, v in values.items()),
+            F.count_if(flag == "VALID").alias("sample_size"),
+            (100.0 * F.count_if(flag == "VALID") / F.nullif(F.count("*"), F.lit(0))).alias("coverage"),
+            F.count_if(flag == "INVALID_SEQUENCE").alias("excluded_invalid"),
+            F.count_if(missing).alias("excluded_missing"),
+            F.count("*").alias("total_in_scope"),
+        )
 
     def _avg_delivery_days(self, dims: list[str]) -> DataFrame:
-        return self._delivery(dims, F.avg(F.when(F.col("delivery_data_quality_flag") == "VALID", F.col("delivery_days"))))
+        return self._delivery(dims, value=F.avg(F.when(F.col("delivery_data_quality_flag") == "VALID", F.col("delivery_days"))))
 
     def _on_time_delivery_rate(self, dims: list[str]) -> DataFrame:
         valid = F.col("delivery_data_quality_flag") == "VALID"
-        return self._delivery(dims, F.try_divide(F.count_if(valid & (F.col("delivery_delay_days") <= 0)), F.count_if(valid)))
-
-    def _avg_review_score(self, dims: list[str]) -> DataFrame:
-        rated = self.t.agg_order_reviews.select("order_id", "latest_review_score")
-        out = self.orders(dims).join(rated, "order_id", "left").groupBy(*dims).agg(F.avg("latest_review_score").alias("value"), F.count("latest_review_score").alias("sample_size"), F.count("*").alias("every"))
-        coverage = F.lit(None).cast("double") if dims else F.try_divide(100.0 * F.col("sample_size"), F.col("every"))
+        on_time = F.count_if(valid & (F.col("delivery_delay_days") <= 0))
+        return self._delivery(dims, value=F.try_divide(on_time, F.count_if(valid)), numerator=on_time)
+
+    def _avg_review_score(self, dims: list[str], variant: str = REVIEW_VARIANTS[0]) -> DataFrame:
+        """By the latest review of an order, the average of its reviews, or all reviews alike (by their own date)."""
+        if variant not in REVIEW_VARIANTS:
+            raise ValueError(f"unknown variant {variant!r}")
+        if variant == "review_level_average":
+            if dims:
+                raise ValueError("review_level_average has no dimensions: its reviews have another date than their orders")
+            out = self.reviews([]).agg(F.avg("review_score").alias("value"), F.count("*").alias("sample_size"))
+            return out.withColumn("coverage", F.when(F.col("sample_size") > 0, 100.0))
+        score = "latest_review_score" if variant == REVIEW_VARIANTS[0] else "avg_review_score"
+        rated = self.t.agg_order_reviews.select("order_id", score)
+        out = self.orders(dims).join(rated, "order_id", "left").groupBy(*dims).agg(F.avg(score).alias("value"), F.count(score).alias("sample_size"), F.count("*").alias("eligible"))
+        coverage = F.lit(None).cast("double") if dims else F.try_divide(100.0 * F.col("sample_size"), F.col("eligible"))
         return out.withColumn("coverage", coverage)
 
-    def _review_volume(self, dims: list[str]) -> DataFrame:
-        rows = self.t.fact_reviews.select("order_id").join(self.orders(dims), "order_id")
-        return rows.groupBy(*dims).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("sample_size")).withColumn("coverage", F.lit(100.0))
+    def reviews(self, dims: list[str]) -> DataFrame:
+        """Reviews whose own creation date is in range, with their orders' context; time dimensions are that date's."""
+        rows = self.t.fact_reviews.where(in_range("review_creation_date", self.start, self.end))
+        out = rows.join(self.orders([d for d in dims if d not in ("day", "week", "month")], dated=False).drop("month"), "order_id")
+        for grain in ("day", "week", "month"):
+            if grain in dims:
+                out = out.withColumn(grain, bucket(F.col("review_creation_date"), grain))
+        return out
+
+    def _review_volume(self, dims: list[str], has_text: bool = False) -> DataFrame:
+        rows = self.reviews(dims)
+        if has_text:
+            rows = rows.where("has_text")
+        out = rows.groupBy(*dims).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("sample_size"), F.count_distinct("order_id").alias("distinct_orders"))
+        return out.withColumn("coverage", F.lit(100.0))
 
-    def _repeat_purchase_rate(self, dims: list[str]) -> DataFrame:
+    def _repeat_purchase_rate(self, dims: list[str], minimum: int = MINIMUM_OBSERVATIONS) -> DataFrame:
         people = self.orders(window=False).groupBy("customer_unique_id").agg(F.count_distinct("order_id").alias("n"))
-        return people.agg(F.try_divide(F.count_if(F.col("n") >= 2), F.count("*")).alias("value"), F.count("*").alias("sample_size")).withColumn("coverage", F.lit(100.0))
+        out = people.agg(F.try_divide(F.count_if(F.col("n") >= 2), F.count("*")).alias("value"), F.count("*").alias("sample_size"), F.count_if(F.col("n") >= 2).alias("repeat_customers"))
+        few = F.when(F.col("sample_size") < minimum, F.format_string("%d customers, below the least of %d", F.col("sample_size"), F.lit(minimum)))
+        return out.withColumn("coverage", F.lit(100.0)).withColumn("warning", few)
 
 
 def compare_periods(tables: Canonical, current: str, previous: str, dim: str = "product_category") -> DataFrame:
@@ -172,17 +231,19 @@ def contracts(spark) -> DataFrame:
 
 
 def overview(tables: Canonical, current: str, previous: str) -> DataFrame:
-    """(kpi, previous, current, absolute_change, percent_change) of nine KPIs: one pass at order grain for both months."""
+    """(kpi, previous, current, absolute_change, percent_change) of nine KPIs: one pass at order grain for both months, and one over reviews by their own date."""
     both = tables.order_dates.where(F.col("month").isin(current, previous)).join(tables.agg_order_items.select("order_id", "item_price_total", "item_freight_total", "item_count"), "order_id", "left")
-    both = both.join(tables.agg_order_reviews.select("order_id", "latest_review_score", "review_count"), "order_id", "left")
+    both = both.join(tables.agg_order_reviews.select("order_id", "latest_review_score"), "order_id", "left")
     valid = F.col("delivery_data_quality_flag") == "VALID"
     values = {
         "revenue": F.sum("item_price_total"), "freight_revenue": F.sum("item_freight_total"), "quantity_sold": F.coalesce(F.sum("item_count"), F.lit(0)), "orders": F.count("*"),
         "aov": F.try_divide(F.sum("item_price_total").cast("double"), F.count("item_price_total")), "avg_delivery_days": F.avg(F.when(valid, F.col("delivery_days"))),
-        "on_time_delivery_rate": F.try_divide(F.count_if(valid & (F.col("delivery_delay_days") <= 0)), F.count_if(valid)), "avg_review_score": F.avg("latest_review_score"), "review_volume": F.coalesce(F.sum("review_count"), F.lit(0)),
+        "on_time_delivery_rate": F.try_divide(F.count_if(valid & (F.col("delivery_delay_days") <= 0)), F.count_if(valid)), "avg_review_score": F.avg("latest_review_score"),
     }
     months = both.groupBy("month").agg(*(v.cast("double").alias(k) for k, v in values.items()))
     rows = months.select("month", F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), F.col(k).alias("v")) for k in values))).alias("x")).select("month", "x.*")
+    volume = Kpi(tables, window=False).compute("review_volume", ["month"]).where(F.col("month").isin(current, previous))
+    rows = rows.unionByName(volume.select("month", F.lit("review_volume").alias("kpi"), F.col("value").alias("v")))
     out = rows.groupBy("kpi").agg(F.round(F.max(F.when(F.col("month") == previous, F.col("v"))), 4).alias("previous"), F.round(F.max(F.when(F.col("month") == current, F.col("v"))), 4).alias("current"))
     change = F.col("current") - F.col("previous")
     return out.withColumn("absolute_change", F.round(change, 4)).withColumn("percent_change", F.round(F.try_divide(100 * change, F.abs("previous")), 4))

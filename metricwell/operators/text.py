@@ -15,17 +15,42 @@ from pyspark.sql.window import Window
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
 #: Queries and vectors that meet in one step of the exact search.
 BLOCK, PART = 256, 8192
-# Patterns of personal data and of text that tries to give orders.
+# Patterns of personal data, of addresses and names, and words that begin sentences rather than names.
 PII = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9]{1,3}[ ]?\(?[0-9]{2,3}\)?[ -]?[0-9]{3,5}-?[0-9]{4}",
-    "url": r"https?://[^ \n]+|www\.[^ \n]+",
+    "email": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+",
+    "phone": r"(?:\+?55[\s.-]?)?\(?\d{2}\)?[\s.-]?9?\d{4}[\s.-]?\d{4}\b",
+    "url": r"https?://\S+|www\.\S+",
 }
-BLOCKED = {"ignore_instructions": r"(?i)ignore (all |the )?(previous|prior) instructions", "system_prompt": r"(?i)system prompt"}
-
-
-def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Lower-cased words that begin with a letter, of two characters or more, without stop words."""
+ADDRESS = r"\b\d{5}-?\d{3}\b|(?i:(?:^|[^\p{L}\p{N}_])(?:(?:rua|avenida|alameda|rodovia)(?:$|[^\p{L}\p{N}_])|av\.[\p{L}\p{N}_]))"
+NAME = r"^[A-ZÀ-Ú][a-zà-ú]{2,}$"
+NOT_NAMES = (
+    "Muito", "Bom", "Boa", "Ótimo", "Otimo", "Excelente", "Recomendo", "Produto", "Entrega", "Chegou", "Compra",
+    "Comprei", "Loja", "Obrigado", "Obrigada", "Não", "Nao", "Ainda", "Todo", "Toda", "Depois", "Quando", "Porém", "Porem",
+)
+# Text that gives orders to a model (blocked), and what is only odd by itself (suspicious).
+BLOCKED = (
+    r"(?i)ignore (all|the|any|your)? ?(previous|prior|above)? ?instructions?",
+    r"(?i)disregard (the|your|all)? ?(system|previous|prior)? ?(prompt|instructions?)",
+    r"(?i)reveal (the|your) (system prompt|instructions?|api key|password|database)",
+    r"(?i)forget (the|this) investigation",
+    r"(?i)\bexecute\b.{0,20}\b(command|code|script)\b",
+    r"(?i)\bgive me all\b.{0,20}\b(customer|password|email)s?\b",
+)
+SUSPICIOUS = (r"(?i)\byou are now\b", r"(?i)\bact as (an?|the)\b", r"(?i)^\s*system\s*:")
+# Words without meaning of their own, in two languages.
+STOP_WORDS = tuple(
+    """a à ao as às de do da dos das e é em no na nos nas o os um uma uns umas que se ou por para com não mais mas me te
+    lhe vos lhes eu tu ele ela nós vós eles elas esse essa esses essas este esta estes estas aquele aquela aqueles
+    aquelas isso isto aquilo muito bem já só até the an in on at to of and or is was are were be been being have has had
+    does did will would should could not it its i you he she we they""".split()
+)
+
+
+def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-cased words that begin with a letter, of two characters or more, without stop words.
+
+    For texts with compatibility characters give nfkc(text).
+    """
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[^\W\d_]\w*"), F.lit(0))
     return F.filter(found, lambda x: (F.length(x) >= 2) & ~x.isin(*stop) if stop else F.length(x) >= 2)
 
@@ -90,23 +115,31 @@ def fuse(*rankings: DataFrame, key: str, k: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
 
 
+def names(text: Column) -> Column:
+    """The distinct words that look like names: capitalised, and none that begins sentences."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda x: x.rlike(NAME) & ~x.isin(*NOT_NAMES)))
+
+
 def pii_types(text: Column) -> Column:
-    """Sorted names of the kinds of personal data found."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), name) for name, p in sorted(PII.items()))))
+    """Sorted names of the kinds of personal data found: address, email, name_heuristic (two names or more), phone, url."""
+    kinds = {name: text.rlike(p) for name, p in PII.items()} | {"address": text.rlike(ADDRESS), "name_heuristic": F.size(names(text)) >= 2}
+    return F.array_compact(F.array(*(F.when(found, name) for name, found in sorted(kinds.items()))))
 
 
 def redact(text: Column) -> Column:
-    """Found data replaced by [REDACTED_KIND], kind by kind in order."""
+    """Emails, phones and urls replaced by [REDACTED_KIND], kind by kind in order; other kinds are no single span."""
     for name, p in sorted(PII.items()):
         text = F.regexp_replace(text, p, f"[REDACTED_{name.upper()}]")
     return text
 
 
 def safety(text: Column) -> Column:
-    """BLOCKED, or SAFE."""
+    """BLOCKED before SUSPICIOUS before SAFE; null is SAFE."""
     out = F.lit("SAFE")
-    for p in BLOCKED.values():
-        out = F.when(text.rlike(p), "BLOCKED").otherwise(out)
+    for label, patterns in (("SUSPICIOUS", SUSPICIOUS), ("BLOCKED", BLOCKED)):
+        for p in patterns:
+            out = F.when(text.rlike(p), label).otherwise(out)
     return out
 
 
@@ -119,18 +152,29 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, key: str) -> DataF
     return out.select("query_id", F.round(F.try_divide("hits", "returned"), 6).alias("precision"), F.round(F.try_divide("hits", "relevant"), 6).alias("recall"), F.round(F.coalesce(F.try_divide(F.lit(1), "first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-# Frequent words by which a language is guessed, and words of an address.
+# Frequent words by which a language is guessed.
 WORDS = {"de": ("der", "die", "und", "das", "ist", "zu", "den"), "en": ("the", "of", "and", "is", "that", "with", "on"), "es": ("el", "los", "que", "de", "del", "las", "con"), "fr": ("le", "les", "et", "pour", "dans", "pas", "que")}
-ADDRESS = r"\b[0-9]{5}-[0-9]{3}\b|(?i)\b(rua|avenida|alameda|rodovia)\b"
 DIMENSION, MMR = 64, 0.7
 
 
-def normalise(text: Column) -> Column:
-    """NFKC and single blanks. Null stays null."""
+def nfkc(text: Column) -> Column:
+    """Compatibility characters in their plain form; Spark has no function of its own for it."""
+
     @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
+    def plain(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
 
+    return plain(text)
+
+
+def joined_title(title: Column, message: Column) -> Column:
+    """The parts that are not blank, with a blank between them; null if both are blank."""
+    parts = F.filter(F.array(title, message), lambda x: F.trim(x) != "")
+    return F.when(F.size(parts) > 0, F.array_join(parts, " "))
+
+
+def normalise(text: Column) -> Column:
+    """NFKC and single blanks. Null stays null."""
     return F.trim(F.regexp_replace(nfkc(text), r"\s+", " "))
 
 
@@ -228,7 +272,7 @@ def _one_of(values: tuple[str, ...]):
 
 def language(text: Column) -> Column:
     """UNKNOWN under ten characters or without a known word, else the language with most known words (ties by name)."""
-    words = tokens(text)
+    words = tokens(text, ())
     n = {k: F.size(F.filter(words, _one_of(v))) for k, v in WORDS.items()}
     most = F.greatest(*n.values())
     out = F.lit("UNKNOWN")

@@ -144,7 +144,7 @@ _kpi("e5_aov_by_state", "aov", ["customer_state"], f"SELECT customer_state, roun
 _kpi("e6_delivery_days_by_month", "avg_delivery_days", ["month"], f"SELECT month, round(avg(CASE WHEN {_VALID} THEN delivery_days END), 4) AS value, count(*) FILTER ({_VALID}) AS sample_size, round(100.0 * count(*) FILTER ({_VALID}) / count(*)::DOUBLE, 6) AS coverage FROM fact_orders WHERE {_W} GROUP BY 1")
 _kpi("e7_on_time_by_state", "on_time_delivery_rate", ["customer_state"], f"SELECT customer_state, round(count(*) FILTER ({_VALID} AND delivery_delay_days <= 0) / nullif(count(*) FILTER ({_VALID}), 0)::DOUBLE, 4) AS value, count(*) FILTER ({_VALID}) AS sample_size, round(100.0 * count(*) FILTER ({_VALID}) / count(*)::DOUBLE, 6) AS coverage FROM fact_orders WHERE {_W} GROUP BY 1")
 _kpi("e8_review_score_by_month", "avg_review_score", ["month"], f"SELECT month, round(avg(latest_review_score), 4) AS value, count(latest_review_score) AS sample_size, NULL::DOUBLE AS coverage FROM fact_orders LEFT JOIN agg_order_reviews USING (order_id) WHERE {_W} GROUP BY 1")
-_kpi("e9_review_volume_by_month", "review_volume", ["month"], f"SELECT month, count(*)::DOUBLE AS value, count(*) AS sample_size, 100.0::DOUBLE AS coverage FROM fact_reviews JOIN fact_orders USING (order_id) WHERE {_W} GROUP BY 1")
+_kpi("e9_review_volume_by_month", "review_volume", ["month"], f"SELECT strftime(review_creation_date, '%Y-%m') AS month, count(*)::DOUBLE AS value, count(*) AS sample_size, 100.0::DOUBLE AS coverage FROM fact_reviews JOIN (SELECT order_id, {_W} FROM fact_orders) USING (order_id) WHERE {_W} GROUP BY 1")
 _kpi("e10_repeat_purchase_rate", "repeat_purchase_rate", [], "SELECT round(count(*) FILTER (n >= 2) / count(*)::DOUBLE, 4) AS value, count(*) AS sample_size, 100.0::DOUBLE AS coverage FROM (SELECT customer_unique_id, count(DISTINCT order_id) AS n FROM fact_orders GROUP BY 1)")
 query("e12_period_over_period", """SELECT product_category, previous, current, round(current::DOUBLE - previous::DOUBLE, 4) AS absolute_change, round(100 * (current::DOUBLE - previous::DOUBLE) / nullif(abs(previous::DOUBLE), 0), 6) AS percent_change FROM (
     SELECT product_category, sum(CASE WHEN month = '2001-05' THEN price END)::DECIMAL(18,4) AS previous, sum(CASE WHEN month = '2001-06' THEN price END)::DECIMAL(18,4) AS current FROM kpi_items WHERE month IN ('2001-05', '2001-06') GROUP BY 1)""", "previous current")(lambda c: K.compare_periods(c, "2001-06", "2001-05"))

@@ -26,9 +26,30 @@ query("b23_review_dedup", "SELECT round(avg(latest), 6) AS latest, round(avg(ear
     lambda c: c.fact_reviews.groupBy("order_id").agg(F.max_by("review_score", F.struct("review_answer_timestamp", "review_row_id")).alias("latest"), F.min_by("review_score", F.struct("review_creation_date", "review_row_id")).alias("earliest"), F.max("review_score").alias("highest"), F.avg("review_score").alias("mean")).agg(*(F.round(F.avg(a), 6).alias(b) for a, b in (("latest", "latest"), ("earliest", "earliest"), ("highest", "highest"), ("mean", "per_order_mean"))))
 )
 query("e13_kpi_timeseries", "SELECT month, sum(price)::DOUBLE AS revenue, count(*) AS quantity, count(DISTINCT order_id) AS orders FROM kpi_items WHERE in_analytical_window AND month BETWEEN '1998-01' AND '1999-12' GROUP BY 1")(lambda c: K.Kpi(c, "1998-01-01", "1999-12-31").items([]).groupBy("month").agg(F.sum("price").alias("revenue"), F.count("*").alias("quantity"), F.count_distinct("order_id").alias("orders")))
-query("f1_gap_filled_months", "SELECT strftime(m, '%Y-%m') AS period, coalesce(orders, 0) AS orders, revenue FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(purchase_timestamp)) FROM order_dates), (SELECT date_trunc('month', max(purchase_timestamp)) FROM order_dates), INTERVAL 1 MONTH)) AS m) LEFT JOIN (SELECT month, count(*) AS orders, sum(item_price_total)::DOUBLE AS revenue FROM order_dates LEFT JOIN agg_order_items USING (order_id) WHERE order_id % 3 = 0 AND month NOT LIKE '%-07' GROUP BY 1) ON month = strftime(m, '%Y-%m')")(
-    lambda c: c.order_dates.agg(F.explode(F.sequence(F.trunc(F.min("purchase_timestamp"), "month"), F.trunc(F.max("purchase_timestamp"), "month"), F.expr("interval 1 month"))).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month")).join(c.order_dates.where("order_id % 3 = 0 AND month NOT LIKE '%-07'").join(c.agg_order_items, "order_id", "left").groupBy("month").agg(F.count("*").alias("orders"), F.sum("item_price_total").alias("revenue")), "month", "left").select(F.col("month").alias("period"), F.coalesce("orders", F.lit(0)).alias("orders"), "revenue")
-)
+query(
+    "f1_gap_filled_months",
+    """WITH o AS (SELECT month, customer_state, order_id, purchase_timestamp FROM order_dates LEFT JOIN dim_customer USING (customer_id)),
+    m AS (SELECT unnest(generate_series(date_trunc('month', min(purchase_timestamp)), date_trunc('month', max(purchase_timestamp)), INTERVAL 1 MONTH)) AS d FROM o),
+    f AS (SELECT month, customer_state, count(*) AS orders, sum(item_price_total)::DOUBLE AS revenue FROM o LEFT JOIN agg_order_items USING (order_id) GROUP BY 1, 2)
+    SELECT s.customer_state, strftime(d, '%Y-%m') AS period, coalesce(orders, 0) AS orders, revenue
+    FROM m CROSS JOIN (SELECT DISTINCT customer_state FROM f) s LEFT JOIN f ON month = strftime(d, '%Y-%m') AND s.customer_state IS NOT DISTINCT FROM f.customer_state""",
+)(lambda c: gap_filled(c))
+
+
+def gap_filled(c):
+    """Orders and revenue by state for every month of the calendar, months without orders included."""
+    orders = c.order_dates.join(c.dim_customer.select("customer_id", "customer_state"), "customer_id", "left")
+    seen = orders.join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left")
+    cells = seen.groupBy("customer_state", F.trunc("purchase_timestamp", "month").alias("d")).agg(F.count("*").alias("orders"), F.sum("item_price_total").alias("revenue"))
+    ends = Window.partitionBy(F.lit(1))
+    first, last = F.min("d").over(ends), F.max("d").over(ends)
+    spans = cells.select("customer_state", first.alias("first"), last.alias("last")).distinct()
+    calendar = spans.select("customer_state", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("d"))
+    on = calendar["d"].eqNullSafe(cells["d"]) & calendar["customer_state"].eqNullSafe(cells["customer_state"])
+    out = calendar.join(cells, on, "left")
+    return out.select(calendar["customer_state"], F.date_format(calendar["d"], "yyyy-MM").alias("period"), F.coalesce("orders", F.lit(0)).alias("orders"), "revenue")
+
+
 query("f5_spike_by_state", f"SELECT customer_state, was, now, round(100.0 * (now - was) / greatest(was, 1)::DOUBLE, 4) AS growth_pct FROM (SELECT customer_state, count(*) FILTER (month = '{_WAS}') AS was, count(*) FILTER (month = '{_NOW}') AS now FROM fact_orders WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1) ORDER BY growth_pct DESC, 1 LIMIT 10")(
     lambda c: K.Kpi(c, window=False).orders(["customer_state"]).where(F.col("month").isin(_WAS, _NOW)).groupBy("customer_state").agg(F.count_if(F.col("month") == _WAS).alias("was"), F.count_if(F.col("month") == _NOW).alias("now")).withColumn("growth_pct", F.round(100.0 * (F.col("now") - F.col("was")) / F.greatest("was", F.lit(1)), 4)).orderBy(F.desc("growth_pct"), "customer_state").limit(10)
 )

@@ -48,10 +48,11 @@ def _band(c):
 _MEASURES = {
     "revenue": "sum(p)::DOUBLE", "freight_revenue": "sum(f)::DOUBLE", "quantity_sold": "coalesce(sum(n), 0)::DOUBLE", "orders": "count(*)::DOUBLE", "aov": "sum(p)::DOUBLE / nullif(count(p), 0)",
     "avg_delivery_days": "avg(CASE WHEN delivery_data_quality_flag = 'VALID' THEN delivery_days END)",
-    "on_time_delivery_rate": "count(*) FILTER (delivery_data_quality_flag = 'VALID' AND delivery_delay_days <= 0) / nullif(count(*) FILTER (delivery_data_quality_flag = 'VALID'), 0)::DOUBLE", "avg_review_score": "avg(latest_review_score)", "review_volume": "coalesce(sum(review_count), 0)::DOUBLE",
+    "on_time_delivery_rate": "count(*) FILTER (delivery_data_quality_flag = 'VALID' AND delivery_delay_days <= 0) / nullif(count(*) FILTER (delivery_data_quality_flag = 'VALID'), 0)::DOUBLE", "avg_review_score": "avg(latest_review_score)",
 }
-_OVER = f"""base AS (SELECT month, o.delivery_data_quality_flag, delivery_days, delivery_delay_days, item_price_total AS p, item_freight_total AS f, item_count AS n, latest_review_score, review_count FROM order_dates o LEFT JOIN agg_order_items USING (order_id) LEFT JOIN agg_order_reviews USING (order_id) WHERE month IN ('{_WAS}', '{_NOW}')),
-    mv AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS kpi, month, {e} AS v FROM base GROUP BY month" for k, e in _MEASURES.items()) + f"""),
+_OVER = f"""base AS (SELECT month, o.delivery_data_quality_flag, delivery_days, delivery_delay_days, item_price_total AS p, item_freight_total AS f, item_count AS n, latest_review_score FROM order_dates o LEFT JOIN agg_order_items USING (order_id) LEFT JOIN agg_order_reviews USING (order_id) WHERE month IN ('{_WAS}', '{_NOW}')),
+    mv AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS kpi, month, {e} AS v FROM base GROUP BY month" for k, e in _MEASURES.items()) + f""" UNION ALL
+    SELECT 'review_volume', month, count(*)::DOUBLE FROM (SELECT strftime(review_creation_date, '%Y-%m') AS month FROM fact_reviews JOIN order_dates USING (order_id)) WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY month),
     ov AS (SELECT kpi, round(max(v) FILTER (month = '{_WAS}'), 4) AS previous, round(max(v) FILTER (month = '{_NOW}'), 4) AS current FROM mv GROUP BY 1),
     overview AS (SELECT *, round(current - previous, 4) AS absolute_change, round(100 * (current - previous) / nullif(abs(previous), 0), 4) AS percent_change FROM ov)"""
 query("e14_overview", f"WITH {_OVER} SELECT * FROM overview ORDER BY abs(percent_change) DESC, kpi")(lambda c: K.overview(c, _NOW, _WAS).orderBy(F.desc(F.abs("percent_change")), "kpi"))

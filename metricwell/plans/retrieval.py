@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import text as X
 from .canonical import _ATTR, attribution
 from .sql import Registry
-from .text import _BM25, _POST, _QT, _REL, _TOK, _stats, bm25, relevant
+from .text import _ALL_TOK, _BM25, _POST, _QT, _REL, _TOK, SAFETY_SQL, _stats, bm25, relevant
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
@@ -56,9 +56,9 @@ def _top(source: str, k: int, more: str = "") -> str:
 
 query("i3_query_expansion", f"WITH {_EXP} SELECT * FROM ex")(lambda c: X.expand(asked(c), synonyms(c)))
 _MODEL = "hash64-1"
-query("i8_embedding_job", f"""WITH k AS (SELECT sha256(text || '|{_MODEL}') AS key, any_value(text) AS text FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) GROUP BY 1),
+query("i8_embedding_job", f"""WITH k AS (SELECT sha256(text || '|{_MODEL}') AS key, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1),
     b AS (SELECT key, ('0x' || substr(md5(term), 1, 4))::INTEGER % 64 AS bucket, count(*) AS n FROM (SELECT key, unnest({_TOK}) AS term FROM k) GROUP BY 1, 2) SELECT key, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS vector FROM b GROUP BY 1""")(
-    lambda c: X.hash_buckets(X.unseen(_DOC(c), _DOC(c).where("doc_id % 2 = 0").select(F.sha2(F.concat_ws("|", "text", F.lit(_MODEL)), 256).alias("key")), _MODEL), "key").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: F.concat_ws(":", x["bucket"], x["n"])), ",").alias("vector"))
+    lambda c: X.hash_buckets(X.unseen(_DOC(c), c.spark.createDataFrame([], "key string"), _MODEL), "key").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: F.concat_ws(":", x["bucket"], x["n"])), ",").alias("vector"))
 )
 _B30 = _BM25.replace("rank <= 10", "rank <= 30")
 _HYB = f"{_B30}, {_VEC}, dn AS ({_top('cs', 30)}), un AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dn), fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM un GROUP BY 1, 2), hy AS ({_top('fu', 10)})"
@@ -81,7 +81,7 @@ query("i14_ladder", f"""WITH {_BM25}, {_EXP}, {_TAIL}, {_VEC}, s AS (SELECT item
     lambda c: X.ladder(asked(c), [("bm25", bm25(c, 1), _FLOORS[0]), ("expansion", expanded(c, 1), _FLOORS[1]), ("dense", dense(c, 1), _FLOORS[2])])
 )
 _CNT = {k: f"len(list_filter(w, lambda x: x IN {v}))" for k, v in X.WORDS.items()}
-_LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest({', '.join(_CNT)}) = 0 THEN 'UNKNOWN' " + " ".join(f"WHEN {k} = greatest({', '.join(_CNT)}) THEN '{k}'" for k in sorted(_CNT)) + " END AS tag FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _CNT.items()) + f" FROM (SELECT doc_id, text, {_TOK} AS w FROM documents)))"
+_LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest({', '.join(_CNT)}) = 0 THEN 'UNKNOWN' " + " ".join(f"WHEN {k} = greatest({', '.join(_CNT)}) THEN '{k}'" for k in sorted(_CNT)) + " END AS tag FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _CNT.items()) + f" FROM (SELECT doc_id, text, {_ALL_TOK} AS w FROM documents)))"
 query("i18_language_tag", f"SELECT * FROM {_LANG}")(lambda c: _DOC(c).select("doc_id", X.language(F.col("text")).alias("tag")))
 _STR = {"customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "events": ("event_type", "props")}
 query("i20_pii_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{x}' AS column, '{k}' AS kind, count(*) FILTER (regexp_matches({x}, '{p}')) AS n FROM {t}" for t, xs in _STR.items() for x in xs for k, p in X.PII.items()))(lambda c: X.pii_columns({t: c.raw(t).select(*xs) for t, xs in _STR.items()}))
@@ -101,8 +101,7 @@ _ALL = {"bm25": "(SELECT * FROM bm WHERE rank <= 10)", "expansion": "bx", "dense
 query("i23_methods", f"WITH {_HYB}, {_EXP}, {_TAIL}, {_PER} " + " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS queries, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(reciprocal_rank), 5) AS mrr FROM ({_metrics(s)})" for n, s in _ALL.items()))(
     lambda c: reduce(lambda a, b: a.unionByName(b), (X.retrieval_metrics(f(c, 10), relevant(c), "doc_id").agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 5).alias("precision"), F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("reciprocal_rank"), 5).alias("mrr")).select(F.lit(n).alias("method"), "*") for n, f in RETRIEVERS.items()))
 )
-_SAFE = " OR ".join(f"regexp_matches(text, '{p}')" for p in X.BLOCKED.values())
-query("i24_review_evidence", f"""{_ATTR} SELECT review_row_id, attribution_method, category, CASE WHEN seller_id > -1 THEN 'INTERNAL' ELSE 'PUBLIC_ANALYTICAL' END AS classification, tag AS language, CASE WHEN {_SAFE} THEN 'BLOCKED' ELSE 'SAFE' END AS safety,
+query("i24_review_evidence", f"""{_ATTR} SELECT review_row_id, attribution_method, category, CASE WHEN seller_id > -1 THEN 'INTERNAL' ELSE 'PUBLIC_ANALYTICAL' END AS classification, tag AS language, {SAFETY_SQL} AS safety,
     CASE WHEN category IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS reliability, round(((category IS NOT NULL)::INTEGER + (tag <> 'UNKNOWN')::INTEGER + (trim(coalesce(text, '')) <> '')::INTEGER) / 3.0::DOUBLE, 6) AS completeness FROM att JOIN documents ON doc_id = review_row_id JOIN {_LANG} l USING (doc_id)""")(
     lambda c: attribution(c).join(_DOC(c).select(F.col("doc_id").alias("review_row_id"), "text"), "review_row_id").withColumn("language", X.language(F.col("text"))).select(
         "review_row_id", "attribution_method", "category", F.when(F.col("seller_id") > -1, "INTERNAL").otherwise("PUBLIC_ANALYTICAL").alias("classification"), "language", X.safety(F.col("text")).alias("safety"), F.when(F.col("category").isNull(), 0.5).otherwise(1.0).alias("reliability"),

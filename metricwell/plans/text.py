@@ -10,7 +10,8 @@ from ..operators import kpi as K
 from .sql import Registry
 
 query = Registry()
-_TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}][\p{L}\p{M}\p{N}_]*'), lambda x: length(x) >= 2)"
+_ALL_TOK = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}][\p{L}\p{M}\p{N}_]*'), lambda x: length(x) >= 2)"
+_TOK = f"list_filter({_ALL_TOK}, lambda x: x NOT IN {X.STOP_WORDS})"
 _POST = f"tok AS (SELECT doc_id, {_TOK} AS w FROM documents), post AS (SELECT doc_id, term, len AS dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL)"
 
 
@@ -18,7 +19,7 @@ def _stats(c):
     return c.raw("documents").select(F.size(X.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(lambda c: c.raw("documents").select("doc_id", X.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest")))
+query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(lambda c: c.raw("documents").select("doc_id", X.tokens(X.nfkc(F.col("text"))).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest")))
 query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: X.postings(c.raw("documents")))
 query("i6_index_stats", f"WITH {_POST} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT round(avg(len(w)), 6) FROM tok) AS avg_length")(
     lambda c: _stats(c).select(F.col("n").alias("documents"), F.round("avgdl", 6).alias("avg_length")).crossJoin(X.postings(c.raw("documents")).agg(F.count_distinct("term").alias("vocabulary")))
@@ -35,26 +36,58 @@ def bm25(c, k=10):
 
 
 query("i5_bm25", f"WITH {_BM25} SELECT * FROM bm")(bm25)
-_COS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE rank <= 10"
+_COS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"
 
 
 def cosine(c, k=10):
     v = c.raw("embeddings")
-    return X.cosine_top_k(v, v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    return X.cosine_top_k(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k)
 
 
 query("i7_cosine_top_k", _COS)(cosine)
 query("i9_rank_fusion", f"WITH {_BM25}, l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER FROM bm), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM l GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) WHERE rank <= 5")(
     lambda c: (lambda b: X.fuse(b, b.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))), key="doc_id", k=5))(bm25(c))
 )
-query("i15_pii_types", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in sorted(X.PII.items())) + "], lambda x: x IS NOT NULL), ',') AS pii FROM documents")(lambda c: c.raw("documents").select("doc_id", F.array_join(X.pii_types(F.col("text")), ",").alias("pii")))
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')"
+_NAMES = f"list_distinct(list_filter({_WORDS}, lambda x: regexp_matches(x, '{X.NAME}') AND x NOT IN {X.NOT_NAMES}))"
+_KINDS = {n: f"regexp_matches(text, '{p}')" for n, p in X.PII.items()} | {"address": f"regexp_matches(text, '{X.ADDRESS}')", "name_heuristic": f"len({_NAMES}) >= 2"}
+PII_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in sorted(_KINDS.items())) + "], lambda x: x IS NOT NULL), ',')"
+SAFETY_SQL = "CASE " + " ".join(
+    f"WHEN {' OR '.join(f"coalesce(regexp_matches(text, '{p}'), false)" for p in patterns)} THEN '{label}'" for label, patterns in (("BLOCKED", X.BLOCKED), ("SUSPICIOUS", X.SUSPICIOUS))
+) + " ELSE 'SAFE' END"
+query("i15_pii_types", f"SELECT doc_id, {PII_SQL} AS pii FROM documents")(
+    lambda c: c.raw("documents").select("doc_id", F.array_join(X.pii_types(F.col("text")), ",").alias("pii"))
+)
 _RED = "text"
 for _n, _p in sorted(X.PII.items()):
     _RED = f"regexp_replace({_RED}, '{_p}', '[REDACTED_{_n.upper()}]', 'g')"
 query("i16_pii_redaction", f"SELECT doc_id, md5({_RED}) AS digest, length({_RED}) AS chars FROM documents")(lambda c: c.raw("documents").select("doc_id", X.redact(F.col("text")).alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("chars")))
-query("i17_safety", "SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in X.BLOCKED.values()) + " THEN 'BLOCKED' ELSE 'SAFE' END AS safety FROM documents")(lambda c: c.raw("documents").select("doc_id", X.safety(F.col("text")).alias("safety")))
-query("i19_text_quality", "SELECT count(*) AS texts, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty, round(avg(length(text)), 6) AS mean_chars, median(length(text)) AS median_chars, max(length(text)) AS max_chars, count(*) - count(DISTINCT text) AS duplicates FROM documents")(
-    lambda c: c.raw("documents").agg(F.count("*").alias("texts"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("empty"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"), F.median(F.length("text")).alias("median_chars"), F.max(F.length("text")).alias("max_chars"), (F.count("*") - F.count_distinct("text")).alias("duplicates"))
+query("i17_safety", f"SELECT doc_id, {SAFETY_SQL} AS safety FROM documents")(
+    lambda c: c.raw("documents").select("doc_id", X.safety(F.col("text")).alias("safety"))
+)
+#: Characters up to which a text is short, and from which it is long.
+SHORT, LONG = 20, 500
+_QUALITY = {
+    "texts": ("count(*)", "count(*)"),
+    "empty": ("count(*) FILTER (blank)", "count_if(blank)"),
+    "mean_chars": ("round(avg(chars), 6)", "round(avg(chars), 6)"),
+    "median_chars": ("median(chars)", "median(chars)"),
+    "p90_chars": ("round(quantile_cont(chars, 0.9), 6)", "round(percentile(chars, 0.9), 6)"),
+    "max_chars": ("max(chars)", "max(chars)"),
+    "mean_words": ("round(avg(words), 6)", "round(avg(words), 6)"),
+    "median_words": ("median(words)", "median(words)"),
+    "p90_words": ("round(quantile_cont(words, 0.9), 6)", "round(percentile(words, 0.9), 6)"),
+    "short": (f"count(*) FILTER (NOT blank AND chars <= {SHORT})", f"count_if(NOT blank AND chars <= {SHORT})"),
+    "long": (f"count(*) FILTER (chars >= {LONG})", f"count_if(chars >= {LONG})"),
+    "duplicates": ("count(*) - count(DISTINCT text)", "count(*) - count(DISTINCT text)"),
+}
+query(
+    "i19_text_quality",
+    f"SELECT {', '.join(f'{e} AS {n}' for n, (e, _) in _QUALITY.items())} FROM (SELECT text, length(text) AS chars, len(regexp_extract_all(text, '[^\\s]+')) AS words, trim(coalesce(text, '')) = '' AS blank FROM documents)",
+)(
+    lambda c: c.raw("documents")
+    .selectExpr("text", "length(text) AS chars", "regexp_count(text, '[^\\\\s]+') AS words", "trim(coalesce(text, '')) = '' AS blank")
+    .agg(*(F.expr(e).alias(n) for n, (_, e) in _QUALITY.items()))
 )
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
