@@ -15,7 +15,7 @@ MONEY = "decimal(18,4)"
 
 def resolve_products(products: DataFrame, translation: DataFrame) -> DataFrame:
     """Left join to the translation; status TRANSLATED, UNTRANSLATED or NULL_CATEGORY. Never drops a row."""
-    out = products.join(F.broadcast(translation), "category_name_pt", "left")
+    out = products.join(translation, "category_name_pt", "left")
     status = F.when(F.col("category_name_pt").isNull(), "NULL_CATEGORY").when(F.col("category_name_en").isNull(), "UNTRANSLATED").otherwise("TRANSLATED")
     return out.withColumn("category_resolution_status", status)
 

@@ -88,8 +88,8 @@ def monitoring(actions: DataFrame, rising: tuple[str, ...]) -> DataFrame:
 
 
 def numeric_claims(claims: DataFrame, least: float = 20.0) -> DataFrame:
-    """(claim_id, position, value, unit) of the numbers in a text; bare years and small bare integers don't count."""
-    found = F.regexp_extract_all("text", F.lit(r"[+-]?(?:R\$|\$)?\s?[0-9]+(?:\.[0-9]+)?[KkMm]?%?"), F.lit(0))
+    """(claim_id, position, value, unit) of the numbers in a text, 1,234.5 among them; bare years and small bare integers don't count."""
+    found = F.regexp_extract_all("text", F.lit(r"[-+]?R?\$?\s?\d[\d,]*\.?\d*[KkMm]?(?![a-zA-Z])\s?%?"), F.lit(0))
     out = claims.select("claim_id", F.posexplode(found).alias("position", "raw"))
     times = F.when(F.col("raw").rlike("[Kk]"), 1_000.0).when(F.col("raw").rlike("[Mm]"), 1_000_000.0).otherwise(1.0)
     unit = F.when(F.col("raw").contains("%"), "percent").when(F.col("raw").contains("R$"), "BRL").when(F.col("raw").contains("$"), "USD").otherwise("unitless")

@@ -44,10 +44,12 @@ def rows(df: DataFrame, kind: str, prefix: str, subject: Column, value: Column,
 
 
 def violations(evidence: DataFrame) -> DataFrame:
-    """(evidence_id, rule) of every broken rule: type without its tier, quality outside 0 to 1, causal wording, no claim."""
+    """(evidence_id, rule) of every broken rule: type without its tier, quality outside 0 to 1, no ISO time, nested
+    metadata (JSON), causal wording, no claim."""
     tier = F.create_map(*(F.lit(x) for pair in TIERS.items() for x in pair))[F.col("evidence_type")]
     rules = {
         "tier": ~F.coalesce(tier == F.col("evidence_tier"), F.lit(False)), "quality_range": F.coalesce(~F.col("historical_sufficiency").between(0, 1), F.lit(False)),
+        "time": F.try_to_timestamp(F.col("retrieved_at")).isNull(), "metadata": F.coalesce(F.col("metadata").rlike(r"^\{.*[\[\{]"), F.lit(False)),
         "causal_wording": F.coalesce(F.col("claim").rlike(CAUSAL), F.lit(False)), "claim_missing": F.coalesce(F.trim("claim"), F.lit("")) == "",
     }
     broken = F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))
@@ -62,7 +64,12 @@ def visible(evidence: DataFrame, clearance: str) -> DataFrame:
 
 def policy_violations(log: DataFrame, roles: DataFrame, policy: DataFrame) -> DataFrame:
     """Calls of tools that the caller's role may not use. log: user_id, tool; roles: user_id, role; policy: role, tool."""
-    return log.join(F.broadcast(roles), "user_id", "left").join(F.broadcast(policy), ["role", "tool"], "left_anti")
+    return log.join(roles, "user_id", "left").join(F.broadcast(policy), ["role", "tool"], "left_anti")
+
+
+def clearance_of(role: Column, levels: dict[str, str]) -> Column:
+    """The clearance of a role; roles that are not named see what is public."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in levels.items() for x in pair))[role], F.lit("PUBLIC_ANALYTICAL"))
 
 
 def two_proportion_z(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:

@@ -7,10 +7,28 @@ from pyspark.sql import functions as F
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """column, nulls, null_rate, distinct_count of every column, in one pass over the rows."""
-    parts = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct_count"), F.count("*").alias("n")) for c in df.columns]
+    """column, dtype, nulls, null_rate, distinct_count, min, max (as text) and mean (numbers) of every column, in one pass."""
+    numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(t).alias("dtype"),
+            F.count_if(F.col(c).isNull()).alias("nulls"),
+            F.count_distinct(c).alias("distinct_count"),
+            F.min(c).cast("string").alias("min"),
+            F.max(c).cast("string").alias("max"),
+            F.round(F.avg(c).cast("double") if t in numbers or t.startswith("decimal") else F.lit(None).cast("double"), 6).alias("mean"),
+            F.count("*").alias("n"),
+        )
+        for c, t in df.dtypes
+    ]
     rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    return rows.select("column", "nulls", F.round(F.try_divide("nulls", "n"), 6).alias("null_rate"), "distinct_count")
+    return rows.select("column", "dtype", "nulls", F.round(F.try_divide("nulls", "n"), 6).alias("null_rate"), "distinct_count", "min", "max", "mean")
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: rows, and how many of them repeat another one."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def candidate_key(df: DataFrame, *key: str) -> DataFrame:

@@ -14,10 +14,14 @@ from .sql import Registry
 query = Registry()
 
 # B: profiles
-_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-query("b1_column_profile", " UNION ALL ".join(f"SELECT '{x}' AS column, count(*) - count({x}) AS nulls, round((count(*) - count({x})) / count(*)::DOUBLE, 6) AS null_rate, count(DISTINCT {x}) AS distinct_count FROM orders" for x in _COLS))(lambda c: P.column_profile(c.raw("orders").select(*_COLS)))
+_COLS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}
+query("b1_column_profile", " UNION ALL ".join(f"""SELECT '{x}' AS column, '{t}' AS dtype, count(*) - count({x}) AS nulls, round((count(*) - count({x})) / count(*)::DOUBLE, 6) AS null_rate, count(DISTINCT {x}) AS distinct_count,
+    min({x})::VARCHAR AS min, max({x})::VARCHAR AS max, {f'round(avg({x}), 6)' if t == 'bigint' else 'NULL::DOUBLE'} AS mean FROM orders""" for x, t in _COLS.items()))(
+    lambda c: P.column_profile(c.raw("orders").select(*(F.col(x).cast(t).alias(x) for x, t in _COLS.items())))
+)
+query("b1_duplicate_rows", "SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT l_orderkey, l_partkey, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)")(lambda c: P.duplicate_rows(c.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity")))
 query("b2_null_report", "SELECT * FROM (SELECT 'category_name_pt' AS column, count(*) - count(category_name_pt) AS nulls, round((count(*) - count(category_name_pt)) / count(*)::DOUBLE, 6) AS null_rate, count(DISTINCT category_name_pt) AS distinct_count FROM dim_product UNION ALL SELECT 'category_name_en', count(*) - count(category_name_en), round((count(*) - count(category_name_en)) / count(*)::DOUBLE, 6), count(DISTINCT category_name_en) FROM dim_product) WHERE nulls > 0 ORDER BY null_rate DESC, 1")(
-    lambda c: P.column_profile(c.dim_product.select("product_id", "category_name_pt", "category_name_en")).where("nulls > 0").orderBy(F.desc("null_rate"), "column")
+    lambda c: P.column_profile(c.dim_product.select("product_id", "category_name_pt", "category_name_en")).select("column", "nulls", "null_rate", "distinct_count").where("nulls > 0").orderBy(F.desc("null_rate"), "column")
 )
 
 

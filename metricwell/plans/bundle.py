@@ -73,7 +73,36 @@ query("j2_kpi_observations", f"SELECT * FROM ({_PARTS['observation']})")(observa
 query("j3_kpi_movements", f"WITH {_OVER} {_PARTS['movement']}")(movements)
 query("j4_anomaly_rows", f"WITH {_DETECT} {_PARTS['signal']} UNION ALL {_PARTS['statistic']}")(anomalies)
 query("j5_bundle", f"WITH {_BUNDLE} SELECT * FROM ev")(bundle)
-query("j6_violations", f"WITH {_BUNDLE} SELECT evidence_id, 'causal_wording' AS rule FROM ev WHERE regexp_matches(claim, '{E.CAUSAL}')")(lambda c: E.violations(bundle(c)))
+_LABELS = ", ".join(f"'{k}'" for k in E.CONFIDENCE)
+_RULES = {
+    "tier": "CASE evidence_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.TIERS.items()) + " END IS DISTINCT FROM evidence_tier",
+    "quality_range": "coalesce(NOT historical_sufficiency BETWEEN 0 AND 1, false)",
+    "time": "coalesce(try_cast(retrieved_at AS TIMESTAMP) IS NULL, true)",
+    "metadata": "coalesce(regexp_matches(metadata, '^\\{.*[\\[\\{]'), false)",
+    "causal_wording": f"coalesce(regexp_matches(claim, '{E.CAUSAL}'), false)",
+    "claim_missing": "coalesce(trim(claim), '') = ''",
+}
+#: Evidence as others hand it in: events as rows, whose type, time, quality, metadata and claim may all be wrong.
+_FOREIGN = f"""SELECT 'ev_log_' || event_id AS evidence_id, {[*E.TIERS][:4]}[event_id % 4 + 1] AS evidence_type, CASE WHEN event_id % 7 = 0 THEN 'T3_STATISTICAL' ELSE 'T1_DESCRIPTIVE' END AS evidence_tier,
+    value / 100 AS historical_sufficiency, CASE WHEN event_id % 11 = 0 THEN 'yesterday' WHEN event_id % 13 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS retrieved_at,
+    CASE WHEN event_id % 5 = 0 THEN '{{"a": ' || props || '}}' ELSE props END AS metadata, CASE WHEN event_id % 3 = 0 THEN 'an ' || event_type || ' due to demand' WHEN event_id % 17 > 0 THEN event_type END AS claim FROM events"""
+query("j6_violations", f"WITH {_BUNDLE}, own AS (SELECT evidence_id, evidence_type, evidence_tier, historical_sufficiency, '{_NOW}-01' AS retrieved_at, '{{}}' AS metadata, claim FROM ev UNION ALL {_FOREIGN}) " + " UNION ALL ".join(f"SELECT evidence_id, '{n}' AS rule FROM own WHERE {t}" for n, t in _RULES.items()))(
+    lambda c: E.violations(bundle(c).withColumn("retrieved_at", F.lit(f"{_NOW}-01")).withColumn("metadata", F.lit("{}")).select(*_EVIDENCE).unionByName(foreign(c).select(*_EVIDENCE)))
+)
+_EVIDENCE = ("evidence_id", "evidence_type", "evidence_tier", "historical_sufficiency", "retrieved_at", "metadata", "claim")
+
+
+def foreign(c):
+    n, kinds = F.col("event_id"), F.array(*map(F.lit, [*E.TIERS][:4]))
+    return c.raw("events").select(
+        F.concat(F.lit("ev_log_"), n.cast("string")).alias("evidence_id"), F.element_at(kinds, (n % 4 + 1).cast("int")).alias("evidence_type"),
+        F.when(n % 7 == 0, "T3_STATISTICAL").otherwise("T1_DESCRIPTIVE").alias("evidence_tier"), (F.col("value") / 100).alias("historical_sufficiency"),
+        F.when(n % 11 == 0, "yesterday").when(n % 13 > 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("retrieved_at"),
+        F.when(n % 5 == 0, F.concat(F.lit('{"a": '), "props", F.lit("}"))).otherwise(F.col("props")).alias("metadata"),
+        F.when(n % 3 == 0, F.concat(F.lit("an "), "event_type", F.lit(" due to demand"))).when(n % 17 > 0, F.col("event_type")).alias("claim"),
+    )
+
+
 query("j9_two_proportions", f"""SELECT customer_state, x1, n1, x2, n2, round(CASE WHEN n1 > 0 AND n2 > 0 AND x1 + x2 > 0 AND x1 + x2 < n1 + n2 THEN (x2 / n2::DOUBLE - x1 / n1::DOUBLE) / sqrt((x1 + x2) / (n1 + n2)::DOUBLE * (1 - (x1 + x2) / (n1 + n2)::DOUBLE) * (1 / n1::DOUBLE + 1 / n2::DOUBLE)) END, 6) AS z FROM (
     SELECT customer_state, count(*) FILTER (month < '1998-01' AND order_status = 'delivered') AS x1, count(*) FILTER (month < '1998-01') AS n1, count(*) FILTER (month >= '1998-01' AND order_status = 'delivered') AS x2, count(*) FILTER (month >= '1998-01') AS n2 FROM fact_orders GROUP BY 1)""")(
     lambda c: K.Kpi(c, window=False).orders(["customer_state"]).groupBy("customer_state").agg(*(F.count_if(F.expr(t)).alias(n) for n, t in (("x1", "month < '1998-01' AND order_status = 'delivered'"), ("n1", "month < '1998-01'"), ("x2", "month >= '1998-01' AND order_status = 'delivered'"), ("n2", "month >= '1998-01'")))).withColumn("z", F.round(E.two_proportion_z(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2")), 6))
@@ -82,10 +111,14 @@ query("j11_visible_evidence", f"WITH {_BUNDLE} SELECT evidence_id, evidence_type
 query("j15_evidence_lookup", f"WITH {_BUNDLE} SELECT evidence_id, claim, value FROM ev WHERE subject = 'customer_state:' || (SELECT min(segment_value) FROM seg WHERE segment_type = 'customer_state')")(
     lambda c: (lambda e: e.join(F.broadcast(e.where("subject LIKE 'customer_state:%'").agg(F.min("subject").alias("subject"))), "subject", "left_semi").select("evidence_id", "claim", "value"))(E.visible(bundle(c), "PUBLIC_ANALYTICAL"))
 )
-_POLICY = (("analyst", "view"), ("analyst", "click"), ("manager", "view"), ("manager", "purchase"), ("auditor", "error"))
-query("j16_policy_violations", f"SELECT event_id, user_id, role, event_type AS tool FROM (SELECT *, ['analyst', 'manager', 'auditor'][1 + user_id % 3] AS role FROM events) WHERE (role, event_type) NOT IN (VALUES {', '.join(map(str, _POLICY))})")(
-    lambda c: E.policy_violations(c.raw("events").select("event_id", "user_id", F.col("event_type").alias("tool")), c.raw("events").select("user_id").distinct().withColumn("role", F.expr("element_at(array('analyst', 'manager', 'auditor'), CAST(1 + user_id % 3 AS int))")), c.spark.createDataFrame(_POLICY, "role string, tool string")).select("event_id", "user_id", "role", "tool")
-)
+#: Roles are the customers' segments; tools are the kinds of event. Allowed pairs:
+_POLICY = (("BUILDING", "view"), ("BUILDING", "click"), ("MACHINERY", "view"), ("MACHINERY", "purchase"), ("FURNITURE", "error"), ("HOUSEHOLD", "signup"), ("HOUSEHOLD", "view"))
+_LEVEL = {"BUILDING": "PUBLIC_ANALYTICAL", "HOUSEHOLD": "PUBLIC_ANALYTICAL", "MACHINERY": "INTERNAL", "FURNITURE": "RESTRICTED"}
+query("j16_policy_violations", f"""SELECT event_id, user_id, c_mktsegment AS role, event_type AS tool, CASE c_mktsegment {' '.join(f"WHEN '{r}' THEN '{v}'" for r, v in _LEVEL.items())} ELSE 'PUBLIC_ANALYTICAL' END AS clearance
+    FROM events LEFT JOIN customer ON c_custkey = user_id WHERE (c_mktsegment, event_type) NOT IN (VALUES {', '.join(map(str, _POLICY))}) OR c_mktsegment IS NULL""")(
+    lambda c: E.policy_violations(c.raw("events").select("event_id", "user_id", F.col("event_type").alias("tool")), c.raw("customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS role"), c.spark.createDataFrame(_POLICY, "role string, tool string"))
+    .select("event_id", "user_id", "role", "tool", E.clearance_of(F.col("role"), _LEVEL).alias("clearance"))
+)
 query("j17_graph_export", f"WITH {_CLS} SELECT classification AS relationship_type, count(*) AS edges, count(DISTINCT segment_value) AS nodes FROM cls WHERE hypothesis_id <> 'seller_state' GROUP BY 1")(lambda c: classified(c).where("hypothesis_id <> 'seller_state'").groupBy(F.col("classification").alias("relationship_type")).agg(F.count("*").alias("edges"), F.count_distinct("segment_value").alias("nodes")))
 query("j18_listing", f"WITH {_BUNDLE} SELECT evidence_type, count(*) AS n FROM ev WHERE classification = 'PUBLIC_ANALYTICAL' GROUP BY 1")(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").groupBy("evidence_type").agg(F.count("*").alias("n")))
 
@@ -145,8 +178,8 @@ query("l29_narrative", f"WITH {_ACT} SELECT action_id, CASE tier WHEN 'BLOCKED'
 # L: claims about segments; every 7th number is altered, every 11th citation unknown, every 5th wording causal.
 _CLAIM = f"""{_seg_sql()}, nr AS (SELECT segment_type || ':' || segment_value AS claim_id, row_number() OVER (PARTITION BY segment_type ORDER BY abs(absolute_change) DESC, segment_value) AS n, floor(abs(absolute_change))::BIGINT AS v, floor(abs(share_of_total))::BIGINT AS p FROM seg),
     clm AS (SELECT claim_id, ['FACT', 'ASSOCIATION', 'ANALYTICAL_FINDING'][1 + n % 3] AS claim_type, CASE WHEN n % 11 = 0 THEN 'ev_missing' ELSE 'ev_seg_' || substr(sha256('SEGMENT_CONTRIBUTION|' || claim_id), 1, 16) END AS cited,
-      CASE WHEN n % 13 = 0 THEN 'Revenue moved' ELSE 'Revenue moved by R$ ' || (v + CASE WHEN n % 7 = 0 THEN 1000000 ELSE 0 END) || ', ' || p || '% of the change, in {_NOW}' END || CASE WHEN n % 5 = 0 THEN ', caused by demand' ELSE '' END AS text, v, p FROM nr),
-    raw AS (SELECT claim_id, generate_subscripts(r, 1) - 1 AS position, unnest(r) AS raw FROM (SELECT claim_id, regexp_extract_all(text, '[+-]?(?:R\\$|\\$)?\\s?[0-9]+(?:\\.[0-9]+)?[KkMm]?%?') AS r FROM clm)),
+      CASE WHEN n % 13 = 0 THEN 'Revenue moved' ELSE 'Revenue moved by R$ ' || format('{{:,}}', (v + CASE WHEN n % 7 = 0 THEN 1000000 ELSE 0 END)::BIGINT) || ', ' || p || '% of the change, in {_NOW}' END || CASE WHEN n % 5 = 0 THEN ', caused by demand' ELSE '' END AS text, v, p FROM nr),
+    raw AS (SELECT claim_id, generate_subscripts(r, 1) - 1 AS position, unnest(r) AS raw FROM (SELECT claim_id, regexp_extract_all(text, '[-+]?R?\\$?\\s?[0-9][0-9,]*\\.?[0-9]*[KkMm]?\\s?%?') AS r FROM clm)),
     num AS (SELECT * FROM (SELECT claim_id, position::INTEGER AS position, regexp_replace(raw, '[^0-9.+-]', '', 'g')::DOUBLE AS value, CASE WHEN contains(raw, '%') THEN 'percent' WHEN contains(raw, 'R$') THEN 'BRL' WHEN contains(raw, '$') THEN 'USD' ELSE 'unitless' END AS unit FROM raw) WHERE NOT (unit = 'unitless' AND (value BETWEEN 1900 AND 2100 OR abs(value) < 20))),
     alw AS (SELECT claim_id, 'BRL' AS unit, v::DOUBLE AS known FROM clm UNION ALL SELECT claim_id, 'percent', p FROM clm),
     mat AS (SELECT claim_id, position, value, unit, coalesce(bool_or(abs(value - known) <= greatest(0.0005 * abs(known), 0.01)), false) AS matched, first(known ORDER BY abs(value - known), known) AS nearest FROM num LEFT JOIN alw USING (claim_id, unit) GROUP BY ALL),
@@ -157,7 +190,7 @@ _CLAIM = f"""{_seg_sql()}, nr AS (SELECT segment_type || ':' || segment_value AS
 
 def claims(c):
     n = D.ranked(segments(c)).select(F.concat_ws(":", "segment_type", "segment_value").alias("claim_id"), F.col("rank").alias("n"), F.floor(F.abs("absolute_change").cast("double")).alias("v"), F.floor(F.abs("share_of_total")).alias("p"))
-    said = F.concat(F.lit("Revenue moved by R$ "), (F.col("v") + F.when(F.col("n") % 7 == 0, 1_000_000).otherwise(0)).cast("string"), F.lit(", "), F.col("p").cast("string"), F.lit(f"% of the change, in {_NOW}"))
+    said = F.concat(F.lit("Revenue moved by R$ "), F.format_number(F.col("v") + F.when(F.col("n") % 7 == 0, 1_000_000).otherwise(0), 0), F.lit(", "), F.col("p").cast("string"), F.lit(f"% of the change, in {_NOW}"))
     text = F.concat(F.when(F.col("n") % 13 == 0, "Revenue moved").otherwise(said), F.when(F.col("n") % 5 == 0, ", caused by demand").otherwise(""))
     cited = F.when(F.col("n") % 11 == 0, "ev_missing").otherwise(E.evidence_id("seg", F.lit("SEGMENT_CONTRIBUTION"), F.col("claim_id")))
     return n.select("claim_id", F.element_at(F.array(F.lit("FACT"), F.lit("ASSOCIATION"), F.lit("ANALYTICAL_FINDING")), F.col("n") % 3 + 1).alias("claim_type"), F.array(cited).alias("cited"), text.alias("text"), "v", "p")
@@ -190,28 +223,58 @@ query("l15_persona_order", f"""WITH {_BUNDLE}, per AS (SELECT * FROM (VALUES ('e
 query("l19_conflicts", "SELECT user_id, before AS kept_a, event_id AS kept_b, 'CONTESTED' AS status FROM (SELECT *, lag(event_id) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error' AND was = 'purchase'")(
     lambda c: (lambda w: c.raw("events").withColumn("kept_a", F.lag("event_id").over(w)).withColumn("was", F.lag("event_type").over(w)).where("event_type = 'error' AND was = 'purchase'").select("user_id", "kept_a", F.col("event_id").alias("kept_b"), F.lit("CONTESTED").alias("status")))(Window.partitionBy("user_id").orderBy("ts", "event_id"))
 )
-_SAID = ("A campaign caused this", "The driver is missing", "Refunded orders were excluded", "Wording and evidence", "fine")
-_RATED = ("MISSING_DRIVER", "WRONG_CONFIDENCE", "HELPFUL")
-query("l20_feedback_categories", f"SELECT event_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in (("DRIVER", "event_id % 3 = 0"), ("CONFIDENCE", "event_id % 3 = 1"), ("DATA", "event_id % 5 = 2"), ("DRIVER", "event_id % 5 = 1 AND event_id % 3 <> 0"), ("NARRATIVE", "event_id % 5 = 0"), ("EVIDENCE", "event_id % 5 = 3"), ("NARRATIVE", "event_id % 5 = 3"))) + "], lambda x: x IS NOT NULL), ',') AS categories FROM events")(
-    lambda c: c.raw("events").select("event_id", F.array_join(L.categories(F.element_at(F.array(*map(F.lit, _RATED)), (F.col("event_id") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 5 + 1).cast("int"))), ",").alias("categories"))
-)
+#: Comments made of two sentences each, in the order of the log: the given tables hold no comments of users.
+_SAID = (
+    "The KPI definition is old", "Rows were excluded", "Refunded orders count", "Poor data quality", "A driver is missing", "The weather caused it", "Where is the evidence",
+    "Low confidence", "I recommend a test", "No capacity left", "There was a campaign", "It was a holiday", "Better wording", "A long narrative", "All fine", "Thank you",
+)
+_RATED = ("MISSING_DRIVER", "WRONG_CONFIDENCE", "HELPFUL", "WRONG_RECOMMENDATION", "MISLEADING")
+_COMMENT = f"{list(_SAID)}[event_id % {len(_SAID)} + 1] || '. ' || {list(_SAID)}[(event_id // {len(_SAID)}) % {len(_SAID)} + 1]"
+_FOUND = ", ".join([f"CASE WHEN rating = '{r}' THEN '{k}' END" for r, k in L.RATINGS.items()] + [f"CASE WHEN contains(lower(comment), '{w}') THEN '{k}' END" for w, k in L.KEYWORDS])
+query("l20_feedback_categories", f"""SELECT event_id, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') AS categories FROM (
+    SELECT event_id, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS found FROM (SELECT event_id, {list(_RATED)}[event_id % {len(_RATED)} + 1] AS rating, {_COMMENT} AS comment FROM events))""")(
+    lambda c: comments(c).select("event_id", F.array_join(L.categories(F.col("rating"), F.col("comment")), ",").alias("categories"))
+)
+
+
+def comments(c):
+    """event_id, rating and comment."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    n = F.col("event_id")
+    return c.raw("events").select("event_id", pick(_RATED, n).alias("rating"), F.concat(pick(_SAID, n), F.lit(". "), pick(_SAID, F.floor(n / len(_SAID)))).alias("comment"))
+
+
 query("l21_next_version", "SELECT 'v' || (max(regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT) + 1) AS next FROM customer")(lambda c: L.next_version(c.raw("customer"), "c_name"))
 query("l21_promoted_cases", "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")(lambda c: c.raw("events").where("event_type = 'signup'").select("user_id").distinct().join(c.raw("events").where("event_type = 'purchase'"), "user_id", "left_semi"))
 
 
 def cases(c):
-    return c.raw("events").select("user_id").distinct().selectExpr("user_id AS case_id", "CASE WHEN user_id % 2 = 0 THEN array('error') ELSE CAST(array() AS array<string>) END AS forbidden", "array('purchase') AS expected", "CASE WHEN user_id % 3 > 0 THEN 'click' END AS driver", "CASE WHEN user_id % 4 > 0 THEN 0.2D END AS low", "CASE WHEN user_id % 4 > 0 THEN 0.6D END AS high")
+    """A case for each customer; those that no event names have no output."""
+    return c.raw("customer").selectExpr(
+        "c_custkey AS case_id", "CASE WHEN c_custkey % 2 = 0 THEN array('error') ELSE CAST(array() AS array<string>) END AS forbidden", "array('purchase') AS expected",
+        "CASE WHEN c_custkey % 3 > 0 THEN 'click' END AS driver", "CASE WHEN c_custkey % 4 > 0 THEN 0.2D END AS low", "CASE WHEN c_custkey % 4 > 0 THEN 0.6D END AS high",
+    )
+
+
+#: Runs over all events: what a run claims of an event type (rows n, sum of values v, share of the user's rows s).
+_RUNS = (("true", "n"), ("s >= 0.15", "v"))
 
 
 def outputs(c, run: int):
-    rows = c.raw("events").where((F.col("event_id") % 4 == run) & (F.col("user_id") % 10 > 0)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    return rows.groupBy(F.col("user_id").alias("case_id")).agg(F.collect_set("event_type").alias("claims"), F.max_by("event_type", F.struct("n", "event_type")).alias("driver_out"), (F.sum("v") / F.sum("n") / 200).alias("score"))
+    """The baseline (0) claims every event type of a user and names the commonest; the candidate (1) only frequent ones, and the costliest."""
+    claimed, by = _RUNS[run]
+    each = c.raw("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    each = each.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).withColumn("v", F.round("v", 4))
+    claims = F.collect_set(F.when(F.expr(claimed), F.col("event_type"))).alias("claims")
+    return each.groupBy(F.col("user_id").alias("case_id")).agg(claims, F.max_by("event_type", F.struct(by, "event_type")).alias("driver_out"), (F.sum("v") / F.sum("n") / 200).alias("score"))
 
 
 def _res(run: int) -> str:
-    return f"""SELECT case_id, CASE WHEN case_id % 2 = 0 THEN coalesce(NOT list_contains(claims, 'error'), false) END AS forbidden_absent, coalesce(list_contains(claims, 'purchase'), false) AS expected_present, CASE WHEN case_id % 3 > 0 THEN coalesce(driver_out = 'click', false) END AS driver_right,
-      CASE WHEN case_id % 4 > 0 THEN coalesce(score BETWEEN 0.2 AND 0.6, false) END AS confidence_in_range FROM (SELECT DISTINCT user_id AS case_id FROM events) LEFT JOIN (SELECT user_id AS case_id, list(event_type) AS claims, first(event_type ORDER BY n DESC, event_type DESC) AS driver_out, sum(v) / sum(n) / 200 AS score
-      FROM (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events WHERE event_id % 4 = {run} AND user_id % 10 > 0 GROUP BY 1, 2) GROUP BY 1) USING (case_id)"""
+    claimed, by = _RUNS[run]
+    return f"""SELECT case_id, CASE WHEN case_id % 2 = 0 THEN coalesce(NOT list_contains(claims, 'error'), false) END AS forbidden_absent, coalesce(list_contains(claims, 'purchase'), false) AS expected_present,
+      CASE WHEN case_id % 3 > 0 THEN coalesce(driver_out = 'click', false) END AS driver_right, CASE WHEN case_id % 4 > 0 THEN coalesce(score BETWEEN 0.2 AND 0.6, false) END AS confidence_in_range
+      FROM (SELECT c_custkey AS case_id FROM customer) LEFT JOIN (SELECT user_id AS case_id, coalesce(list(event_type) FILTER ({claimed}), []) AS claims, first(event_type ORDER BY {by} DESC, event_type DESC) AS driver_out, sum(v) / sum(n) / 200 AS score
+      FROM (SELECT user_id, event_type, n, round(v, 4) AS v, n / sum(n) OVER (PARTITION BY user_id) AS s FROM (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)) GROUP BY 1) USING (case_id)"""
 
 
 def _met(run: int) -> str:

@@ -78,7 +78,7 @@ def _coverage(c):
 
 def attribution(c):
     """One row per review with the method by which it is tied to a product or category; seller_id is -1 where it is not tied."""
-    rows = c.items.join(F.broadcast(c.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt, 'uncategorized') AS category")), "product_id", "left")
+    rows = c.items.join(c.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt, 'uncategorized') AS category"), "product_id", "left")
     per = rows.groupBy("order_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("category")).alias("cats"), F.sort_array(F.collect_set("seller_id")).alias("sellers"))
     out = c.fact_reviews.select("review_row_id", "order_id").join(per, "order_id", "left")
     method = F.when(F.col("n").isNull(), "no_items_on_order").when(F.col("n") == 1, "single_item_order").when((F.size("cats") == 1) & (F.size("sellers") == 1), "single_category_order").otherwise("multi_item_order_ambiguous")
@@ -110,7 +110,7 @@ query("c9_month_bounds", "SELECT DISTINCT month, strftime(date_trunc('month', pu
 # D: joins
 query("d1_items_in_context", "SELECT order_id, product_id, price, order_status, month FROM fact_order_items JOIN order_dates USING (order_id)", "price")(lambda c: c.items.join(c.order_dates.select("order_id", "order_status", "month"), "order_id").select("order_id", "product_id", "price", "order_status", "month"))
 query("d2_left_dimensions", "SELECT order_id, product_id, seller_id, category_name_en, seller_state FROM fact_order_items LEFT JOIN dim_product USING (product_id) LEFT JOIN dim_seller USING (seller_id)")(
-    lambda c: c.items.join(F.broadcast(c.dim_product), "product_id", "left").join(F.broadcast(c.dim_seller), "seller_id", "left").select("order_id", "product_id", "seller_id", "category_name_en", "seller_state")
+    lambda c: c.items.join(c.dim_product, "product_id", "left").join(c.dim_seller, "seller_id", "left").select("order_id", "product_id", "seller_id", "category_name_en", "seller_state")
 )
 query("d5_full_outer_reconciliation", "SELECT coalesce(i.order_id, p.order_id) AS order_id, item_gmv_total, total_payment_value, total_payment_value - item_gmv_total AS diff FROM agg_order_items i FULL JOIN agg_order_payments p ON i.order_id = p.order_id", "item_gmv_total total_payment_value diff")(
     lambda c: c.agg_order_items.join(c.agg_order_payments, "order_id", "full_outer").select("order_id", "item_gmv_total", "total_payment_value", (F.col("total_payment_value") - F.col("item_gmv_total")).alias("diff"))

@@ -16,6 +16,24 @@ query("b13_reconciliation_by_type", """SELECT payment_type, count(*) AS orders,
     JOIN (SELECT order_id, first(payment_type ORDER BY payment_value DESC, payment_sequential DESC) AS payment_type FROM fact_payments GROUP BY 1) USING (order_id)) GROUP BY 1""")(
     lambda c: c.agg_order_items.join(c.agg_order_payments, "order_id").join(c.fact_payments.groupBy("order_id").agg(F.max_by("payment_type", F.struct("payment_value", "payment_sequential")).alias("payment_type")), "order_id").withColumn("d", F.expr("double(total_payment_value - item_gmv_total)")).groupBy("payment_type").agg(F.count("*").alias("orders"), F.round(F.avg("d"), 6).alias("mean_diff"), F.max("d").alias("max_diff"), F.round(F.avg(F.expr("int(d > 0)")), 6).alias("share_over"))
 )
+#: Instalments: (from, to] of each bucket.
+_BUCKETS = ((-1, 0), (0, 1), (1, 3), (3, 6), (6, 12), (12, 100))
+_BUCKET = "CASE " + " ".join(f"WHEN max_installments > {a} AND max_installments <= {b} THEN '({a}, {b}]'" for a, b in _BUCKETS) + " END"
+_DIFF = {
+    "mean_diff": ("round(avg(d), 6)", "round(avg(d), 6)"), "median_diff": ("round(median(d), 6)", "round(median(d), 6)"), "p90_diff": ("round(quantile_cont(d, 0.9), 6)", "round(percentile(d, 0.9), 6)"), "max_diff": ("max(d)", "max(d)"),
+    "share_over": ("round(avg((d > 0)::INTEGER), 6)", "round(avg(int(d > 0)), 6)"), "share_under": ("round(avg((d < 0)::INTEGER), 6)", "round(avg(int(d < 0)), 6)"), "share_equal": ("round(avg((d = 0)::INTEGER), 6)", "round(avg(int(d = 0)), 6)"),
+}
+_PAID = "SELECT order_id, (total_payment_value - item_gmv_total)::DOUBLE AS d, max_installments FROM agg_order_items JOIN agg_order_payments USING (order_id)"
+
+
+def differences(c):
+    return c.agg_order_items.join(c.agg_order_payments, "order_id").selectExpr("order_id", "double(total_payment_value - item_gmv_total) AS d", "max_installments")
+
+
+query("b13_reconciliation_by_installments", f"SELECT {_BUCKET} AS bucket, count(*) AS orders, {', '.join(f'{e} AS {n}' for n, (e, _) in _DIFF.items())} FROM ({_PAID}) GROUP BY 1")(
+    lambda c: differences(c).groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.count("*").alias("orders"), *(F.expr(e).alias(n) for n, (_, e) in _DIFF.items()))
+)
+query("b13_largest_differences", f"SELECT order_id, d FROM ({_PAID}) ORDER BY abs(d) DESC, order_id LIMIT 15")(lambda c: differences(c).select("order_id", "d").orderBy(F.desc(F.abs("d")), "order_id").limit(15))
 query("b17_revenue_definitions", "SELECT sum(item_price_total)::DOUBLE AS items_all, sum(item_gmv_total)::DOUBLE AS gmv_all, sum(total_payment_value)::DOUBLE AS paid_all, (sum(item_price_total) FILTER (order_status = 'delivered'))::DOUBLE AS items_delivered FROM order_dates LEFT JOIN agg_order_items USING (order_id) LEFT JOIN agg_order_payments USING (order_id)")(
     lambda c: c.order_dates.select("order_id", "order_status").join(c.agg_order_items, "order_id", "left").join(c.agg_order_payments, "order_id", "left").agg(F.sum("item_price_total").alias("items_all"), F.sum("item_gmv_total").alias("gmv_all"), F.sum("total_payment_value").alias("paid_all"), F.sum(F.when(F.col("order_status") == "delivered", F.col("item_price_total"))).alias("items_delivered"))
 )
