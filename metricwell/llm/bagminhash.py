@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS registers: two texts at similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 28 < 4e-7.
 BANDS, ROWS = 28, 4
 #: Bands of the first round.
-EARLY = 2
+EARLY = 4
 #: Texts and shingles of a block (about; a hash deals them); a task compares one or two blocks.
 BLOCK, ITEMS = 512, 1_000_000
 _U = np.uint64
@@ -185,52 +185,66 @@ def spanning_links(items: list[np.ndarray], known: list | None = None, least: fl
 
 
 def _compare(rows: pa.Table) -> pa.Table:
+    """Classes that similar texts of a task join: each with the smallest class that it is joined to."""
     nodes, items, known = (rows[c].to_pylist() for c in ("digest", "items", "root"))
     first = {d: i for i, d in reversed([*enumerate(nodes)])}  # the first text of a bucket may be there twice
-    nodes, items, known = [*first], [items[i] for i in first.values()], [known[i] for i in first.values()]
-    links = spanning_links([np.frombuffer(x, dtype=_U) for x in items], known)
-    return pa.table({"a": pa.array([nodes[i] for i, _ in links], pa.binary()), "b": pa.array([nodes[j] for _, j in links], pa.binary())})
+    items, known = [items[i] for i in first.values()], [known[i] for i in first.values()]
+    head: dict[bytes, bytes] = {}
 
+    def find(x: bytes) -> bytes:
+        while head.get(x, x) != x:
+            head[x] = head.get(head[x], head[x])
+            x = head[x]
+        return x
 
-def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """buckets with root, the class that each text is in by the links so far."""
-    if links is None:
-        return buckets.withColumn("root", F.col("digest"))
-    return buckets.join(components(links).withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    for i, j in spanning_links([np.frombuffer(x, dtype=_U) for x in items], known):
+        low, high = sorted((find(known[i]), find(known[j])))
+        head[high] = low
+    pairs = [(x, find(x)) for x in head]
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
 
 
-def _apart(members: DataFrame, block: int) -> DataFrame:
-    """The members of buckets that hold more than one class, with the bucket's blocks (k), first text and code of members.
+def _apart(buckets: DataFrame, classes: DataFrame | None, block: int) -> DataFrame:
+    """The members of buckets that hold more than one class, with their class (root), the bucket's blocks (k) and first text.
 
-    Buckets are not joined back to their rows by a shuffle where they are hot.
+    Buckets are not joined back to their rows by a shuffle where they are hot. Of buckets with equal members one is left.
     """
+    members = buckets.withColumn("root", F.col("digest"))
+    if classes is not None:
+        members = buckets.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    members = materialize(members)
     told = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("digest").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "digest")).alias("y"))
     one = told.where("low <> high").groupBy("n", "x", "y", "first").agg(F.min(F.struct("band", "all")).alias("b"))
     k = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.all") / ITEMS), F.lit(1)).cast("int")
     return join_keyed(members, materialize(one.select("b.band", "n", "first", k.alias("k"))), ["band"], "n")
 
 
-def _links(tasks: DataFrame, items: DataFrame) -> DataFrame:
-    """Verified links (a, b) inside each task: rows (task columns i, j, band; digest, root)."""
-    return materialize(tasks.join(items, "digest").groupBy("band", "i", "j").applyInArrow(_compare, "a binary, b binary"))
+def _joined(classes: DataFrame | None, tasks: DataFrame, items: DataFrame) -> DataFrame:
+    """classes (node, root) after the texts inside each task (band, i, j) have been compared. tasks: digest and root too."""
+    links = materialize(tasks.join(items, "digest").groupBy("band", "i", "j").applyInArrow(_compare, "a binary, b binary"))
+    new = components(links)
+    if classes is None:
+        return materialize(new)
+    own = new.select(F.col("node").alias("root"), F.col("root").alias("further"))
+    old = classes.join(own, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return materialize(old.unionByName(new.join(classes, "node", "left_anti")))
 
 
-def verified_links(buckets: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between similar texts that connect what all pairs of similar texts in one bucket connect.
+def similar_classes(buckets: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, root) of the classes that all pairs of similar texts in one bucket make; a text without such is not there.
 
     buckets: band, number (of the band), digest, size (shingles); items: digest, items (their hashes as bytes).
     """
     own = F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")
-    links = None
-    for members in (buckets.where(F.col("number") < EARLY), buckets):
-        here = _apart(materialize(_rooted(members, links)), block)
+    classes = None
+    for some in (buckets.where(F.col("number") < EARLY), buckets):
+        here = _apart(some, classes, block)
         at = here.select("band", "digest", "root", own.alias("i"), F.lit(0).alias("j"))
         firsts = here.where("digest = first AND k > 1").select("band", "digest", "root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(0).alias("j"))
-        new = _links(at.unionByName(firsts), items)
-        links = new if links is None else materialize(links.unionByName(new))
-    hot = materialize(_apart(materialize(_rooted(buckets, links)), block).where("k > 1"))
+        classes = _joined(classes, at.unionByName(firsts), items)
+    hot = materialize(_apart(buckets, classes, block).where("k > 1"))
     if hot.isEmpty():
-        return links
+        return classes
     sizes = hot.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("b"), F.sum("m").alias("n"))
     main = materialize(main.select("band", "n", F.col("b.root").alias("main"), F.ceil((F.col("n") - F.col("b.m")) / block).cast("int").alias("rest")))
@@ -238,7 +252,7 @@ def verified_links(buckets: DataFrame, items: DataFrame, block: int = BLOCK) ->
     mine, grid = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("rest")).cast("int"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     rest = both.where("root <> main").select("band", "digest", "root", mine.alias("i"), grid("k").alias("j"))
     every = both.select("band", "digest", "root", grid("rest").alias("i"), own.alias("j"))
-    return materialize(links.unionByName(_links(rest.unionByName(every), items)))
+    return _joined(classes, rest.unionByName(every), items)
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -261,7 +275,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     wanted = buckets.select("digest").distinct().join(reps, "digest").select(F.col("first.doc_id").alias("id")).distinct()
     items = materialize(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_elements, "digest binary, items binary").dropDuplicates(["digest"]))
-    linked = components(verified_links(buckets, items, block))
+    linked = similar_classes(buckets, items, block)
 
     of = materialize(reps.select("digest", "copies", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
     whole = materialize(of.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("f"), F.count("*").alias("n")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from metricwell.llm.bagminhash import components, multisets, near_duplicates, op9_bagminhash, signatures, spanning_links, verified_links
+from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash, signatures, similar_classes, spanning_links
 from metricwell.llm.language_id import identify_languages, op4_language_id
 from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
 from metricwell.llm.quality import FEATURES, AttentionModel, op1_quality, score_quality
@@ -90,7 +90,7 @@ def test_verified_links_connect_all_that_share_a_bucket(spark):
     b = spark.createDataFrame(buckets, "band long, number int, digest binary, size long")
     i = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(names, sets, strict=True)], "digest binary, items binary")
     for block in (5, 500):
-        roots = {bytes(r.node): bytes(r.root) for r in components(verified_links(b, i, block)).collect()}
+        roots = {bytes(r.node): bytes(r.root) for r in similar_classes(b, i, block).collect()}
         assert [roots[n] for n in names] == [names[k - k % 12] for k in range(len(names))]
 
 
