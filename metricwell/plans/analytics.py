@@ -67,7 +67,7 @@ query("b16_mismatch_rates", f"SELECT voucher, multi_payment, multi_item, count(*
     lambda c: c.agg_order_items.join(c.agg_order_payments, "order_id").select(F.expr("int(abs(item_gmv_total - total_payment_value) > 0.01)").alias("bad"), F.expr("payment_types LIKE '%voucher%'").alias("voucher"), F.expr("payment_count > 1").alias("multi_payment"), F.expr("item_count > 1").alias("multi_item")).groupingSets([["voucher"], ["multi_payment"], ["multi_item"]], "voucher", "multi_payment", "multi_item").agg(F.count("*").alias("orders"), F.round(F.avg("bad"), 6).alias("rate"))
 )
 query("b18_sparse_history", "SELECT count(*) AS products, count(*) FILTER (n < 30) AS under_30, count(*) FILTER (n < 90) AS under_90, median(n) AS median FROM (SELECT product_id, count(*) AS n FROM fact_order_items GROUP BY 1)")(lambda c: c.items.groupBy("product_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("products"), F.count_if(F.col("n") < 30).alias("under_30"), F.count_if(F.col("n") < 90).alias("under_90"), F.median("n").alias("median")))
-query("b19_revenue_by_seller_state", "SELECT seller_state, sum(price)::DECIMAL(18,4) AS revenue, count(DISTINCT seller_id) AS sellers FROM fact_order_items JOIN dim_seller USING (seller_id) GROUP BY 1", "revenue")(lambda c: c.items.join(F.broadcast(c.dim_seller), "seller_id").groupBy("seller_state").agg(F.sum("price").cast("decimal(18,4)").alias("revenue"), F.count_distinct("seller_id").alias("sellers")))
+query("b19_revenue_by_seller_state", "SELECT seller_state, sum(price)::DECIMAL(18,4) AS revenue, count(DISTINCT seller_id) AS sellers FROM fact_order_items JOIN dim_seller USING (seller_id) GROUP BY 1", "revenue")(lambda c: c.items.join(c.dim_seller, "seller_id").groupBy("seller_state").agg(F.sum("price").cast("decimal(18,4)").alias("revenue"), F.count_distinct("seller_id").alias("sellers")))
 query("b20_date_anomalies", "SELECT count(*) FILTER (shipping_limit_date > (SELECT max(purchase_timestamp) FROM order_dates)) AS shipped_late, (SELECT count(*) FROM order_dates WHERE customer_delivery_timestamp < purchase_timestamp) AS delivered_before FROM fact_order_items")(
     lambda c: c.items.select("shipping_limit_date").crossJoin(F.broadcast(c.order_dates.agg(F.max("purchase_timestamp").alias("last"), F.count_if(F.col("customer_delivery_timestamp") < F.col("purchase_timestamp")).alias("before")))).agg(F.count_if(F.col("shipping_limit_date") > F.col("last")).alias("shipped_late"), F.max("before").alias("delivered_before"))
 )
