@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     reps = materialize(signed.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("items").alias("size"), F.count("*").alias("copies"), first))
     every = reps.select("digest", "size", F.posexplode("bands").alias("number", "band"))
     often = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(join_keyed(every, materialize(often), ["band"], "n").drop("n"))
+    # a text is in BANDS buckets, so no bucket holds more than one in BANDS of these rows
+    buckets = materialize(every.join(often.select("band").hint("merge"), "band", "left_semi"))
 
     wanted = buckets.select("digest").distinct().join(reps, "digest").select(F.col("first.doc_id").alias("id")).distinct()
     items = materialize(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_elements, "digest binary, items binary").dropDuplicates(["digest"]))
