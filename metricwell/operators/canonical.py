@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import read_table
+from ..sources.tables import read_table, store
 
 MONEY = "decimal(18,4)"
 
@@ -91,6 +91,13 @@ class Canonical:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.raw = spark, lambda name: read_table(spark, sf_dir, name)
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, build) -> DataFrame:
+        """The table that build() gives, written on first use and read from then on: for what a query needs more than once."""
+        if name not in self._stored:
+            self._stored[name] = store(build())
+        return self._stored[name]
 
     @cached_property
     def dim_customer(self) -> DataFrame:

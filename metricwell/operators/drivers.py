@@ -27,17 +27,27 @@ def two_periods(items: DataFrame, key: str, current: str, previous: str) -> Data
     return items.where(was | now).groupBy(key).agg(F.count_if(was).alias("q0"), money(was).alias("r0"), F.count_if(now).alias("q1"), money(now).alias("r1"))
 
 
-def segment_contributions(periods: DataFrame, history: DataFrame, key: str, kind: str) -> DataFrame:
-    """Change, percent, share of the total change and confidence of each segment. history: key, months."""
-    every = Window.partitionBy(F.lit(1))
-    change = F.col("r1") - F.col("r0")
-    out = periods.join(history, key, "left").withColumn("months", F.coalesce("months", F.lit(0))).withColumn("total", F.sum(change).over(every))
-    n = F.col("q0") + F.col("q1")
+def segment_contributions(items: DataFrame, kinds: list[str], current: str, previous: str) -> DataFrame:
+    """Change, percent, share of the total change and confidence of each segment of each kind, in one scan of items.
+
+    Months and segments are aggregated by grouping sets; both periods and the months of history are sums over that.
+    """
+    sets = items.groupingSets([["month", k] for k in kinds], "month", *kinds).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.sum("price").alias("p"))
+    bit = {k: 1 << (len(kinds) - 1 - i) for i, k in enumerate(kinds)}
+    of = lambda value: F.coalesce(*(F.when(F.col("g").bitwiseAND(bit[k]) == 0, value(k)) for k in kinds))
+    months = sets.select("month", "n", "p", of(F.lit).alias("segment_type"), of(lambda k: F.col(k).cast("string")).alias("segment_value"))
+    was, now = F.col("month") == previous, F.col("month") == current
+    money = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0)).cast("decimal(18,4)")
+    rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    two = months.groupBy("segment_type", "segment_value").agg(rows(was).alias("q0"), money(was).alias("r0"), rows(now).alias("q1"), money(now).alias("r1"), F.count_if(F.col("month") <= previous).alias("months"))
+    two = two.where("q0 + q1 > 0")
+    change, n = F.col("r1") - F.col("r0"), F.col("q0") + F.col("q1")
+    total = F.sum(change).over(Window.partitionBy("segment_type")).cast("double")
+    percent = lambda whole: F.round(F.try_divide(100 * change.cast("double"), whole), 4)
     sure = F.when((F.col("months") >= 6) & (n >= 30), "HIGH").when((F.col("months") >= 2) | (n >= 5), "MEDIUM").otherwise("LOW")
-    return out.select(
-        F.lit(kind).alias("segment_type"), F.col(key).cast("string").alias("segment_value"), F.col("r0").alias("previous"), F.col("r1").alias("current"), change.cast("decimal(18,4)").alias("absolute_change"),
-        F.round(F.try_divide(100 * change.cast("double"), F.col("r0").cast("double")), 4).alias("percent_change"), F.round(F.try_divide(100 * change.cast("double"), F.col("total").cast("double")), 4).alias("share_of_total"),
-        n.alias("sample_size"), F.col("months").alias("history_months"), sure.alias("confidence"),
+    return two.select(
+        "segment_type", "segment_value", F.col("r0").alias("previous"), F.col("r1").alias("current"), change.cast("decimal(18,4)").alias("absolute_change"),
+        percent(F.col("r0").cast("double")).alias("percent_change"), percent(total).alias("share_of_total"), n.alias("sample_size"), F.col("months").alias("history_months"), sure.alias("confidence"),
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HISTORY, LEAST, SPAN = 6, 3, 3
+#: Values that an exponential mean looks back on: what lies before them weighs less than a double shows (0.5 ** 64).
+REACH = 64
 
 
 def baselines(series: DataFrame) -> DataFrame:
@@ -17,11 +19,14 @@ def baselines(series: DataFrame) -> DataFrame:
     """
     past = Window.partitionBy("series_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     season = Window.partitionBy("series_id", F.substring("period", 6, 2)).orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    out = series.withColumn("all", F.collect_list("value").over(past)).withColumn("h", F.slice("all", F.greatest(F.size("all") - HISTORY + 1, F.lit(1)), HISTORY))
+    # by the number of values before each row, null rows don't count and the frame stays bounded
+    recent = Window.partitionBy("series_id").orderBy("n_history").rangeBetween(-REACH, -1)
+    out = series.withColumn("n_history", F.count("value").over(past).cast("int")).withColumn("all", F.collect_list("value").over(recent))
+    out = out.withColumn("h", F.slice("all", F.greatest(F.size("all") - HISTORY + 1, F.lit(1)), HISTORY))
     n = F.size("h")
     total = lambda a, f=lambda x: x: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
     mean = F.when(n >= LEAST, total(F.col("h")) / n)
-    out = out.withColumn("n_history", F.size("all")).withColumn("rolling_mean", mean).withColumn("rolling_median", F.when(n >= LEAST, _median(F.col("h"))))
+    out = out.withColumn("rolling_mean", mean).withColumn("rolling_median", F.when(n >= LEAST, _median(F.col("h"))))
     spread = F.when(n >= LEAST, F.sqrt(total(F.col("h"), lambda x: (x - F.col("rolling_mean")) * (x - F.col("rolling_mean"))) / (n - 1)))
     alpha = 2 / (SPAN + 1)
     smooth = F.when(F.size("all") >= 2, F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, v: alpha * v + (1 - alpha) * a))
@@ -65,6 +70,29 @@ def materiality(signal: DataFrame, absolute: float, relative: float, z: float =
     return out.withColumn("verdict", name)
 
 
+def impact(material: DataFrame, additive: bool, name: str, minimum: float | None = None) -> DataFrame:
+    """kpi_kind, magnitude, affected_population, meets_minimum and interpretation of each row.
+
+    The change of an additive KPI is an amount; that of a rate or mean is a shift of its own unit over the population.
+    """
+    missing = F.col("value").isNull() | F.col("baseline").isNull()
+    magnitude = F.when(~missing, F.round(F.col("value") - F.col("baseline"), 2 if additive else 4))
+    people = F.when(F.col("sample_size") > 0, F.col("sample_size"))
+    amount = F.format_string(f"{name} moved by %+.4f from its baseline to %.4f", magnitude, F.round("value", 4))
+    shift = F.format_string(f"{name} moved by %+.4f of its own unit over %d observations", magnitude, F.col("sample_size"))
+    told = F.when(missing, F.lit(f"{name}: no impact without a value and a baseline")).otherwise(amount if additive else shift)
+    meets = F.when(~missing, F.abs(magnitude) >= minimum) if minimum else F.lit(None).cast("boolean")
+    return material.select(
+        "series_id", "period", F.lit("additive" if additive else "rate_or_average").alias("kpi_kind"), magnitude.alias("magnitude"), people.alias("affected_population"), meets.alias("meets_minimum"), told.alias("interpretation")
+    )
+
+
+def detect(series: DataFrame, absolute: float, relative: float, least: int, coverage: float | None = None) -> DataFrame:
+    """Everything above for all series and periods: baselines, signals, tiers, caps, verdict and persistence."""
+    based = materiality(agreement(signals(baselines(series))), absolute, relative)
+    return persistence(verdict(based, absolute, relative, least, coverage=coverage), absolute, relative)
+
+
 def change_stats(ts: DataFrame, window: int, value: str = "value", key: str = "series_id") -> DataFrame:
     """Percent change, rolling mean and spread including the row itself, and z; at least max(2, window // 2) rows."""
     order = Window.partitionBy(key).orderBy("period")
@@ -105,17 +133,21 @@ def agreement(signal: DataFrame) -> DataFrame:
     return signal.withColumn("signals_agree", F.abs(F.col("z") - F.col("robust_z")) <= 1).withColumn("caveats", F.array_join(notes, ","))
 
 
-def verdict(material: DataFrame, absolute: float, relative: float, least: int, confidence: Column | None = None) -> DataFrame:
+def verdict(material: DataFrame, absolute: float, relative: float, least: int, confidence: Column | None = None, coverage: float | None = None) -> DataFrame:
     """The final verdict: disagreement of the baselines first (no score), then caps at WATCH.
 
     Methods disagree if their magnitude tiers lie two or more apart, unless the seasonal baseline leads. Low confidence
-    in the baseline (by default that of its own level) or a sample under least caps the verdict.
+    in the baseline (by default that of its own level), a sample under least or, if coverage is given, a share of that
+    series covered (column coverage, percent) below it caps the verdict.
     """
     change = lambda b: F.col("value") - F.col(b)
     of = lambda b: F.when(F.col(b).isNotNull(), tier(F.greatest(F.abs(change(b)) / absolute, F.abs(F.try_divide(100 * change(b), F.nullif(F.col(b), F.lit(0.0)))) / relative), (1, 2, 4)))
     tiers = F.array_compact(F.array(*(of(b) for b in ("seasonal", "rolling_mean", "ewma", "previous_period"))))
     sure = level_confidence(F.least("n_history", F.lit(10_000)), F.lit(False), F.col("n_history") < LEAST) if confidence is None else confidence
-    out = material.withColumn("spread", F.array_max(tiers) - F.array_min(tiers)).withColumn("baseline_confidence", sure).withColumn("low_quality", F.coalesce(F.col("sample_size") < least, F.lit(True)))
+    poor = F.coalesce(F.col("sample_size") < least, F.lit(True))
+    if coverage is not None:
+        poor = poor | F.coalesce(F.col("coverage") < coverage, F.lit(True))
+    out = material.withColumn("spread", F.array_max(tiers) - F.array_min(tiers)).withColumn("baseline_confidence", sure).withColumn("low_quality", poor)
     split = (F.col("method") != "seasonal") & (F.size(tiers) >= 2) & (F.col("spread") >= 2)
     capped = F.col("baseline_confidence").isin("LOW", "NONE") | F.col("low_quality")
     final = F.when(capped, F.least("combined_tier", F.lit(1))).otherwise(F.col("combined_tier"))
@@ -130,22 +162,27 @@ def persistence(material: DataFrame, absolute: float, relative: float, required:
 
     Later periods are held against the same baseline; the run ends at the first that is null, back to normal or turned.
     """
-    following = Window.partitionBy("series_id").orderBy("period").rowsBetween(1, Window.unboundedFollowing)
     base, delta = F.col("baseline"), F.col("value") - F.col("baseline")
-    moved = lambda v: F.greatest(F.abs(v - base) / absolute, F.abs(F.try_divide(100 * (v - base), F.nullif(base, F.lit(0.0)))) / relative) >= 1
-    same = lambda v: F.when(delta == 0, F.lit(False)).otherwise((v > base) == (delta > 0))
-    out = material.withColumn("later", F.collect_list(F.struct("value")).over(following)).withColumn("first", F.get("later", F.lit(0))["value"])
+    far = lambda v, base: F.greatest(F.abs(v - base) / absolute, F.abs(F.try_divide(100 * (v - base), F.nullif(base, F.lit(0.0)))) / relative) >= 1
+    alike = lambda v, value, base: F.when(value == base, F.lit(False)).otherwise((v > base) == (value > base))
+    moved, same = lambda v: far(v, base), lambda v: alike(v, F.col("value"), base)
     start = F.struct(F.lit(0).alias("run"), F.lit(True).alias("open"), F.lit(None).cast("double").alias("last"))
 
-    def step(state: Column, row: Column) -> Column:
-        goes = state["open"] & F.coalesce(moved(row["value"]) & same(row["value"]), F.lit(False))
-        return F.struct((state["run"] + goes.cast("int")).alias("run"), goes.alias("open"), F.when(goes, F.abs(row["value"] - base)).otherwise(state["last"]).alias("last"))
+    def later(x: Column, i: Column) -> Column:
+        """The row x with the first value after it, and its run: one array for each series, not one for each row."""
+
+        def step(state: Column, row: Column) -> Column:
+            goes = state["open"] & F.coalesce(far(row["value"], x["baseline"]) & alike(row["value"], x["value"], x["baseline"]), F.lit(False))
+            return F.struct((state["run"] + goes.cast("int")).alias("run"), goes.alias("open"), F.when(goes, F.abs(row["value"] - x["baseline"])).otherwise(state["last"]).alias("last"))
+
+        return F.struct(x.alias("row"), F.get("rows", i + 1)["value"].alias("first"), F.aggregate(F.slice("rows", i + 2, F.size("rows")), start, step).alias("run"))
 
-    out = out.withColumn("run", F.aggregate("later", start, step))
+    whole = material.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("period", *(c for c in material.columns if c != "period")))).alias("rows"))
+    out = whole.select(F.explode(F.transform("rows", later)).alias("x")).select("x.row.*", "x.first", "x.run")
     unknown = F.col("value").isNull() | base.isNull() | F.col("first").isNull()
     affected = F.when(F.col("value").isNull() | base.isNull(), 0).when(unknown | ~moved(F.col("first")) | ~same(F.col("first")), 1).otherwise(1 + F.col("run.run"))
     name = (
         F.when(unknown, "UNKNOWN").when(~moved(F.col("first")), "ONE_OFF").when(~same(F.col("first")), "REVERSING")
         .when((1 + F.col("run.run") >= required) & (F.col("run.last") > F.abs(delta)), "TRENDING").otherwise("PERSISTENT")
     )
-    return out.withColumn("persistence", name).withColumn("periods_affected", affected).drop("later", "first", "run")
+    return out.withColumn("persistence", name).withColumn("periods_affected", affected).drop("first", "run")

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 #: BM25+ parameters and the constant of rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
-#: Queries and vectors that meet in one step of the exact search.
-BLOCK, PART = 256, 8192
+#: Queries that meet a batch of vectors in one step of the exact search.
+BLOCK = 256
 # Patterns of personal data, of addresses and names, and words that begin sentences rather than names.
 PII = {
     "email": r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+",
@@ -55,25 +55,31 @@ def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(found, lambda x: (F.length(x) >= 2) & ~x.isin(*stop) if stop else F.length(x) >= 2)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): the inverted index as a table."""
-    words = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    return words.select(key, "dl", F.explode("w").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, w): the tokens of every text, for what reads them more than once."""
+    return docs.select(key, tokens(F.col(text)).alias("w"))
 
 
-def bm25(index: DataFrame, doc_count: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+def postings(words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, dl): the inverted index as a table, of tokenized texts."""
+    return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+
+
+def bm25(words: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score, rank): the k best documents of many queries at once.
 
-    queries: (query_id, text). doc_count: one row with n and avgdl over all documents. Query terms count once.
+    words: tokenized texts; queries: (query_id, text). Query terms count once.
     """
-    return bm25_terms(index, doc_count, queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), k, key)
+    return bm25_terms(words, queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), k, key)
 
 
-def bm25_terms(index: DataFrame, doc_count: DataFrame, asked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """bm25 for queries given as rows (query_id, term)."""
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+def bm25_terms(words: DataFrame, asked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """bm25 for queries given as rows (query_id, term). Terms that nobody asks for are dropped before any shuffle."""
+    each = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").crossJoin(F.broadcast(doc_count)).join(asked, "term")
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    rows = hits.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(size))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + DELTA)
     scored = rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
@@ -81,29 +87,44 @@ def bm25_terms(index: DataFrame, doc_count: DataFrame, asked: DataFrame, k: int,
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(dims, name): the vectors of an Arrow batch as the bytes of ids and of unit rows; lengths of zero stay zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, values = np.asarray(batch.column(0), dtype=np.int64), batch.column(1)
+            width = np.diff(np.asarray(values.offsets))
+            flat, start = np.asarray(values.flatten(), dtype=np.float64), np.asarray(values.offsets)[:-1] - values.offsets[0].as_py()
+            for d in np.unique(width).tolist():
+                rows = np.flatnonzero(width == d)
+                m = flat[start[rows][:, None] + np.arange(d)]
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([{"ids": ids[rows].tobytes(), "m": m.tobytes()}], pa.struct([("ids", pa.binary()), ("m", pa.binary())]))], ["dims", name])
+
+    return df.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"dims int, {name} struct<ids: binary, m: binary>")
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine search; vectors of length zero score 0.
 
-    Queries travel in blocks of about BLOCK, vectors in as many parts as keep a part near PART rows, so that one pairing of
-    a block and a part fits a task at every size; every pairing keeps its own k best only.
+    Both sides are packed into matrices, one for each Arrow batch; each pair of a batch of vectors and one of queries is
+    a product of matrices, of which only the k best of every query go on. Vectors of different lengths don't meet.
     """
-    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((vectors, PART), (queries, BLOCK)))
-    block, part = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(parts))
-    grouped = queries.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))
-    dealt = vectors.select("vec_id", "embedding").groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))
-    joined = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(grouped, "block")
+    pairs = _packed(vectors, "vec_id", "v").join(_packed(queries, "query_id", "q"), "dims")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q = np.array([v["vec_id"] for v in row["v"]]), np.array([x["query_id"] for x in row["q"]])
-                scores = unit(np.array([x["embedding"] for x in row["q"]], np.float64)) @ unit(np.array([v["embedding"] for v in row["v"]], np.float64)).T
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 6)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.round(np.take_along_axis(scores, best, 1).ravel(), 6))], ["query_id", "vec_id", "score"])
+                d = row["dims"]
+                ids, v = np.frombuffer(row["v"]["ids"], np.int64), np.frombuffer(row["v"]["m"]).reshape(-1, d)
+                asking, q = np.frombuffer(row["q"]["ids"], np.int64), np.frombuffer(row["q"]["m"]).reshape(-1, d)
+                for at in range(0, len(asking), BLOCK):
+                    scores = np.round(q[at : at + BLOCK] @ v.T, 6)
+                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking[at : at + BLOCK], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "vec_id", "score"])
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return joined.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def fuse(*rankings: DataFrame, key: str, k: int) -> DataFrame:
@@ -185,16 +206,27 @@ def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return own.withColumn("original", F.lit(True)).unionByName(more.withColumn("original", F.lit(False)))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.conv(F.substring(F.md5(term.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(DIMENSION))
+
+
 def hash_buckets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, bucket, n): feature hashing of the tokens, the embedding that needs no model."""
-    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(DIMENSION))
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, _bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
+
 
+def hash_vectors(words: DataFrame, key: str) -> DataFrame:
+    """(key, embedding) of tokenized texts by feature hashing, without a shuffle; texts without a token have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets = batch.column("b")
+            row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(buckets.offsets)))
+            n = np.bincount(row * DIMENSION + np.asarray(buckets.flatten()), minlength=len(batch) * DIMENSION).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * DIMENSION, pa.array(n))], [key, "embedding"])
 
-def hash_vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, embedding) by hash_buckets; texts without a token have none."""
-    sparse = hash_buckets(docs, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
-    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(DIMENSION - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")).alias("embedding"))
+    rows = words.where(F.size("w") > 0).select(key, F.transform("w", _bucket).alias("b"))
+    return rows.mapInArrow(run, f"{key} {dict(words.dtypes)[key]}, embedding array<double>")
 
 
 def unseen(docs: DataFrame, stored: DataFrame, model: str, text: str = "text") -> DataFrame:

@@ -109,8 +109,6 @@ query("g3_ewma", f"""WITH RECURSIVE ser AS ({_S}), o AS (SELECT *, row_number()
 query("g8_signals", f"""WITH {_BASE}, m AS (SELECT *, 1.4826 * list_median(list_transform(h, lambda x: abs(x - rolling_median))) AS mad FROM b)
     SELECT series_id, period, round((value - rolling_mean) / nullif(rolling_std, 0), 4) AS z, round((value - rolling_median) / nullif(mad, 0), 4) AS robust_z,
     round(100.0 * len(list_filter(h, lambda x: x <= value)) / len(h)::DOUBLE, 4) AS percentile FROM m""")(lambda c: Z.signals(Z.baselines(monthly(c))).select("series_id", "period", *(F.round(x, 4).alias(x) for x in ("z", "robust_z", "percentile"))))
-query("g19_detection")(lambda c: Z.materiality(Z.signals(Z.baselines(monthly(c))), 50_000.0, 15.0).drop("h"))
-
 # H: drivers
 _NOW, _WAS = "2001-06", "2001-05"
 
@@ -136,13 +134,9 @@ _SEG = {"product_category": "product_category", "customer_state": "customer_stat
 
 
 def segments(c):
-    items, out = _items(c, *_SEG), None
-    for kind in _SEG:
-        keyed = items.withColumn(kind, F.coalesce(kind, F.lit("uncategorized" if kind == "product_category" else "unknown_state")))
-        history = keyed.where(F.col("month") <= _WAS).groupBy(kind).agg(F.count_distinct("month").alias("months"))
-        part = D.segment_contributions(D.two_periods(keyed, kind, _NOW, _WAS), history, kind, kind)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Segment contributions of both months; written once, for many queries read them more than once."""
+    labelled = lambda: _items(c, *_SEG).withColumns({k: F.coalesce(k, F.lit("uncategorized" if k == "product_category" else "unknown_state")) for k in _SEG})
+    return c.stored("segments", lambda: D.segment_contributions(labelled(), [*_SEG], _NOW, _WAS))
 
 
 def _seg_sql() -> str:

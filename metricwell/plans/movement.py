@@ -105,10 +105,11 @@ def _mag(b: str) -> str:
 
 
 _BASES = ("seasonal", "rolling_mean", "ewma", "previous_period")
-_DETECT = f"""ser AS ({_S}), b0 AS (SELECT *, list(value) {_H} AS h, coalesce(list(value) {_PAST}, []) AS past, CASE WHEN count(value) OVER y >= 2 THEN avg(value) OVER y END AS seasonal
+_DETECT = f"""ser AS ({_S}), b0 AS (SELECT *, coalesce(list(value) FILTER (value IS NOT NULL) {_PAST}, []) AS past, CASE WHEN count(value) OVER y >= 2 THEN avg(value) OVER y END AS seasonal
     FROM ser WINDOW y AS (PARTITION BY series_id, substr(period, 6, 2) ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b01 AS (SELECT *, list_slice(past, greatest(len(past) - 5, 1), len(past)) AS h FROM b0),
     b1 AS (SELECT *, len(past) AS n_history, CASE WHEN len(h) >= 3 THEN list_avg(h) END AS rolling_mean, CASE WHEN len(h) >= 3 THEN list_median(h) END AS rolling_median, CASE WHEN len(h) >= 3 THEN list_stddev_samp(h) END AS rolling_std,
-    CASE WHEN len(past) >= 2 THEN list_reduce(past, lambda a, v: 0.5 * v + 0.5 * a) END AS ewma, past[-1] AS previous_period FROM b0),
+    CASE WHEN len(past) >= 2 THEN list_reduce(past, lambda a, v: 0.5 * v + 0.5 * a) END AS ewma, past[-1] AS previous_period FROM b01),
     b2 AS (SELECT *, coalesce(seasonal, rolling_mean, ewma, previous_period) AS baseline, CASE WHEN seasonal IS NOT NULL THEN 'seasonal' WHEN rolling_mean IS NOT NULL THEN 'rolling_mean' WHEN ewma IS NOT NULL THEN 'ewma' WHEN previous_period IS NOT NULL THEN 'previous_period' END AS method,
     (value - rolling_mean) / nullif(rolling_std, 0) AS z, (value - rolling_median) / nullif(1.4826 * list_median(list_transform(h, lambda x: abs(x - rolling_median))), 0) AS robust_z FROM b1),
     b3 AS (SELECT *, {_mag('baseline')} AS magnitude_tier, {_tier('greatest(abs(z), abs(robust_z)) / 2.0', 1, 1.5, 2.5)} AS statistical_tier, {_tier(f'abs(value - baseline) / {_ABS}', 1, 2, 4)} AS impact_tier,
@@ -128,12 +129,45 @@ query("g17_verdict", f"""WITH {_DETECT} SELECT series_id, period, CASE WHEN miss
     CASE WHEN NOT missing AND NOT split THEN score END AS final_score, NOT missing AND NOT split AND poor AND combined_tier > 1 AS capped FROM b4""")(lambda c: Z.verdict(detected(c), _ABS, _REL_PCT, _MIN).select("series_id", "period", "final_verdict", "final_score", "capped"))
 _MV = f"greatest(abs(l.value - b.baseline) / {_ABS}, abs(100 * (l.value - b.baseline) / nullif(b.baseline, 0)) / {_REL_PCT}) >= 1"
 _SAME = "(b.value <> b.baseline AND (l.value > b.baseline) = (b.value > b.baseline))"
-query("g18_persistence", f"""WITH {_DETECT}, o AS (SELECT series_id, period, value, baseline, row_number() OVER (PARTITION BY series_id ORDER BY period) AS k FROM b2),
+_PERSIST = f"""o AS (SELECT series_id, period, value, baseline, row_number() OVER (PARTITION BY series_id ORDER BY period) AS k FROM b2),
     j AS (SELECT b.series_id, b.period, b.value, b.baseline, b.k, l.k AS lk, l.value AS lv, {_MV} AS moved, {_SAME} AS same FROM o b LEFT JOIN o l ON l.series_id = b.series_id AND l.k > b.k),
     e AS (SELECT series_id, period, any_value(value) AS value, any_value(baseline) AS baseline, any_value(k) AS k, coalesce(min(lk) FILTER (NOT coalesce(moved AND same, false)), max(lk) + 1) AS stop, bool_or(moved) FILTER (lk = k + 1) AS first_moved, bool_or(same) FILTER (lk = k + 1) AS first_same, max(lv) FILTER (lk = k + 1) AS first FROM j GROUP BY 1, 2),
-    r AS (SELECT e.*, stop - e.k - 1 AS run, abs(o.value - e.baseline) AS last FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.k = e.stop - 1 AND e.stop - 1 > e.k)
-    SELECT series_id, period, CASE WHEN value IS NULL OR baseline IS NULL OR first IS NULL THEN 'UNKNOWN' WHEN NOT first_moved THEN 'ONE_OFF' WHEN NOT first_same THEN 'REVERSING' WHEN 1 + run >= 2 AND last > abs(value - baseline) THEN 'TRENDING' ELSE 'PERSISTENT' END AS persistence,
-    CASE WHEN value IS NULL OR baseline IS NULL THEN 0 WHEN first IS NULL OR NOT first_moved OR NOT first_same THEN 1 ELSE 1 + run END AS periods_affected FROM r""")(lambda c: Z.persistence(detected(c), _ABS, _REL_PCT).select("series_id", "period", "persistence", "periods_affected"))
+    r AS (SELECT e.*, stop - e.k - 1 AS run, abs(o.value - e.baseline) AS last FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.k = e.stop - 1 AND e.stop - 1 > e.k),
+    pe AS (SELECT series_id, period, CASE WHEN value IS NULL OR baseline IS NULL OR first IS NULL THEN 'UNKNOWN' WHEN NOT first_moved THEN 'ONE_OFF' WHEN NOT first_same THEN 'REVERSING' WHEN 1 + run >= 2 AND last > abs(value - baseline) THEN 'TRENDING' ELSE 'PERSISTENT' END AS persistence,
+    CASE WHEN value IS NULL OR baseline IS NULL THEN 0 WHEN first IS NULL OR NOT first_moved OR NOT first_same THEN 1 ELSE 1 + run END AS periods_affected FROM r)"""
+query("g18_persistence", f"WITH {_DETECT}, {_PERSIST} SELECT * FROM pe")(lambda c: Z.persistence(detected(c), _ABS, _REL_PCT).select("series_id", "period", "persistence", "periods_affected"))
+
+# full detection: delivery days by order status, with the coverage of every month
+_DAYS = """SELECT order_status AS series_id, month AS period, avg(CASE WHEN delivery_data_quality_flag = 'VALID' THEN delivery_days END) AS value,
+    count(*) FILTER (delivery_data_quality_flag = 'VALID') AS sample_size, 100.0 * count(*) FILTER (delivery_data_quality_flag = 'VALID') / count(*)::DOUBLE AS coverage FROM order_dates GROUP BY 1, 2"""
+_DAY_ABS, _DAY_COVER = 1.0, 80.0
+_FULL = f"{_DETECT}, {_PERSIST}".replace(f"ser AS ({_S})", f"ser AS ({_DAYS})").replace(str(_ABS), str(_DAY_ABS)).replace(f"sample_size < {_MIN} AS poor", f"sample_size < {_MIN} OR coverage < {_DAY_COVER} AS poor")
+
+
+def delivery_series(c):
+    valid = F.col("delivery_data_quality_flag") == "VALID"
+    return c.order_dates.groupBy(F.col("order_status").alias("series_id"), F.col("month").alias("period")).agg(
+        F.avg(F.when(valid, F.col("delivery_days"))).alias("value"), F.count_if(valid).alias("sample_size"), (100.0 * F.count_if(valid) / F.count("*")).alias("coverage")
+    )
+
+
+_SHOWN = ("magnitude_tier", "statistical_tier", "impact_tier", "combined_tier")
+query("g19_detection", f"""WITH {_FULL} SELECT series_id, period, round(value, 4) AS value, sample_size, round(coverage, 4) AS coverage, method, round(baseline, 4) AS baseline, n_history, round(z, 3) AS z, round(robust_z, 3) AS robust_z,
+    {', '.join(_SHOWN)}, poor AS low_quality, CASE WHEN missing THEN 'INSUFFICIENT_DATA' WHEN split THEN 'BASELINE_DISAGREEMENT' ELSE ['NORMAL', 'WATCH', 'MATERIAL', 'CRITICAL'][1 + CASE WHEN poor THEN least(combined_tier, 1) ELSE combined_tier END] END AS final_verdict,
+    CASE WHEN NOT missing AND NOT split THEN score END AS final_score, persistence, periods_affected FROM b4 JOIN pe USING (series_id, period)""")(
+    lambda c: Z.detect(delivery_series(c), _DAY_ABS, _REL_PCT, _MIN, _DAY_COVER).select(
+        "series_id", "period", F.round("value", 4).alias("value"), "sample_size", F.round("coverage", 4).alias("coverage"), "method", F.round("baseline", 4).alias("baseline"), "n_history", F.round("z", 3).alias("z"), F.round("robust_z", 3).alias("robust_z"),
+        *_SHOWN, (F.col("low_quality") | (F.col("n_history") < 3)).alias("low_quality"), "final_verdict", "final_score", "persistence", "periods_affected",
+    )
+)
+for _name, _with, _additive, _least, _rows in (("g14_additive_impact", _DETECT, True, _ABS, lambda c: detected(c)), ("g14_rate_impact", _FULL, False, _DAY_ABS, lambda c: Z.materiality(Z.signals(Z.baselines(delivery_series(c))), _DAY_ABS, _REL_PCT))):
+    _label = "revenue" if _additive else "avg_delivery_days"
+    _IMPACT = f"CASE WHEN missing THEN NULL ELSE round(value - baseline, {2 if _additive else 4}) END"
+    query(_name, f"""WITH {_with} SELECT series_id, period, '{'additive' if _additive else 'rate_or_average'}' AS kpi_kind, {_IMPACT} AS magnitude, nullif(sample_size, 0) AS affected_population,
+        abs({_IMPACT}) >= {_least} AS meets_minimum, missing AS unknown FROM b4""")(
+        lambda c, rows=_rows, additive=_additive, label=_label, least=_least: Z.impact(rows(c), additive, label, least).withColumn("unknown", F.col("interpretation").contains("no impact")).drop("interpretation")
+    )
+
 
 # H
 _PVM1 = f"SELECT CASE WHEN sum(q0) = 0 THEN 0 ELSE (sum(q1) - sum(q0)) * sum(r0) / sum(q0) END AS volume, sum(q1 * (coalesce(r1 / nullif(q1, 0), 0) - coalesce(r0 / nullif(q0, 0), 0))) AS price, sum(r1 - r0) AS total FROM (SELECT q0::DOUBLE AS q0, r0::DOUBLE AS r0, q1::DOUBLE AS q1, r1::DOUBLE AS r1 FROM ({_two_sql('product_category')}))"

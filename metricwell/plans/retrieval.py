@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import text as X
 from .canonical import _ATTR, attribution
 from .sql import Registry
-from .text import _ALL_TOK, _BM25, _POST, _QT, _REL, _TOK, SAFETY_SQL, _stats, bm25, relevant
+from .text import _ALL_TOK, _BM25, _POST, _QT, _REL, _TOK, SAFETY_SQL, bm25, relevant, words
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
@@ -30,12 +30,17 @@ def synonyms(c):
 
 
 def expanded(c, k=10):
-    return X.bm25_terms(X.postings(_DOC(c)), _stats(c), X.expand(asked(c), synonyms(c)).select("query_id", "term"), k)
+    return c.stored(f"expanded {k}", lambda: X.bm25_terms(words(c), X.expand(asked(c), synonyms(c)).select("query_id", "term"), k))
+
+
+def vectors(c):
+    return c.stored("vectors", lambda: X.hash_vectors(words(c), "doc_id"))
 
 
 def dense(c, k=10, docs=None):
-    vectors = X.hash_vectors(_DOC(c) if docs is None else docs, "doc_id").withColumnRenamed("doc_id", "vec_id")
-    return X.cosine_top_k(vectors, X.hash_vectors(asked(c), "query_id"), k).withColumnRenamed("vec_id", "doc_id")
+    """By cosine over all documents, or over the doc_ids of docs."""
+    among = vectors(c) if docs is None else vectors(c).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return X.cosine_top_k(among.withColumnRenamed("doc_id", "vec_id"), X.hash_vectors(X.tokenized(asked(c), "query_id"), "query_id"), k).withColumnRenamed("vec_id", "doc_id")
 
 
 def hybrid(c, k=10):
@@ -69,7 +74,7 @@ query("i11_structured_first", f"WITH {_VEC}, f AS (SELECT cs.* FROM cs JOIN docu
 @query("i12_mmr")
 def _mmr(c):
     pool = dense(c, 30).drop("rank")
-    return X.mmr(pool.join(X.hash_vectors(_DOC(c), "doc_id"), "doc_id"), 10)
+    return X.mmr(pool.join(vectors(c), "doc_id"), 10)
 
 
 query("i13_diversity", f"WITH {_B30}, j AS (SELECT bm.*, lang FROM bm JOIN documents USING (doc_id)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, lang) AS best FROM j), n AS (SELECT query_id, doc_id, lang, row_number() OVER (PARTITION BY query_id ORDER BY turn, best)::INTEGER AS rank FROM t) SELECT * FROM n WHERE rank <= 10")(lambda c: X.diversify(bm25(c, 30).join(_DOC(c).select("doc_id", "lang"), "doc_id"), "lang", 10))

@@ -15,14 +15,15 @@ _TOK = f"list_filter({_ALL_TOK}, lambda x: x NOT IN {X.STOP_WORDS})"
 _POST = f"tok AS (SELECT doc_id, {_TOK} AS w FROM documents), post AS (SELECT doc_id, term, len AS dl, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL)"
 
 
-def _stats(c):
-    return c.raw("documents").select(F.size(X.tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def words(c):
+    """The tokens of all documents, written once for a query."""
+    return c.stored("words", lambda: X.tokenized(c.raw("documents")))
 
 
 query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(lambda c: c.raw("documents").select("doc_id", X.tokens(X.nfkc(F.col("text"))).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest")))
-query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: X.postings(c.raw("documents")))
+query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: X.postings(X.tokenized(c.raw("documents"))))
 query("i6_index_stats", f"WITH {_POST} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT round(avg(len(w)), 6) FROM tok) AS avg_length")(
-    lambda c: _stats(c).select(F.col("n").alias("documents"), F.round("avgdl", 6).alias("avg_length")).crossJoin(X.postings(c.raw("documents")).agg(F.count_distinct("term").alias("vocabulary")))
+    lambda c: words(c).agg(F.count("*").alias("documents"), F.round(F.avg(F.size("w")), 6).alias("avg_length")).crossJoin(words(c).select(F.explode("w").alias("term")).agg(F.count_distinct("term").alias("vocabulary")))
 )
 _QT = _TOK.replace("text", "q.text")
 _BM25 = f"""{_POST}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
@@ -32,7 +33,8 @@ _BM25 = f"""{_POST}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) A
 
 
 def bm25(c, k=10):
-    return X.bm25(X.postings(c.raw("documents")), _stats(c), c.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    """BM25+ of the benchmark's texts over all documents, written once for each k."""
+    return c.stored(f"bm25 {k}", lambda: X.bm25(words(c), c.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"), k))
 
 
 query("i5_bm25", f"WITH {_BM25} SELECT * FROM bm")(bm25)
@@ -92,12 +94,27 @@ query(
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def relevant(c):
-    """Documents that contain a benchmark text: the stated, small query set against all rows."""
-    items = c.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    return c.raw("documents").join(F.broadcast(items), F.contains("text", "q")).select("query_id", "doc_id")
+#: Words of an item's inner text by which documents are looked up before its whole text is compared.
+ANCHOR = 5
 
 
+def relevant(c):
+    """Documents that contain a benchmark text, found by a run of its inner words; items too short for that are compared with all."""
+    split = lambda t: F.split(F.trim(t, F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0b\f\r]+")
+    key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, ANCHOR), " "))
+    items = c.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), split(F.col("text")).alias("w")).where("q IS NOT NULL")
+    long = items.where(F.size("w") >= ANCHOR + 2).select("query_id", "q", key(F.col("w"), 2).alias("anchor"))
+    docs = c.raw("documents").select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR + 1)
+    at = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: key(F.col("w"), i))).alias("anchor"))
+    found = at.join(long.select("query_id", "anchor"), "anchor").select("query_id", "doc_id").distinct()
+    sure = found.join(c.raw("documents").select("doc_id", "text"), "doc_id").join(long.select("query_id", "q"), "query_id").where(F.contains("text", "q"))
+    short = items.where(F.size("w") < ANCHOR + 2).select("query_id", "q")
+    rest = c.raw("documents").join(short, F.contains("text", "q"))
+    return sure.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+
+
+#: Queries by the length of their text, as a category.
+_CATEGORY = f"CASE WHEN len({_QT}) <= 10 THEN 'short' WHEN len({_QT}) <= 25 THEN 'medium' ELSE 'long' END"
 query("i21_retrieval_metrics", f"WITH {_BM25}, {_REL}, w AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1), p AS (SELECT query_id, count(*) AS returned, count(rel.doc_id) AS hits, min(CASE WHEN rel.doc_id IS NOT NULL THEN rank END) AS f FROM bm LEFT JOIN rel USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(hits / returned::DOUBLE, 6) AS precision, round(hits / relevant::DOUBLE, 6) AS recall, round(coalesce(1 / f::DOUBLE, 0), 6) AS reciprocal_rank FROM p JOIN w USING (query_id)")(lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id"))
 
 # J: evidence
