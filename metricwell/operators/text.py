@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kpi import CLEARANCE
+
 #: BM25+ parameters and the constant of rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
 #: Queries that meet a batch of vectors in one step of the exact search.
@@ -74,7 +76,16 @@ def bm25(words: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> D
 
 
 def bm25_terms(words: DataFrame, asked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """bm25 for queries given as rows (query_id, term). Terms that nobody asks for are dropped before any shuffle."""
+    """bm25 for queries given as rows (query_id, term)."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return bm25_scores(words, asked, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bm25_scores(words: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score) of every document with a term of a query (query_id, term).
+
+    Terms that nobody asks for are dropped before any shuffle.
+    """
     each = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     hits = each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -82,9 +93,7 @@ def bm25_terms(words: DataFrame, asked: DataFrame, k: int, key: str = "doc_id")
     rows = hits.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(size))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + DELTA)
-    scored = rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -288,8 +297,48 @@ def diversify(ranked: DataFrame, group: str, k: int, key: str = "doc_id") -> Dat
     return out.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "best"))).where(F.col("new_rank") <= k).select("query_id", key, group, F.col("new_rank").alias("rank"))
 
 
+def structured(equal: dict[str, str] | None = None, score_min: int | None = None, score_max: int | None = None, months: tuple[str, str] | None = None, clearance: str = "RESTRICTED") -> Column:
+    """The reviews that filters let through, by their metadata (review_score, month, seller_id, security_status ...).
+
+    equal: columns and their values; a null never equals. Reviews without a month pass the range of months. BLOCKED texts
+    never pass, and below INTERNAL no review that names a seller does.
+    """
+    out = F.col("security_status") != "BLOCKED"
+    for name, value in (equal or {}).items():
+        out = out & F.coalesce(F.col(name) == value, F.lit(False))
+    if score_min is not None:
+        out = out & (F.col("review_score") >= score_min)
+    if score_max is not None:
+        out = out & (F.col("review_score") <= score_max)
+    if months:
+        out = out & F.coalesce(F.col("month").between(*months), F.lit(True))
+    if CLEARANCE[clearance] < CLEARANCE["INTERNAL"]:
+        out = out & F.col("seller_id").isNull()
+    return out
+
+
+#: Filters that a search gives up, one after another, before it turns to vectors.
+GIVEN_UP = ("category", "seller_state", "customer_state", "score_min", "score_max")
+
+
+def relaxed(filters: dict) -> list[tuple[str, dict]]:
+    """(name, filters) of the steps in which filters are given up; those of equality and the bounds are keys alike."""
+    out, left = [], dict(filters)
+    for name in GIVEN_UP:
+        if name in left:
+            left = {k: v for k, v in left.items() if k != name}
+            out.append((f"dropped_{name}", left))
+    return out
+
+
+def allowed(filters: dict, clearance: str = "RESTRICTED") -> Column:
+    """structured for filters in one dictionary."""
+    own = ("score_min", "score_max", "months")
+    return structured({k: v for k, v in filters.items() if k not in own}, **{k: v for k, v in filters.items() if k in own}, clearance=clearance)
+
+
 def ladder(queries: DataFrame, rungs: list[tuple[str, DataFrame, float]]) -> DataFrame:
-    """(query_id, rung, best): the first rung whose best score reaches its floor, or insufficient."""
+    """(query_id, rung, best): the first rung whose best score reaches its floor, or insufficient. Rankings: query_id, score."""
     out, rung, best = queries.select("query_id").distinct(), F.lit("insufficient"), F.lit(None).cast("double")
     for i, (_, ranking, _) in enumerate(rungs):
         out = out.join(ranking.groupBy("query_id").agg(F.max("score").alias(f"s{i}")), "query_id", "left")

@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import text as X
-from .canonical import _ATTR, attribution
 from .sql import Registry
-from .text import _ALL_TOK, _BM25, _POST, _QT, _REL, _TOK, SAFETY_SQL, bm25, relevant, words
+from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, bm25, relevant, words
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
@@ -48,6 +47,11 @@ def hybrid(c, k=10):
     return X.fuse(bm25(c, pool), dense(c, pool), key="doc_id", k=k)
 
 
+def hybrid_expanded(c, k=10):
+    pool = max(3 * k, k + 20)
+    return X.fuse(expanded(c, pool), dense(c, pool), key="doc_id", k=k)
+
+
 def _vec(key: str, source: str, tok: str) -> str:
     return f"SELECT {key}, list_transform(range(64), lambda i: coalesce(map_from_entries(list((bucket, n)))[i], 0)::DOUBLE) AS e FROM (SELECT {key}, ('0x' || substr(md5(term), 1, 4))::INTEGER % 64 AS bucket, count(*) AS n FROM (SELECT {key}, unnest({tok}) AS term FROM {source}) GROUP BY 1, 2) GROUP BY 1"
 
@@ -79,12 +83,7 @@ def _mmr(c):
 
 query("i13_diversity", f"WITH {_B30}, j AS (SELECT bm.*, lang FROM bm JOIN documents USING (doc_id)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, lang) AS best FROM j), n AS (SELECT query_id, doc_id, lang, row_number() OVER (PARTITION BY query_id ORDER BY turn, best)::INTEGER AS rank FROM t) SELECT * FROM n WHERE rank <= 10")(lambda c: X.diversify(bm25(c, 30).join(_DOC(c).select("doc_id", "lang"), "doc_id"), "lang", 10))
 _BX = _BM25.replace("qt AS (SELECT DISTINCT item_id AS query_id, unnest(" + _QT + ") AS term FROM benchmark q)", "qt AS (SELECT query_id, term FROM ex)").replace("sc AS", "xs AS").replace("FROM sc", "FROM xs").replace("bm AS", "bx AS")
-_FLOORS = (150.0, 170.0, 0.82)
-_TAIL = _BX[_BX.index("xs AS"):].replace("JOIN post", "JOIN post").replace("FROM qt JOIN", "FROM ex JOIN")
-query("i14_ladder", f"""WITH {_BM25}, {_EXP}, {_TAIL}, {_VEC}, s AS (SELECT item_id AS query_id, (SELECT max(score) FROM bm WHERE bm.query_id = item_id) AS a, (SELECT max(score) FROM bx WHERE bx.query_id = item_id) AS b, (SELECT max(score) FROM cs WHERE cs.query_id = item_id) AS d FROM benchmark)
-    SELECT query_id, CASE WHEN a >= {_FLOORS[0]} THEN 'bm25' WHEN b >= {_FLOORS[1]} THEN 'expansion' WHEN d >= {_FLOORS[2]} THEN 'dense' ELSE 'insufficient' END AS rung, CASE WHEN a >= {_FLOORS[0]} THEN a WHEN b >= {_FLOORS[1]} THEN b WHEN d >= {_FLOORS[2]} THEN d END AS best FROM s""")(
-    lambda c: X.ladder(asked(c), [("bm25", bm25(c, 1), _FLOORS[0]), ("expansion", expanded(c, 1), _FLOORS[1]), ("dense", dense(c, 1), _FLOORS[2])])
-)
+_TAIL = _BX[_BX.index("xs AS"):].replace("FROM qt JOIN", "FROM ex JOIN")
 _CNT = {k: f"len(list_filter(w, lambda x: x IN {v}))" for k, v in X.WORDS.items()}
 _LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest({', '.join(_CNT)}) = 0 THEN 'UNKNOWN' " + " ".join(f"WHEN {k} = greatest({', '.join(_CNT)}) THEN '{k}'" for k in sorted(_CNT)) + " END AS tag FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _CNT.items()) + f" FROM (SELECT doc_id, text, {_ALL_TOK} AS w FROM documents)))"
 query("i18_language_tag", f"SELECT * FROM {_LANG}")(lambda c: _DOC(c).select("doc_id", X.language(F.col("text")).alias("tag")))
@@ -101,14 +100,9 @@ query("i22_recall_by_length", f"WITH {_BM25}, {_PER}, m AS ({_metrics('bm')}), q
     lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id").join(asked(c).select("query_id", F.size(X.tokens(F.col("text"))).alias("n")), "query_id").groupBy(F.when(F.col("n") <= 3, "1-3").when(F.col("n") <= 10, "4-10").when(F.col("n") <= 25, "11-25").otherwise("26+").alias("bucket")).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
 )
 #: Retrievers by name: (tables, k) to (query_id, doc_id, score, rank). Further ones may be added.
-RETRIEVERS = {"bm25": bm25, "expansion": expanded, "dense": dense, "hybrid": hybrid}
-_ALL = {"bm25": "(SELECT * FROM bm WHERE rank <= 10)", "expansion": "bx", "dense": "(SELECT * FROM dn WHERE rank <= 10)", "hybrid": "hy"}
-query("i23_methods", f"WITH {_HYB}, {_EXP}, {_TAIL}, {_PER} " + " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS queries, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(reciprocal_rank), 5) AS mrr FROM ({_metrics(s)})" for n, s in _ALL.items()))(
+RETRIEVERS = {"bm25": bm25, "expansion": expanded, "dense": dense, "hybrid": hybrid, "hybrid_expansion": hybrid_expanded}
+_ALL = {"bm25": "(SELECT * FROM bm WHERE rank <= 10)", "expansion": "(SELECT * FROM bx WHERE rank <= 10)", "hybrid_expansion": "hx", "dense": "(SELECT * FROM dn WHERE rank <= 10)", "hybrid": "hy"}
+_HX = f"ux AS (SELECT query_id, doc_id, rank FROM bx UNION ALL SELECT query_id, doc_id, rank FROM dn), fx AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM ux GROUP BY 1, 2), hx AS ({_top('fx', 10)})"
+query("i23_methods", f"WITH {_HYB}, {_EXP}, {_TAIL.replace('rank <= 10', 'rank <= 30')}, {_HX}, {_PER} " + " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS queries, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(reciprocal_rank), 5) AS mrr FROM ({_metrics(s)})" for n, s in _ALL.items()))(
     lambda c: reduce(lambda a, b: a.unionByName(b), (X.retrieval_metrics(f(c, 10), relevant(c), "doc_id").agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 5).alias("precision"), F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("reciprocal_rank"), 5).alias("mrr")).select(F.lit(n).alias("method"), "*") for n, f in RETRIEVERS.items()))
 )
-query("i24_review_evidence", f"""{_ATTR} SELECT review_row_id, attribution_method, category, CASE WHEN seller_id > -1 THEN 'INTERNAL' ELSE 'PUBLIC_ANALYTICAL' END AS classification, tag AS language, {SAFETY_SQL} AS safety,
-    CASE WHEN category IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS reliability, round(((category IS NOT NULL)::INTEGER + (tag <> 'UNKNOWN')::INTEGER + (trim(coalesce(text, '')) <> '')::INTEGER) / 3.0::DOUBLE, 6) AS completeness FROM att JOIN documents ON doc_id = review_row_id JOIN {_LANG} l USING (doc_id)""")(
-    lambda c: attribution(c).join(_DOC(c).select(F.col("doc_id").alias("review_row_id"), "text"), "review_row_id").withColumn("language", X.language(F.col("text"))).select(
-        "review_row_id", "attribution_method", "category", F.when(F.col("seller_id") > -1, "INTERNAL").otherwise("PUBLIC_ANALYTICAL").alias("classification"), "language", X.safety(F.col("text")).alias("safety"), F.when(F.col("category").isNull(), 0.5).otherwise(1.0).alias("reliability"),
-        F.round((F.col("category").isNotNull().cast("int") + (F.col("language") != "UNKNOWN").cast("int") + (F.trim(F.coalesce("text", F.lit(""))) != "").cast("int")) / 3.0, 6).alias("completeness"))
-)
