@@ -207,7 +207,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     Every text is scored. Those that would get "und" go, and those whose winning margin is below margin_floor,
     the lowest that a sampled text with the right label gets: no language fits them. Texts of fewer than JUDGED_GRAMS
-    distinct n-grams have low margins for want of evidence, and go only with "und".
+    distinct n-grams have low margins for want of evidence, and go only with "und". Null texts go; repeated rows share
+    their fate; without any labelled row nothing has a language and all rows go; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -58,6 +58,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: _hash(x["body"])),
         )
     )
+    said = F.array_remove(said, _hash(F.lit("")))  # a blank line is nobody's words
     passages = F.filter(F.transform("runs", lambda r, i: F.struct(i.alias("i"), r["level"].alias("level"), _hash(F.array_join(r["bodies"], "\n")).alias("whole"), _hash(F.element_at(r["bodies"], 1)).alias("line"), (normalised(F.array_join(r["bodies"], " ")) != "").alias("full"))), lambda p: (p["level"] > 0) & p["full"])
     quoting = read.where(F.col("text").rlike(r"(?m)^[ \t]?>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoted = materialize(quoting.select(*key, F.explode(passages).alias("p")).select(*key, "p.*").distinct())
@@ -109,10 +110,11 @@ said AS (
   SELECT conv_id, turn, whole AS code FROM run WHERE level = 0 UNION
   SELECT conv_id, turn, {_NORM.format("body")} FROM ln WHERE level = 0 UNION
   SELECT m.conv_id, m.turn, {_NORM.format("own.text")} FROM own JOIN m USING (id)),
+words AS (SELECT * FROM said WHERE code <> ''),
 q AS (SELECT * FROM run WHERE level > 0 AND whole <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 lk AS (
-  SELECT q.*, coalesce((SELECT max(turn) FROM said WHERE said.conv_id = q.conv_id AND said.turn < q.turn AND code = q.whole),
-    (SELECT max(turn) FROM said WHERE said.conv_id = q.conv_id AND said.turn < q.turn AND code = q.line)) AS source FROM q),
+  SELECT q.*, coalesce((SELECT max(turn) FROM words WHERE words.conv_id = q.conv_id AND words.turn < q.turn AND code = q.whole),
+    (SELECT max(turn) FROM words WHERE words.conv_id = q.conv_id AND words.turn < q.turn AND code = q.line)) AS source FROM q),
 t AS (
   SELECT id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, count(*) AS quotes, count(source) AS linked,
     first(source ORDER BY source IS NULL, level, source DESC) AS reply_to FROM lk GROUP BY id),

@@ -1,8 +1,11 @@
 """Queries that SQL can express, against DuckDB; and small fixtures with the awkward cases."""
 
 import math
+import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +138,45 @@ def test_quote_cases(spark):
     got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 1].reply_to, got[1, 1].text) == (0, "yes") and (got[1, 2].reply_to, got[1, 2].thread, got[1, 2].linked) == (1, 0, 2)
     assert got[1, 3].reply_to is None and got[1, 3].quotes == 1 and got[2, 0].text == ""
+
+
+def made_conversations(seed):
+    """Threads with quotations of whole messages, of runs and of single lines, nested, forked, changed and repeated."""
+    draw, rows = random.Random(seed), []
+    for conv in range(25):
+        said = []
+        for turn in range(draw.randint(1, 14)):
+            lines = [f"line {draw.randint(0, 30)} of {conv % 3}" for _ in range(draw.randint(0, 3))]
+            for _ in range(draw.randint(0, 2) if said else 0):
+                source = said[max(0, len(said) - 1 - draw.choice([0, 0, 0, 1, 3]))]
+                parts = source.split("\n")
+                a = draw.randrange(len(parts))
+                some = draw.choice([parts, parts[a : a + 1], parts[a:], [x.upper() + "  " for x in parts], ["never said", *parts]])
+                mark = draw.choice(["> ", ">", " > "])
+                lines[draw.randint(0, len(lines)) : 0] = [mark + x for x in some]
+            text = "\n".join(lines)
+            said.append(text)
+            rows.append((conv, turn, draw.choice(["user", "assistant"]), text))
+    return [*rows, *rows[5:9], (None, 1, "user", "> line 1 of 0"), (3, None, "user", "> line 1 of 0\nown"), (4, 40, None, None), (5, 0, "user", "")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_of_made_threads_against_sql(spark, same, seed):
+    rows = made_conversations(seed)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(9)).withColumn("thread", F.lit("x"))).toPandas()
+    same(got, con.sql(registry.ORACLE_SQL["op7_quotes"]).df())
+    assert got.linked.sum() > 40 and (got.quotes > got.linked).any() and (got.thread < got.reply_to).any()
+    for _, own in got.dropna(subset=["conv_id", "turn", "reply_to"]).groupby("conv_id"):
+        assert (own.reply_to < own.turn).all() and (own.thread <= own.reply_to).all()
+
+
+def test_quotes_of_an_empty_table(spark):
+    assert link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_quotes_of_a_deep_thread(spark):
+    rows = [(1, 0, "u", "start 0")] + [(1, t, "u", f"> start {t - 1}\nstart {t}") for t in range(1, 40)]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[t].reply_to == t - 1 and got[t].thread == 0 and got[t].text == f"start {t}" for t in range(1, 40))

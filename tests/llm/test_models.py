@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash, signatures, similar_classes, spanning_links
-from metricwell.llm.language_id import identify_languages, op4_language_id
+from metricwell.llm.language_id import KernelClassifier, identify_languages, keep_identified, op4_language_id
 from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
 from metricwell.llm.quality import FEATURES, AttentionModel, op1_quality, score_quality
 
@@ -241,9 +242,58 @@ def test_genetic_steps_keep_all_pieces():
         assert Counter(n for b in bins for n in b) == (stock if bins else Counter()) and max(map(sum, bins), default=0) <= SEQUENCE
 
 
-def test_pipeline_stages(spark, data):
-    docs, n = spark.read.parquet(f"{data}/documents.parquet"), []
+def test_pipeline_stages(spark, data, same):
+    """Order, rows of mixing against its SQL and pieces of packing against the tokenizer, each on its own input."""
+    import duckdb
+
+    from metricwell.llm.mixing import OP5_SQL
+
+    docs, kept, before = spark.read.parquet(f"{data}/documents.parquet"), [], None
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialize(stage(spark, docs, data))
-        n.append((name, docs.count()))
-    assert [x for x, _ in n] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"] and n[0][1] >= n[1][1] >= n[2][1] > 0
+        given, docs = docs, corpus_pipeline.materialize(stage(spark, docs, data))
+        kept.append((name, docs.count()))
+        if name != "packing":
+            assert docs.columns == columns
+        if name == "mixing":
+            con = duckdb.connect()
+            con.register("documents", given.toPandas())
+            want = con.sql(OP5_SQL).df().groupby("doc_id").size().rename("n").reset_index()
+            same(docs.toPandas().groupby("doc_id").size().rename("n").reset_index(), want)
+            texts = {r.doc_id: r for r in given.collect()}
+            assert all(tuple(r) == tuple(texts[r.doc_id]) for r in docs.collect())
+        if name == "packing":
+            used, least = check_packing(docs.collect(), [(r.doc_id, r.text) for r in given.collect()])
+            assert used <= least + 1
+    assert [n for n, _ in kept] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"] and kept[0][1] >= kept[1][1] >= kept[2][1] > 0
+
+
+def test_language_kernel_by_sets():
+    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "el perro y el gato", "a b c", "die katze und der hund schlafen", "the dog sleeps", "le chien dort", "el gato duerme"]
+    labels = ["en", "de", "fr", "es", "en", "de", "en", "fr", "es"]
+    model = KernelClassifier.fit(texts, labels, landmarks=9, ridge=1e-2)
+    known = {int(p): k + 1 for k, p in enumerate(model.alphabet)}
+
+    def grams(t):
+        code = tuple(known.get(ord(c), 0) for c in " ".join(t.lower().split()))
+        return {code[i : i + n] for n in (1, 2, 3) for i in range(len(code) - n + 1)}
+
+    kernel = lambda a, b: len(grams(a) & grams(b)) / max(len(grams(a)) * len(grams(b)), 1) ** 0.5
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    value, vector = np.linalg.eigh(k)
+    good = value > 1e-9 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    x = np.hstack((k @ root, np.ones((9, 1))))
+    y = np.where(np.array(labels)[:, None] == np.array(sorted(set(labels)))[None, :], 1.0, -1.0)
+    share = np.array([1 / labels.count(c) for c in labels])
+    w = np.linalg.solve(x.T @ (x * share[:, None]) + 1e-2 * np.eye(x.shape[1]), x.T @ (y * share[:, None]))
+    new = ["the cat sleeps", "und der hund", "", "xyz ö", "le gato"]
+    want = np.hstack((np.array([[kernel(a, b) for b in texts] for a in new]) @ root, np.ones((5, 1)))) @ w
+    assert np.allclose(model.margins(new), want, atol=1e-4)
+
+
+def test_keep_identified_on_awkward_rows(spark, edge):
+    docs = edge.withColumnRenamed("source", "lang_pred")
+    got = sorted((r.doc_id or 0, r.text or "") for r in keep_identified(docs).collect())
+    assert got == sorted((i or 0, t or "") for i, t in EDGE if t and any(map(str.isalpha, t))) and keep_identified(docs).columns == docs.columns
+    assert keep_identified(docs.limit(0)).count() == 0 and keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
