@@ -90,7 +90,7 @@ class Canonical:
     """The canonical tables over a folder of the given tables (the mapping of FIXTURES.md), each built on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.raw = spark, lambda name: read_table(spark, sf_dir, name)
+        self.spark, self.sf_dir, self.raw = spark, sf_dir, lambda name: read_table(spark, sf_dir, name)
         self._stored: dict[str, DataFrame] = {}
 
     def stored(self, name: str, build) -> DataFrame:

@@ -48,6 +48,30 @@ STOP_WORDS = tuple(
 )
 
 
+# Concepts and the words that stand for them.
+SYNONYMS = {
+    "delivery": ("entrega", "envio", "prazo", "demorou", "atraso", "atrasado", "demora", "demorado", "chegou", "recebimento"),
+    "entrega": ("delivery", "envio", "prazo", "demorou", "atraso", "atrasado", "demora", "chegou"),
+    "atraso": ("atrasado", "demorou", "demora", "demorado", "prazo", "passou", "delay", "late"),
+    "demora": ("demorou", "demorado", "atraso", "atrasado", "prazo", "delay"),
+    "envio": ("entrega", "enviar", "shipped", "shipping", "postagem"),
+    "quality": ("qualidade", "defeito", "quebrado", "estragado", "danificado", "defeituoso", "problema"),
+    "qualidade": ("quality", "defeito", "defeituoso", "danificado", "estragado"),
+    "defeito": ("defeituoso", "danificado", "quebrado", "estragado", "falha", "defective", "broken", "damaged"),
+    "quebrado": ("quebrada", "quebrou", "defeito", "danificado", "broken"),
+    "estragado": ("estragada", "estragou", "defeito", "danificado", "broken"),
+    "péssimo": ("horrível", "ruim", "terrível", "decepcionante", "worst", "terrible", "awful"),
+    "horrível": ("péssimo", "ruim", "terrível", "awful", "horrible"),
+    "ótimo": ("excelente", "perfeito", "maravilhoso", "great", "excellent"),
+    "excelente": ("ótimo", "perfeito", "maravilhoso", "excellent", "great", "outstanding"),
+}
+
+
+def synonym_table(spark) -> DataFrame:
+    """SYNONYMS as rows (term, synonym)."""
+    return spark.createDataFrame([(t, s) for t, more in SYNONYMS.items() for s in more], "term string, synonym string")
+
+
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Lower-cased words that begin with a letter, of two characters or more, without stop words.
 

@@ -13,7 +13,7 @@ from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, bm25, relevant, words
 query = Registry()
 _DOC = lambda c: c.raw("documents")
 query("i1_normalise")(lambda c: _DOC(c).select("doc_id", X.normalise(F.col("text")).alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").alias("chars")))
-_SYN = f"syn AS (SELECT term, CASE WHEN term = a THEN b ELSE a END AS synonym FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) JOIN (SELECT substr(term, 1, 4) AS p, min(term) AS a, max(term) AS b FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) GROUP BY 1) ON p = substr(term, 1, 4) WHERE a <> b)"
+_SYN = f"syn AS (SELECT term, CASE WHEN term = a THEN b ELSE a END AS synonym FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) JOIN (SELECT substr(term, 1, 4) AS p, min(term) AS a, max(term) AS b FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) GROUP BY 1) ON p = substr(term, 1, 4) WHERE a <> b UNION VALUES {', '.join(f"('{t}', '{x}')" for t, more in X.SYNONYMS.items() for x in more)})"
 _EXP = f"{_SYN}, own AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), ex AS (SELECT *, true AS original FROM own UNION ALL SELECT DISTINCT query_id, synonym, false FROM own JOIN syn USING (term) WHERE (query_id, synonym) NOT IN (SELECT (query_id, term) FROM own))"
 
 
@@ -22,10 +22,10 @@ def asked(c):
 
 
 def synonyms(c):
-    """One synonym for each query term: the first other term with the same four letters, a stand-in for a governed table."""
+    """The governed table, and a stand-in where the queries hold none of its words: another term with the same four letters."""
     words = asked(c).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct().withColumn("p", F.substring("term", 1, 4))
     ends = words.groupBy("p").agg(F.min("term").alias("a"), F.max("term").alias("b")).where("a <> b")
-    return words.join(ends, "p").select("term", F.when(F.col("term") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("synonym"))
+    return words.join(ends, "p").select("term", F.when(F.col("term") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("synonym")).unionByName(X.synonym_table(c.spark)).distinct()
 
 
 def expanded(c, k=10):

@@ -42,18 +42,22 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def store(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the folder of spark.checkpoint.dir and read again, so that it is computed once.
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors must share.
 
-    Driver and executors must share that folder; where none is set and Spark runs in one process, a temporary one serves.
+    Where none is set and Spark runs in one process, a temporary folder serves.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='metricwell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    return f"{folder}/stored-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame) -> DataFrame:
+    """df written as Parquet and read again, so that it is computed once."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

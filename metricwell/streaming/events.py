@@ -28,3 +28,14 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "co
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Everything there is now, through the stream, as a Parquet table at path: each batch replaces the state before it."""
+
+    def put(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
