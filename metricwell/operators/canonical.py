@@ -166,15 +166,21 @@ class Canonical:
     def agg_order_reviews(self) -> DataFrame:
         return aggregate_reviews(self.fact_reviews)
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Orders with what needs no other table: ids, purchase, status and month."""
+        status = "CASE WHEN o_orderkey % 97 = 0 THEN 'canceled' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'shipped' ELSE 'processing' END AS order_status"
+        out = self.raw("orders").selectExpr("o_orderkey AS order_id", "o_orderkey AS customer_id", "o_custkey AS customer_unique_id", "o_orderdate AS purchase_timestamp", status)
+        return out.withColumn("month", F.date_format("purchase_timestamp", "yyyy-MM"))
+
     @cached_property
     def order_dates(self) -> DataFrame:
         """Orders with their five timestamps, status and delivery fields, without the existence flags."""
-        ship = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("ship"))
-        out = self.raw("orders").join(ship, "o_orderkey", "left").selectExpr(
-            "o_orderkey AS order_id", "o_orderkey AS customer_id", "o_custkey AS customer_unique_id", "o_orderdate AS purchase_timestamp",
-            "CASE WHEN o_orderkey % 97 = 0 THEN 'canceled' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'shipped' ELSE 'processing' END AS order_status",
-            "o_orderdate + make_dt_interval(CAST(pmod(datediff(ship, o_orderdate), 15) - 1 AS int)) AS carrier_delivery_timestamp",
-            "o_orderdate + make_dt_interval(20) AS estimated_delivery_timestamp",
+        ship = self.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min("l_shipdate").alias("ship"))
+        out = self.orders.join(ship, "order_id", "left").selectExpr(
+            "order_id", "customer_id", "customer_unique_id", "purchase_timestamp", "order_status",
+            "purchase_timestamp + make_dt_interval(CAST(pmod(datediff(ship, purchase_timestamp), 15) - 1 AS int)) AS carrier_delivery_timestamp",
+            "purchase_timestamp + make_dt_interval(20) AS estimated_delivery_timestamp",
         )
         got = F.expr("CASE WHEN order_id % 33 <> 0 THEN carrier_delivery_timestamp + make_dt_interval(CAST(order_id % 25 AS int)) END")
         return delivery_fields(out.withColumn("customer_delivery_timestamp", got)).withColumn("month", F.date_format("purchase_timestamp", "yyyy-MM"))
@@ -182,7 +188,7 @@ class Canonical:
     @cached_property
     def window(self) -> DataFrame:
         """One row: first and last month whose orders are a tenth of the median month's or more."""
-        months = self.order_dates.groupBy("month").agg(F.count("*").alias("n"))
+        months = self.orders.groupBy("month").agg(F.count("*").alias("n"))
         limit = months.agg(F.median("n").alias("m"))
         return months.crossJoin(F.broadcast(limit)).where("n >= 0.1 * m").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
@@ -200,8 +206,12 @@ class Canonical:
         """Keys of fact_reviews alone."""
         return self.raw("documents").selectExpr("CASE WHEN doc_id % 10 = 0 AND doc_id > 0 THEN doc_id - 1 ELSE doc_id END AS order_id")
 
+    def in_window(self, orders: DataFrame) -> DataFrame:
+        """orders with in_analytical_window."""
+        flag = F.col("month").between(F.col("first_month"), F.col("last_month"))
+        return orders.crossJoin(F.broadcast(self.window)).withColumn("in_analytical_window", flag).drop("first_month", "last_month")
+
     @cached_property
     def scoped_orders(self) -> DataFrame:
-        """order_id, month, purchase_timestamp, status, customer and the window flag: what KPIs need of an order."""
-        out = self.order_dates.select("order_id", "month", "purchase_timestamp", "order_status", "customer_unique_id", "customer_id", "delivery_days", "delivery_delay_days", "delivery_data_quality_flag")
-        return out.crossJoin(F.broadcast(self.window)).withColumn("in_analytical_window", F.col("month").between(F.col("first_month"), F.col("last_month"))).drop("first_month", "last_month")
+        """orders with the window flag: what most KPIs need of an order."""
+        return self.in_window(self.orders)

@@ -77,9 +77,15 @@ class Kpi:
         self.t, self.clearance = tables, clearance
         self.window, self.start, self.end, self.statuses = window, start, end, statuses
 
-    def orders(self, dims: list[str] = [], window: bool | None = None, statuses: tuple[str, ...] | None = None, dated: bool = True) -> DataFrame:  # noqa: B006
-        """Orders in scope with the columns that dims need. dated: whether the range of days is that of the purchase."""
-        out = self.t.scoped_orders if (self.window if window is None else window) else self.t.order_dates
+    def orders(self, dims: list[str] = [], window: bool | None = None, statuses: tuple[str, ...] | None = None, dated: bool = True, delivery: bool = False) -> DataFrame:  # noqa: B006
+        """Orders in scope with the columns that dims need.
+
+        dated: whether the range of days is that of the purchase; delivery: whether durations and flags are needed,
+        which come from another table.
+        """
+        out = self.t.order_dates if delivery else self.t.orders
+        if self.window if window is None else window:
+            out = self.t.in_window(out)
         if dated:
             out = out.where(in_range("purchase_timestamp", self.start, self.end))
         for grain in ("day", "week"):
@@ -147,7 +153,7 @@ class Kpi:
         """values, with the orders left out for an invalid sequence of dates and for a missing date."""
         flag = F.col("delivery_data_quality_flag")
         missing = flag.isin("MISSING_CUSTOMER_DATE", "MISSING_CARRIER_DATE")
-        return self.orders(dims).groupBy(*dims).agg(
+        return self.orders(dims, delivery=True).groupBy(*dims).agg(
             *(v.alias(n) for n, v in values.items()),
             F.count_if(flag == "VALID").alias("sample_size"),
             (100.0 * F.count_if(flag == "VALID") / F.nullif(F.count("*"), F.lit(0))).alias("coverage"),
