@@ -16,7 +16,10 @@ MONEY = "decimal(18,4)"
 def resolve_products(products: DataFrame, translation: DataFrame) -> DataFrame:
     """Left join to the translation; status TRANSLATED, UNTRANSLATED or NULL_CATEGORY. Never drops a row."""
     out = products.join(translation, "category_name_pt", "left")
-    status = F.when(F.col("category_name_pt").isNull(), "NULL_CATEGORY").when(F.col("category_name_en").isNull(), "UNTRANSLATED").otherwise("TRANSLATED")
+    status = F.when(
+        F.col("category_name_pt").isNull(),
+        "NULL_CATEGORY",
+    ).when(F.col("category_name_en").isNull(), "UNTRANSLATED").otherwise("TRANSLATED")
     return out.withColumn("category_resolution_status", status)
 
 
@@ -103,7 +106,14 @@ class Canonical:
     def dim_customer(self) -> DataFrame:
         people = self.raw("customer").join(F.broadcast(self.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
         out = self.raw("orders").join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
-        return out.selectExpr("o_orderkey AS customer_id", "o_custkey AS customer_unique_id", "c_custkey % 50 AS customer_zip_code_prefix", "c_mktsegment AS customer_city", "n_name AS customer_state", "o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AS customer_identity_valid")
+        return out.selectExpr(
+            "o_orderkey AS customer_id",
+            "o_custkey AS customer_unique_id",
+            "c_custkey % 50 AS customer_zip_code_prefix",
+            "c_mktsegment AS customer_city",
+            "n_name AS customer_state",
+            "o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AS customer_identity_valid",
+        )
 
     @cached_property
     def translation(self) -> DataFrame:
@@ -111,17 +121,35 @@ class Canonical:
 
     @cached_property
     def dim_product(self) -> DataFrame:
-        products = self.raw("part").selectExpr("p_partkey AS product_id", "CASE WHEN p_partkey % 50 <> 0 THEN p_type END AS category_name_pt", "p_size AS product_size")
+        products = self.raw("part").selectExpr(
+            "p_partkey AS product_id",
+            "CASE WHEN p_partkey % 50 <> 0 THEN p_type END AS category_name_pt",
+            "p_size AS product_size",
+        )
         return resolve_products(products, self.translation)
 
     @cached_property
     def dim_seller(self) -> DataFrame:
         home = F.broadcast(self.raw("nation"))
-        return self.raw("supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr("s_suppkey AS seller_id", "s_suppkey % 50 AS seller_zip_code_prefix", "s_name AS seller_city", "n_name AS seller_state")
+        return self.raw("supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey"), "left").selectExpr(
+            "s_suppkey AS seller_id",
+            "s_suppkey % 50 AS seller_zip_code_prefix",
+            "s_name AS seller_city",
+            "n_name AS seller_state",
+        )
 
     @cached_property
     def fact_order_items(self) -> DataFrame:
-        order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
+        order = Window.partitionBy("l_orderkey").orderBy(
+            "l_partkey",
+            "l_suppkey",
+            "l_linenumber",
+            "l_extendedprice",
+            "l_quantity",
+            "l_shipdate",
+            "l_discount",
+            "l_tax",
+        )
         return self.raw("lineitem").withColumn("order_item_id", F.row_number().over(order)).selectExpr(
             "l_orderkey AS order_id", "order_item_id", "l_partkey AS product_id", "l_suppkey AS seller_id", "l_shipdate AS shipping_limit_date",
             f"CAST(CAST(l_extendedprice AS decimal(12,2)) * (1 - CAST(l_discount AS decimal(4,2))) AS {MONEY}) AS price",
@@ -143,9 +171,18 @@ class Canonical:
 
     @cached_property
     def fact_payments(self) -> DataFrame:
-        parts = self.agg_order_items.selectExpr("order_id", "item_gmv_total AS gmv", "1 + order_id % 3 AS k").withColumn("payment_sequential", F.explode(F.expr("sequence(1, CAST(1 + order_id % 3 AS int))")))
+        parts = self.agg_order_items.selectExpr("order_id", "item_gmv_total AS gmv", "1 + order_id % 3 AS k").withColumn(
+            "payment_sequential",
+            F.explode(F.expr("sequence(1, CAST(1 + order_id % 3 AS int))")),
+        )
         value = "CAST(CASE WHEN payment_sequential < k THEN floor(gmv / k) ELSE gmv - (k - 1) * floor(gmv / k) END + CASE WHEN payment_sequential = k AND order_id % 250 = 0 THEN 5 ELSE 0 END AS decimal(18,4))"
-        return parts.selectExpr("order_id", "payment_sequential", "element_at(array('credit_card','voucher','boleto','debit_card'), CAST(1 + (order_id + payment_sequential) % 4 AS int)) AS payment_type", "1 + order_id % 12 AS payment_installments", f"{value} AS payment_value")
+        return parts.selectExpr(
+            "order_id",
+            "payment_sequential",
+            "element_at(array('credit_card','voucher','boleto','debit_card'), CAST(1 + (order_id + payment_sequential) % 4 AS int)) AS payment_type",
+            "1 + order_id % 12 AS payment_installments",
+            f"{value} AS payment_value",
+        )
 
     @cached_property
     def agg_order_payments(self) -> DataFrame:
@@ -160,7 +197,11 @@ class Canonical:
         )
         bought = self.raw("orders").selectExpr("o_orderkey AS order_id", "o_orderdate")
         dated = rows.join(bought, "order_id", "left")
-        return dated.selectExpr("* EXCEPT (o_orderdate)", "o_orderdate + make_dt_interval(10 + CAST(review_row_id % 20 AS int)) AS review_creation_date", "o_orderdate + make_dt_interval(13 + CAST(review_row_id % 20 AS int)) AS review_answer_timestamp")
+        return dated.selectExpr(
+            "* EXCEPT (o_orderdate)",
+            "o_orderdate + make_dt_interval(10 + CAST(review_row_id % 20 AS int)) AS review_creation_date",
+            "o_orderdate + make_dt_interval(13 + CAST(review_row_id % 20 AS int)) AS review_answer_timestamp",
+        )
 
     @cached_property
     def agg_order_reviews(self) -> DataFrame:
@@ -170,7 +211,13 @@ class Canonical:
     def orders(self) -> DataFrame:
         """Orders with what needs no other table: ids, purchase, status and month."""
         status = "CASE WHEN o_orderkey % 97 = 0 THEN 'canceled' WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'shipped' ELSE 'processing' END AS order_status"
-        out = self.raw("orders").selectExpr("o_orderkey AS order_id", "o_orderkey AS customer_id", "o_custkey AS customer_unique_id", "o_orderdate AS purchase_timestamp", status)
+        out = self.raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_orderkey AS customer_id",
+            "o_custkey AS customer_unique_id",
+            "o_orderdate AS purchase_timestamp",
+            status,
+        )
         return out.withColumn("month", F.date_format("purchase_timestamp", "yyyy-MM"))
 
     @cached_property
@@ -199,7 +246,10 @@ class Canonical:
         for df, name in ((self.items, "has_items"), (self.agg_order_items, "has_payment"), (self.raw_reviews, "has_review")):
             out = out.join(has(df, name), "order_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
         out = out.withColumn("has_delivery_data", F.col("customer_delivery_timestamp").isNotNull())
-        return out.crossJoin(F.broadcast(self.window)).withColumn("in_analytical_window", F.col("month").between(F.col("first_month"), F.col("last_month"))).drop("first_month", "last_month")
+        return out.crossJoin(F.broadcast(self.window)).withColumn(
+            "in_analytical_window",
+            F.col("month").between(F.col("first_month"), F.col("last_month")),
+        ).drop("first_month", "last_month")
 
     @cached_property
     def raw_reviews(self) -> DataFrame:

@@ -43,17 +43,34 @@ def scored(column: str, scores: dict[str, float], default: float | None = None)
 
 def candidates(signals: DataFrame, ontology: DataFrame) -> DataFrame:
     """Signals x the actions of their driver (an alias counts); a driver without actions gives none."""
-    named = ontology.select(F.explode(F.array_union(F.array("driver"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("driver"), *(c for c in ontology.columns if c not in ("driver", "aliases")))
+    named = ontology.select(
+        F.explode(F.array_union(F.array("driver"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("driver"),
+        *(c for c in ontology.columns if c not in ("driver", "aliases")),
+    )
     return signals.join(F.broadcast(named), "driver").withColumn("action", F.replace("template", F.lit("{target}"), F.col("target")))
 
 
 def with_impact(actions: DataFrame) -> DataFrame:
     """estimated_effect (null if a factor is missing, which is named), confidence, control, effort and priority."""
     factors = ("effect", "population", "signal_confidence")
-    out = actions.withColumn("estimated_effect", F.col("effect") * F.col("population") * F.col("signal_confidence")).withColumn("missing", F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in factors))), ","))
-    sure = WEIGHTS["driver"] * F.coalesce("signal_confidence", F.lit(0.0)) + WEIGHTS["quality"] * scored("data_quality", QUALITY, 0.1) + WEIGHTS["history"] * F.coalesce("history", F.lit(0.0)) + WEIGHTS["link"] * scored("link", LINK, 0.25)
-    out = out.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).withColumn("control", scored("controllability", CONTROL, 0.25)).withColumn("effort_score", scored("effort", EFFORT, 0.85))
-    return out.withColumn("priority", F.coalesce(F.abs("estimated_effect"), F.lit(0.0)) * F.col("confidence") * F.col("control") / F.greatest("effort_score", F.lit(LEAST_EFFORT)))
+    out = actions.withColumn("estimated_effect", F.col("effect") * F.col("population") * F.col("signal_confidence")).withColumn(
+        "missing",
+        F.array_join(F.array_compact(F.array(*(F.when(F.col(c).isNull(), c) for c in factors))), ","),
+    )
+    sure = WEIGHTS["driver"] * F.coalesce(
+        "signal_confidence",
+        F.lit(0.0),
+    ) + WEIGHTS["quality"] * scored(
+        "data_quality", QUALITY, 0.1
+    ) + WEIGHTS["history"] * F.coalesce("history", F.lit(0.0)) + WEIGHTS["link"] * scored("link", LINK, 0.25)
+    out = out.withColumn(
+        "confidence",
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)),
+    ).withColumn("control", scored("controllability", CONTROL, 0.25)).withColumn("effort_score", scored("effort", EFFORT, 0.85))
+    return out.withColumn(
+        "priority",
+        F.coalesce(F.abs("estimated_effect"), F.lit(0.0)) * F.col("confidence") * F.col("control") / F.greatest("effort_score", F.lit(LEAST_EFFORT)),
+    )
 
 
 def constraints(actions: DataFrame) -> DataFrame:
@@ -67,24 +84,40 @@ def constraints(actions: DataFrame) -> DataFrame:
         "inventory": band("units", F.col("units") <= 0, F.col("units") < 100), "geography": band("coverage", ~F.col("coverage"), F.lit(False)), "decision_rights": band("owner_allowed", ~F.col("owner_allowed"), F.lit(False)),
     }
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("constraint_name"), s.alias("status")) for n, s in status.items())))
-    return actions.select("action_id", "relevant", each.alias("x")).where(F.array_contains("relevant", F.col("x.constraint_name"))).select("action_id", "x.*")
+    return actions.select("action_id", "relevant", each.alias("x")).where(
+        F.array_contains("relevant", F.col("x.constraint_name"))
+    ).select("action_id", "x.*")
 
 
 def rank_actions(actions: DataFrame, checked: DataFrame) -> DataFrame:
     """Tier by the worst constraint; rank by priority within a signal, blocked actions unranked; the first free one is TOP."""
-    worst = checked.groupBy("action_id").agg(F.max(F.when(F.col("status") == "BLOCKED", 2).when(F.col("status") == "WARNING", 1).otherwise(0)).alias("w"))
+    worst = checked.groupBy("action_id").agg(
+        F.max(F.when(F.col("status") == "BLOCKED", 2).when(F.col("status") == "WARNING", 1).otherwise(0)).alias("w")
+    )
     out = actions.join(worst, "action_id", "left").withColumn("w", F.coalesce("w", F.lit(0)))
     order = Window.partitionBy("signal_id", "w").orderBy(F.desc(F.round("priority", 2)), "action_id")
     place = F.row_number().over(order)
     tier = F.when(F.col("w") == 2, "BLOCKED").when(F.col("w") == 1, "CONDITIONAL").when(place == 1, "TOP").otherwise("RANKED")
-    return out.select("signal_id", "action_id", F.round("priority", 2).alias("priority"), F.when(F.col("w") < 2, place).alias("place"), tier.alias("tier"))
+    return out.select(
+        "signal_id",
+        "action_id",
+        F.round("priority", 2).alias("priority"),
+        F.when(F.col("w") < 2, place).alias("place"),
+        tier.alias("tier"),
+    )
 
 
 def monitoring(actions: DataFrame, rising: tuple[str, ...]) -> DataFrame:
     """A row for each KPI to watch: direction, expected effect where it is the signal's own, warning at half of it."""
     out = actions.select("action_id", "metric", "estimated_effect", F.explode("kpis").alias("kpi"))
     effect = F.when(F.col("kpi") == F.col("metric"), F.col("estimated_effect"))
-    return out.select("action_id", "kpi", F.when(F.col("kpi").isin(*rising), "increase").otherwise("decrease").alias("direction"), F.round(effect, 4).alias("expected_effect"), F.round(effect / 2, 4).alias("warning_threshold"))
+    return out.select(
+        "action_id",
+        "kpi",
+        F.when(F.col("kpi").isin(*rising), "increase").otherwise("decrease").alias("direction"),
+        F.round(effect, 4).alias("expected_effect"),
+        F.round(effect / 2, 4).alias("warning_threshold"),
+    )
 
 
 def numeric_claims(claims: DataFrame, least: float = 20.0) -> DataFrame:
@@ -92,7 +125,10 @@ def numeric_claims(claims: DataFrame, least: float = 20.0) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(r"[-+]?R?\$?\s?\d[\d,]*\.?\d*[KkMm]?(?![a-zA-Z])\s?%?"), F.lit(0))
     out = claims.select("claim_id", F.posexplode(found).alias("position", "raw"))
     times = F.when(F.col("raw").rlike("[Kk]"), 1_000.0).when(F.col("raw").rlike("[Mm]"), 1_000_000.0).otherwise(1.0)
-    unit = F.when(F.col("raw").contains("%"), "percent").when(F.col("raw").contains("R$"), "BRL").when(F.col("raw").contains("$"), "USD").otherwise("unitless")
+    unit = F.when(
+        F.col("raw").contains("%"),
+        "percent",
+    ).when(F.col("raw").contains("R$"), "BRL").when(F.col("raw").contains("$"), "USD").otherwise("unitless")
     out = out.withColumn("value", F.regexp_replace("raw", r"[^0-9.+-]", "").cast("double") * times).withColumn("unit", unit)
     bare = (F.col("unit") == "unitless") & ~F.col("raw").rlike("[KkMm]") & (F.col("value") == F.floor("value"))
     return out.where(~(bare & (F.col("value").between(1900, 2100) | (F.abs("value") < least)))).select("claim_id", "position", "value", "unit")
@@ -105,7 +141,10 @@ def match_numbers(numbers: DataFrame, allowed: DataFrame, tolerance: float = 0.0
     """
     near = F.abs(F.col("value") - F.col("known"))
     fits = near <= F.greatest(tolerance * F.abs("known"), F.lit(floor))
-    return numbers.join(allowed, ["claim_id", "unit"], "left").groupBy("claim_id", "position", "value", "unit").agg(F.coalesce(F.bool_or(fits), F.lit(False)).alias("matched"), F.min_by("known", F.struct(near, F.col("known"))).alias("nearest"))
+    return numbers.join(allowed, ["claim_id", "unit"], "left").groupBy("claim_id", "position", "value", "unit").agg(
+        F.coalesce(F.bool_or(fits), F.lit(False)).alias("matched"),
+        F.min_by("known", F.struct(near, F.col("known"))).alias("nearest"),
+    )
 
 
 def language_violation(text: Column, claim_type: Column) -> Column:
@@ -121,21 +160,34 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, matched: DataFrame) ->
     """
     rank = lambda c: F.array_position(F.array(*(F.lit(x) for x in ("UNKNOWN", "HYPOTHESIS", "ASSOCIATION", "FACT", "ANALYTICAL_FINDING"))), c)
     known = evidence.select("evidence_id", rank(F.col("claim_type")).alias("strength"), "value")
-    cited = claims.select("claim_id", F.explode("cited").alias("evidence_id")).join(known, "evidence_id", "left").groupBy("claim_id").agg(F.count_if(F.col("strength").isNull()).alias("unknown"), F.max("strength").alias("strength"), F.count("value").alias("valued"))
+    cited = claims.select("claim_id", F.explode("cited").alias("evidence_id")).join(known, "evidence_id", "left").groupBy("claim_id").agg(
+        F.count_if(F.col("strength").isNull()).alias("unknown"),
+        F.max("strength").alias("strength"),
+        F.count("value").alias("valued"),
+    )
     numbers = matched.groupBy("claim_id").agg(F.count("*").alias("numbers"), F.count_if(~F.col("matched")).alias("wrong"))
     out = claims.join(cited, "claim_id", "left").join(numbers, "claim_id", "left")
     reason = (
         F.when(F.col("unknown") > 0, "unknown_evidence").when(rank(F.col("claim_type")) > F.col("strength"), "stronger_than_evidence").when(language_violation(F.col("text"), F.col("claim_type")), "language")
         .when(F.col("wrong") > 0, "number").when(F.col("claim_type").isin("FACT", "ANALYTICAL_FINDING") & F.col("numbers").isNull() & (F.col("valued") > 0), "decorative_citation")
     )
-    return out.withColumn("reason", reason).select("claim_id", F.when(F.col("reason").isNull(), "APPROVED").otherwise("REJECTED").alias("status"), "reason")
+    return out.withColumn("reason", reason).select(
+        "claim_id",
+        F.when(F.col("reason").isNull(), "APPROVED").otherwise("REJECTED").alias("status"),
+        "reason",
+    )
 
 
 def persona_order(evidence: DataFrame, personas: DataFrame, size: int) -> DataFrame:
     """persona x evidence without excluded types, preferred metric first, then type and id; sections of size rows."""
     both = evidence.crossJoin(F.broadcast(personas)).where(~F.array_contains("excluded", F.col("evidence_type")))
     order = Window.partitionBy("persona").orderBy((F.col("subject") != F.col("preferred")).cast("int"), "evidence_type", "evidence_id")
-    return both.withColumn("position", F.row_number().over(order)).select("persona", "evidence_id", "position", F.floor((F.col("position") - 1) / size).cast("int").alias("section"))
+    return both.withColumn("position", F.row_number().over(order)).select(
+        "persona",
+        "evidence_id",
+        "position",
+        F.floor((F.col("position") - 1) / size).cast("int").alias("section"),
+    )
 
 
 def categories(rating: Column, comment: Column) -> Column:
@@ -147,7 +199,12 @@ def categories(rating: Column, comment: Column) -> Column:
 
 def next_version(versions: DataFrame, column: str) -> DataFrame:
     """One row: v and the largest numeric suffix plus one."""
-    return versions.agg(F.concat(F.lit("v"), (F.coalesce(F.max(F.regexp_extract(column, r"([0-9]+)$", 1).try_cast("long")), F.lit(0)) + 1).cast("string")).alias("next"))
+    return versions.agg(
+        F.concat(
+            F.lit("v"),
+            (F.coalesce(F.max(F.regexp_extract(column, r"([0-9]+)$", 1).try_cast("long")), F.lit(0)) + 1).cast("string"),
+        ).alias("next")
+    )
 
 
 def evaluate_cases(cases: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -169,8 +226,20 @@ DIMENSIONS = ("forbidden_absent", "expected_present", "driver_right", "confidenc
 
 def evaluation_metrics(results: DataFrame) -> DataFrame:
     """(metric, value, declared): the share passed of the cases that declare a dimension, and of unsupported claims."""
-    each = [F.struct(F.lit(d).alias("metric"), F.round(F.avg(F.col(d).cast("double")), 6).alias("value"), F.count(d).alias("declared")) for d in DIMENSIONS]
-    each.append(F.struct(F.lit("unsupported_claim_rate").alias("metric"), F.round(1 - F.avg(F.col("forbidden_absent").cast("double")), 6).alias("value"), F.count("forbidden_absent").alias("declared")))
+    each = [
+        F.struct(
+            F.lit(d).alias("metric"),
+            F.round(F.avg(F.col(d).cast("double")), 6).alias("value"),
+            F.count(d).alias("declared"),
+        ) for d in DIMENSIONS
+    ]
+    each.append(
+        F.struct(
+            F.lit("unsupported_claim_rate").alias("metric"),
+            F.round(1 - F.avg(F.col("forbidden_absent").cast("double")), 6).alias("value"),
+            F.count("forbidden_absent").alias("declared"),
+        )
+    )
     return results.agg(F.array(*each).alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
 
@@ -179,7 +248,13 @@ def compare_metrics(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     out = baseline.selectExpr("metric", "value AS baseline").join(candidate.selectExpr("metric", "value AS candidate"), "metric", "full_outer")
     delta = F.round(F.col("candidate") - F.col("baseline"), 6)
     good = F.when(F.col("metric").isin(*LOWER_IS_BETTER), -delta).otherwise(delta)
-    return out.select("metric", "baseline", "candidate", delta.alias("delta"), F.when(good > 0, "IMPROVED").when(good < 0, "REGRESSED").otherwise("SAME").alias("change"))
+    return out.select(
+        "metric",
+        "baseline",
+        "candidate",
+        delta.alias("delta"),
+        F.when(good > 0, "IMPROVED").when(good < 0, "REGRESSED").otherwise("SAME").alias("change"),
+    )
 
 
 def threshold_gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:

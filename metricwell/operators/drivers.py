@@ -17,14 +17,24 @@ def pvm(groups: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = out.withColumn("total_change", F.col("r1") - F.col("r0")).withColumn("volume_effect", volume).withColumn("price_effect", F.col("p"))
     out = out.withColumn("mix_effect", F.col("total_change") - F.col("volume_effect") - F.col("price_effect"))
     sure = F.when((F.col("q0") >= 30) & (F.col("q1") >= 30), "HIGH").otherwise("LOW")
-    return out.select(*by, F.round("total_change", 4).alias("total_change"), *(F.round(c, 2).alias(c) for c in ("volume_effect", "price_effect", "mix_effect")), sure.alias("confidence"))
+    return out.select(
+        *by,
+        F.round("total_change", 4).alias("total_change"),
+        *(F.round(c, 2).alias(c) for c in ("volume_effect", "price_effect", "mix_effect")),
+        sure.alias("confidence"),
+    )
 
 
 def two_periods(items: DataFrame, key: str, current: str, previous: str) -> DataFrame:
     """q0, r0, q1, r1 by key in one scan: no join aligns the periods."""
     was, now = F.col("month") == previous, F.col("month") == current
     money = lambda c: F.coalesce(F.sum(F.when(c, F.col("price"))), F.lit(0)).cast("decimal(18,4)")
-    return items.where(was | now).groupBy(key).agg(F.count_if(was).alias("q0"), money(was).alias("r0"), F.count_if(now).alias("q1"), money(now).alias("r1"))
+    return items.where(was | now).groupBy(key).agg(
+        F.count_if(was).alias("q0"),
+        money(was).alias("r0"),
+        F.count_if(now).alias("q1"),
+        money(now).alias("r1"),
+    )
 
 
 def segment_contributions(items: DataFrame, kinds: list[str], current: str, previous: str) -> DataFrame:
@@ -32,14 +42,24 @@ def segment_contributions(items: DataFrame, kinds: list[str], current: str, prev
 
     Months and segments are aggregated by grouping sets; both periods and the months of history are sums over that.
     """
-    sets = items.groupingSets([["month", k] for k in kinds], "month", *kinds).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.sum("price").alias("p"))
+    sets = items.groupingSets([["month", k] for k in kinds], "month", *kinds).agg(
+        F.grouping_id().alias("g"),
+        F.count("*").alias("n"),
+        F.sum("price").alias("p"),
+    )
     bit = {k: 1 << (len(kinds) - 1 - i) for i, k in enumerate(kinds)}
     of = lambda value: F.coalesce(*(F.when(F.col("g").bitwiseAND(bit[k]) == 0, value(k)) for k in kinds))
     months = sets.select("month", "n", "p", of(F.lit).alias("segment_type"), of(lambda k: F.col(k).cast("string")).alias("segment_value"))
     was, now = F.col("month") == previous, F.col("month") == current
     money = lambda c: F.coalesce(F.sum(F.when(c, F.col("p"))), F.lit(0)).cast("decimal(18,4)")
     rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    two = months.groupBy("segment_type", "segment_value").agg(rows(was).alias("q0"), money(was).alias("r0"), rows(now).alias("q1"), money(now).alias("r1"), F.count_if(F.col("month") <= previous).alias("months"))
+    two = months.groupBy("segment_type", "segment_value").agg(
+        rows(was).alias("q0"),
+        money(was).alias("r0"),
+        rows(now).alias("q1"),
+        money(now).alias("r1"),
+        F.count_if(F.col("month") <= previous).alias("months"),
+    )
     two = two.where("q0 + q1 > 0")
     change, n = F.col("r1") - F.col("r0"), F.col("q0") + F.col("q1")
     total = F.sum(change).over(Window.partitionBy("segment_type")).cast("double")
@@ -60,7 +80,12 @@ def ranked(segments: DataFrame) -> DataFrame:
 def dimension_ranking(segments: DataFrame) -> DataFrame:
     """Largest and total absolute change of each segment type."""
     size = F.abs("absolute_change")
-    return segments.groupBy("segment_type").agg(F.max(size).alias("max_contribution"), F.max_by("segment_value", F.struct(size, F.col("segment_value"))).alias("top_segment"), F.sum(size).cast("decimal(18,4)").alias("total_contribution"), F.count("*").alias("segments"))
+    return segments.groupBy("segment_type").agg(
+        F.max(size).alias("max_contribution"),
+        F.max_by("segment_value", F.struct(size, F.col("segment_value"))).alias("top_segment"),
+        F.sum(size).cast("decimal(18,4)").alias("total_contribution"),
+        F.count("*").alias("segments"),
+    )
 
 
 def reconciliation(segments: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -75,7 +100,14 @@ def monthly_pvm(items: DataFrame, key: str) -> DataFrame:
     base = items.groupBy("month", key).agg(F.count("*").alias("q"), F.sum("price").cast("decimal(18,4)").alias("r"))
     zero = F.lit(0).cast("decimal(18,4)")
     now = base.select("month", key, F.lit(0).cast("long").alias("q0"), zero.alias("r0"), F.col("q").alias("q1"), F.col("r").alias("r1"))
-    was = base.select(F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"), key, F.col("q").alias("q0"), F.col("r").alias("r0"), F.lit(0).cast("long").alias("q1"), zero.alias("r1"))
+    was = base.select(
+        F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM").alias("month"),
+        key,
+        F.col("q").alias("q0"),
+        F.col("r").alias("r0"),
+        F.lit(0).cast("long").alias("q1"),
+        zero.alias("r1"),
+    )
     grid = now.unionByName(was).groupBy("month", key).agg(*(F.sum(c).alias(c) for c in ("q0", "r0", "q1", "r1")))
     known = base.select("month").distinct()
     return pvm(grid, ["month"]).join(F.broadcast(known), "month", "left_semi")
@@ -85,7 +117,12 @@ def driver_rows(bridge: DataFrame) -> DataFrame:
     """One row per driver of a bridge: effect, percent of the size of the change, direction."""
     rows = bridge.selectExpr("total_change", "stack(3, 'volume', volume_effect, 'price', price_effect, 'mix', mix_effect) AS (driver, effect)")
     direction = F.when(F.col("effect") > 0, "UP").when(F.col("effect") < 0, "DOWN").otherwise("FLAT")
-    return rows.select("driver", "effect", F.round(F.try_divide(100 * F.col("effect"), F.abs("total_change")), 2).alias("pct_of_change"), direction.alias("direction"))
+    return rows.select(
+        "driver",
+        "effect",
+        F.round(F.try_divide(100 * F.col("effect"), F.abs("total_change")), 2).alias("pct_of_change"),
+        direction.alias("direction"),
+    )
 
 
 def worst_tier(*tiers: str):

@@ -9,7 +9,18 @@ from .canonical import MONEY, Canonical
 
 #: Contract values: coverage threshold in percent, absolute and relative materiality thresholds, least sample.
 COVERAGE_THRESHOLD = 95.0
-KPIS = ("revenue", "freight_revenue", "quantity_sold", "orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score", "review_volume", "repeat_purchase_rate")
+KPIS = (
+    "revenue",
+    "freight_revenue",
+    "quantity_sold",
+    "orders",
+    "aov",
+    "avg_delivery_days",
+    "on_time_delivery_rate",
+    "avg_review_score",
+    "review_volume",
+    "repeat_purchase_rate",
+)
 DIMENSIONS = ("day", "week", "month", "product_category", "product", "customer_state", "seller_state", "seller", "order_status")
 ITEM_DIMENSIONS = ("product_category", "product", "seller_state", "seller")
 REVIEW_VARIANTS = ("order_level_representative", "order_level_true_average", "review_level_average")
@@ -33,12 +44,18 @@ def bucket(ts: Column, grain: str) -> Column:
 
 def quality_tier(coverage: Column, threshold: float = COVERAGE_THRESHOLD) -> Column:
     """HIGH, MEDIUM (within 15 points), LOW, or UNKNOWN without a coverage."""
-    return F.when(coverage.isNull(), "UNKNOWN").when(coverage >= threshold, "HIGH").when(coverage >= max(threshold - 15, 0), "MEDIUM").otherwise("LOW")
+    return F.when(coverage.isNull(), "UNKNOWN").when(coverage >= threshold, "HIGH").when(
+        coverage >= max(threshold - 15, 0),
+        "MEDIUM",
+    ).otherwise("LOW")
 
 
 def coverage_warning(coverage: Column, excluded: Column, threshold: float = COVERAGE_THRESHOLD) -> Column:
     """A warning where coverage is below its threshold and something was left out, else null."""
-    return F.when((coverage < threshold) & (excluded > 0), F.format_string("coverage %.1f%% below %.1f%% (%d excluded)", coverage, F.lit(threshold), excluded))
+    return F.when(
+        (coverage < threshold) & (excluded > 0),
+        F.format_string("coverage %.1f%% below %.1f%% (%d excluded)", coverage, F.lit(threshold), excluded),
+    )
 
 
 def in_range(ts: str, start: str | None, end: str | None) -> Column:
@@ -104,7 +121,11 @@ class Kpi:
         """Item rows in scope with the columns that dims need, and no join that they don't."""
         out = self.t.items.join(self.orders(dims), "order_id")
         if "product_category" in dims:
-            out = out.join(self.t.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt) AS product_category"), "product_id", "left")
+            out = out.join(
+                self.t.dim_product.selectExpr("product_id", "coalesce(category_name_en, category_name_pt) AS product_category"),
+                "product_id",
+                "left",
+            )
         if "seller_state" in dims:
             out = out.join(self.t.dim_seller.select("seller_id", "seller_state"), "seller_id", "left")
         for name in ("product", "seller"):
@@ -128,7 +149,9 @@ class Kpi:
         items = self.items(dims)
         out = items.groupBy(*dims).agg(F.sum(column).cast(MONEY).alias("value"), F.count("*").alias("sample_size"))
         reached = self.t.items.select("order_id").distinct().withColumn("has", F.lit(1))
-        share = self.orders().select("order_id").join(reached, "order_id", "left").agg((100.0 * F.count("has") / F.nullif(F.count("*"), F.lit(0))).alias("coverage"))
+        share = self.orders().select("order_id").join(reached, "order_id", "left").agg(
+            (100.0 * F.count("has") / F.nullif(F.count("*"), F.lit(0))).alias("coverage")
+        )
         return out.crossJoin(F.broadcast(share))
 
     def _revenue(self, dims: list[str]) -> DataFrame:
@@ -138,16 +161,31 @@ class Kpi:
         return self._item_sum(dims, "freight_value")
 
     def _quantity_sold(self, dims: list[str]) -> DataFrame:
-        return self.items(dims).groupBy(*dims).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("sample_size")).withColumn("coverage", F.lit(100.0))
+        return self.items(dims).groupBy(*dims).agg(
+            F.count("*").cast("double").alias("value"),
+            F.count("*").alias("sample_size"),
+        ).withColumn("coverage", F.lit(100.0))
 
     def _orders(self, dims: list[str]) -> DataFrame:
-        return self.orders(dims).groupBy(*dims).agg(F.count_distinct("order_id").cast("double").alias("value"), F.count("*").alias("sample_size")).withColumn("coverage", F.lit(100.0))
+        return self.orders(dims).groupBy(*dims).agg(
+            F.count_distinct("order_id").cast("double").alias("value"),
+            F.count("*").alias("sample_size"),
+        ).withColumn("coverage", F.lit(100.0))
 
     def _aov(self, dims: list[str]) -> DataFrame:
         totals = self.t.items.groupBy("order_id").agg(F.sum("price").alias("total"))
-        out = self.orders(dims).join(totals, "order_id", "left").groupBy(*dims).agg(F.sum("total").alias("s"), F.count("total").alias("n"), F.count("*").alias("every"))
+        out = self.orders(dims).join(totals, "order_id", "left").groupBy(*dims).agg(
+            F.sum("total").alias("s"),
+            F.count("total").alias("n"),
+            F.count("*").alias("every"),
+        )
         coverage = F.lit(None).cast("double") if dims else F.try_divide(100.0 * F.col("n"), F.col("every"))
-        return out.select(*dims, F.try_divide(F.col("s").cast("double"), F.col("n")).alias("value"), F.col("n").alias("sample_size"), coverage.alias("coverage"))
+        return out.select(
+            *dims,
+            F.try_divide(F.col("s").cast("double"), F.col("n")).alias("value"),
+            F.col("n").alias("sample_size"),
+            coverage.alias("coverage"),
+        )
 
     def _delivery(self, dims: list[str], **values: Column) -> DataFrame:
         """values, with the orders left out for an invalid sequence of dates and for a missing date."""
@@ -181,7 +219,11 @@ class Kpi:
             return out.withColumn("coverage", F.when(F.col("sample_size") > 0, 100.0))
         score = "latest_review_score" if variant == REVIEW_VARIANTS[0] else "avg_review_score"
         rated = self.t.agg_order_reviews.select("order_id", score)
-        out = self.orders(dims).join(rated, "order_id", "left").groupBy(*dims).agg(F.avg(score).alias("value"), F.count(score).alias("sample_size"), F.count("*").alias("eligible"))
+        out = self.orders(dims).join(rated, "order_id", "left").groupBy(*dims).agg(
+            F.avg(score).alias("value"),
+            F.count(score).alias("sample_size"),
+            F.count("*").alias("eligible"),
+        )
         coverage = F.lit(None).cast("double") if dims else F.try_divide(100.0 * F.col("sample_size"), F.col("eligible"))
         return out.withColumn("coverage", coverage)
 
@@ -198,12 +240,20 @@ class Kpi:
         rows = self.reviews(dims)
         if has_text:
             rows = rows.where("has_text")
-        out = rows.groupBy(*dims).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("sample_size"), F.count_distinct("order_id").alias("distinct_orders"))
+        out = rows.groupBy(*dims).agg(
+            F.count("*").cast("double").alias("value"),
+            F.count("*").alias("sample_size"),
+            F.count_distinct("order_id").alias("distinct_orders"),
+        )
         return out.withColumn("coverage", F.lit(100.0))
 
     def _repeat_purchase_rate(self, dims: list[str], minimum: int = MINIMUM_OBSERVATIONS) -> DataFrame:
         people = self.orders(window=False).groupBy("customer_unique_id").agg(F.count_distinct("order_id").alias("n"))
-        out = people.agg(F.try_divide(F.count_if(F.col("n") >= 2), F.count("*")).alias("value"), F.count("*").alias("sample_size"), F.count_if(F.col("n") >= 2).alias("repeat_customers"))
+        out = people.agg(
+            F.try_divide(F.count_if(F.col("n") >= 2), F.count("*")).alias("value"),
+            F.count("*").alias("sample_size"),
+            F.count_if(F.col("n") >= 2).alias("repeat_customers"),
+        )
         few = F.when(F.col("sample_size") < minimum, F.format_string("%d customers, below the least of %d", F.col("sample_size"), F.lit(minimum)))
         return out.withColumn("coverage", F.lit(100.0)).withColumn("warning", few)
 
@@ -211,9 +261,15 @@ class Kpi:
 def compare_periods(tables: Canonical, current: str, previous: str, dim: str = "product_category") -> DataFrame:
     """Revenue of two months by segment in one scan: absolute and percent change (null where previous is 0 or null)."""
     rows = Kpi(tables, window=False).items([dim]).where(F.col("month").isin(current, previous))
-    both = rows.groupBy(dim).agg(F.sum(F.when(F.col("month") == previous, F.col("price"))).cast(MONEY).alias("previous"), F.sum(F.when(F.col("month") == current, F.col("price"))).cast(MONEY).alias("current"))
+    both = rows.groupBy(dim).agg(
+        F.sum(F.when(F.col("month") == previous, F.col("price"))).cast(MONEY).alias("previous"),
+        F.sum(F.when(F.col("month") == current, F.col("price"))).cast(MONEY).alias("current"),
+    )
     change = F.col("current").cast("double") - F.col("previous").cast("double")
-    return both.withColumn("absolute_change", F.round(change, 4)).withColumn("percent_change", F.round(F.try_divide(100 * change, F.abs(F.col("previous").cast("double"))), 6))
+    return both.withColumn("absolute_change", F.round(change, 4)).withColumn(
+        "percent_change",
+        F.round(F.try_divide(100 * change, F.abs(F.col("previous").cast("double"))), 6),
+    )
 
 
 #: Contract values: KPI, source, grain, unit, classification.
@@ -238,7 +294,11 @@ def contracts(spark) -> DataFrame:
 
 def overview(tables: Canonical, current: str, previous: str) -> DataFrame:
     """(kpi, previous, current, absolute_change, percent_change) of nine KPIs: one pass at order grain for both months, and one over reviews by their own date."""
-    both = tables.order_dates.where(F.col("month").isin(current, previous)).join(tables.agg_order_items.select("order_id", "item_price_total", "item_freight_total", "item_count"), "order_id", "left")
+    both = tables.order_dates.where(F.col("month").isin(current, previous)).join(
+        tables.agg_order_items.select("order_id", "item_price_total", "item_freight_total", "item_count"),
+        "order_id",
+        "left",
+    )
     both = both.join(tables.agg_order_reviews.select("order_id", "latest_review_score"), "order_id", "left")
     valid = F.col("delivery_data_quality_flag") == "VALID"
     values = {
@@ -247,16 +307,28 @@ def overview(tables: Canonical, current: str, previous: str) -> DataFrame:
         "on_time_delivery_rate": F.try_divide(F.count_if(valid & (F.col("delivery_delay_days") <= 0)), F.count_if(valid)), "avg_review_score": F.avg("latest_review_score"),
     }
     months = both.groupBy("month").agg(*(v.cast("double").alias(k) for k, v in values.items()))
-    rows = months.select("month", F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), F.col(k).alias("v")) for k in values))).alias("x")).select("month", "x.*")
+    rows = months.select(
+        "month",
+        F.explode(F.array(*(F.struct(F.lit(k).alias("kpi"), F.col(k).alias("v")) for k in values))).alias("x"),
+    ).select("month", "x.*")
     volume = Kpi(tables, window=False).compute("review_volume", ["month"]).where(F.col("month").isin(current, previous))
     rows = rows.unionByName(volume.select("month", F.lit("review_volume").alias("kpi"), F.col("value").alias("v")))
-    out = rows.groupBy("kpi").agg(F.round(F.max(F.when(F.col("month") == previous, F.col("v"))), 4).alias("previous"), F.round(F.max(F.when(F.col("month") == current, F.col("v"))), 4).alias("current"))
+    out = rows.groupBy("kpi").agg(
+        F.round(F.max(F.when(F.col("month") == previous, F.col("v"))), 4).alias("previous"),
+        F.round(F.max(F.when(F.col("month") == current, F.col("v"))), 4).alias("current"),
+    )
     change = F.col("current") - F.col("previous")
-    return out.withColumn("absolute_change", F.round(change, 4)).withColumn("percent_change", F.round(F.try_divide(100 * change, F.abs("previous")), 4))
+    return out.withColumn("absolute_change", F.round(change, 4)).withColumn(
+        "percent_change",
+        F.round(F.try_divide(100 * change, F.abs("previous")), 4),
+    )
 
 
 def contract_violations(tables: Canonical, statuses: tuple[str, ...]) -> DataFrame:
     """(rule, value, n): statuses outside the contract's, and item rows without a category."""
-    bad = tables.order_dates.where(~F.col("order_status").isin(*statuses)).groupBy(F.lit("status_not_allowed").alias("rule"), F.col("order_status").alias("value")).agg(F.count("*").alias("n"))
+    bad = tables.order_dates.where(~F.col("order_status").isin(*statuses)).groupBy(
+        F.lit("status_not_allowed").alias("rule"),
+        F.col("order_status").alias("value"),
+    ).agg(F.count("*").alias("n"))
     none = Kpi(tables, window=False).items(["product_category"]).where("product_category IS NULL").agg(F.count("*").alias("n")).where("n > 0")
     return bad.unionByName(none.select(F.lit("category_missing").alias("rule"), F.lit("NULL").alias("value"), "n"))

@@ -28,7 +28,10 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: rows, and how many of them repeat another one."""
-    return df.groupBy(F.struct(*df.columns).alias("row")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return df.groupBy(F.struct(*df.columns).alias("row")).agg(F.count("*").alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),
+    )
 
 
 def candidate_key(df: DataFrame, *key: str) -> DataFrame:
@@ -37,7 +40,12 @@ def candidate_key(df: DataFrame, *key: str) -> DataFrame:
     null = F.lit(False)
     for k in key:
         null = null | F.col(k).isNull()
-    out = grouped.agg(F.sum("n").alias("rows"), F.count("*").alias("unique_combinations"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("null_rows"))
+    out = grouped.agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("unique_combinations"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("null_rows"),
+    )
     return out.withColumn("is_key", (F.col("duplicate_rows") == 0) & (F.col("null_rows") == 0))
 
 
@@ -45,7 +53,10 @@ def foreign_key(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFr
     """Distinct keys on both sides, orphan keys and rows, and null keys."""
     keys = parent.select(F.col(pk).alias("k")).where("k IS NOT NULL").distinct()
     counted = child.groupBy(F.col(fk).alias("k")).agg(F.count("*").alias("n"))
-    orphans = counted.where("k IS NOT NULL").join(keys, "k", "left_anti").agg(F.count("*").alias("orphan_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"))
+    orphans = counted.where("k IS NOT NULL").join(keys, "k", "left_anti").agg(
+        F.count("*").alias("orphan_keys"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"),
+    )
     own = counted.agg(F.count("k").alias("child_keys"), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("null_rows"))
     return own.crossJoin(keys.agg(F.count("*").alias("parent_keys"))).crossJoin(orphans)
 
@@ -54,7 +65,13 @@ def cardinality(parent: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFr
     """Children per parent: mean, median, max, share of none and of several; parents without children count."""
     counted = child.groupBy(F.col(fk).alias("k")).agg(F.count("*").alias("n"))
     out = parent.select(F.col(pk).alias("k")).distinct().join(counted, "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.max("n").alias("max"), F.round(100.0 * F.count_if(F.col("n") == 0) / F.count("*"), 6).alias("pct_zero"), F.round(100.0 * F.count_if(F.col("n") > 1) / F.count("*"), 6).alias("pct_multiple"))
+    return out.agg(
+        F.round(F.avg("n"), 6).alias("mean"),
+        F.median("n").alias("median"),
+        F.max("n").alias("max"),
+        F.round(100.0 * F.count_if(F.col("n") == 0) / F.count("*"), 6).alias("pct_zero"),
+        F.round(100.0 * F.count_if(F.col("n") > 1) / F.count("*"), 6).alias("pct_multiple"),
+    )
 
 
 def suspicious(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -66,7 +83,13 @@ def suspicious(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 def date_column(df: DataFrame, column: str) -> DataFrame:
     """parseable, failed and null values of a text column of dates, with the range."""
     ts = F.try_to_timestamp(F.col(column))
-    return df.agg(F.count(ts).alias("parseable"), F.count_if(F.col(column).isNotNull() & ts.isNull()).alias("failed"), F.count_if(F.col(column).isNull()).alias("nulls"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+    return df.agg(
+        F.count(ts).alias("parseable"),
+        F.count_if(F.col(column).isNotNull() & ts.isNull()).alias("failed"),
+        F.count_if(F.col(column).isNull()).alias("nulls"),
+        F.min(ts).alias("first"),
+        F.max(ts).alias("last"),
+    )
 
 
 #: Accented letters and what stands for them when names are compared.
@@ -82,8 +105,20 @@ def geolocation_profile(geo: DataFrame) -> DataFrame:
     """One row: exact duplicate rows, prefixes of several cities (raw and folded) or wide coordinates, rows per prefix."""
     once = geo.groupBy(*geo.columns).agg(F.count("*").alias("n"))
     wide = lambda c: F.coalesce(F.stddev(c) > 0.1, F.lit(False))
-    per = geo.groupBy("prefix").agg(F.count("*").alias("n"), F.count_distinct("city").alias("cities"), F.count_distinct(fold(F.col("city"))).alias("folded"), (wide("lat") | wide("lng")).alias("wide"))
-    out = per.agg(F.count_if(F.col("cities") > 1).alias("multi_city"), F.count_if(F.col("folded") > 1).alias("multi_city_folded"), F.count_if("wide").alias("wide_spread"), F.min("n").alias("min_rows"), F.median("n").alias("median_rows"), F.max("n").alias("max_rows"))
+    per = geo.groupBy("prefix").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("city").alias("cities"),
+        F.count_distinct(fold(F.col("city"))).alias("folded"),
+        (wide("lat") | wide("lng")).alias("wide"),
+    )
+    out = per.agg(
+        F.count_if(F.col("cities") > 1).alias("multi_city"),
+        F.count_if(F.col("folded") > 1).alias("multi_city_folded"),
+        F.count_if("wide").alias("wide_spread"),
+        F.min("n").alias("min_rows"),
+        F.median("n").alias("median_rows"),
+        F.max("n").alias("max_rows"),
+    )
     return once.agg((F.sum("n") - F.count("*")).alias("duplicate_rows")).crossJoin(out)
 
 
@@ -93,8 +128,18 @@ def relationships(pairs: dict) -> DataFrame:
     for name, (left, lk, right, rk) in pairs.items():
         a, b = left.groupBy(F.col(lk).alias("k")).agg(F.count("*").alias("l")), right.groupBy(F.col(rk).alias("k")).agg(F.count("*").alias("r"))
         total = lambda x, other, has: F.coalesce(F.sum(F.when(F.col(other).isNotNull() if has else F.col(other).isNull(), F.col(x))), F.lit(0))
-        row = a.join(b, "k", "full_outer").agg(total("l", "r", True).alias("left_matched"), total("l", "r", False).alias("left_unmatched"), total("r", "l", True).alias("right_matched"), total("r", "l", False).alias("right_unmatched"), F.max("l").alias("left_max"), F.max("r").alias("right_max"))
-        kind = F.when((F.col("left_max") > 1) & (F.col("right_max") > 1), "N:M").when(F.col("left_max") > 1, "N:1").when(F.col("right_max") > 1, "1:N").otherwise("1:1")
+        row = a.join(b, "k", "full_outer").agg(
+            total("l", "r", True).alias("left_matched"),
+            total("l", "r", False).alias("left_unmatched"),
+            total("r", "l", True).alias("right_matched"),
+            total("r", "l", False).alias("right_unmatched"),
+            F.max("l").alias("left_max"),
+            F.max("r").alias("right_max"),
+        )
+        kind = F.when(
+            (F.col("left_max") > 1) & (F.col("right_max") > 1),
+            "N:M",
+        ).when(F.col("left_max") > 1, "N:1").when(F.col("right_max") > 1, "1:N").otherwise("1:1")
         row = row.select(F.lit(name).alias("relationship"), "*", kind.alias("multiplicity"), (F.col("right_max") > 1).alias("fanout_risk"))
         out = row if out is None else out.unionByName(row)
     return out

@@ -29,18 +29,26 @@ def baselines(series: DataFrame) -> DataFrame:
     out = out.withColumn("rolling_mean", mean).withColumn("rolling_median", F.when(n >= LEAST, _median(F.col("h"))))
     spread = F.when(n >= LEAST, F.sqrt(total(F.col("h"), lambda x: (x - F.col("rolling_mean")) * (x - F.col("rolling_mean"))) / (n - 1)))
     alpha = 2 / (SPAN + 1)
-    smooth = F.when(F.size("all") >= 2, F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, v: alpha * v + (1 - alpha) * a))
+    smooth = F.when(
+        F.size("all") >= 2,
+        F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, v: alpha * v + (1 - alpha) * a),
+    )
     out = out.withColumn("rolling_std", spread).withColumn("ewma", smooth).withColumn("previous_period", F.get("all", F.size("all") - 1))
     out = out.withColumn("seasonal", F.when(F.count("value").over(season) >= 2, F.avg("value").over(season)))
     out = out.withColumn("baseline", F.coalesce("seasonal", "rolling_mean", "ewma", "previous_period"))
-    name = F.when(F.col("seasonal").isNotNull(), "seasonal").when(F.col("rolling_mean").isNotNull(), "rolling_mean").when(F.col("ewma").isNotNull(), "ewma").when(F.col("previous_period").isNotNull(), "previous_period")
+    name = F.when(F.col("seasonal").isNotNull(), "seasonal").when(F.col("rolling_mean").isNotNull(), "rolling_mean").when(F.col("ewma").isNotNull(), "ewma").when(
+        F.col("previous_period").isNotNull(),
+        "previous_period",
+    )
     return out.withColumn("method", name).drop("all")
 
 
 def _median(a: Column) -> Column:
     s = F.array_sort(a)
     n = F.size(a)
-    return F.when(n == 0, F.lit(None).cast("double")).otherwise((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+    return F.when(n == 0, F.lit(None).cast("double")).otherwise(
+        (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    )
 
 
 def signals(based: DataFrame) -> DataFrame:
@@ -49,7 +57,10 @@ def signals(based: DataFrame) -> DataFrame:
     away = F.transform("h", lambda x: F.abs(x - F.col("rolling_median")))
     out = out.withColumn("mad", F.when(F.col("rolling_median").isNotNull(), 1.4826 * _median(away)))
     out = out.withColumn("robust_z", F.try_divide(F.col("value") - F.col("rolling_median"), F.nullif(F.col("mad"), F.lit(0.0))))
-    return out.withColumn("percentile", F.when((F.size("h") > 0) & F.col("value").isNotNull(), 100.0 * F.size(F.filter("h", lambda x: x <= F.col("value"))) / F.size("h")))
+    return out.withColumn(
+        "percentile",
+        F.when((F.size("h") > 0) & F.col("value").isNotNull(), 100.0 * F.size(F.filter("h", lambda x: x <= F.col("value"))) / F.size("h")),
+    )
 
 
 def tier(ratio: Column, steps: tuple[float, float, float]) -> Column:
@@ -65,8 +76,13 @@ def materiality(signal: DataFrame, absolute: float, relative: float, z: float =
     out = out.withColumn("statistical_tier", tier(F.greatest(F.abs("z"), F.abs("robust_z")) / z, (1, 1.5, 2.5)))
     out = out.withColumn("impact_tier", tier(F.abs("change") / (impact or absolute), (1, 2, 4)))
     three = F.array("magnitude_tier", "statistical_tier", "impact_tier")
-    out = out.withColumn("combined_tier", F.get(F.array_sort(three), F.lit(1))).withColumn("score", F.round((F.col("magnitude_tier") + F.col("statistical_tier") + F.col("impact_tier")) / 9.0, 3))
-    name = F.when(F.col("value").isNull() | F.col("baseline").isNull(), "INSUFFICIENT_DATA").otherwise(F.element_at(F.array(*(F.lit(x) for x in ("NORMAL", "WATCH", "MATERIAL", "CRITICAL"))), F.col("combined_tier") + 1))
+    out = out.withColumn("combined_tier", F.get(F.array_sort(three), F.lit(1))).withColumn(
+        "score",
+        F.round((F.col("magnitude_tier") + F.col("statistical_tier") + F.col("impact_tier")) / 9.0, 3),
+    )
+    name = F.when(F.col("value").isNull() | F.col("baseline").isNull(), "INSUFFICIENT_DATA").otherwise(
+        F.element_at(F.array(*(F.lit(x) for x in ("NORMAL", "WATCH", "MATERIAL", "CRITICAL"))), F.col("combined_tier") + 1)
+    )
     return out.withColumn("verdict", name)
 
 
@@ -83,7 +99,13 @@ def impact(material: DataFrame, additive: bool, name: str, minimum: float | None
     told = F.when(missing, F.lit(f"{name}: no impact without a value and a baseline")).otherwise(amount if additive else shift)
     meets = F.when(~missing, F.abs(magnitude) >= minimum) if minimum else F.lit(None).cast("boolean")
     return material.select(
-        "series_id", "period", F.lit("additive" if additive else "rate_or_average").alias("kpi_kind"), magnitude.alias("magnitude"), people.alias("affected_population"), meets.alias("meets_minimum"), told.alias("interpretation")
+        "series_id",
+        "period",
+        F.lit("additive" if additive else "rate_or_average").alias("kpi_kind"),
+        magnitude.alias("magnitude"),
+        people.alias("affected_population"),
+        meets.alias("meets_minimum"),
+        told.alias("interpretation"),
     )
 
 
@@ -117,13 +139,24 @@ def select_level(levels: DataFrame, least: int, keys: list[str]) -> DataFrame:
     reason = F.when(F.col("insufficient"), "all_levels_insufficient").when(skipped != "", F.concat(skipped, F.lit("_history_insufficient")))
     first = F.get("l", F.lit(0))["level_rank"]
     out = out.withColumn("confidence", level_confidence(F.col("chosen.n_periods"), F.col("chosen.level_rank") > first, F.col("insufficient")))
-    return out.select(*keys, F.col("chosen.level").alias("level"), F.col("chosen.n_periods").alias("n_periods"), F.col("chosen.observations").alias("observations"), reason.alias("fallback_reason"), "insufficient", "confidence")
+    return out.select(
+        *keys,
+        F.col("chosen.level").alias("level"),
+        F.col("chosen.n_periods").alias("n_periods"),
+        F.col("chosen.observations").alias("observations"),
+        reason.alias("fallback_reason"),
+        "insufficient",
+        "confidence",
+    )
 
 
 def level_confidence(n_periods: Column, fallback: Column, insufficient: Column) -> Column:
     """NONE if insufficient; HIGH or MEDIUM for the first level, MEDIUM or LOW for one fallen back to."""
     healthy = n_periods >= 2 * LEAST
-    return F.when(insufficient, "NONE").when(~fallback, F.when(healthy, "HIGH").otherwise("MEDIUM")).otherwise(F.when(healthy, "MEDIUM").otherwise("LOW"))
+    return F.when(insufficient, "NONE").when(
+        ~fallback,
+        F.when(healthy, "HIGH").otherwise("MEDIUM"),
+    ).otherwise(F.when(healthy, "MEDIUM").otherwise("LOW"))
 
 
 def agreement(signal: DataFrame) -> DataFrame:
@@ -147,14 +180,20 @@ def verdict(material: DataFrame, absolute: float, relative: float, least: int, c
     poor = F.coalesce(F.col("sample_size") < least, F.lit(True))
     if coverage is not None:
         poor = poor | F.coalesce(F.col("coverage") < coverage, F.lit(True))
-    out = material.withColumn("spread", F.array_max(tiers) - F.array_min(tiers)).withColumn("baseline_confidence", sure).withColumn("low_quality", poor)
+    out = material.withColumn(
+        "spread",
+        F.array_max(tiers) - F.array_min(tiers),
+    ).withColumn("baseline_confidence", sure).withColumn("low_quality", poor)
     split = (F.col("method") != "seasonal") & (F.size(tiers) >= 2) & (F.col("spread") >= 2)
     capped = F.col("baseline_confidence").isin("LOW", "NONE") | F.col("low_quality")
     final = F.when(capped, F.least("combined_tier", F.lit(1))).otherwise(F.col("combined_tier"))
     named = F.element_at(F.array(*(F.lit(x) for x in ("NORMAL", "WATCH", "MATERIAL", "CRITICAL"))), final + 1)
     missing = F.col("value").isNull() | F.col("baseline").isNull()
     out = out.withColumn("final_verdict", F.when(missing, "INSUFFICIENT_DATA").when(split, "BASELINE_DISAGREEMENT").otherwise(named))
-    return out.withColumn("final_score", F.when(~missing & ~split, F.col("score"))).withColumn("capped", F.coalesce(~missing & ~split & capped & (F.col("combined_tier") > 1), F.lit(False)))
+    return out.withColumn("final_score", F.when(~missing & ~split, F.col("score"))).withColumn(
+        "capped",
+        F.coalesce(~missing & ~split & capped & (F.col("combined_tier") > 1), F.lit(False)),
+    )
 
 
 def persistence(material: DataFrame, absolute: float, relative: float, required: int = 2) -> DataFrame:
@@ -173,14 +212,27 @@ def persistence(material: DataFrame, absolute: float, relative: float, required:
 
         def step(state: Column, row: Column) -> Column:
             goes = state["open"] & F.coalesce(far(row["value"], x["baseline"]) & alike(row["value"], x["value"], x["baseline"]), F.lit(False))
-            return F.struct((state["run"] + goes.cast("int")).alias("run"), goes.alias("open"), F.when(goes, F.abs(row["value"] - x["baseline"])).otherwise(state["last"]).alias("last"))
-
-        return F.struct(x.alias("row"), F.get("rows", i + 1)["value"].alias("first"), F.aggregate(F.slice("rows", i + 2, F.size("rows")), start, step).alias("run"))
-
-    whole = material.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("period", *(c for c in material.columns if c != "period")))).alias("rows"))
+            return F.struct(
+                (state["run"] + goes.cast("int")).alias("run"),
+                goes.alias("open"),
+                F.when(goes, F.abs(row["value"] - x["baseline"])).otherwise(state["last"]).alias("last"),
+            )
+
+        return F.struct(
+            x.alias("row"),
+            F.get("rows", i + 1)["value"].alias("first"),
+            F.aggregate(F.slice("rows", i + 2, F.size("rows")), start, step).alias("run"),
+        )
+
+    whole = material.groupBy("series_id").agg(
+        F.array_sort(F.collect_list(F.struct("period", *(c for c in material.columns if c != "period")))).alias("rows")
+    )
     out = whole.select(F.explode(F.transform("rows", later)).alias("x")).select("x.row.*", "x.first", "x.run")
     unknown = F.col("value").isNull() | base.isNull() | F.col("first").isNull()
-    affected = F.when(F.col("value").isNull() | base.isNull(), 0).when(unknown | ~moved(F.col("first")) | ~same(F.col("first")), 1).otherwise(1 + F.col("run.run"))
+    affected = F.when(F.col("value").isNull() | base.isNull(), 0).when(
+        unknown | ~moved(F.col("first")) | ~same(F.col("first")),
+        1,
+    ).otherwise(1 + F.col("run.run"))
     name = (
         F.when(unknown, "UNKNOWN").when(~moved(F.col("first")), "ONE_OFF").when(~same(F.col("first")), "REVERSING")
         .when((1 + F.col("run.run") >= required) & (F.col("run.last") > F.abs(delta)), "TRENDING").otherwise("PERSISTENT")

@@ -132,9 +132,18 @@ def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
                 rows = np.flatnonzero(width == d)
                 m = flat[start[rows][:, None] + np.arange(d)]
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([{"ids": ids[rows].tobytes(), "m": m.tobytes()}], pa.struct([("ids", pa.binary()), ("m", pa.binary())]))], ["dims", name])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([d], pa.int32()),
+                        pa.array([{"ids": ids[rows].tobytes(), "m": m.tobytes()}], pa.struct([("ids", pa.binary()), ("m", pa.binary())])),
+                    ],
+                    ["dims", name],
+                )
 
-    return df.where("embedding IS NOT NULL").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"dims int, {name} struct<ids: binary, m: binary>")
+    return df.where("embedding IS NOT NULL").select(
+        F.col(key).cast("long").alias(key),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    ).mapInArrow(run, f"dims int, {name} struct<ids: binary, m: binary>")
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -154,7 +163,14 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 for at in range(0, len(asking), BLOCK):
                     scores = np.round(q[at : at + BLOCK] @ v.T, 6)
                     best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking[at : at + BLOCK], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(asking[at : at + BLOCK], best.shape[1])),
+                            pa.array(ids[best].ravel()),
+                            pa.array(np.take_along_axis(scores, best, 1).ravel()),
+                        ],
+                        ["query_id", "vec_id", "score"],
+                    )
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -200,14 +216,28 @@ def safety(text: Column) -> Column:
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
     """precision (of the returned), recall and reciprocal rank of each query. relevant: (query_id, key)."""
     marked = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query_id", key], "left")
-    per = marked.groupBy("query_id").agg(F.count("*").alias("returned"), F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    per = marked.groupBy("query_id").agg(
+        F.count("*").alias("returned"),
+        F.count("hit").alias("hits"),
+        F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
+    )
     wanted = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
     out = per.join(wanted, "query_id")
-    return out.select("query_id", F.round(F.try_divide("hits", "returned"), 6).alias("precision"), F.round(F.try_divide("hits", "relevant"), 6).alias("recall"), F.round(F.coalesce(F.try_divide(F.lit(1), "first"), F.lit(0.0)), 6).alias("reciprocal_rank"))
+    return out.select(
+        "query_id",
+        F.round(F.try_divide("hits", "returned"), 6).alias("precision"),
+        F.round(F.try_divide("hits", "relevant"), 6).alias("recall"),
+        F.round(F.coalesce(F.try_divide(F.lit(1), "first"), F.lit(0.0)), 6).alias("reciprocal_rank"),
+    )
 
 
 # Frequent words by which a language is guessed.
-WORDS = {"de": ("der", "die", "und", "das", "ist", "zu", "den"), "en": ("the", "of", "and", "is", "that", "with", "on"), "es": ("el", "los", "que", "de", "del", "las", "con"), "fr": ("le", "les", "et", "pour", "dans", "pas", "que")}
+WORDS = {
+    "de": ("der", "die", "und", "das", "ist", "zu", "den"),
+    "en": ("the", "of", "and", "is", "that", "with", "on"),
+    "es": ("el", "los", "que", "de", "del", "las", "con"),
+    "fr": ("le", "les", "et", "pour", "dans", "pas", "que"),
+}
 DIMENSION, MMR = 64, 0.7
 
 
@@ -245,7 +275,10 @@ def _bucket(term: Column) -> Column:
 
 def hash_buckets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, bucket, n): feature hashing of the tokens, the embedding that needs no model."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, _bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
+    return docs.select(
+        key,
+        F.explode(tokens(F.col(text))).alias("term"),
+    ).groupBy(key, _bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def hash_vectors(words: DataFrame, key: str) -> DataFrame:
@@ -256,7 +289,10 @@ def hash_vectors(words: DataFrame, key: str) -> DataFrame:
             buckets = batch.column("b")
             row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(buckets.offsets)))
             n = np.bincount(row * DIMENSION + np.asarray(buckets.flatten()), minlength=len(batch) * DIMENSION).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * DIMENSION, pa.array(n))], [key, "embedding"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * DIMENSION, pa.array(n))],
+                [key, "embedding"],
+            )
 
     rows = words.where(F.size("w") > 0).select(key, F.transform("w", _bucket).alias("b"))
     return rows.mapInArrow(run, f"{key} {dict(words.dtypes)[key]}, embedding array<double>")
@@ -318,7 +354,10 @@ def diversify(ranked: DataFrame, group: str, k: int, key: str = "doc_id") -> Dat
     """Round robin over the values of group, in the order in which they first appear."""
     within = Window.partitionBy("query_id", group)
     out = ranked.withColumn("turn", F.row_number().over(within.orderBy("rank"))).withColumn("best", F.min("rank").over(within))
-    return out.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "best"))).where(F.col("new_rank") <= k).select("query_id", key, group, F.col("new_rank").alias("rank"))
+    return out.withColumn(
+        "new_rank",
+        F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "best")),
+    ).where(F.col("new_rank") <= k).select("query_id", key, group, F.col("new_rank").alias("rank"))
 
 
 def structured(equal: dict[str, str] | None = None, score_min: int | None = None, score_max: int | None = None, months: tuple[str, str] | None = None, clearance: str = "RESTRICTED") -> Column:

@@ -39,7 +39,15 @@ _BUNDLE = f"{_OVER}, {_seg_sql()}, {_DETECT}, ev AS ({' UNION ALL '.join(_PARTS.
 def observations(c):
     months = _items(c).groupBy("month").agg(F.sum("price").alias("v"), F.count("*").alias("n"))
     sure = F.when(F.col("n") >= 30, "HIGH").when(F.col("n") >= 5, "MEDIUM").otherwise("LOW")
-    return E.rows(months, "KPI_OBSERVATION", "obs", F.concat(F.lit("revenue:"), "month"), F.col("v"), sure, F.format_string("revenue in %s from %d items", "month", "n"))
+    return E.rows(
+        months,
+        "KPI_OBSERVATION",
+        "obs",
+        F.concat(F.lit("revenue:"), "month"),
+        F.col("v"),
+        sure,
+        F.format_string("revenue in %s from %d items", "month", "n"),
+    )
 
 
 def movements(c):
@@ -49,20 +57,49 @@ def movements(c):
 
 def drivers(c):
     rows = D.driver_rows(D.pvm(D.two_periods(_items(c, "product_category"), "product_category", _NOW, _WAS)))
-    return E.rows(rows, "DRIVER_CONTRIBUTION", "drv", F.col("driver"), F.col("effect"), F.lit("HIGH"), F.concat("driver", F.lit(" effect on revenue")))
+    return E.rows(
+        rows,
+        "DRIVER_CONTRIBUTION",
+        "drv",
+        F.col("driver"),
+        F.col("effect"),
+        F.lit("HIGH"),
+        F.concat("driver", F.lit(" effect on revenue")),
+    )
 
 
 def segment_rows(c):
     seller = F.col("segment_type") == "seller_state"
     claim = F.concat(F.when(seller, "change driven by ").otherwise("change in "), "segment_value")
-    return E.rows(segments(c), "SEGMENT_CONTRIBUTION", "seg", F.concat_ws(":", "segment_type", "segment_value"), F.col("absolute_change"), F.col("confidence"), claim, F.least(F.lit(1.0), F.col("history_months") / 6), seller)
+    return E.rows(
+        segments(c),
+        "SEGMENT_CONTRIBUTION",
+        "seg",
+        F.concat_ws(":", "segment_type", "segment_value"),
+        F.col("absolute_change"),
+        F.col("confidence"),
+        claim,
+        F.least(F.lit(1.0), F.col("history_months") / 6),
+        seller,
+    )
 
 
 def anomalies(c):
     now = detected(c).where(F.col("period") == _NOW)
     sure = F.when(F.col("n_history") >= 6, "HIGH").when(F.col("n_history") >= 3, "MEDIUM").otherwise("LOW")
-    signal = E.rows(now, "ANOMALY_SIGNAL", "sig", F.col("series_id"), F.col("score"), sure, F.concat("series_id", F.lit(" scored")), F.least(F.lit(1.0), F.col("n_history") / 3))
-    return signal.unionByName(E.rows(now, "STATISTICAL_RESULT", "sta", F.col("series_id"), F.round("z", 4), sure, F.concat("series_id", F.lit(" against its history"))))
+    signal = E.rows(
+        now,
+        "ANOMALY_SIGNAL",
+        "sig",
+        F.col("series_id"),
+        F.col("score"),
+        sure,
+        F.concat("series_id", F.lit(" scored")),
+        F.least(F.lit(1.0), F.col("n_history") / 3),
+    )
+    return signal.unionByName(
+        E.rows(now, "STATISTICAL_RESULT", "sta", F.col("series_id"), F.round("z", 4), sure, F.concat("series_id", F.lit(" against its history")))
+    )
 
 
 def bundle(c):
@@ -107,26 +144,61 @@ query("j9_two_proportions", f"""SELECT customer_state, x1, n1, x2, n2, round(CAS
     SELECT customer_state, count(*) FILTER (month < '1998-01' AND order_status = 'delivered') AS x1, count(*) FILTER (month < '1998-01') AS n1, count(*) FILTER (month >= '1998-01' AND order_status = 'delivered') AS x2, count(*) FILTER (month >= '1998-01') AS n2 FROM fact_orders GROUP BY 1)""")(
     lambda c: K.Kpi(c, window=False).orders(["customer_state"]).groupBy("customer_state").agg(*(F.count_if(F.expr(t)).alias(n) for n, t in (("x1", "month < '1998-01' AND order_status = 'delivered'"), ("n1", "month < '1998-01'"), ("x2", "month >= '1998-01' AND order_status = 'delivered'"), ("n2", "month >= '1998-01'")))).withColumn("z", F.round(E.two_proportion_z(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2")), 6))
 )
-query("j11_visible_evidence", f"WITH {_BUNDLE} SELECT evidence_id, evidence_type, subject FROM ev WHERE classification = 'PUBLIC_ANALYTICAL'")(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").select("evidence_id", "evidence_type", "subject"))
+query(
+    "j11_visible_evidence",
+    f"WITH {_BUNDLE} SELECT evidence_id, evidence_type, subject FROM ev WHERE classification = 'PUBLIC_ANALYTICAL'",
+)(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").select("evidence_id", "evidence_type", "subject"))
 query("j15_evidence_lookup", f"WITH {_BUNDLE} SELECT evidence_id, claim, value FROM ev WHERE subject = 'customer_state:' || (SELECT min(segment_value) FROM seg WHERE segment_type = 'customer_state')")(
-    lambda c: (lambda e: e.join(F.broadcast(e.where("subject LIKE 'customer_state:%'").agg(F.min("subject").alias("subject"))), "subject", "left_semi").select("evidence_id", "claim", "value"))(E.visible(bundle(c), "PUBLIC_ANALYTICAL"))
+    lambda c: (
+        lambda e: e.join(
+            F.broadcast(e.where("subject LIKE 'customer_state:%'").agg(F.min("subject").alias("subject"))),
+            "subject",
+            "left_semi",
+        ).select("evidence_id", "claim", "value")
+    )(E.visible(bundle(c), "PUBLIC_ANALYTICAL"))
 )
 #: Roles are the customers' segments; tools are the kinds of event. Allowed pairs:
-_POLICY = (("BUILDING", "view"), ("BUILDING", "click"), ("MACHINERY", "view"), ("MACHINERY", "purchase"), ("FURNITURE", "error"), ("HOUSEHOLD", "signup"), ("HOUSEHOLD", "view"))
+_POLICY = (
+    ("BUILDING", "view"),
+    ("BUILDING", "click"),
+    ("MACHINERY", "view"),
+    ("MACHINERY", "purchase"),
+    ("FURNITURE", "error"),
+    ("HOUSEHOLD", "signup"),
+    ("HOUSEHOLD", "view"),
+)
 _LEVEL = {"BUILDING": "PUBLIC_ANALYTICAL", "HOUSEHOLD": "PUBLIC_ANALYTICAL", "MACHINERY": "INTERNAL", "FURNITURE": "RESTRICTED"}
 query("j16_policy_violations", f"""SELECT event_id, user_id, c_mktsegment AS role, event_type AS tool, CASE c_mktsegment {' '.join(f"WHEN '{r}' THEN '{v}'" for r, v in _LEVEL.items())} ELSE 'PUBLIC_ANALYTICAL' END AS clearance
     FROM events LEFT JOIN customer ON c_custkey = user_id WHERE (c_mktsegment, event_type) NOT IN (VALUES {', '.join(map(str, _POLICY))}) OR c_mktsegment IS NULL""")(
     lambda c: E.policy_violations(c.raw("events").select("event_id", "user_id", F.col("event_type").alias("tool")), c.raw("customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS role"), c.spark.createDataFrame(_POLICY, "role string, tool string"))
     .select("event_id", "user_id", "role", "tool", E.clearance_of(F.col("role"), _LEVEL).alias("clearance"))
 )
-query("j17_graph_export", f"WITH {_CLS} SELECT classification AS relationship_type, count(*) AS edges, count(DISTINCT segment_value) AS nodes FROM cls WHERE hypothesis_id <> 'seller_state' GROUP BY 1")(lambda c: classified(c).where("hypothesis_id <> 'seller_state'").groupBy(F.col("classification").alias("relationship_type")).agg(F.count("*").alias("edges"), F.count_distinct("segment_value").alias("nodes")))
-query("j18_listing", f"WITH {_BUNDLE} SELECT evidence_type, count(*) AS n FROM ev WHERE classification = 'PUBLIC_ANALYTICAL' GROUP BY 1")(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").groupBy("evidence_type").agg(F.count("*").alias("n")))
+query("j17_graph_export", f"WITH {_CLS} SELECT classification AS relationship_type, count(*) AS edges, count(DISTINCT segment_value) AS nodes FROM cls WHERE hypothesis_id <> 'seller_state' GROUP BY 1")(
+    lambda c: classified(c).where("hypothesis_id <> 'seller_state'").groupBy(F.col("classification").alias("relationship_type")).agg(
+        F.count("*").alias("edges"),
+        F.count_distinct("segment_value").alias("nodes"),
+    )
+)
+query(
+    "j18_listing",
+    f"WITH {_BUNDLE} SELECT evidence_type, count(*) AS n FROM ev WHERE classification = 'PUBLIC_ANALYTICAL' GROUP BY 1",
+)(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").groupBy("evidence_type").agg(F.count("*").alias("n")))
 
 # L: decisions
 _ONTOLOGY = (
     ("product_category", ["category"], "promote", "promote {target}", "MODERATE", "MEDIUM", "HIGH", ["revenue", "orders"], ["budget", "inventory"]),
     ("product_category", None, "reprice", "reprice {target}", "STRONG", "LOW", "HIGH", ["revenue", "aov"], ["budget", "decision_rights"]),
-    ("state", ["customer_state"], "ship_faster", "faster delivery to {target}", "WEAK", "HIGH", "MEDIUM", ["avg_delivery_days", "revenue"], ["operational_capacity", "geography"]),
+    (
+        "state",
+        ["customer_state"],
+        "ship_faster",
+        "faster delivery to {target}",
+        "WEAK",
+        "HIGH",
+        "MEDIUM",
+        ["avg_delivery_days", "revenue"],
+        ["operational_capacity", "geography"],
+    ),
 )
 _SCORE = {"HIGH": 0.9, "MEDIUM": 0.6, "LOW": 0.3}
 
@@ -140,9 +212,19 @@ def signals(c):
 
 
 def actions(c):
-    ontology = c.spark.createDataFrame(_ONTOLOGY, "driver string, aliases array<string>, action_type string, template string, link string, effort string, controllability string, kpis array<string>, relevant array<string>")
+    ontology = c.spark.createDataFrame(
+        _ONTOLOGY,
+        "driver string, aliases array<string>, action_type string, template string, link string, effort string, controllability string, kpis array<string>, relevant array<string>",
+    )
     out = L.with_impact(L.candidates(signals(c), ontology)).withColumn("action_id", F.concat_ws(":", "signal_id", "action_type"))
-    return out.selectExpr("*", "population % 50 AS budget_pct", "population % 120 AS utilization_pct", "population AS units", "CASE WHEN population % 5 > 0 THEN population % 7 > 0 END AS coverage", "population % 3 > 0 AS owner_allowed")
+    return out.selectExpr(
+        "*",
+        "population % 50 AS budget_pct",
+        "population % 120 AS utilization_pct",
+        "population AS units",
+        "CASE WHEN population % 5 > 0 THEN population % 7 > 0 END AS coverage",
+        "population % 3 > 0 AS owner_allowed",
+    )
 
 
 _ACT = f"""{_seg_sql()}, sg AS (SELECT segment_type || ':' || segment_value AS signal_id, segment_type AS driver, segment_value AS target, CASE WHEN previous > 0 THEN absolute_change END AS effect, sample_size AS population, CASE confidence WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.3 END::DOUBLE AS signal_confidence,
@@ -164,15 +246,40 @@ def ranked(c):
 
 
 query("l1_candidates", f"WITH {_ACT} SELECT action_id, action FROM act")(lambda c: actions(c).select("action_id", "action"))
-query("l2_expected_impact", f"WITH {_ACT} SELECT action_id, round(estimated_effect, 2) AS estimated_effect, missing FROM act")(lambda c: actions(c).select("action_id", F.round("estimated_effect", 2).alias("estimated_effect"), "missing"))
+query(
+    "l2_expected_impact",
+    f"WITH {_ACT} SELECT action_id, round(estimated_effect, 2) AS estimated_effect, missing FROM act",
+)(lambda c: actions(c).select("action_id", F.round("estimated_effect", 2).alias("estimated_effect"), "missing"))
 query("l3_constraints", f"WITH {_ACT} SELECT * FROM cs")(lambda c: L.constraints(actions(c)))
-query("l4_confidence", f"WITH {_ACT} SELECT action_id, round(confidence, 6) AS confidence FROM act")(lambda c: actions(c).select("action_id", F.round("confidence", 6).alias("confidence")))
-query("l5_priority", f"WITH {_ACT} SELECT action_id, control, effort AS effort_score, round(priority, 2) AS priority FROM act")(lambda c: actions(c).select("action_id", "control", "effort_score", F.round("priority", 2).alias("priority")))
+query(
+    "l4_confidence",
+    f"WITH {_ACT} SELECT action_id, round(confidence, 6) AS confidence FROM act",
+)(lambda c: actions(c).select("action_id", F.round("confidence", 6).alias("confidence")))
+query(
+    "l5_priority",
+    f"WITH {_ACT} SELECT action_id, control, effort AS effort_score, round(priority, 2) AS priority FROM act",
+)(lambda c: actions(c).select("action_id", "control", "effort_score", F.round("priority", 2).alias("priority")))
 query("l6_ranked_actions", f"WITH {_ACT} SELECT * FROM ranked")(ranked)
-query("l7_monitoring", f"WITH {_ACT}, m AS (SELECT action_id, estimated_effect AS e, unnest(kpis) AS kpi FROM act) SELECT action_id, kpi, CASE WHEN kpi IN ('revenue', 'orders', 'aov') THEN 'increase' ELSE 'decrease' END AS direction, round(CASE WHEN kpi = 'revenue' THEN e END, 4) AS expected_effect, round(CASE WHEN kpi = 'revenue' THEN e / 2 END, 4) AS warning_threshold FROM m")(lambda c: L.monitoring(actions(c), ("revenue", "orders", "aov")))
-query("l8_driver_signals", f"WITH {_ACT} SELECT signal_id, effect, population, signal_confidence FROM sg")(lambda c: signals(c).select("signal_id", "effect", "population", "signal_confidence"))
+query(
+    "l7_monitoring",
+    f"WITH {_ACT}, m AS (SELECT action_id, estimated_effect AS e, unnest(kpis) AS kpi FROM act) SELECT action_id, kpi, CASE "
+    "WHEN kpi IN ('revenue', 'orders', 'aov') THEN 'increase' ELSE 'decrease' END AS direction, round(CASE "
+    "WHEN kpi = 'revenue' THEN e END, 4) AS expected_effect, round(CASE WHEN kpi = 'revenue' THEN e / 2 END, 4) AS warning_threshold "
+    "FROM m",
+)(lambda c: L.monitoring(actions(c), ("revenue", "orders", "aov")))
+query(
+    "l8_driver_signals",
+    f"WITH {_ACT} SELECT signal_id, effect, population, signal_confidence FROM sg",
+)(lambda c: signals(c).select("signal_id", "effect", "population", "signal_confidence"))
 query("l29_narrative", f"WITH {_ACT} SELECT action_id, CASE tier WHEN 'BLOCKED' THEN 'Not now: ' WHEN 'CONDITIONAL' THEN 'If conditions allow: ' ELSE 'Do: ' END || action || coalesce(' (place ' || place || ')', '') AS narrative FROM ranked JOIN act USING (action_id)")(
-    lambda c: (lambda a: L.rank_actions(a, L.constraints(a)).join(a.select("action_id", "action"), "action_id"))(actions(c)).select("action_id", F.concat(F.when(F.col("tier") == "BLOCKED", "Not now: ").when(F.col("tier") == "CONDITIONAL", "If conditions allow: ").otherwise("Do: "), "action", F.coalesce(F.concat(F.lit(" (place "), F.col("place").cast("string"), F.lit(")")), F.lit(""))).alias("narrative"))
+    lambda c: (lambda a: L.rank_actions(a, L.constraints(a)).join(a.select("action_id", "action"), "action_id"))(actions(c)).select(
+        "action_id",
+        F.concat(
+            F.when(F.col("tier") == "BLOCKED", "Not now: ").when(F.col("tier") == "CONDITIONAL", "If conditions allow: ").otherwise("Do: "),
+            "action",
+            F.coalesce(F.concat(F.lit(" (place "), F.col("place").cast("string"), F.lit(")")), F.lit("")),
+        ).alias("narrative"),
+    )
 )
 
 # L: claims about segments; every 7th number is altered, every 11th citation unknown, every 5th wording causal.
@@ -189,11 +296,29 @@ _CLAIM = f"""{_seg_sql()}, nr AS (SELECT segment_type || ':' || segment_value AS
 
 
 def claims(c):
-    n = D.ranked(segments(c)).select(F.concat_ws(":", "segment_type", "segment_value").alias("claim_id"), F.col("rank").alias("n"), F.floor(F.abs("absolute_change").cast("double")).alias("v"), F.floor(F.abs("share_of_total")).alias("p"))
-    said = F.concat(F.lit("Revenue moved by R$ "), F.format_number(F.col("v") + F.when(F.col("n") % 7 == 0, 1_000_000).otherwise(0), 0), F.lit(", "), F.col("p").cast("string"), F.lit(f"% of the change, in {_NOW}"))
+    n = D.ranked(segments(c)).select(
+        F.concat_ws(":", "segment_type", "segment_value").alias("claim_id"),
+        F.col("rank").alias("n"),
+        F.floor(F.abs("absolute_change").cast("double")).alias("v"),
+        F.floor(F.abs("share_of_total")).alias("p"),
+    )
+    said = F.concat(
+        F.lit("Revenue moved by R$ "),
+        F.format_number(F.col("v") + F.when(F.col("n") % 7 == 0, 1_000_000).otherwise(0), 0),
+        F.lit(", "),
+        F.col("p").cast("string"),
+        F.lit(f"% of the change, in {_NOW}"),
+    )
     text = F.concat(F.when(F.col("n") % 13 == 0, "Revenue moved").otherwise(said), F.when(F.col("n") % 5 == 0, ", caused by demand").otherwise(""))
     cited = F.when(F.col("n") % 11 == 0, "ev_missing").otherwise(E.evidence_id("seg", F.lit("SEGMENT_CONTRIBUTION"), F.col("claim_id")))
-    return n.select("claim_id", F.element_at(F.array(F.lit("FACT"), F.lit("ASSOCIATION"), F.lit("ANALYTICAL_FINDING")), F.col("n") % 3 + 1).alias("claim_type"), F.array(cited).alias("cited"), text.alias("text"), "v", "p")
+    return n.select(
+        "claim_id",
+        F.element_at(F.array(F.lit("FACT"), F.lit("ASSOCIATION"), F.lit("ANALYTICAL_FINDING")), F.col("n") % 3 + 1).alias("claim_type"),
+        F.array(cited).alias("cited"),
+        text.alias("text"),
+        "v",
+        "p",
+    )
 
 
 def matched(c):
@@ -209,10 +334,30 @@ def verified(c):
 
 query("l9_numeric_claims", f"WITH {_CLAIM} SELECT * FROM num")(lambda c: L.numeric_claims(claims(c)))
 query("l10_matched_numbers", f"WITH {_CLAIM} SELECT * FROM mat")(matched)
-query("l11_number_violations", f"WITH {_CLAIM} SELECT claim_id, value FROM num n WHERE NOT EXISTS (SELECT 1 FROM alw a WHERE a.claim_id = n.claim_id AND a.known = n.value)")(lambda c: (lambda r: L.numeric_claims(r).select("claim_id", "value").join(r.select("claim_id", F.explode(F.array(F.col("v").cast("double"), F.col("p").cast("double"))).alias("value")), ["claim_id", "value"], "left_anti"))(claims(c)))
-query("l12_language_gate", f"WITH {_CLAIM} SELECT * FROM lng")(lambda c: claims(c).select("claim_id", L.language_violation(F.col("text"), F.col("claim_type")).alias("violates")))
-query("l13_verified_claims", f"WITH {_CLAIM} SELECT claim_id, CASE WHEN reason IS NULL THEN 'APPROVED' ELSE 'REJECTED' END AS status, reason FROM res")(verified)
-_TYPES = {"KPI_OBSERVATION": "FACT", "KPI_MOVEMENT": "FACT", "DRIVER_CONTRIBUTION": "ANALYTICAL_FINDING", "SEGMENT_CONTRIBUTION": "ANALYTICAL_FINDING", "ANOMALY_SIGNAL": "ASSOCIATION", "STATISTICAL_RESULT": "ASSOCIATION"}
+query("l11_number_violations", f"WITH {_CLAIM} SELECT claim_id, value FROM num n WHERE NOT EXISTS (SELECT 1 FROM alw a WHERE a.claim_id = n.claim_id AND a.known = n.value)")(
+    lambda c: (
+        lambda r: L.numeric_claims(r).select("claim_id", "value").join(
+            r.select("claim_id", F.explode(F.array(F.col("v").cast("double"), F.col("p").cast("double"))).alias("value")),
+            ["claim_id", "value"],
+            "left_anti",
+        )
+    )(claims(c))
+)
+query("l12_language_gate", f"WITH {_CLAIM} SELECT * FROM lng")(
+    lambda c: claims(c).select("claim_id", L.language_violation(F.col("text"), F.col("claim_type")).alias("violates"))
+)
+query(
+    "l13_verified_claims",
+    f"WITH {_CLAIM} SELECT claim_id, CASE WHEN reason IS NULL THEN 'APPROVED' ELSE 'REJECTED' END AS status, reason FROM res",
+)(verified)
+_TYPES = {
+    "KPI_OBSERVATION": "FACT",
+    "KPI_MOVEMENT": "FACT",
+    "DRIVER_CONTRIBUTION": "ANALYTICAL_FINDING",
+    "SEGMENT_CONTRIBUTION": "ANALYTICAL_FINDING",
+    "ANOMALY_SIGNAL": "ASSOCIATION",
+    "STATISTICAL_RESULT": "ASSOCIATION",
+}
 query("l14_claim_types", f"WITH {_BUNDLE} SELECT evidence_id, CASE evidence_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items()) + " END AS claim_type FROM ev")(lambda c: bundle(c).select("evidence_id", F.create_map(*(F.lit(x) for p in _TYPES.items() for x in p))[F.col("evidence_type")].alias("claim_type")))
 query("l15_persona_order", f"""WITH {_BUNDLE}, per AS (SELECT * FROM (VALUES ('executive', 'revenue', ['STATISTICAL_RESULT', 'KPI_OBSERVATION']), ('operations', 'avg_delivery_days', ['DRIVER_CONTRIBUTION', 'KPI_OBSERVATION'])) t(persona, preferred, excluded)),
     o AS (SELECT persona, evidence_id, row_number() OVER (PARTITION BY persona ORDER BY (subject <> preferred)::INTEGER, evidence_type, evidence_id)::INTEGER AS position FROM ev, per WHERE NOT list_contains(excluded, evidence_type)) SELECT *, ((position - 1) // 5)::INTEGER AS section FROM o""")(
@@ -221,7 +366,14 @@ query("l15_persona_order", f"""WITH {_BUNDLE}, per AS (SELECT * FROM (VALUES ('e
 
 # L: feedback from the event log
 query("l19_conflicts", "SELECT user_id, before AS kept_a, event_id AS kept_b, 'CONTESTED' AS status FROM (SELECT *, lag(event_id) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'error' AND was = 'purchase'")(
-    lambda c: (lambda w: c.raw("events").withColumn("kept_a", F.lag("event_id").over(w)).withColumn("was", F.lag("event_type").over(w)).where("event_type = 'error' AND was = 'purchase'").select("user_id", "kept_a", F.col("event_id").alias("kept_b"), F.lit("CONTESTED").alias("status")))(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    lambda c: (
+        lambda w: c.raw("events").withColumn("kept_a", F.lag("event_id").over(w)).withColumn("was", F.lag("event_type").over(w)).where("event_type = 'error' AND was = 'purchase'").select(
+            "user_id",
+            "kept_a",
+            F.col("event_id").alias("kept_b"),
+            F.lit("CONTESTED").alias("status"),
+        )
+    )(Window.partitionBy("user_id").orderBy("ts", "event_id"))
 )
 #: Comments made of two sentences each, in the order of the log: the given tables hold no comments of users.
 _SAID = (
@@ -241,11 +393,24 @@ def comments(c):
     """event_id, rating and comment."""
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     n = F.col("event_id")
-    return c.raw("events").select("event_id", pick(_RATED, n).alias("rating"), F.concat(pick(_SAID, n), F.lit(". "), pick(_SAID, F.floor(n / len(_SAID)))).alias("comment"))
-
-
-query("l21_next_version", "SELECT 'v' || (max(regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT) + 1) AS next FROM customer")(lambda c: L.next_version(c.raw("customer"), "c_name"))
-query("l21_promoted_cases", "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")(lambda c: c.raw("events").where("event_type = 'signup'").select("user_id").distinct().join(c.raw("events").where("event_type = 'purchase'"), "user_id", "left_semi"))
+    return c.raw("events").select(
+        "event_id",
+        pick(_RATED, n).alias("rating"),
+        F.concat(pick(_SAID, n), F.lit(". "), pick(_SAID, F.floor(n / len(_SAID)))).alias("comment"),
+    )
+
+
+query(
+    "l21_next_version",
+    "SELECT 'v' || (max(regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT) + 1) AS next FROM customer",
+)(lambda c: L.next_version(c.raw("customer"), "c_name"))
+query("l21_promoted_cases", "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")(
+    lambda c: c.raw("events").where("event_type = 'signup'").select("user_id").distinct().join(
+        c.raw("events").where("event_type = 'purchase'"),
+        "user_id",
+        "left_semi",
+    )
+)
 
 
 def cases(c):
@@ -266,7 +431,11 @@ def outputs(c, run: int):
     each = c.raw("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     each = each.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).withColumn("v", F.round("v", 4))
     claims = F.collect_set(F.when(F.expr(claimed), F.col("event_type"))).alias("claims")
-    return each.groupBy(F.col("user_id").alias("case_id")).agg(claims, F.max_by("event_type", F.struct(by, "event_type")).alias("driver_out"), (F.sum("v") / F.sum("n") / 200).alias("score"))
+    return each.groupBy(F.col("user_id").alias("case_id")).agg(
+        claims,
+        F.max_by("event_type", F.struct(by, "event_type")).alias("driver_out"),
+        (F.sum("v") / F.sum("n") / 200).alias("score"),
+    )
 
 
 def _res(run: int) -> str:
@@ -278,12 +447,34 @@ def _res(run: int) -> str:
 
 
 def _met(run: int) -> str:
-    return " UNION ALL ".join(f"SELECT '{d}' AS metric, round(avg({d}::INTEGER), 6) AS value, count({d}) AS declared FROM ({_res(run)})" for d in L.DIMENSIONS) + f" UNION ALL SELECT 'unsupported_claim_rate', round(1 - avg(forbidden_absent::INTEGER), 6), count(forbidden_absent) FROM ({_res(run)})"
+    return " UNION ALL ".join(
+        f"SELECT '{d}' AS metric, round(avg({d}::INTEGER), 6) AS value, count({d}) AS declared FROM ({_res(run)})" for d in L.DIMENSIONS
+    ) + f" UNION ALL SELECT 'unsupported_claim_rate', round(1 - avg(forbidden_absent::INTEGER), 6), count(forbidden_absent) FROM ({_res(run)})"
 
 
 _MIN_OF = (("forbidden_absent", 0.5), ("expected_present", 0.9), ("driver_right", 0.2), ("confidence_in_range", 0.8), ("unsupported_claim_rate", 0.4))
 query("l22_case_evaluation", _res(0))(lambda c: L.evaluate_cases(cases(c), outputs(c, 0)))
 query("l23_evaluation_metrics", _met(0))(lambda c: L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, 0))))
-query("l24_baseline_candidate", f"SELECT metric, b.value AS baseline, k.value AS candidate, round(k.value - b.value, 6) AS delta, CASE WHEN k.value = b.value THEN 'SAME' WHEN (k.value > b.value) = (metric <> 'unsupported_claim_rate') THEN 'IMPROVED' ELSE 'REGRESSED' END AS change FROM ({_met(0)}) b JOIN ({_met(1)}) k USING (metric)")(lambda c: L.compare_metrics(*(L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, r))) for r in (0, 1))))
-query("l25_regression_run", f"SELECT passed, count(*) AS n FROM (SELECT {' AND '.join(f'coalesce({d}, true)' for d in L.DIMENSIONS)} AS passed FROM ({_res(0)})) GROUP BY 1")(lambda c: L.evaluate_cases(cases(c), outputs(c, 0)).select(reduce(lambda a, b: a & b, (F.coalesce(d, F.lit(True)) for d in L.DIMENSIONS)).alias("passed")).groupBy("passed").agg(F.count("*").alias("n")))
-query("l30_threshold_gate", f"SELECT metric, value, threshold::DOUBLE AS threshold, CASE WHEN metric = 'unsupported_claim_rate' THEN value <= threshold ELSE value >= threshold END AS passed FROM ({_met(0)}) JOIN (VALUES {', '.join(map(str, _MIN_OF))}) t(metric, threshold) USING (metric)")(lambda c: L.threshold_gate(L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, 0))), c.spark.createDataFrame(_MIN_OF, "metric string, threshold double")))
+query(
+    "l24_baseline_candidate",
+    "SELECT metric, b.value AS baseline, k.value AS candidate, round(k.value - b.value, 6) AS delta, CASE "
+    "WHEN k.value = b.value THEN 'SAME' "
+    f"WHEN (k.value > b.value) = (metric <> 'unsupported_claim_rate') THEN 'IMPROVED' ELSE 'REGRESSED' END AS change FROM ({_met(0)}) b "
+    f"JOIN ({_met(1)}) k USING (metric)",
+)(lambda c: L.compare_metrics(*(L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, r))) for r in (0, 1))))
+query("l25_regression_run", f"SELECT passed, count(*) AS n FROM (SELECT {' AND '.join(f'coalesce({d}, true)' for d in L.DIMENSIONS)} AS passed FROM ({_res(0)})) GROUP BY 1")(
+    lambda c: L.evaluate_cases(cases(c), outputs(c, 0)).select(
+        reduce(lambda a, b: a & b, (F.coalesce(d, F.lit(True)) for d in L.DIMENSIONS)).alias("passed")
+    ).groupBy("passed").agg(F.count("*").alias("n"))
+)
+query(
+    "l30_threshold_gate",
+    "SELECT metric, value, threshold::DOUBLE AS threshold, CASE "
+    f"WHEN metric = 'unsupported_claim_rate' THEN value <= threshold ELSE value >= threshold END AS passed FROM ({_met(0)}) "
+    f"JOIN (VALUES {', '.join(map(str, _MIN_OF))}) t(metric, threshold) USING (metric)",
+)(
+    lambda c: L.threshold_gate(
+        L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, 0))),
+        c.spark.createDataFrame(_MIN_OF, "metric string, threshold double"),
+    )
+)

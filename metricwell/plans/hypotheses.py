@@ -13,7 +13,13 @@ from .sql import Registry
 
 query = Registry()
 _DIMS = ("product_category", "customer_state", "seller_state")
-query("k1_group_slices", f"SELECT *, sum(value) OVER () - value AS rest_value, (sum(sample) OVER () - sample)::BIGINT AS rest_sample FROM (SELECT customer_state, sum(price)::DECIMAL(18,4) AS value, count(*) AS sample FROM kpi_items WHERE month = '{_NOW}' GROUP BY 1)", "value rest_value")(lambda c: C.group_slices(_items(c, "customer_state").where(F.col("month") == _NOW), "customer_state"))
+query(
+    "k1_group_slices",
+    "SELECT *, sum(value) OVER () - value AS rest_value, (sum(sample) OVER () - sample)::BIGINT AS rest_sample "
+    f"FROM (SELECT customer_state, sum(price)::DECIMAL(18,4) AS value, count(*) AS sample FROM kpi_items WHERE month = '{_NOW}' "
+    "GROUP BY 1)",
+    "value rest_value",
+)(lambda c: C.group_slices(_items(c, "customer_state").where(F.col("month") == _NOW), "customer_state"))
 _PRE = "SELECT customer_state, t, sum(price)::DOUBLE AS value FROM (SELECT customer_state, price, date_diff('month', DATE '1995-01-01', (month || '-01')::DATE)::DOUBLE AS t FROM kpi_items WHERE month < '1998-01') GROUP BY 1, 2"
 query("k3_parallel_trends", f"""WITH s AS ({_PRE}), b AS (SELECT s.*, sum(value) OVER (PARTITION BY t) - value AS rest FROM s), f AS (SELECT customer_state, count(*) AS periods, regr_slope(value, t) AS s, regr_slope(rest, t) AS r FROM b GROUP BY 1)
     SELECT customer_state, periods, round(s, 4) AS slope, round(r, 4) AS rest_slope, round(abs(s - r) / greatest(abs(r), 1e-9), 6) AS ratio, coalesce(periods >= 2 AND abs(s - r) / greatest(abs(r), 1e-9) <= 0.5, false) AS parallel FROM f""")(
@@ -22,7 +28,15 @@ query("k3_parallel_trends", f"""WITH s AS ({_PRE}), b AS (SELECT s.*, sum(value)
 query("k6_autocorrelation", f"""WITH x AS ({_T}), f AS (SELECT *, value - (regr_intercept(value, t) OVER w + regr_slope(value, t) OVER w * t) AS e FROM x WINDOW w AS (PARTITION BY series_id, t > 40)), d AS (SELECT *, e - avg(e) OVER (PARTITION BY series_id) AS d FROM f),
     p AS (SELECT *, lag(d) OVER (PARTITION BY series_id ORDER BY t) AS p FROM d), s AS (SELECT series_id, count(e) AS n, sum(d * p) AS a, sum(d * d) AS b FROM p GROUP BY 1)
     SELECT series_id, n, round(CASE WHEN n >= 3 AND b > 1e-9 THEN a / b END, 4) AS r1, coalesce(CASE WHEN n >= 3 AND b > 1e-9 THEN abs(a / b) <= 0.5 END, false) AS passed FROM s""")(lambda c: C.lag1_autocorrelation(_timed(c), 40))
-query("k7_sufficient_history", f"SELECT series_id, count(*) FILTER (t <= 40) AS pre, count(*) FILTER (t > 40) AS post, count(*) FILTER (t <= 40) >= 12 AND count(*) FILTER (t > 40) >= 3 AS sufficient FROM ({_T}) GROUP BY 1")(lambda c: _timed(c).groupBy("series_id").agg(F.count_if(F.col("t") <= 40).alias("pre"), F.count_if(F.col("t") > 40).alias("post")).withColumn("sufficient", (F.col("pre") >= 12) & (F.col("post") >= 3)))
+query(
+    "k7_sufficient_history",
+    "SELECT series_id, count(*) FILTER (t <= 40) AS pre, count(*) FILTER (t > 40) AS post, count(*) FILTER (t <= 40) >= 12 AND count(*) FILTER (t > 40) >= 3 AS sufficient " f"FROM ({_T}) GROUP BY 1",
+)(
+    lambda c: _timed(c).groupBy("series_id").agg(
+        F.count_if(F.col("t") <= 40).alias("pre"),
+        F.count_if(F.col("t") > 40).alias("post"),
+    ).withColumn("sufficient", (F.col("pre") >= 12) & (F.col("post") >= 3))
+)
 
 # Hypotheses: every category as a treated group, and every year's spring as an event in time.
 _HYP = f"""g AS (SELECT coalesce(product_category, 'none') AS k, count(*) FILTER (month = '{_NOW}') AS n, min(month) AS first, max(month) AS last, count(DISTINCT month) FILTER (month < '{_NOW}') AS pre FROM kpi_items GROUP BY 1),
@@ -57,13 +71,21 @@ def hypotheses(c):
     items = _items(c, "product_category").select(F.coalesce("product_category", F.lit("none")).alias("k"), "month")
     per = items.groupBy("k", "month").agg(F.count("*").alias("n"))
     limits = F.broadcast(per.agg(F.min("month").alias("a"), F.max("month").alias("b")))
-    groups = per.groupBy("k").agg(F.coalesce(F.sum(F.when(F.col("month") == _NOW, F.col("n"))), F.lit(0)).alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), F.count_if(F.col("month") < _NOW).alias("pre"))
+    groups = per.groupBy("k").agg(
+        F.coalesce(F.sum(F.when(F.col("month") == _NOW, F.col("n"))), F.lit(0)).alias("n"),
+        F.min("month").alias("first"),
+        F.max("month").alias("last"),
+        F.count_if(F.col("month") < _NOW).alias("pre"),
+    )
     treated = groups.crossJoin(limits).withColumn("rest", F.sum("n").over(Window.partitionBy(F.lit(1))) - F.col("n")).selectExpr(
         "'group:' || k AS hypothesis_id", "'revenue' AS outcome", "'category' AS treatment", "'product_category' AS dimension", "'all_other' AS control_group", "'product_category' AS unit", "'PVM' AS proposed", "pre AS pre_months", "1L AS post_months",
         f"'{_NOW}' AS treatment_end", f"'{_NOW}' AS outcome_start", "n AS treated_rows", "rest AS control_rows", "n AS outcome_rows", "20 AS minimum_rows", "CAST(NULL AS double) AS coverage", "0 AS events", "first >= a AND last <= b AS in_window",
     )
     event = F.broadcast(registry(c).agg(F.max("event_month").alias("event")))
-    years = per.groupBy(F.substring("month", 1, 4).alias("year")).agg(F.coalesce(F.sum(F.when(F.col("month").endswith("-03"), F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("month").endswith("-04"), F.col("n"))), F.lit(0)).alias("n"))
+    years = per.groupBy(F.substring("month", 1, 4).alias("year")).agg(
+        F.coalesce(F.sum(F.when(F.col("month").endswith("-03"), F.col("n"))), F.lit(0)).alias("t"),
+        F.coalesce(F.sum(F.when(F.col("month").endswith("-04"), F.col("n"))), F.lit(0)).alias("n"),
+    )
     timed = years.crossJoin(limits).crossJoin(event).selectExpr(
         "'time:' || year", "'revenue'", "'orders'", "CAST(NULL AS string)", "CAST(NULL AS string)", "'month'", "CAST(NULL AS string)", "CAST(greatest(months_between(to_date(year || '-03-01'), to_date(a || '-01')), 0) AS long)", "CAST(greatest(months_between(to_date(b || '-01'), to_date(year || '-03-01')), 0) AS long)",
         "year || '-03'", "year || '-04'", "t", "CAST(NULL AS long)", "n", "20", "100.0D", "int(substr(event, 1, 4) = year)", "year || '-03' >= a AND year || '-04' <= b",
@@ -80,7 +102,10 @@ def methods(c):
     return C.select_method(h, C.eligibility_verdict(C.eligibility_checks(h, K.KPIS, _DIMS)))
 
 
-query("k8_confounders", f"WITH {_HYP} SELECT hypothesis_id, events, CASE WHEN events > 0 THEN 'spike_1998_11' END AS confounder FROM hyp")(lambda c: hypotheses(c).selectExpr("hypothesis_id", "events", "CASE WHEN events > 0 THEN 'spike_1998_11' END AS confounder"))
+query(
+    "k8_confounders",
+    f"WITH {_HYP} SELECT hypothesis_id, events, CASE WHEN events > 0 THEN 'spike_1998_11' END AS confounder FROM hyp",
+)(lambda c: hypotheses(c).selectExpr("hypothesis_id", "events", "CASE WHEN events > 0 THEN 'spike_1998_11' END AS confounder"))
 query("k9_eligibility_checks", f"WITH {_CHECKS} SELECT * FROM chks")(checks)
 query("k10_eligibility_verdict", f"WITH {_VERDICT} SELECT * FROM ver")(lambda c: C.eligibility_verdict(checks(c)))
 query("k11_method", f"WITH {_METHOD} SELECT * FROM met")(methods)
@@ -94,7 +119,10 @@ def statuses(c):
 
 
 query("k12_tier_and_status", f"WITH {_STATUS} SELECT * FROM st")(statuses)
-query("k13_layer_results", f"WITH {_STATUS} SELECT evidence_tier, status, count(*) AS hypotheses, bool_or(claim_allowed) AS any_claim FROM st GROUP BY ALL")(lambda c: statuses(c).groupBy("evidence_tier", "status").agg(F.count("*").alias("hypotheses"), F.bool_or("claim_allowed").alias("any_claim")))
+query(
+    "k13_layer_results",
+    f"WITH {_STATUS} SELECT evidence_tier, status, count(*) AS hypotheses, bool_or(claim_allowed) AS any_claim FROM st GROUP BY ALL",
+)(lambda c: statuses(c).groupBy("evidence_tier", "status").agg(F.count("*").alias("hypotheses"), F.bool_or("claim_allowed").alias("any_claim")))
 query("k14_graph_rows", f"""WITH {_STATUS} SELECT hypothesis_id AS src, 'method:' || method AS dst, 'TESTED_BY' AS relationship_type FROM st UNION ALL SELECT hypothesis_id, 'status:' || status, CASE WHEN status = 'CAUSAL_REJECTED' THEN 'REJECTED_BY' WHEN status = 'CAUSAL_SUPPORTED' THEN 'SUPPORTED_BY' ELSE 'DOWNGRADED_TO' END FROM st
     UNION ALL SELECT hypothesis_id, 'check:' || check_name, 'FAILED' FROM chks WHERE status = 'HARD_FAIL'""")(
     lambda c: (lambda s: s.select(F.col("hypothesis_id").alias("src"), F.concat(F.lit("method:"), "method").alias("dst"), F.lit("TESTED_BY").alias("relationship_type")).union(s.select("hypothesis_id", F.concat(F.lit("status:"), "status"), F.when(F.col("status") == "CAUSAL_REJECTED", "REJECTED_BY").when(F.col("status") == "CAUSAL_SUPPORTED", "SUPPORTED_BY").otherwise("DOWNGRADED_TO"))))(statuses(c))
@@ -123,7 +151,10 @@ def severity(c):
     return C.contradictions(classified(c), c.spark.createDataFrame([], "hypothesis_id string, z double, n long"))
 
 
-query("k15_classified_evidence", f"WITH {_CLS} SELECT hypothesis_id, segment_value, classification FROM cls")(lambda c: classified(c).select("hypothesis_id", "segment_value", "classification"))
+query(
+    "k15_classified_evidence",
+    f"WITH {_CLS} SELECT hypothesis_id, segment_value, classification FROM cls",
+)(lambda c: classified(c).select("hypothesis_id", "segment_value", "classification"))
 query("k16_contradiction_severity", f"WITH {_CLS} SELECT * FROM sev")(severity)
 query("k17_method_rank", f"WITH {_CLS} SELECT * FROM mth")(lambda c: C.rank_methods(classified(c), severity(c)))
 query("k18_confidence", f"""WITH {_CLS}, s AS (SELECT hypothesis_id, count(*) FILTER (classification = 'SUPPORTS') / count(*)::DOUBLE AS completeness, count(*) FILTER (classification = 'SUPPORTS') AS supports, coalesce(avg(least(1.0, history_months / 6::DOUBLE)) FILTER (classification = 'SUPPORTS'), 0) AS hist FROM cls GROUP BY 1),

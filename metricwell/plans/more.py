@@ -27,23 +27,57 @@ _PAID = "SELECT order_id, (total_payment_value - item_gmv_total)::DOUBLE AS d, m
 
 
 def differences(c):
-    return c.agg_order_items.join(c.agg_order_payments, "order_id").selectExpr("order_id", "double(total_payment_value - item_gmv_total) AS d", "max_installments")
+    return c.agg_order_items.join(c.agg_order_payments, "order_id").selectExpr(
+        "order_id",
+        "double(total_payment_value - item_gmv_total) AS d",
+        "max_installments",
+    )
 
 
-query("b13_reconciliation_by_installments", f"SELECT {_BUCKET} AS bucket, count(*) AS orders, {', '.join(f'{e} AS {n}' for n, (e, _) in _DIFF.items())} FROM ({_PAID}) GROUP BY 1")(
-    lambda c: differences(c).groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.count("*").alias("orders"), *(F.expr(e).alias(n) for n, (_, e) in _DIFF.items()))
+query(
+    "b13_reconciliation_by_installments",
+    f"SELECT {_BUCKET} AS bucket, count(*) AS orders, {', '.join(f'{e} AS {n}' for n, (e, _) in _DIFF.items())} FROM ({_PAID}) GROUP BY 1",
+)(
+    lambda c: differences(c).groupBy(F.expr(_BUCKET).alias("bucket")).agg(
+        F.count("*").alias("orders"),
+        *(F.expr(e).alias(n) for n, (_, e) in _DIFF.items()),
+    )
 )
-query("b13_largest_differences", f"SELECT order_id, d FROM ({_PAID}) ORDER BY abs(d) DESC, order_id LIMIT 15")(lambda c: differences(c).select("order_id", "d").orderBy(F.desc(F.abs("d")), "order_id").limit(15))
+query(
+    "b13_largest_differences",
+    f"SELECT order_id, d FROM ({_PAID}) ORDER BY abs(d) DESC, order_id LIMIT 15",
+)(lambda c: differences(c).select("order_id", "d").orderBy(F.desc(F.abs("d")), "order_id").limit(15))
 query("b17_revenue_definitions", "SELECT sum(item_price_total)::DOUBLE AS items_all, sum(item_gmv_total)::DOUBLE AS gmv_all, sum(total_payment_value)::DOUBLE AS paid_all, (sum(item_price_total) FILTER (order_status = 'delivered'))::DOUBLE AS items_delivered FROM order_dates LEFT JOIN agg_order_items USING (order_id) LEFT JOIN agg_order_payments USING (order_id)")(
-    lambda c: c.order_dates.select("order_id", "order_status").join(c.agg_order_items, "order_id", "left").join(c.agg_order_payments, "order_id", "left").agg(F.sum("item_price_total").alias("items_all"), F.sum("item_gmv_total").alias("gmv_all"), F.sum("total_payment_value").alias("paid_all"), F.sum(F.when(F.col("order_status") == "delivered", F.col("item_price_total"))).alias("items_delivered"))
+    lambda c: c.order_dates.select("order_id", "order_status").join(c.agg_order_items, "order_id", "left").join(c.agg_order_payments, "order_id", "left").agg(
+        F.sum("item_price_total").alias("items_all"),
+        F.sum("item_gmv_total").alias("gmv_all"),
+        F.sum("total_payment_value").alias("paid_all"),
+        F.sum(F.when(F.col("order_status") == "delivered", F.col("item_price_total"))).alias("items_delivered"),
+    )
 )
 query("b21_monthly_reliability", "SELECT month, count(*) AS orders, (sum(item_price_total))::DOUBLE AS revenue, count(*) - count(item_price_total) AS without_items, count(*) - count(customer_delivery_timestamp) AS without_delivery, round(100.0 * count(item_price_total) / count(*)::DOUBLE, 4) AS items_coverage FROM order_dates LEFT JOIN agg_order_items USING (order_id) GROUP BY 1")(
-    lambda c: c.order_dates.select("order_id", "month", "customer_delivery_timestamp").join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left").groupBy("month").agg(F.count("*").alias("orders"), F.sum("item_price_total").alias("revenue"), (F.count("*") - F.count("item_price_total")).alias("without_items"), (F.count("*") - F.count("customer_delivery_timestamp")).alias("without_delivery"), F.round(100.0 * F.count("item_price_total") / F.count("*"), 4).alias("items_coverage"))
+    lambda c: c.order_dates.select("order_id", "month", "customer_delivery_timestamp").join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left").groupBy("month").agg(
+        F.count("*").alias("orders"),
+        F.sum("item_price_total").alias("revenue"),
+        (F.count("*") - F.count("item_price_total")).alias("without_items"),
+        (F.count("*") - F.count("customer_delivery_timestamp")).alias("without_delivery"),
+        F.round(100.0 * F.count("item_price_total") / F.count("*"), 4).alias("items_coverage"),
+    )
 )
 query("b23_review_dedup", "SELECT round(avg(latest), 6) AS latest, round(avg(earliest), 6) AS earliest, round(avg(highest), 6) AS highest, round(avg(mean), 6) AS per_order_mean FROM (SELECT order_id, last(review_score ORDER BY review_answer_timestamp, review_row_id) AS latest, first(review_score ORDER BY review_creation_date, review_row_id) AS earliest, max(review_score) AS highest, avg(review_score) AS mean FROM fact_reviews GROUP BY 1)")(
     lambda c: c.fact_reviews.groupBy("order_id").agg(F.max_by("review_score", F.struct("review_answer_timestamp", "review_row_id")).alias("latest"), F.min_by("review_score", F.struct("review_creation_date", "review_row_id")).alias("earliest"), F.max("review_score").alias("highest"), F.avg("review_score").alias("mean")).agg(*(F.round(F.avg(a), 6).alias(b) for a, b in (("latest", "latest"), ("earliest", "earliest"), ("highest", "highest"), ("mean", "per_order_mean"))))
 )
-query("e13_kpi_timeseries", "SELECT month, sum(price)::DOUBLE AS revenue, count(*) AS quantity, count(DISTINCT order_id) AS orders FROM kpi_items WHERE in_analytical_window AND month BETWEEN '1998-01' AND '1999-12' GROUP BY 1")(lambda c: K.Kpi(c, "1998-01-01", "1999-12-31").items([]).groupBy("month").agg(F.sum("price").alias("revenue"), F.count("*").alias("quantity"), F.count_distinct("order_id").alias("orders")))
+query(
+    "e13_kpi_timeseries",
+    "SELECT month, sum(price)::DOUBLE AS revenue, count(*) AS quantity, count(DISTINCT order_id) AS orders FROM kpi_items "
+    "WHERE in_analytical_window AND month BETWEEN '1998-01' AND '1999-12' GROUP BY 1",
+)(
+    lambda c: K.Kpi(c, "1998-01-01", "1999-12-31").items([]).groupBy("month").agg(
+        F.sum("price").alias("revenue"),
+        F.count("*").alias("quantity"),
+        F.count_distinct("order_id").alias("orders"),
+    )
+)
 query(
     "f1_gap_filled_months",
     """WITH o AS (SELECT month, customer_state, order_id, purchase_timestamp FROM order_dates LEFT JOIN dim_customer USING (customer_id)),
@@ -58,22 +92,58 @@ def gap_filled(c):
     """Orders and revenue by state for every month of the calendar, months without orders included."""
     orders = c.order_dates.join(c.dim_customer.select("customer_id", "customer_state"), "customer_id", "left")
     seen = orders.join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left")
-    cells = seen.groupBy("customer_state", F.trunc("purchase_timestamp", "month").alias("d")).agg(F.count("*").alias("orders"), F.sum("item_price_total").alias("revenue"))
+    cells = seen.groupBy("customer_state", F.trunc("purchase_timestamp", "month").alias("d")).agg(
+        F.count("*").alias("orders"),
+        F.sum("item_price_total").alias("revenue"),
+    )
     ends = Window.partitionBy(F.lit(1))
     first, last = F.min("d").over(ends), F.max("d").over(ends)
     spans = cells.select("customer_state", first.alias("first"), last.alias("last")).distinct()
     calendar = spans.select("customer_state", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("d"))
     on = calendar["d"].eqNullSafe(cells["d"]) & calendar["customer_state"].eqNullSafe(cells["customer_state"])
     out = calendar.join(cells, on, "left")
-    return out.select(calendar["customer_state"], F.date_format(calendar["d"], "yyyy-MM").alias("period"), F.coalesce("orders", F.lit(0)).alias("orders"), "revenue")
+    return out.select(
+        calendar["customer_state"],
+        F.date_format(calendar["d"], "yyyy-MM").alias("period"),
+        F.coalesce("orders", F.lit(0)).alias("orders"),
+        "revenue",
+    )
 
 
 query("f5_spike_by_state", f"SELECT customer_state, was, now, round(100.0 * (now - was) / greatest(was, 1)::DOUBLE, 4) AS growth_pct FROM (SELECT customer_state, count(*) FILTER (month = '{_WAS}') AS was, count(*) FILTER (month = '{_NOW}') AS now FROM fact_orders WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1) ORDER BY growth_pct DESC, 1 LIMIT 10")(
-    lambda c: K.Kpi(c, window=False).orders(["customer_state"]).where(F.col("month").isin(_WAS, _NOW)).groupBy("customer_state").agg(F.count_if(F.col("month") == _WAS).alias("was"), F.count_if(F.col("month") == _NOW).alias("now")).withColumn("growth_pct", F.round(100.0 * (F.col("now") - F.col("was")) / F.greatest("was", F.lit(1)), 4)).orderBy(F.desc("growth_pct"), "customer_state").limit(10)
+    lambda c: K.Kpi(c, window=False).orders(["customer_state"]).where(F.col("month").isin(_WAS, _NOW)).groupBy("customer_state").agg(
+        F.count_if(F.col("month") == _WAS).alias("was"),
+        F.count_if(F.col("month") == _NOW).alias("now"),
+    ).withColumn(
+        "growth_pct", F.round(100.0 * (F.col("now") - F.col("was")) / F.greatest("was", F.lit(1)), 4)
+    ).orderBy(F.desc("growth_pct"), "customer_state").limit(10)
+)
+query(
+    "f7_monthly_gmv",
+    "SELECT month, sum(item_gmv_total)::DOUBLE AS gmv, count(*) AS orders, max(item_gmv_total)::DOUBLE AS largest FROM order_dates "
+    "JOIN agg_order_items USING (order_id) WHERE order_status = 'delivered' GROUP BY 1",
+)(
+    lambda c: c.order_dates.where("order_status = 'delivered'").join(c.agg_order_items, "order_id").groupBy("month").agg(
+        F.sum("item_gmv_total").alias("gmv"),
+        F.count("*").alias("orders"),
+        F.max("item_gmv_total").alias("largest"),
+    )
+)
+query("h5_history_periods", f"SELECT coalesce(seller_state, 'unknown_state') AS segment, count(DISTINCT month) AS months FROM kpi_items WHERE month <= '{_WAS}' GROUP BY 1")(
+    lambda c: _items(c, "seller_state").where(F.col("month") <= _WAS).groupBy(
+        F.coalesce("seller_state", F.lit("unknown_state")).alias("segment")
+    ).agg(F.count_distinct("month").alias("months"))
+)
+query(
+    "b15_reconciliation_by_status",
+    "SELECT order_status, count(*) AS orders, count(*) FILTER (abs(total_payment_value - item_gmv_total) <= 0.01) AS matched "
+    "FROM order_dates JOIN agg_order_items USING (order_id) JOIN agg_order_payments USING (order_id) GROUP BY 1",
+)(
+    lambda c: reconciled(c).where("i IS NOT NULL AND p IS NOT NULL").groupBy("order_status").agg(
+        F.count("*").alias("orders"),
+        F.count_if(F.expr("abs(i - p) <= 0.01")).alias("matched"),
+    )
 )
-query("f7_monthly_gmv", "SELECT month, sum(item_gmv_total)::DOUBLE AS gmv, count(*) AS orders, max(item_gmv_total)::DOUBLE AS largest FROM order_dates JOIN agg_order_items USING (order_id) WHERE order_status = 'delivered' GROUP BY 1")(lambda c: c.order_dates.where("order_status = 'delivered'").join(c.agg_order_items, "order_id").groupBy("month").agg(F.sum("item_gmv_total").alias("gmv"), F.count("*").alias("orders"), F.max("item_gmv_total").alias("largest")))
-query("h5_history_periods", f"SELECT coalesce(seller_state, 'unknown_state') AS segment, count(DISTINCT month) AS months FROM kpi_items WHERE month <= '{_WAS}' GROUP BY 1")(lambda c: _items(c, "seller_state").where(F.col("month") <= _WAS).groupBy(F.coalesce("seller_state", F.lit("unknown_state")).alias("segment")).agg(F.count_distinct("month").alias("months")))
-query("b15_reconciliation_by_status", "SELECT order_status, count(*) AS orders, count(*) FILTER (abs(total_payment_value - item_gmv_total) <= 0.01) AS matched FROM order_dates JOIN agg_order_items USING (order_id) JOIN agg_order_payments USING (order_id) GROUP BY 1")(lambda c: reconciled(c).where("i IS NOT NULL AND p IS NOT NULL").groupBy("order_status").agg(F.count("*").alias("orders"), F.count_if(F.expr("abs(i - p) <= 0.01")).alias("matched")))
 
 # J: a graph of months, categories and their movements, and the access filter on it
 _N = "SELECT 'month:' || month AS node, 'PUBLIC' AS class FROM kpi_items GROUP BY ALL UNION ALL SELECT 'state:' || seller_state, 'INTERNAL' FROM kpi_items GROUP BY ALL"
@@ -83,7 +153,9 @@ _E = "SELECT 'month:' || month AS src, 'state:' || seller_state AS dst, 'SOLD_BY
 def graph(c):
     items = _items(c, "seller_state").select("month", "seller_state")
     month, state = F.concat(F.lit("month:"), "month"), F.concat(F.lit("state:"), "seller_state")
-    nodes = items.select(month.alias("node"), F.lit("PUBLIC").alias("class")).distinct().union(items.select(state.alias("node"), F.lit("INTERNAL").alias("class")).distinct())
+    nodes = items.select(month.alias("node"), F.lit("PUBLIC").alias("class")).distinct().union(
+        items.select(state.alias("node"), F.lit("INTERNAL").alias("class")).distinct()
+    )
     later = F.concat(F.lit("month:"), F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM"))
     edges = items.groupBy(month.alias("src"), state.alias("dst"), F.lit("SOLD_BY").alias("relationship_type")).agg(F.count("*").alias("n"))
     return nodes, edges.union(items.select("month").distinct().select(month, later, F.lit("NEXT"), F.lit(1).cast("long")))
@@ -100,6 +172,21 @@ def _filtered(c):
 
 
 query("j13_neighbours", f"SELECT dst AS neighbour, relationship_type, 'out' AS direction FROM ({_E}) WHERE src = 'month:2001-05' UNION ALL SELECT src, relationship_type, 'in' FROM ({_E}) WHERE dst = 'month:2001-05'")(
-    lambda c: (lambda e: e.where("src = 'month:2001-05'").select(F.col("dst").alias("neighbour"), "relationship_type", F.lit("out").alias("direction")).union(e.where("dst = 'month:2001-05'").select("src", "relationship_type", F.lit("in"))))(graph(c)[1])
+    lambda c: (
+        lambda e: e.where("src = 'month:2001-05'").select(
+            F.col("dst").alias("neighbour"),
+            "relationship_type",
+            F.lit("out").alias("direction"),
+        ).union(e.where("dst = 'month:2001-05'").select("src", "relationship_type", F.lit("in")))
+    )(graph(c)[1])
+)
+query(
+    "l18_illegal_transitions",
+    "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id "
+    "ORDER BY ts, event_id) AS before FROM events) WHERE event_type = 'purchase' AND before = 'error'",
+)(
+    lambda c: c.raw("events").withColumn(
+        "before",
+        F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")),
+    ).where("event_type = 'purchase' AND before = 'error'").select("user_id", "event_id")
 )
-query("l18_illegal_transitions", "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type = 'purchase' AND before = 'error'")(lambda c: c.raw("events").withColumn("before", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("event_type = 'purchase' AND before = 'error'").select("user_id", "event_id"))

@@ -18,15 +18,24 @@ query = Registry()
 query("a18_geolocation_profile", f"""WITH g AS ({_GEO}), p AS (SELECT prefix, count(*) AS n, count(DISTINCT city) AS cities, count(DISTINCT lower(trim(city))) AS folded, coalesce(stddev(lat) > 0.1 OR stddev(lng) > 0.1, false) AS wide FROM g GROUP BY 1)
     SELECT sum(n)::BIGINT - (SELECT count(*) FROM (SELECT DISTINCT * FROM g)) AS duplicate_rows, count(*) FILTER (cities > 1) AS multi_city, count(*) FILTER (folded > 1) AS multi_city_folded,
     count(*) FILTER (wide) AS wide_spread, min(n) AS min_rows, median(n) AS median_rows, max(n) AS max_rows FROM p""")(lambda c: P.geolocation_profile(_geo(c)))
-_REL = (("orders", "o_orderkey", "lineitem", "l_orderkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("part", "p_partkey", "lineitem", "l_partkey"))
+_REL = (
+    ("orders", "o_orderkey", "lineitem", "l_orderkey"),
+    ("customer", "c_custkey", "orders", "o_custkey"),
+    ("part", "p_partkey", "lineitem", "l_partkey"),
+)
 query("b6_relationship_audit", " UNION ALL ".join(f"""SELECT '{a}-{b}' AS relationship, *, CASE WHEN left_max > 1 AND right_max > 1 THEN 'N:M' WHEN left_max > 1 THEN 'N:1' WHEN right_max > 1 THEN '1:N' ELSE '1:1' END AS multiplicity, right_max > 1 AS fanout_risk FROM (
     SELECT coalesce(sum(x.n) FILTER (y.n IS NOT NULL), 0)::BIGINT AS left_matched, coalesce(sum(x.n) FILTER (y.n IS NULL), 0)::BIGINT AS left_unmatched, coalesce(sum(y.n) FILTER (x.n IS NOT NULL), 0)::BIGINT AS right_matched,
     coalesce(sum(y.n) FILTER (x.n IS NULL), 0)::BIGINT AS right_unmatched, max(x.n) AS left_max, max(y.n) AS right_max
     FROM (SELECT {k} AS k, count(*) AS n FROM {a} GROUP BY 1) x FULL JOIN (SELECT {j} AS k, count(*) AS n FROM {b} GROUP BY 1) y USING (k))""" for a, k, b, j in _REL))(lambda c: P.relationships({f"{a}-{b}": (c.raw(a), k, c.raw(b), j) for a, k, b, j in _REL}))
 
 # D, E, F
-query("d3_joins_on_demand", "SELECT seller_state, count(*) AS n, sum(price)::DOUBLE AS revenue FROM kpi_items GROUP BY 1")(lambda c: _items(c, "seller_state").groupBy("seller_state").agg(F.count("*").alias("n"), F.sum("price").alias("revenue")))
-query("d4_aligned_periods", f"SELECT k AS product_category, q0, r0::DOUBLE AS r0, q1, r1::DOUBLE AS r1 FROM ({_two_sql('product_category')})")(lambda c: D.two_periods(_items(c, "product_category"), "product_category", _NOW, _WAS))
+query("d3_joins_on_demand", "SELECT seller_state, count(*) AS n, sum(price)::DOUBLE AS revenue FROM kpi_items GROUP BY 1")(
+    lambda c: _items(c, "seller_state").groupBy("seller_state").agg(F.count("*").alias("n"), F.sum("price").alias("revenue"))
+)
+query(
+    "d4_aligned_periods",
+    f"SELECT k AS product_category, q0, r0::DOUBLE AS r0, q1, r1::DOUBLE AS r1 FROM ({_two_sql('product_category')})",
+)(lambda c: D.two_periods(_items(c, "product_category"), "product_category", _NOW, _WAS))
 query("d9_self_comparison", f"""SELECT customer_state, previous, current, round(current - previous, 4) AS absolute_change, round(100 * (current - previous) / nullif(abs(previous), 0), 6) AS percent_change FROM (
     SELECT customer_state, (sum(price) FILTER (month = '{_WAS}'))::DOUBLE AS previous, (sum(price) FILTER (month = '{_NOW}'))::DOUBLE AS current FROM kpi_items WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1)""")(lambda c: K.compare_periods(c, _NOW, _WAS, "customer_state"))
 _HYP = "SELECT product_category, substr(month, 1, 4) AS year, min(month) AS first_month, max(month) AS last_month FROM kpi_items GROUP BY ALL"
@@ -39,9 +48,15 @@ def registry(c):
 
 @query("d11_events_in_period", f"SELECT product_category, year, event FROM ({_HYP}), (SELECT 'spike_1998_11' AS event, '1998-11' AS event_month) WHERE event_month BETWEEN first_month AND last_month")
 def _band(c):
-    periods = _items(c, "product_category").groupBy("product_category", F.substring("month", 1, 4).alias("year")).agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    periods = _items(c, "product_category").groupBy("product_category", F.substring("month", 1, 4).alias("year")).agg(
+        F.min("month").alias("first_month"),
+        F.max("month").alias("last_month"),
+    )
     day = lambda m: F.to_date(F.concat(F.col(m), F.lit("-01")))
-    months = periods.withColumn("event_month", F.explode(F.transform(F.sequence(day("first_month"), day("last_month"), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))))
+    months = periods.withColumn(
+        "event_month",
+        F.explode(F.transform(F.sequence(day("first_month"), day("last_month"), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))),
+    )
     return months.join(F.broadcast(registry(c)), "event_month").select("product_category", "year", "event")
 
 
@@ -55,14 +70,39 @@ _OVER = f"""base AS (SELECT month, o.delivery_data_quality_flag, delivery_days,
     SELECT 'review_volume', month, count(*)::DOUBLE FROM (SELECT strftime(review_creation_date, '%Y-%m') AS month FROM fact_reviews JOIN order_dates USING (order_id)) WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY month),
     ov AS (SELECT kpi, round(max(v) FILTER (month = '{_WAS}'), 4) AS previous, round(max(v) FILTER (month = '{_NOW}'), 4) AS current FROM mv GROUP BY 1),
     overview AS (SELECT *, round(current - previous, 4) AS absolute_change, round(100 * (current - previous) / nullif(abs(previous), 0), 4) AS percent_change FROM ov)"""
-query("e14_overview", f"WITH {_OVER} SELECT * FROM overview ORDER BY abs(percent_change) DESC, kpi")(lambda c: K.overview(c, _NOW, _WAS).orderBy(F.desc(F.abs("percent_change")), "kpi"))
-query("e16_lineage", f"WITH {_OVER}, con AS (SELECT * FROM (VALUES {', '.join(str(x) for x in K.CONTRACTS)}) t(kpi, source_table, grain, unit, classification)) SELECT kpi, current, source_table || ' -> ' || kpi AS lineage, grain, unit, classification FROM overview JOIN con USING (kpi)")(
-    lambda c: K.overview(c, _NOW, _WAS).join(F.broadcast(K.contracts(c.spark)), "kpi").select("kpi", "current", F.concat_ws(" -> ", "source_table", "kpi").alias("lineage"), "grain", "unit", "classification")
+query(
+    "e14_overview",
+    f"WITH {_OVER} SELECT * FROM overview ORDER BY abs(percent_change) DESC, kpi",
+)(lambda c: K.overview(c, _NOW, _WAS).orderBy(F.desc(F.abs("percent_change")), "kpi"))
+query(
+    "e16_lineage",
+    f"WITH {_OVER}, con AS (SELECT * "
+    f"FROM (VALUES {', '.join(str(x) for x in K.CONTRACTS)}) t(kpi, source_table, grain, unit, classification)) "
+    "SELECT kpi, current, source_table || ' -> ' || kpi AS lineage, grain, unit, classification FROM overview JOIN con USING (kpi)",
+)(
+    lambda c: K.overview(c, _NOW, _WAS).join(F.broadcast(K.contracts(c.spark)), "kpi").select(
+        "kpi",
+        "current",
+        F.concat_ws(" -> ", "source_table", "kpi").alias("lineage"),
+        "grain",
+        "unit",
+        "classification",
+    )
 )
 _ALLOWED = ("delivered", "shipped", "canceled")
-query("e17_contract_violations", f"SELECT 'status_not_allowed' AS rule, order_status AS value, count(*) AS n FROM order_dates WHERE order_status NOT IN {_ALLOWED} GROUP BY 2 UNION ALL SELECT 'category_missing', 'NULL', count(*) FROM kpi_items WHERE product_category IS NULL HAVING count(*) > 0")(lambda c: K.contract_violations(c, _ALLOWED))
+query(
+    "e17_contract_violations",
+    f"SELECT 'status_not_allowed' AS rule, order_status AS value, count(*) AS n FROM order_dates WHERE order_status NOT IN {_ALLOWED} "
+    "GROUP BY 2 UNION ALL SELECT 'category_missing', 'NULL', count(*) FROM kpi_items WHERE product_category IS NULL HAVING count(*) > 0",
+)(lambda c: K.contract_violations(c, _ALLOWED))
 query("f6_order_fact", "SELECT order_id, month, item_price_total::DOUBLE AS revenue, latest_review_score, date_diff('day', customer_delivery_timestamp, estimated_delivery_timestamp) AS estimate_accuracy_days FROM order_dates LEFT JOIN agg_order_items USING (order_id) LEFT JOIN agg_order_reviews USING (order_id)")(
-    lambda c: c.order_dates.join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left").join(c.agg_order_reviews.select("order_id", "latest_review_score"), "order_id", "left").select("order_id", "month", F.col("item_price_total").alias("revenue"), "latest_review_score", F.datediff("estimated_delivery_timestamp", "customer_delivery_timestamp").cast("long").alias("estimate_accuracy_days"))
+    lambda c: c.order_dates.join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left").join(c.agg_order_reviews.select("order_id", "latest_review_score"), "order_id", "left").select(
+        "order_id",
+        "month",
+        F.col("item_price_total").alias("revenue"),
+        "latest_review_score",
+        F.datediff("estimated_delivery_timestamp", "customer_delivery_timestamp").cast("long").alias("estimate_accuracy_days"),
+    )
 )
 
 # G
@@ -75,15 +115,26 @@ _LEVELS = f"""it AS (SELECT product_id, coalesce(product_category, 'none') AS ca
 
 def levels(c):
     """Histories of every product, its category and everything, by GROUPING SETS over one scan of the items."""
-    items = _items(c, "product_category").where(F.col("month") < _NOW).select("product_id", F.coalesce("product_category", F.lit("none")).alias("category"), "month")
+    items = _items(c, "product_category").where(F.col("month") < _NOW).select(
+        "product_id",
+        F.coalesce("product_category", F.lit("none")).alias("category"),
+        "month",
+    )
     per = items.groupBy("product_id", "category", "month").agg(F.count("*").alias("n"))
-    sets = per.groupingSets([["product_id", "category", "month"], ["category", "month"], ["month"]], "product_id", "category", "month").agg(F.grouping_id().alias("g"), F.sum("n").alias("n"))
+    sets = per.groupingSets(
+        [["product_id", "category", "month"], ["category", "month"], ["month"]],
+        "product_id",
+        "category",
+        "month",
+    ).agg(F.grouping_id().alias("g"), F.sum("n").alias("n"))
     hist = sets.groupBy("g", "product_id", "category").agg(F.count("*").alias("n_periods"), F.sum("n").alias("observations"))
     own = hist.where("g = 0")
     level = lambda df, name, rank: df.select("product_id", F.lit(name).alias("level"), F.lit(rank).alias("level_rank"), "n_periods", "observations")
     keys = own.select("product_id", "category")
     upper = keys.join(hist.where("g = 4").drop("product_id", "g"), "category")
-    return level(own, "entity", 1).unionByName(level(upper, "category", 2)).unionByName(level(keys.crossJoin(F.broadcast(hist.where("g = 6").drop("product_id", "category", "g"))), "global", 3))
+    return level(own, "entity", 1).unionByName(level(upper, "category", 2)).unionByName(
+        level(keys.crossJoin(F.broadcast(hist.where("g = 6").drop("product_id", "category", "g"))), "global", 3)
+    )
 
 
 query("g21_level_histories", f"WITH {_LEVELS} SELECT * FROM lv")(levels)
@@ -122,9 +173,19 @@ def detected(c):
     return Z.materiality(Z.agreement(Z.signals(Z.baselines(monthly(c)))), _ABS, _REL_PCT)
 
 
-query("g5_primary_baseline", f"WITH {_DETECT} SELECT series_id, period, method, round(baseline, 2) AS baseline FROM b2")(lambda c: Z.baselines(monthly(c)).select("series_id", "period", "method", F.round("baseline", 2).alias("baseline")))
-query("g11_agreement", f"WITH {_DETECT} SELECT series_id, period, abs(z - robust_z) <= 1 AS signals_agree, concat_ws(',', CASE WHEN coalesce(len(h), 0) < 6 THEN 'directional_only' END, CASE WHEN coalesce(len(h), 0) < 3 THEN 'no_percentile' WHEN len(h) < 10 THEN 'coarse_percentile' END) AS caveats FROM b2")(lambda c: detected(c).select("series_id", "period", "signals_agree", "caveats"))
-query("g15_tiers", f"WITH {_DETECT} SELECT series_id, period, magnitude_tier, statistical_tier, impact_tier, combined_tier, score FROM b4")(lambda c: detected(c).select("series_id", "period", "magnitude_tier", "statistical_tier", "impact_tier", "combined_tier", "score"))
+query("g5_primary_baseline", f"WITH {_DETECT} SELECT series_id, period, method, round(baseline, 2) AS baseline FROM b2")(
+    lambda c: Z.baselines(monthly(c)).select("series_id", "period", "method", F.round("baseline", 2).alias("baseline"))
+)
+query(
+    "g11_agreement",
+    f"WITH {_DETECT} SELECT series_id, period, abs(z - robust_z) <= 1 AS signals_agree, concat_ws(',', CASE "
+    "WHEN coalesce(len(h), 0) < 6 THEN 'directional_only' END, CASE WHEN coalesce(len(h), 0) < 3 THEN 'no_percentile' "
+    "WHEN len(h) < 10 THEN 'coarse_percentile' END) AS caveats FROM b2",
+)(lambda c: detected(c).select("series_id", "period", "signals_agree", "caveats"))
+query(
+    "g15_tiers",
+    f"WITH {_DETECT} SELECT series_id, period, magnitude_tier, statistical_tier, impact_tier, combined_tier, score FROM b4",
+)(lambda c: detected(c).select("series_id", "period", "magnitude_tier", "statistical_tier", "impact_tier", "combined_tier", "score"))
 query("g17_verdict", f"""WITH {_DETECT} SELECT series_id, period, CASE WHEN missing THEN 'INSUFFICIENT_DATA' WHEN split THEN 'BASELINE_DISAGREEMENT' ELSE ['NORMAL', 'WATCH', 'MATERIAL', 'CRITICAL'][1 + CASE WHEN poor THEN least(combined_tier, 1) ELSE combined_tier END] END AS final_verdict,
     CASE WHEN NOT missing AND NOT split THEN score END AS final_score, NOT missing AND NOT split AND poor AND combined_tier > 1 AS capped FROM b4""")(lambda c: Z.verdict(detected(c), _ABS, _REL_PCT, _MIN).select("series_id", "period", "final_verdict", "final_score", "capped"))
 _MV = f"greatest(abs(l.value - b.baseline) / {_ABS}, abs(100 * (l.value - b.baseline) / nullif(b.baseline, 0)) / {_REL_PCT}) >= 1"
@@ -135,19 +196,26 @@ _PERSIST = f"""o AS (SELECT series_id, period, value, baseline, row_number() OVE
     r AS (SELECT e.*, stop - e.k - 1 AS run, abs(o.value - e.baseline) AS last FROM e LEFT JOIN o ON o.series_id = e.series_id AND o.k = e.stop - 1 AND e.stop - 1 > e.k),
     pe AS (SELECT series_id, period, CASE WHEN value IS NULL OR baseline IS NULL OR first IS NULL THEN 'UNKNOWN' WHEN NOT first_moved THEN 'ONE_OFF' WHEN NOT first_same THEN 'REVERSING' WHEN 1 + run >= 2 AND last > abs(value - baseline) THEN 'TRENDING' ELSE 'PERSISTENT' END AS persistence,
     CASE WHEN value IS NULL OR baseline IS NULL THEN 0 WHEN first IS NULL OR NOT first_moved OR NOT first_same THEN 1 ELSE 1 + run END AS periods_affected FROM r)"""
-query("g18_persistence", f"WITH {_DETECT}, {_PERSIST} SELECT * FROM pe")(lambda c: Z.persistence(detected(c), _ABS, _REL_PCT).select("series_id", "period", "persistence", "periods_affected"))
+query("g18_persistence", f"WITH {_DETECT}, {_PERSIST} SELECT * FROM pe")(
+    lambda c: Z.persistence(detected(c), _ABS, _REL_PCT).select("series_id", "period", "persistence", "periods_affected")
+)
 
 # full detection: delivery days by order status, with the coverage of every month
 _DAYS = """SELECT order_status AS series_id, month AS period, avg(CASE WHEN delivery_data_quality_flag = 'VALID' THEN delivery_days END) AS value,
     count(*) FILTER (delivery_data_quality_flag = 'VALID') AS sample_size, 100.0 * count(*) FILTER (delivery_data_quality_flag = 'VALID') / count(*)::DOUBLE AS coverage FROM order_dates GROUP BY 1, 2"""
 _DAY_ABS, _DAY_COVER = 1.0, 80.0
-_FULL = f"{_DETECT}, {_PERSIST}".replace(f"ser AS ({_S})", f"ser AS ({_DAYS})").replace(str(_ABS), str(_DAY_ABS)).replace(f"sample_size < {_MIN} AS poor", f"sample_size < {_MIN} OR coverage < {_DAY_COVER} AS poor")
+_FULL = f"{_DETECT}, {_PERSIST}".replace(f"ser AS ({_S})", f"ser AS ({_DAYS})").replace(str(_ABS), str(_DAY_ABS)).replace(
+    f"sample_size < {_MIN} AS poor",
+    f"sample_size < {_MIN} OR coverage < {_DAY_COVER} AS poor",
+)
 
 
 def delivery_series(c):
     valid = F.col("delivery_data_quality_flag") == "VALID"
     return c.order_dates.groupBy(F.col("order_status").alias("series_id"), F.col("month").alias("period")).agg(
-        F.avg(F.when(valid, F.col("delivery_days"))).alias("value"), F.count_if(valid).alias("sample_size"), (100.0 * F.count_if(valid) / F.count("*")).alias("coverage")
+        F.avg(F.when(valid, F.col("delivery_days"))).alias("value"),
+        F.count_if(valid).alias("sample_size"),
+        (100.0 * F.count_if(valid) / F.count("*")).alias("coverage"),
     )
 
 
@@ -173,7 +241,10 @@ for _name, _with, _additive, _least, _rows in (("g14_additive_impact", _DETECT,
 _PVM1 = f"SELECT CASE WHEN sum(q0) = 0 THEN 0 ELSE (sum(q1) - sum(q0)) * sum(r0) / sum(q0) END AS volume, sum(q1 * (coalesce(r1 / nullif(q1, 0), 0) - coalesce(r0 / nullif(q0, 0), 0))) AS price, sum(r1 - r0) AS total FROM (SELECT q0::DOUBLE AS q0, r0::DOUBLE AS r0, q1::DOUBLE AS q1, r1::DOUBLE AS r1 FROM ({_two_sql('product_category')}))"
 query("h2_driver_rows", f"""WITH p AS ({_PVM1}), d AS (SELECT 'volume' AS driver, round(volume, 2) AS effect, round(total, 4) AS total FROM p UNION ALL SELECT 'price', round(price, 2), round(total, 4) FROM p UNION ALL SELECT 'mix', round(total - volume - price, 2), round(total, 4) FROM p)
     SELECT driver, effect, round(100 * effect / nullif(abs(total), 0), 2) AS pct_of_change, CASE WHEN effect > 0 THEN 'UP' WHEN effect < 0 THEN 'DOWN' ELSE 'FLAT' END AS direction FROM d""")(lambda c: D.driver_rows(D.pvm(D.two_periods(_items(c, "product_category"), "product_category", _NOW, _WAS))))
-query("h9_concurrent_kpis", f"WITH {_OVER} SELECT * FROM overview WHERE kpi IN ('orders', 'aov', 'avg_delivery_days', 'on_time_delivery_rate', 'avg_review_score')")(lambda c: K.overview(c, _NOW, _WAS).where(F.col("kpi").isin("orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score")))
+query(
+    "h9_concurrent_kpis",
+    f"WITH {_OVER} SELECT * FROM overview WHERE kpi IN ('orders', 'aov', 'avg_delivery_days', 'on_time_delivery_rate', 'avg_review_score')",
+)(lambda c: K.overview(c, _NOW, _WAS).where(F.col("kpi").isin("orders", "aov", "avg_delivery_days", "on_time_delivery_rate", "avg_review_score")))
 _T10 = "CASE WHEN cov IS NULL THEN 'UNKNOWN' WHEN cov >= 95 THEN 'HIGH' WHEN cov >= 80 THEN 'MEDIUM' ELSE 'LOW' END"
 query("h10_worst_quality", f"""WITH c AS (SELECT order_status, 100.0 * count(item_count) FILTER (month = '{_WAS}') / nullif(count(*) FILTER (month = '{_WAS}'), 0)::DOUBLE AS a, 100.0 * count(*) FILTER (month = '{_NOW}' AND delivery_data_quality_flag = 'VALID') / nullif(count(*) FILTER (month = '{_NOW}'), 0)::DOUBLE AS b
     FROM order_dates LEFT JOIN agg_order_items USING (order_id) WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1), t AS (SELECT order_status, {_T10.replace('cov', 'a')} AS previous, {_T10.replace('cov', 'b')} AS current FROM c)
@@ -182,7 +253,20 @@ query("h10_worst_quality", f"""WITH c AS (SELECT order_status, 100.0 * count(ite
         F.expr(f"100.0D * count_if(item_count IS NOT NULL AND month = '{_WAS}') / nullif(count_if(month = '{_WAS}'), 0)").alias("a"), F.expr(f"100.0D * count_if(month = '{_NOW}' AND delivery_data_quality_flag = 'VALID') / nullif(count_if(month = '{_NOW}'), 0)").alias("b"))
     .select("order_status", K.quality_tier(F.col("a")).alias("previous"), K.quality_tier(F.col("b")).alias("current")).withColumn("worst", D.worst_tier("previous", "current"))
 )
-query("h11_contribution_tree", f"WITH {_seg_sql()}, r AS (SELECT segment_type, segment_value, row_number() OVER (PARTITION BY segment_type ORDER BY abs(absolute_change) DESC, segment_value)::INTEGER AS rank FROM seg) SELECT segment_type, to_json(list(struct_pack(rank := rank, segment_value := segment_value) ORDER BY rank))::VARCHAR AS children FROM r GROUP BY 1")(lambda c: D.contribution_tree(segments(c)))
+query(
+    "h11_contribution_tree",
+    f"WITH {_seg_sql()}, r AS (SELECT segment_type, segment_value, row_number() OVER (PARTITION BY segment_type "
+    "ORDER BY abs(absolute_change) DESC, segment_value)::INTEGER AS rank FROM seg) "
+    "SELECT segment_type, to_json(list(struct_pack(rank := rank, segment_value := segment_value) ORDER BY rank))::VARCHAR AS children "
+    "FROM r GROUP BY 1",
+)(lambda c: D.contribution_tree(segments(c)))
 query("h12_normalised_items", f"SELECT order_id, product_id, coalesce(product_category, 'uncategorized') AS product_category, coalesce(seller_id::VARCHAR, 'unknown_seller') AS seller, coalesce(seller_state, 'unknown_state') AS seller_state, price::DOUBLE AS price FROM kpi_items WHERE month = '{_NOW}'")(
-    lambda c: _items(c, "product_category", "seller_state").where(F.col("month") == _NOW).select("order_id", "product_id", F.coalesce("product_category", F.lit("uncategorized")).alias("product_category"), F.coalesce(F.col("seller_id").cast("string"), F.lit("unknown_seller")).alias("seller"), F.coalesce("seller_state", F.lit("unknown_state")).alias("seller_state"), "price")
+    lambda c: _items(c, "product_category", "seller_state").where(F.col("month") == _NOW).select(
+        "order_id",
+        "product_id",
+        F.coalesce("product_category", F.lit("uncategorized")).alias("product_category"),
+        F.coalesce(F.col("seller_id").cast("string"), F.lit("unknown_seller")).alias("seller"),
+        F.coalesce("seller_state", F.lit("unknown_state")).alias("seller_state"),
+        "price",
+    )
 )

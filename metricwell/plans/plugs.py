@@ -79,14 +79,23 @@ def form():
     (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS es FROM documents""")
 def _embed(c):
     e = F.col("embedding")
-    return X.embed(c.raw("documents").select("doc_id", "text"), form, "doc_id").select("doc_id", e[0].alias("chars"), e[1].alias("lines"), e[2].alias("es"))
+    return X.embed(c.raw("documents").select("doc_id", "text"), form, "doc_id").select(
+        "doc_id",
+        e[0].alias("chars"),
+        e[1].alias("lines"),
+        e[2].alias("es"),
+    )
 
 
 def newest(c, k: int):
     """A retriever: the documents with the largest ids, the same for every query."""
     last = c.raw("documents").select("doc_id").orderBy(F.desc("doc_id")).limit(k)
     ends = last.agg(F.max("doc_id").alias("m"))
-    ranked = last.crossJoin(F.broadcast(ends)).select("doc_id", F.col("doc_id").cast("double").alias("score"), (F.col("m") - F.col("doc_id") + 1).cast("int").alias("rank"))
+    ranked = last.crossJoin(F.broadcast(ends)).select(
+        "doc_id",
+        F.col("doc_id").cast("double").alias("score"),
+        (F.col("m") - F.col("doc_id") + 1).cast("int").alias("rank"),
+    )
     return asked(c).select("query_id").crossJoin(F.broadcast(ranked))
 
 

@@ -12,7 +12,13 @@ from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, bm25, relevant, words
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
-query("i1_normalise")(lambda c: _DOC(c).select("doc_id", X.normalise(F.col("text")).alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").alias("chars")))
+query("i1_normalise")(
+    lambda c: _DOC(c).select("doc_id", X.normalise(F.col("text")).alias("t")).select(
+        "doc_id",
+        F.md5(F.col("t").cast("binary")).alias("digest"),
+        F.length("t").alias("chars"),
+    )
+)
 _SYN = f"syn AS (SELECT term, CASE WHEN term = a THEN b ELSE a END AS synonym FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) JOIN (SELECT substr(term, 1, 4) AS p, min(term) AS a, max(term) AS b FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) GROUP BY 1) ON p = substr(term, 1, 4) WHERE a <> b UNION VALUES {', '.join(f"('{t}', '{x}')" for t, more in X.SYNONYMS.items() for x in more)})"
 _EXP = f"{_SYN}, own AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), ex AS (SELECT *, true AS original FROM own UNION ALL SELECT DISTINCT query_id, synonym, false FROM own JOIN syn USING (term) WHERE (query_id, synonym) NOT IN (SELECT (query_id, term) FROM own))"
 
@@ -25,7 +31,10 @@ def synonyms(c):
     """The governed table, and a stand-in where the queries hold none of its words: another term with the same four letters."""
     words = asked(c).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct().withColumn("p", F.substring("term", 1, 4))
     ends = words.groupBy("p").agg(F.min("term").alias("a"), F.max("term").alias("b")).where("a <> b")
-    return words.join(ends, "p").select("term", F.when(F.col("term") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("synonym")).unionByName(X.synonym_table(c.spark)).distinct()
+    return words.join(ends, "p").select(
+        "term",
+        F.when(F.col("term") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("synonym"),
+    ).unionByName(X.synonym_table(c.spark)).distinct()
 
 
 def expanded(c, k=10):
@@ -39,7 +48,11 @@ def vectors(c):
 def dense(c, k=10, docs=None):
     """By cosine over all documents, or over the doc_ids of docs."""
     among = vectors(c) if docs is None else vectors(c).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return X.cosine_top_k(among.withColumnRenamed("doc_id", "vec_id"), X.hash_vectors(X.tokenized(asked(c), "query_id"), "query_id"), k).withColumnRenamed("vec_id", "doc_id")
+    return X.cosine_top_k(
+        among.withColumnRenamed("doc_id", "vec_id"),
+        X.hash_vectors(X.tokenized(asked(c), "query_id"), "query_id"),
+        k,
+    ).withColumnRenamed("vec_id", "doc_id")
 
 
 def hybrid(c, k=10):
@@ -72,7 +85,11 @@ query("i8_embedding_job", f"""WITH k AS (SELECT sha256(text || '|{_MODEL}') AS k
 _B30 = _BM25.replace("rank <= 10", "rank <= 30")
 _HYB = f"{_B30}, {_VEC}, dn AS ({_top('cs', 30)}), un AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dn), fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM un GROUP BY 1, 2), hy AS ({_top('fu', 10)})"
 query("i10_hybrid", f"WITH {_HYB} SELECT * FROM hy")(hybrid)
-query("i11_structured_first", f"WITH {_VEC}, f AS (SELECT cs.* FROM cs JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars >= 200) {_top('f', 10, ' WHERE score >= 0.5')}")(lambda c: dense(c, 10, _DOC(c).where("lang = 'en' AND n_chars >= 200")).where("score >= 0.5"))
+query(
+    "i11_structured_first",
+    f"WITH {_VEC}, f AS (SELECT cs.* FROM cs JOIN documents USING (doc_id) "
+    f"WHERE lang = 'en' AND n_chars >= 200) {_top('f', 10, ' WHERE score >= 0.5')}",
+)(lambda c: dense(c, 10, _DOC(c).where("lang = 'en' AND n_chars >= 200")).where("score >= 0.5"))
 
 
 @query("i12_mmr")
@@ -81,11 +98,25 @@ def _mmr(c):
     return X.mmr(pool.join(vectors(c), "doc_id"), 10)
 
 
-query("i13_diversity", f"WITH {_B30}, j AS (SELECT bm.*, lang FROM bm JOIN documents USING (doc_id)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, lang) AS best FROM j), n AS (SELECT query_id, doc_id, lang, row_number() OVER (PARTITION BY query_id ORDER BY turn, best)::INTEGER AS rank FROM t) SELECT * FROM n WHERE rank <= 10")(lambda c: X.diversify(bm25(c, 30).join(_DOC(c).select("doc_id", "lang"), "doc_id"), "lang", 10))
-_BX = _BM25.replace("qt AS (SELECT DISTINCT item_id AS query_id, unnest(" + _QT + ") AS term FROM benchmark q)", "qt AS (SELECT query_id, term FROM ex)").replace("sc AS", "xs AS").replace("FROM sc", "FROM xs").replace("bm AS", "bx AS")
+query(
+    "i13_diversity",
+    f"WITH {_B30}, j AS (SELECT bm.*, lang FROM bm "
+    "JOIN documents USING (doc_id)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang "
+    "ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY query_id, lang) AS best "
+    "FROM j), n AS (SELECT query_id, doc_id, lang, row_number() OVER (PARTITION BY query_id ORDER BY turn, best)::INTEGER AS rank "
+    "FROM t) SELECT * FROM n WHERE rank <= 10",
+)(lambda c: X.diversify(bm25(c, 30).join(_DOC(c).select("doc_id", "lang"), "doc_id"), "lang", 10))
+_BX = _BM25.replace(
+    "qt AS (SELECT DISTINCT item_id AS query_id, unnest(" + _QT + ") AS term FROM benchmark q)",
+    "qt AS (SELECT query_id, term FROM ex)",
+).replace("sc AS", "xs AS").replace("FROM sc", "FROM xs").replace("bm AS", "bx AS")
 _TAIL = _BX[_BX.index("xs AS"):].replace("FROM qt JOIN", "FROM ex JOIN")
 _CNT = {k: f"len(list_filter(w, lambda x: x IN {v}))" for k, v in X.WORDS.items()}
-_LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest({', '.join(_CNT)}) = 0 THEN 'UNKNOWN' " + " ".join(f"WHEN {k} = greatest({', '.join(_CNT)}) THEN '{k}'" for k in sorted(_CNT)) + " END AS tag FROM (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _CNT.items()) + f" FROM (SELECT doc_id, text, {_ALL_TOK} AS w FROM documents)))"
+_LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest({', '.join(_CNT)}) = 0 THEN 'UNKNOWN' " + " ".join(
+    f"WHEN {k} = greatest({', '.join(_CNT)}) THEN '{k}'" for k in sorted(_CNT)
+) + " END AS tag FROM (SELECT *, " + ", ".join(
+    f"{v} AS {k}" for k, v in _CNT.items()
+) + f" FROM (SELECT doc_id, text, {_ALL_TOK} AS w FROM documents)))"
 query("i18_language_tag", f"SELECT * FROM {_LANG}")(lambda c: _DOC(c).select("doc_id", X.language(F.col("text")).alias("tag")))
 _STR = {"customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "events": ("event_type", "props")}
 query("i20_pii_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{x}' AS column, '{k}' AS kind, count(*) FILTER (regexp_matches({x}, '{p}')) AS n FROM {t}" for t, xs in _STR.items() for x in xs for k, p in X.PII.items()))(lambda c: X.pii_columns({t: c.raw(t).select(*xs) for t, xs in _STR.items()}))
@@ -97,11 +128,19 @@ def _metrics(source: str) -> str:
 
 
 query("i22_recall_by_length", f"WITH {_BM25}, {_PER}, m AS ({_metrics('bm')}), q AS (SELECT item_id AS query_id, len({_QT}) AS n FROM benchmark q) SELECT CASE WHEN n <= 3 THEN '1-3' WHEN n <= 10 THEN '4-10' WHEN n <= 25 THEN '11-25' ELSE '26+' END AS bucket, count(*) AS queries, round(avg(recall), 6) AS recall FROM m JOIN q USING (query_id) GROUP BY 1")(
-    lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id").join(asked(c).select("query_id", F.size(X.tokens(F.col("text"))).alias("n")), "query_id").groupBy(F.when(F.col("n") <= 3, "1-3").when(F.col("n") <= 10, "4-10").when(F.col("n") <= 25, "11-25").otherwise("26+").alias("bucket")).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+    lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id").join(asked(c).select("query_id", F.size(X.tokens(F.col("text"))).alias("n")), "query_id").groupBy(
+        F.when(F.col("n") <= 3, "1-3").when(F.col("n") <= 10, "4-10").when(F.col("n") <= 25, "11-25").otherwise("26+").alias("bucket")
+    ).agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
 )
 #: Retrievers by name: (tables, k) to (query_id, doc_id, score, rank). Further ones may be added.
 RETRIEVERS = {"bm25": bm25, "expansion": expanded, "dense": dense, "hybrid": hybrid, "hybrid_expansion": hybrid_expanded}
-_ALL = {"bm25": "(SELECT * FROM bm WHERE rank <= 10)", "expansion": "(SELECT * FROM bx WHERE rank <= 10)", "hybrid_expansion": "hx", "dense": "(SELECT * FROM dn WHERE rank <= 10)", "hybrid": "hy"}
+_ALL = {
+    "bm25": "(SELECT * FROM bm WHERE rank <= 10)",
+    "expansion": "(SELECT * FROM bx WHERE rank <= 10)",
+    "hybrid_expansion": "hx",
+    "dense": "(SELECT * FROM dn WHERE rank <= 10)",
+    "hybrid": "hy",
+}
 _HX = f"ux AS (SELECT query_id, doc_id, rank FROM bx UNION ALL SELECT query_id, doc_id, rank FROM dn), fx AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM ux GROUP BY 1, 2), hx AS ({_top('fx', 10)})"
 query("i23_methods", f"WITH {_HYB}, {_EXP}, {_TAIL.replace('rank <= 10', 'rank <= 30')}, {_HX}, {_PER} " + " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS queries, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(reciprocal_rank), 5) AS mrr FROM ({_metrics(s)})" for n, s in _ALL.items()))(
     lambda c: reduce(lambda a, b: a.unionByName(b), (X.retrieval_metrics(f(c, 10), relevant(c), "doc_id").agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 5).alias("precision"), F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("reciprocal_rank"), 5).alias("mrr")).select(F.lit(n).alias("method"), "*") for n, f in RETRIEVERS.items()))

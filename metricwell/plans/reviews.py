@@ -23,7 +23,11 @@ def metadata(c):
 
     def build():
         text = c.raw("documents").select(F.col("doc_id").alias("review_row_id"), "text")
-        orders = c.order_dates.join(c.dim_customer.select("customer_id", "customer_state"), "customer_id", "left").select("order_id", "month", "order_status", "customer_state")
+        orders = c.order_dates.join(
+            c.dim_customer.select("customer_id", "customer_state"),
+            "customer_id",
+            "left",
+        ).select("order_id", "month", "order_status", "customer_state")
         out = attribution(c).withColumn("seller_id", F.nullif("seller_id", F.lit(-1))).join(text, "review_row_id")
         out = out.join(c.fact_reviews.select("review_row_id", "review_score"), "review_row_id").join(orders, "order_id", "left")
         out = out.join(c.dim_seller.select("seller_id", "seller_state"), "seller_id", "left")
@@ -43,13 +47,23 @@ _INNER = {"attribution_method": "single_item_order", "order_status": "shipped",
 def _where(filters: dict, clearance: str = "RESTRICTED") -> str:
     tests = ["security_status <> 'BLOCKED'"] + (["seller_id IS NULL"] if clearance == "PUBLIC_ANALYTICAL" else [])
     for k, v in filters.items():
-        tests.append({"score_min": f"review_score >= {v}", "score_max": f"review_score <= {v}", "months": f"coalesce(month BETWEEN '{v[0]}' AND '{v[1]}', true)" if k == "months" else ""}.get(k, f"coalesce({k} = '{v}', false)"))
+        tests.append(
+            {
+                "score_min": f"review_score >= {v}",
+                "score_max": f"review_score <= {v}",
+                "months": f"coalesce(month BETWEEN '{v[0]}' AND '{v[1]}', true)" if k == "months" else "",
+            }.get(k, f"coalesce({k} = '{v}', false)")
+        )
     return " AND ".join(tests)
 
 
 for _name, _filters, _clearance in (("c10_public_filters", _OPEN, "PUBLIC_ANALYTICAL"), ("c10_internal_filters", _INNER, "INTERNAL")):
     query(_name, f"WITH {_META} SELECT review_row_id, month, seller_id FROM meta WHERE {_where(_filters, _clearance)}")(
-        lambda c, filters=_filters, clearance=_clearance: metadata(c).where(X.allowed(filters, clearance)).select("review_row_id", "month", "seller_id")
+        lambda c, filters=_filters, clearance=_clearance: metadata(c).where(X.allowed(filters, clearance)).select(
+            "review_row_id",
+            "month",
+            "seller_id",
+        )
     )
 
 # I14: every rung is a maximum over the scores of the documents that its filters let through
@@ -90,7 +104,13 @@ def measured(c):
 
 
 def _means():
-    return [F.round(F.avg("precision"), 5).alias("precision"), F.round(F.avg("recall"), 5).alias("recall"), F.round(F.avg("reciprocal_rank"), 5).alias("mrr"), F.round(F.avg(1 - F.col("precision")), 5).alias("irrelevant_rate"), F.count("*").alias("queries")]
+    return [
+        F.round(F.avg("precision"), 5).alias("precision"),
+        F.round(F.avg("recall"), 5).alias("recall"),
+        F.round(F.avg("reciprocal_rank"), 5).alias("mrr"),
+        F.round(F.avg(1 - F.col("precision")), 5).alias("irrelevant_rate"),
+        F.count("*").alias("queries"),
+    ]
 
 
 def by_category(c):
@@ -99,8 +119,16 @@ def by_category(c):
     return measured(c).join(kinds, "query_id").rollup("category").agg(*_means()).withColumn("category", F.coalesce("category", F.lit("all")))
 
 
-query("i22_recall_by_language", f"WITH {_BM25}, {_PER}, m AS ({_metrics('bm')}), q AS (SELECT item_id AS query_id, tag FROM (SELECT item_id, {_LANG[_LANG.index('CASE'):_LANG.index(' AS tag')]} AS tag {_LANG[_LANG.index('FROM (SELECT *'):-1].replace('doc_id', 'item_id').replace('documents', 'benchmark')})) SELECT tag AS language, count(*) AS queries, round(avg(recall), 6) AS recall FROM m JOIN q USING (query_id) GROUP BY 1")(
-    lambda c: measured(c).join(asked(c).select("query_id", X.language(F.col("text")).alias("language")), "query_id").groupBy("language").agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
+query(
+    "i22_recall_by_language",
+    f"WITH {_BM25}, {_PER}, m AS ({_metrics('bm')}), q AS (SELECT item_id AS query_id, tag "
+    f"FROM (SELECT item_id, {_LANG[_LANG.index('CASE'):_LANG.index(' AS tag')]} AS tag {_LANG[_LANG.index('FROM (SELECT *'):-1].replace('doc_id', 'item_id').replace('documents', 'benchmark')})) "
+    "SELECT tag AS language, count(*) AS queries, round(avg(recall), 6) AS recall FROM m JOIN q USING (query_id) GROUP BY 1",
+)(
+    lambda c: measured(c).join(
+        asked(c).select("query_id", X.language(F.col("text")).alias("language")),
+        "query_id",
+    ).groupBy("language").agg(F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"))
 )
 
 # I24

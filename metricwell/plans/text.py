@@ -20,10 +20,18 @@ def words(c):
     return c.stored("words", lambda: X.tokenized(c.raw("documents")))
 
 
-query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(lambda c: c.raw("documents").select("doc_id", X.tokens(X.nfkc(F.col("text"))).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest")))
+query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(
+    lambda c: c.raw("documents").select("doc_id", X.tokens(X.nfkc(F.col("text"))).alias("w")).select(
+        "doc_id",
+        F.size("w").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("w", " ").cast("binary")).alias("digest"),
+    )
+)
 query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: X.postings(X.tokenized(c.raw("documents"))))
 query("i6_index_stats", f"WITH {_POST} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT round(avg(len(w)), 6) FROM tok) AS avg_length")(
-    lambda c: words(c).agg(F.count("*").alias("documents"), F.round(F.avg(F.size("w")), 6).alias("avg_length")).crossJoin(words(c).select(F.explode("w").alias("term")).agg(F.count_distinct("term").alias("vocabulary")))
+    lambda c: words(c).agg(F.count("*").alias("documents"), F.round(F.avg(F.size("w")), 6).alias("avg_length")).crossJoin(
+        words(c).select(F.explode("w").alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
+    )
 )
 _QT = _TOK.replace("text", "q.text")
 _BM25 = f"""{_POST}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
@@ -47,12 +55,23 @@ def cosine(c, k=10):
 
 
 query("i7_cosine_top_k", _COS)(cosine)
-query("i9_rank_fusion", f"WITH {_BM25}, l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER FROM bm), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM l GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) WHERE rank <= 5")(
-    lambda c: (lambda b: X.fuse(b, b.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))), key="doc_id", k=5))(bm25(c))
+query(
+    "i9_rank_fusion",
+    f"WITH {_BM25}, l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL "
+    "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id)::INTEGER "
+    "FROM bm), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM l GROUP BY 1, 2) SELECT * "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) WHERE rank <= 5",
+)(
+    lambda c: (
+        lambda b: X.fuse(b, b.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))), key="doc_id", k=5)
+    )(bm25(c))
 )
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')"
 _NAMES = f"list_distinct(list_filter({_WORDS}, lambda x: regexp_matches(x, '{X.NAME}') AND x NOT IN {X.NOT_NAMES}))"
-_KINDS = {n: f"regexp_matches(text, '{p}')" for n, p in X.PII.items()} | {"address": f"regexp_matches(text, '{X.ADDRESS}')", "name_heuristic": f"len({_NAMES}) >= 2"}
+_KINDS = {n: f"regexp_matches(text, '{p}')" for n, p in X.PII.items()} | {
+    "address": f"regexp_matches(text, '{X.ADDRESS}')",
+    "name_heuristic": f"len({_NAMES}) >= 2",
+}
 PII_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {p} THEN '{n}' END" for n, p in sorted(_KINDS.items())) + "], lambda x: x IS NOT NULL), ',')"
 SAFETY_SQL = "CASE " + " ".join(
     f"WHEN {' OR '.join(f"coalesce(regexp_matches(text, '{p}'), false)" for p in patterns)} THEN '{label}'" for label, patterns in (("BLOCKED", X.BLOCKED), ("SUSPICIOUS", X.SUSPICIOUS))
@@ -63,7 +82,13 @@ query("i15_pii_types", f"SELECT doc_id, {PII_SQL} AS pii FROM documents")(
 _RED = "text"
 for _n, _p in sorted(X.PII.items()):
     _RED = f"regexp_replace({_RED}, '{_p}', '[REDACTED_{_n.upper()}]', 'g')"
-query("i16_pii_redaction", f"SELECT doc_id, md5({_RED}) AS digest, length({_RED}) AS chars FROM documents")(lambda c: c.raw("documents").select("doc_id", X.redact(F.col("text")).alias("t")).select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").cast("long").alias("chars")))
+query("i16_pii_redaction", f"SELECT doc_id, md5({_RED}) AS digest, length({_RED}) AS chars FROM documents")(
+    lambda c: c.raw("documents").select("doc_id", X.redact(F.col("text")).alias("t")).select(
+        "doc_id",
+        F.md5(F.col("t").cast("binary")).alias("digest"),
+        F.length("t").cast("long").alias("chars"),
+    )
+)
 query("i17_safety", f"SELECT doc_id, {SAFETY_SQL} AS safety FROM documents")(
     lambda c: c.raw("documents").select("doc_id", X.safety(F.col("text")).alias("safety"))
 )
@@ -85,11 +110,16 @@ _QUALITY = {
 }
 query(
     "i19_text_quality",
-    f"SELECT {', '.join(f'{e} AS {n}' for n, (e, _) in _QUALITY.items())} FROM (SELECT text, length(text) AS chars, len(regexp_extract_all(text, '[^\\s]+')) AS words, trim(coalesce(text, '')) = '' AS blank FROM documents)",
+    f"SELECT {', '.join(f'{e} AS {n}' for n, (e, _) in _QUALITY.items())} "
+    "FROM (SELECT text, length(text) AS chars, len(regexp_extract_all(text, '[^\\s]+')) AS words, trim(coalesce(text, '')) = '' AS blank "
+    "FROM documents)",
 )(
-    lambda c: c.raw("documents")
-    .selectExpr("text", "length(text) AS chars", "regexp_count(text, '[^\\\\s]+') AS words", "trim(coalesce(text, '')) = '' AS blank")
-    .agg(*(F.expr(e).alias(n) for n, (_, e) in _QUALITY.items()))
+    lambda c: c.raw("documents") .selectExpr(
+        "text",
+        "length(text) AS chars",
+        "regexp_count(text, '[^\\\\s]+') AS words",
+        "trim(coalesce(text, '')) = '' AS blank",
+    ) .agg(*(F.expr(e).alias(n) for n, (_, e) in _QUALITY.items()))
 )
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
@@ -102,12 +132,19 @@ def relevant(c):
     """Documents that contain a benchmark text, found by a run of its inner words; items too short for that are compared with all."""
     split = lambda t: F.split(F.trim(t, F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0b\f\r]+")
     key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, ANCHOR), " "))
-    items = c.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), split(F.col("text")).alias("w")).where("q IS NOT NULL")
+    items = c.raw("benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.col("text").alias("q"),
+        split(F.col("text")).alias("w"),
+    ).where("q IS NOT NULL")
     long = items.where(F.size("w") >= ANCHOR + 2).select("query_id", "q", key(F.col("w"), 2).alias("anchor"))
     docs = c.raw("documents").select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR + 1)
     at = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: key(F.col("w"), i))).alias("anchor"))
     found = at.join(long.select("query_id", "anchor"), "anchor").select("query_id", "doc_id").distinct()
-    sure = found.join(c.raw("documents").select("doc_id", "text"), "doc_id").join(long.select("query_id", "q"), "query_id").where(F.contains("text", "q"))
+    sure = found.join(
+        c.raw("documents").select("doc_id", "text"),
+        "doc_id",
+    ).join(long.select("query_id", "q"), "query_id").where(F.contains("text", "q"))
     short = items.where(F.size("w") < ANCHOR + 2).select("query_id", "q")
     rest = c.raw("documents").join(short, F.contains("text", "q"))
     return sure.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
@@ -115,7 +152,10 @@ def relevant(c):
 
 #: Queries by the length of their text, as a category.
 _CATEGORY = f"CASE WHEN len({_QT}) <= 10 THEN 'short' WHEN len({_QT}) <= 25 THEN 'medium' ELSE 'long' END"
-query("i21_retrieval_metrics", f"WITH {_BM25}, {_REL}, w AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1), p AS (SELECT query_id, count(*) AS returned, count(rel.doc_id) AS hits, min(CASE WHEN rel.doc_id IS NOT NULL THEN rank END) AS f FROM bm LEFT JOIN rel USING (query_id, doc_id) GROUP BY 1) SELECT query_id, round(hits / returned::DOUBLE, 6) AS precision, round(hits / relevant::DOUBLE, 6) AS recall, round(coalesce(1 / f::DOUBLE, 0), 6) AS reciprocal_rank FROM p JOIN w USING (query_id)")(lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id"))
+query(
+    "i21_retrieval_metrics",
+    f"WITH {_BM25}, {_REL}, w AS (SELECT query_id, count(*) AS relevant FROM rel " "GROUP BY 1), p AS (SELECT query_id, count(*) AS returned, count(rel.doc_id) AS hits, min(CASE " "WHEN rel.doc_id IS NOT NULL THEN rank END) AS f FROM bm LEFT JOIN rel USING (query_id, doc_id) GROUP BY 1) " "SELECT query_id, round(hits / returned::DOUBLE, 6) AS precision, round(hits / relevant::DOUBLE, 6) AS recall, round(coalesce(1 / f::DOUBLE, 0), 6) AS reciprocal_rank " "FROM p JOIN w USING (query_id)",
+)(lambda c: X.retrieval_metrics(bm25(c), relevant(c), "doc_id"))
 
 # J: evidence
 _EV = "SELECT 'ev_kpi_' || substr(sha256('revenue|' || month || '|' || sample_size), 1, 16) AS evidence_id, month, printf('revenue in %s from %d items', month, sample_size) AS claim FROM (SELECT month, count(*) AS sample_size FROM kpi_items GROUP BY 1)"
@@ -123,23 +163,59 @@ _EV = "SELECT 'ev_kpi_' || substr(sha256('revenue|' || month || '|' || sample_si
 
 def evidence(c):
     rows = K.Kpi(c, window=False).items([]).groupBy("month").agg(F.count("*").alias("sample_size"))
-    return rows.select(F.concat(F.lit("ev_kpi_"), F.substring(F.sha2(F.concat_ws("|", F.lit("revenue"), "month", "sample_size"), 256), 1, 16)).alias("evidence_id"), "month", F.format_string("revenue in %s from %d items", "month", "sample_size").alias("claim"))
+    return rows.select(
+        F.concat(F.lit("ev_kpi_"), F.substring(F.sha2(F.concat_ws("|", F.lit("revenue"), "month", "sample_size"), 256), 1, 16)).alias("evidence_id"),
+        "month",
+        F.format_string("revenue in %s from %d items", "month", "sample_size").alias("claim"),
+    )
 
 
 query("j1_evidence_ids", _EV)(evidence)
-query("j7_duplicate_evidence", f"SELECT evidence_id, count(*) AS n FROM ({_EV}) GROUP BY 1 HAVING count(*) > 1")(lambda c: evidence(c).groupBy("evidence_id").agg(F.count("*").alias("n")).where("n > 1"))
+query(
+    "j7_duplicate_evidence",
+    f"SELECT evidence_id, count(*) AS n FROM ({_EV}) GROUP BY 1 HAVING count(*) > 1",
+)(lambda c: evidence(c).groupBy("evidence_id").agg(F.count("*").alias("n")).where("n > 1"))
 _Z = "SELECT coalesce(lang, '') AS category, count(*) FILTER (r < 500) AS n1, count(*) FILTER (r < 500 AND s <= 2) AS x1, count(*) FILTER (r >= 500) AS n2, count(*) FILTER (r >= 500 AND s <= 2) AS x2 FROM (SELECT lang, review_row_id % 1000 AS r, review_score AS s FROM fact_reviews) GROUP BY 1"
 query("j10_low_score_contradiction", f"SELECT *, round((x2 / n2::DOUBLE - x1 / n1::DOUBLE) / nullif(sqrt((x1 + x2) / (n1 + n2)::DOUBLE * (1 - (x1 + x2) / (n1 + n2)::DOUBLE) * (1 / n1::DOUBLE + 1 / n2::DOUBLE)), 0), 6) AS z, x2 / n2::DOUBLE <= x1 / n1::DOUBLE AS contradicts FROM ({_Z}) WHERE n1 >= 15 AND n2 >= 15")(
-    lambda c: c.fact_reviews.selectExpr("coalesce(lang, '') AS category", "review_row_id % 1000 AS r", "review_score AS s").groupBy("category").agg(F.count_if(F.expr("r < 500")).alias("n1"), F.count_if(F.expr("r < 500 AND s <= 2")).alias("x1"), F.count_if(F.expr("r >= 500")).alias("n2"), F.count_if(F.expr("r >= 500 AND s <= 2")).alias("x2")).where("n1 >= 15 AND n2 >= 15")
-    .withColumn("z", F.expr("round((x2 / n2 - x1 / n1) / nullif(sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 0), 6)")).withColumn("contradicts", F.expr("x2 / n2 <= x1 / n1"))
+    lambda c: c.fact_reviews.selectExpr("coalesce(lang, '') AS category", "review_row_id % 1000 AS r", "review_score AS s").groupBy("category").agg(
+        F.count_if(F.expr("r < 500")).alias("n1"),
+        F.count_if(F.expr("r < 500 AND s <= 2")).alias("x1"),
+        F.count_if(F.expr("r >= 500")).alias("n2"),
+        F.count_if(F.expr("r >= 500 AND s <= 2")).alias("x2"),
+    ).where("n1 >= 15 AND n2 >= 15") .withColumn(
+        "z", F.expr("round((x2 / n2 - x1 / n1) / nullif(sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 0), 6)")
+    ).withColumn("contradicts", F.expr("x2 / n2 <= x1 / n1"))
+)
+query("j14_redact_ids", r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b[0-9a-f]{16,64}\b', '[ID]', 'g')) AS digest FROM documents")(
+    lambda c: c.raw("documents").select("doc_id", F.md5(F.regexp_replace("text", r"(?i)\b[0-9a-f]{16,64}\b", "[ID]").cast("binary")).alias("digest"))
 )
-query("j14_redact_ids", r"SELECT doc_id, md5(regexp_replace(text, '(?i)\b[0-9a-f]{16,64}\b', '[ID]', 'g')) AS digest FROM documents")(lambda c: c.raw("documents").select("doc_id", F.md5(F.regexp_replace("text", r"(?i)\b[0-9a-f]{16,64}\b", "[ID]").cast("binary")).alias("digest")))
 
 # L: logs
 query("l17_state_fold", "SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS first_event, last(event_id ORDER BY ts, event_id) AS last_event, last(value ORDER BY ts, event_id) FILTER (value IS NOT NULL) AS value, count(*) AS events FROM events GROUP BY 1, 2")(
-    lambda c: c.raw("events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias("value"), F.count("*").alias("events"))
+    lambda c: c.raw("events").groupBy("user_id", "event_type").agg(
+        F.min_by("event_id", F.struct("ts", "event_id")).alias("first_event"),
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"),
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias("value"),
+        F.count("*").alias("events"),
+    )
+)
+query("l26_audit_log", "SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC")(
+    lambda c: c.raw("events").where("event_type = 'error'").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id"))
+)
+query("l27_telemetry", "SELECT user_id::VARCHAR AS user_id, event_type, grouping_id(user_id, event_type) AS level, count(*) AS calls, round(sum(value), 4) AS latency FROM events GROUP BY ROLLUP (user_id, event_type)")(
+    lambda c: c.raw("events").withColumn("user_id", F.col("user_id").cast("string")).rollup("user_id", "event_type").agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("calls"),
+        F.round(F.sum("value"), 4).alias("latency"),
+    )
+)
+query("l28_budget_breach", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 51")(
+    lambda c: c.raw("events").select(
+        "user_id",
+        "event_id",
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"),
+    ).where("n = 51").select("user_id", "event_id")
+)
+query("m2_events_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(
+    lambda c: c.raw("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
 )
-query("l26_audit_log", "SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC")(lambda c: c.raw("events").where("event_type = 'error'").select("event_id", "user_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")))
-query("l27_telemetry", "SELECT user_id::VARCHAR AS user_id, event_type, grouping_id(user_id, event_type) AS level, count(*) AS calls, round(sum(value), 4) AS latency FROM events GROUP BY ROLLUP (user_id, event_type)")(lambda c: c.raw("events").withColumn("user_id", F.col("user_id").cast("string")).rollup("user_id", "event_type").agg(F.grouping_id().alias("level"), F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("latency")))
-query("l28_budget_breach", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 51")(lambda c: c.raw("events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n")).where("n = 51").select("user_id", "event_id"))
-query("m2_events_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda c: c.raw("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n")))
