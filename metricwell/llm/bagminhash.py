@@ -213,7 +213,15 @@ def _apart(buckets: DataFrame, classes: DataFrame | None, block: int) -> DataFra
     if classes is not None:
         members = buckets.join(classes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     members = materialize(members)
-    told = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("digest").alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "digest")).alias("y"))
+    told = members.groupBy("band").agg(
+        F.count("*").alias("n"),
+        F.sum("size").alias("all"),
+        F.min("digest").alias("first"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.bit_xor(F.xxhash64("digest")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(5), "digest")).alias("y"),
+    )
     one = told.where("low <> high").groupBy("n", "x", "y", "first").agg(F.min(F.struct("band", "all")).alias("b"))
     k = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.all") / ITEMS), F.lit(1)).cast("int")
     return join_keyed(members, materialize(one.select("b.band", "n", "first", k.alias("k"))), ["band"], "n")
@@ -240,7 +248,13 @@ def similar_classes(buckets: DataFrame, items: DataFrame, block: int = BLOCK) ->
     for some in (buckets.where(F.col("number") < EARLY), buckets):
         here = _apart(some, classes, block)
         at = here.select("band", "digest", "root", own.alias("i"), F.lit(0).alias("j"))
-        firsts = here.where("digest = first AND k > 1").select("band", "digest", "root", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(0).alias("j"))
+        firsts = here.where("digest = first AND k > 1").select(
+            "band",
+            "digest",
+            "root",
+            F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"),
+            F.lit(0).alias("j"),
+        )
         classes = _joined(classes, at.unionByName(firsts), items)
     hot = materialize(_apart(buckets, classes, block).where("k > 1"))
     if hot.isEmpty():
@@ -268,20 +282,40 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(texts.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>, items long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    reps = materialize(signed.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("items").alias("size"), F.count("*").alias("copies"), first))
+    reps = materialize(
+        signed.groupBy("digest").agg(F.any_value("bands").alias("bands"), F.any_value("items").alias("size"), F.count("*").alias("copies"), first)
+    )
     every = reps.select("digest", "size", F.posexplode("bands").alias("number", "band"))
     often = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # a text is in BANDS buckets, so no bucket holds more than one in BANDS of these rows
     buckets = materialize(every.join(often.select("band").hint("merge"), "band", "left_semi"))
 
     wanted = buckets.select("digest").distinct().join(reps, "digest").select(F.col("first.doc_id").alias("id")).distinct()
-    items = materialize(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_elements, "digest binary, items binary").dropDuplicates(["digest"]))
+    items = materialize(
+        texts.join(
+            wanted,
+            F.col("doc_id").eqNullSafe(F.col("id")),
+            "left_semi",
+        ).mapInArrow(_elements, "digest binary, items binary").dropDuplicates(["digest"])
+    )
     linked = similar_classes(buckets, items, block)
 
-    of = materialize(reps.select("digest", "copies", "first").join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    of = materialize(
+        reps.select("digest", "copies", "first").join(
+            linked.withColumnRenamed("node", "digest"),
+            "digest",
+            "left",
+        ).withColumn("root", F.coalesce("root", "digest"))
+    )
     whole = materialize(of.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("first").alias("f"), F.count("*").alias("n")))
     named = join_keyed(of, whole, ["root"], "n").select("digest", "copies", "class_size", F.col("f.doc_id").alias("class_id"))
-    return join_keyed(signed, materialize(named), ["digest"], "copies").select("doc_id", "class_id", "class_size", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return join_keyed(signed, materialize(named), ["digest"], "copies").select(
+        "doc_id",
+        "class_id",
+        "class_size",
+        "copies",
+        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
+    )
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

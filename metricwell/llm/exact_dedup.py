@@ -74,7 +74,14 @@ def merge_runs(runs: DataFrame, partitions: int, steps: int = STEPS) -> DataFram
     levels = max(1, (partitions - 1).bit_length())
     size = 1 << levels
     slot = F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), F.lit(size)).cast("int")
-    level = runs.select(*_KEY, (-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id", F.lit(1).cast("long").alias("n"), (F.spark_partition_id() % size).alias("at"))
+    level = runs.select(
+        *_KEY,
+        (-F.col("chars")).alias("less"),
+        F.col("doc_id").isNull().alias("none"),
+        "doc_id",
+        F.lit(1).cast("long").alias("n"),
+        (F.spark_partition_id() % size).alias("at"),
+    )
     shape = level.schema
     level = level.sortWithinPartitions(*_ORDER).mapInArrow(_retain, shape)
     for low in range(0, levels, steps):
@@ -93,7 +100,14 @@ def exact_dedup(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """
     spark = docs.sparkSession
     runs = materialize(_runs(docs))
-    best = materialize(merge_runs(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), steps).select(*_KEY, "less", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size")))
+    best = materialize(
+        merge_runs(runs, int(spark.conf.get("spark.sql.shuffle.partitions")), steps).select(
+            *_KEY,
+            "less",
+            F.col("doc_id").alias("keep_id"),
+            F.col("n").alias("group_size"),
+        )
+    )
     return join_keyed(runs, best, _KEY, "group_size").select(
         "doc_id",
         "keep_id",

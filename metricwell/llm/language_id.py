@@ -185,7 +185,10 @@ def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
                 names = [fitted.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
             else:
                 score, names = np.zeros(len(texts)), ["und"] * len(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
+                ["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

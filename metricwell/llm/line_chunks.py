@@ -44,14 +44,24 @@ def coded(docs: DataFrame) -> DataFrame:
 
     A line's code is null if it stands for another line too.
     """
-    lines = docs.select("row", F.posexplode(_lines(F.col("text"))).alias("at", "line")).select("row", "at", "line", _code(F.col("line")).alias("code"))
+    lines = docs.select(
+        "row",
+        F.posexplode(_lines(F.col("text"))).alias("at", "line"),
+    ).select("row", "at", "line", _code(F.col("line")).alias("code"))
     different = lines.groupBy("code", "line").agg(F.lit(1).alias("one")).groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
     unsure = materialize(different.select("code"))
-    out = docs.select("row", F.transform(_lines(F.col("text")), _code).alias("codes"), F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(" \t\r")) == "").alias("blank"))
+    out = docs.select(
+        "row",
+        F.transform(_lines(F.col("text")), _code).alias("codes"),
+        F.transform(_lines(F.col("text")), lambda x: F.trim(x, F.lit(" \t\r")) == "").alias("blank"),
+    )
     out = materialize(out.dropDuplicates(["row"]))
     if unsure.isEmpty():
         return out
-    spots = out.select("row", F.posexplode("codes").alias("at", "code")).join(unsure, "code", "left_semi").groupBy("row").agg(F.collect_list("at").alias("spots"))
+    spots = out.select(
+        "row",
+        F.posexplode("codes").alias("at", "code"),
+    ).join(unsure, "code", "left_semi").groupBy("row").agg(F.collect_list("at").alias("spots"))
     marked = F.transform("codes", lambda c, i: F.when(~F.coalesce(F.array_contains("spots", i), F.lit(False)), c))
     return materialize(out.join(spots, "row", "left").select("row", marked.alias("codes"), "blank"))
 
@@ -67,9 +77,26 @@ def chunked(codes: DataFrame) -> DataFrame:
         return F.when((value % DIVISOR == 0) | (i == F.size("h") - 1), i)
 
     cut = hashed.withColumn("cuts", F.array_compact(F.transform("h", ends)))
-    pieces = F.transform("cuts", lambda end, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1) + 1).alias("at"), (end - F.when(k == 0, F.lit(-1)).otherwise(F.get("cuts", k - 1))).alias("n")))
-    spans = cut.select("row", "codes", "blank", F.explode(F.filter(pieces, lambda p: p["n"] > 1)).alias("p")).select("row", "p.at", "p.n", F.slice("codes", F.col("p.at") + 1, F.col("p.n")).alias("c"), F.slice("blank", F.col("p.at") + 1, F.col("p.n")).alias("b"))
-    return spans.where(F.exists("b", lambda x: ~x) & F.forall("c", lambda x: x.isNotNull())).select("row", "at", "n", _code(F.array_join(F.transform("c", F.hex), "")).alias("code"))
+    pieces = F.transform(
+        "cuts",
+        lambda end, k: F.struct(
+            F.when(k == 0, F.lit(0)).otherwise(F.get("cuts", k - 1) + 1).alias("at"),
+            (end - F.when(k == 0, F.lit(-1)).otherwise(F.get("cuts", k - 1))).alias("n"),
+        ),
+    )
+    spans = cut.select("row", "codes", "blank", F.explode(F.filter(pieces, lambda p: p["n"] > 1)).alias("p")).select(
+        "row",
+        "p.at",
+        "p.n",
+        F.slice("codes", F.col("p.at") + 1, F.col("p.n")).alias("c"),
+        F.slice("blank", F.col("p.at") + 1, F.col("p.n")).alias("b"),
+    )
+    return spans.where(F.exists("b", lambda x: ~x) & F.forall("c", lambda x: x.isNotNull())).select(
+        "row",
+        "at",
+        "n",
+        _code(F.array_join(F.transform("c", F.hex), "")).alias("code"),
+    )
 
 
 def paired(codes: DataFrame) -> DataFrame:
@@ -106,11 +133,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gone = dup.join(pairs, "row", "full_outer")
     none = F.array().cast("array<int>")
     lines = F.array_union(F.flatten(F.transform("dup", lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1))), none)
-    gone = gone.select("row", F.coalesce(F.size("dup"), F.lit(0)).alias("chunks"), F.array_union(F.coalesce(lines, none), F.coalesce(F.array_union("ats", F.transform("ats", lambda i: i + 1)), none)).alias("lines"))
+    gone = gone.select(
+        "row",
+        F.coalesce(F.size("dup"), F.lit(0)).alias("chunks"),
+        F.array_union(F.coalesce(lines, none), F.coalesce(F.array_union("ats", F.transform("ats", lambda i: i + 1)), none)).alias("lines"),
+    )
     out = docs.select(F.struct("*").alias("doc"), row).join(gone.hint("merge"), "row", "left")
     every = _lines(F.col("doc.text"))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "lines"), lambda i: F.get(every, i)), "\n")
-    return out.select("doc", F.when(F.col("lines").isNull(), F.col("doc.text")).otherwise(left).alias("text"), F.coalesce("chunks", F.lit(0)).cast("long").alias("removed_chunks"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("removed_lines"))
+    return out.select(
+        "doc",
+        F.when(F.col("lines").isNull(), F.col("doc.text")).otherwise(left).alias("text"),
+        F.coalesce("chunks", F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("removed_lines"),
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -118,7 +154,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     See without_repeats for nulls, ties, repeated rows and empty tables.
     """
-    return without_repeats(docs.select("doc_id", "text")).select("doc.doc_id", "text", F.size(_lines(F.col("doc.text"))).cast("long").alias("n_lines"), "removed_chunks", "removed_lines")
+    return without_repeats(docs.select("doc_id", "text")).select(
+        "doc.doc_id",
+        "text",
+        F.size(_lines(F.col("doc.text"))).cast("long").alias("n_lines"),
+        "removed_chunks",
+        "removed_lines",
+    )
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,22 +82,44 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, share: float = 1.0, seed: int = S
     """
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     domain = domain_of(source) if domain is None else domain
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_mix_id"), domain.alias(_LEAF[0]), lang.alias(_LEAF[1]), source.alias(_LEAF[2]), tokens_of(F.col("text")).alias("_mix_tokens"))
+    rows = docs.select(
+        F.struct("*").alias("doc"),
+        F.col("doc_id").alias("_mix_id"),
+        domain.alias(_LEAF[0]),
+        lang.alias(_LEAF[1]),
+        source.alias(_LEAF[2]),
+        tokens_of(F.col("text")).alias("_mix_tokens"),
+    )
     slim = materialize(rows.select(*_LEAF, "_mix_tokens", "_mix_id"))
     leaf = materialize(budgets(slim.groupBy(*_LEAF).agg(F.sum("_mix_tokens").alias("tokens")), epochs, share, weights))
     plan = leaf.select(*_LEAF, F.expr("budget div tokens").alias("_mix_whole"), (F.col("budget") % F.col("tokens")).alias("_mix_rest"))
     key = lambda who: F.md5(F.concat_ws("|", F.lit(seed), "_mix_whole", F.coalesce(F.col(who).cast("string"), F.lit(""))).cast("binary"))
     bucket = F.substring("_mix_key", 1, _DIGITS)
-    sums = slim.where("_mix_tokens > 0").join(plan, _LEAF).withColumn("_mix_key", key("_mix_id")).groupBy(*_LEAF, bucket.alias("_mix_bucket")).agg(F.sum("_mix_tokens").alias("n"), F.first("_mix_rest").alias("_mix_rest"))
+    sums = slim.where("_mix_tokens > 0").join(plan, _LEAF).withColumn("_mix_key", key("_mix_id")).groupBy(*_LEAF, bucket.alias("_mix_bucket")).agg(
+        F.sum("_mix_tokens").alias("n"),
+        F.first("_mix_rest").alias("_mix_rest"),
+    )
     before = Window.partitionBy(*_LEAF).orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    border = sums.withColumn("_mix_before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("_mix_before <= _mix_rest AND _mix_rest < _mix_before + n")
+    border = sums.withColumn(
+        "_mix_before",
+        F.coalesce(F.sum("n").over(before), F.lit(0)),
+    ).where("_mix_before <= _mix_rest AND _mix_rest < _mix_before + n")
     plan = materialize(plan.join(border.select(*_LEAF, F.col("_mix_bucket").alias("_mix_border"), "_mix_before"), _LEAF, "left"))
 
     on = rows.where("_mix_tokens > 0").join(plan, _LEAF).withColumn("_mix_key", key("_mix_id")).withColumn("_mix_bucket", bucket)
     inner = Window.partitionBy(*_LEAF).orderBy("_mix_key", "_mix_id", "_mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = on.where("_mix_bucket = _mix_border").withColumn("_mix_start", F.col("_mix_before") + F.coalesce(F.sum("_mix_tokens").over(inner), F.lit(0)))
-    last = last.withColumn("_mix_part", F.greatest(F.lit(0).cast("long"), F.least("_mix_tokens", F.col("_mix_rest") - F.col("_mix_start")))).drop("_mix_start")
-    rest = on.where("_mix_bucket <> _mix_border").withColumn("_mix_part", F.when(F.col("_mix_bucket") < F.col("_mix_border"), F.col("_mix_tokens")).otherwise(F.lit(0).cast("long")))
+    last = on.where("_mix_bucket = _mix_border").withColumn(
+        "_mix_start",
+        F.col("_mix_before") + F.coalesce(F.sum("_mix_tokens").over(inner), F.lit(0)),
+    )
+    last = last.withColumn(
+        "_mix_part",
+        F.greatest(F.lit(0).cast("long"), F.least("_mix_tokens", F.col("_mix_rest") - F.col("_mix_start"))),
+    ).drop("_mix_start")
+    rest = on.where("_mix_bucket <> _mix_border").withColumn(
+        "_mix_part",
+        F.when(F.col("_mix_bucket") < F.col("_mix_border"), F.col("_mix_tokens")).otherwise(F.lit(0).cast("long")),
+    )
     some = last.unionByName(rest)
     times = F.col("_mix_whole") + F.when(F.col("_mix_part") > 0, 1).otherwise(0)
     taken = some.where(times > 0).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))

@@ -140,7 +140,10 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), shape.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns], ["doc_id", *shape])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run,
+        "doc_id long, piece int, start long, length long, ids_crc32 long",
+    )
 
 
 def best_fit(lengths: Counter, size: int = SEQUENCE) -> list[list[int]]:
@@ -240,7 +243,9 @@ def _place(rows: pa.Table, bins: list[list[int]]) -> pa.Table:
             i = free[n].pop()
             number[i], offset[i] = k, at
             at += n
-    return rows.select(["island", "doc_id", "piece", "start", "length", "ids_crc32"]).append_column("bin", pa.array(number)).append_column("offset", pa.array(offset))
+    return rows.select(
+        ["island", "doc_id", "piece", "start", "length", "ids_crc32"]
+    ).append_column("bin", pa.array(number)).append_column("offset", pa.array(offset))
 
 
 def _in_order(rows: pa.Table) -> pa.Table:
@@ -268,12 +273,18 @@ def pack(docs: DataFrame, path: str | None = None, island: int = ISLAND) -> Data
     pieces that fill one.
     """
     every = materialize(pieces(docs, path))
-    full = every.where(F.col("length") == SEQUENCE).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    full = every.where(F.col("length") == SEQUENCE).withColumn(
+        "sequence_id",
+        -1 - F.monotonically_increasing_id(),
+    ).withColumn("offset", F.lit(0).cast("long"))
     short = every.where(F.col("length") < SEQUENCE)
     islands = max(1, math.ceil(short.count() / island))
     place = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(islands)).cast("int")
     first = materialize(short.select(place.alias("island"), *short.columns).groupBy("island").applyInArrow(_first_spell, _SHAPE))
-    filled = first.groupBy("island", "bin").agg(F.sort_array(F.collect_list("length"), asc=False).alias("lengths"), F.sum("length").alias("sum")).where(F.col("sum") == SEQUENCE)
+    filled = first.groupBy("island", "bin").agg(
+        F.sort_array(F.collect_list("length"), asc=False).alias("lengths"),
+        F.sum("length").alias("sum"),
+    ).where(F.col("sum") == SEQUENCE)
     best = Window.partitionBy("island").orderBy(F.desc(F.size("lengths")), "bin")
     elite = filled.withColumn("n", F.row_number().over(best)).where(F.col("n") <= MIGRANTS)
     elite = elite.select(((F.col("island") + 1) % islands).alias("island"), "lengths")

@@ -64,9 +64,18 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return seen[back] > 1
 
     share = lambda flag: np.bincount(home, weights=flag, minlength=n) / least
-    again = np.concatenate((hashes[1:] == hashes[:-1], [False])) & np.concatenate((owner[1:] == owner[:-1], [False])) if len(hashes) else np.zeros(0, bool)
+    again = np.concatenate(
+        (hashes[1:] == hashes[:-1], [False])
+    ) & np.concatenate((owner[1:] == owner[:-1], [False])) if len(hashes) else np.zeros(0, bool)
     triple = hashes * np.uint64(3) + np.roll(hashes, -1) * np.uint64(5) + np.roll(hashes, -2) * np.uint64(7)
-    extra = (words / size[:, 0] * 6, long / 8, share(repeated(hashes, home)), share(again), share(repeated(mix(triple), owner)), np.log1p(np.diff(at))[np.repeat(np.arange(len(texts)), count)] / 10)
+    extra = (
+        words / size[:, 0] * 6,
+        long / 8,
+        share(repeated(hashes, home)),
+        share(again),
+        share(repeated(mix(triple), owner)),
+        np.log1p(np.diff(at))[np.repeat(np.arange(len(texts)), count)] / 10,
+    )
     return np.hstack((np.sqrt(pair / size), np.stack(extra, axis=1))).astype(np.float32), first
 
 
@@ -77,7 +86,15 @@ class AttentionModel:
         r = np.random.default_rng(seed)
         make = lambda a, b: r.normal(0, a**-0.5, (a, b))
         self.mean, self.std = np.zeros(FEATURES), np.ones(FEATURES)
-        self.p = {"E": make(FEATURES, width), "e": np.zeros(width), "V": make(width, gate), "U": make(width, gate), "w": make(gate, 1)[:, 0], "c": make(width, 1)[:, 0], "b": np.zeros(1)}
+        self.p = {
+            "E": make(FEATURES, width),
+            "e": np.zeros(width),
+            "V": make(width, gate),
+            "U": make(width, gate),
+            "w": make(gate, 1)[:, 0],
+            "c": make(width, 1)[:, 0],
+            "b": np.zeros(1),
+        }
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         p, doc = self.p, np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -119,7 +136,15 @@ class AttentionModel:
         dta, dtg = dag * f["g"] * (1 - f["a"] ** 2), dag * f["a"] * f["g"] * (1 - f["g"])
         dh = (f["s"][:, None] * part + dta @ p["V"].T + dtg @ p["U"].T) * (1 - f["h"] ** 2)
         scaled = (x - self.mean) / self.std
-        return {"E": scaled.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dta, "U": f["h"].T @ dtg, "w": (f["a"] * f["g"]).T @ ds, "c": f["z"].T @ dy, "b": np.array([dy.sum()])}
+        return {
+            "E": scaled.T @ dh,
+            "e": dh.sum(axis=0),
+            "V": f["h"].T @ dta,
+            "U": f["h"].T @ dtg,
+            "w": (f["a"] * f["g"]).T @ ds,
+            "c": f["z"].T @ dy,
+            "b": np.array([dy.sum()]),
+        }
 
     def score(self, texts: list[str]) -> np.ndarray:
         x, first = encode(texts)
@@ -131,7 +156,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Attent
     spark = docs.sparkSession
     small_batches(spark)
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where(
+        F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
+    ).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().where("quality IN (0, 1)").collect()}
     share = F.lit(0.0)
     for value, n in sizes.items():
@@ -143,7 +170,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Attent
         for batch, texts in chunks(batches):
             x, first = encode(texts)
             parts = [x[a:b].tobytes() if b - a <= LONGEST else None for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())], ["doc_id", "quality", "bag"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())],
+                ["doc_id", "quality", "bag"],
+            )
 
     wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
     bags, left = [], PASSAGES

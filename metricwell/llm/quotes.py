@@ -59,7 +59,19 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         )
     )
     said = F.array_remove(said, _hash(F.lit("")))  # a blank line is nobody's words
-    passages = F.filter(F.transform("runs", lambda r, i: F.struct(i.alias("i"), r["level"].alias("level"), _hash(F.array_join(r["bodies"], "\n")).alias("whole"), _hash(F.element_at(r["bodies"], 1)).alias("line"), (normalised(F.array_join(r["bodies"], " ")) != "").alias("full"))), lambda p: (p["level"] > 0) & p["full"])
+    passages = F.filter(
+        F.transform(
+            "runs",
+            lambda r, i: F.struct(
+                i.alias("i"),
+                r["level"].alias("level"),
+                _hash(F.array_join(r["bodies"], "\n")).alias("whole"),
+                _hash(F.element_at(r["bodies"], 1)).alias("line"),
+                (normalised(F.array_join(r["bodies"], " ")) != "").alias("full"),
+            ),
+        ),
+        lambda p: (p["level"] > 0) & p["full"],
+    )
     quoting = read.where(F.col("text").rlike(r"(?m)^[ \t]?>") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     quoted = materialize(quoting.select(*key, F.explode(passages).alias("p")).select(*key, "p.*").distinct())
     asked = quoted.select("conv_id", "turn", F.explode(F.array("whole", "line")).alias("code")).distinct()
@@ -69,11 +81,22 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # as of its own turn, the latest earlier turn that said the same
     line = Window.partitionBy("conv_id", "code").orderBy("turn", "ask").rowsBetween(Window.unboundedPreceding, -1)
     both = asked.withColumn("ask", F.lit(0)).unionByName(original.withColumn("ask", F.lit(1)))
-    found = both.withColumn("source", F.last(F.when(F.col("ask") == 1, F.col("turn")), ignorenulls=True).over(line)).where("ask = 0 AND source IS NOT NULL").select("conv_id", "turn", "code", "source")
+    found = both.withColumn(
+        "source",
+        F.last(F.when(F.col("ask") == 1, F.col("turn")), ignorenulls=True).over(line),
+    ).where("ask = 0 AND source IS NOT NULL").select("conv_id", "turn", "code", "source")
     whole = found.select("conv_id", "turn", F.col("code").alias("whole"), F.col("source").alias("a"))
     first = found.select("conv_id", "turn", F.col("code").alias("line"), F.col("source").alias("b"))
-    linked = quoted.join(whole, ["conv_id", "turn", "whole"], "left").join(first, ["conv_id", "turn", "line"], "left").withColumn("source", F.coalesce("a", "b"))
-    told = linked.groupBy(*key).agg(F.count("*").alias("quotes"), F.count("source").alias("linked"), F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("up"), "source")))["source"].alias("reply_to"))
+    linked = quoted.join(
+        whole,
+        ["conv_id", "turn", "whole"],
+        "left",
+    ).join(first, ["conv_id", "turn", "line"], "left").withColumn("source", F.coalesce("a", "b"))
+    told = linked.groupBy(*key).agg(
+        F.count("*").alias("quotes"),
+        F.count("source").alias("linked"),
+        F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("up"), "source")))["source"].alias("reply_to"),
+    )
     told = materialize(told)
 
     # thread: follow reply_to to its end, each round twice as far
@@ -85,7 +108,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             break
         jump = jump.join(ahead, ["conv_id", "thread"], "left").select("conv_id", "turn", F.coalesce("further", "thread").alias("thread"))
     out = read.select(*key, "role", F.trim("own").alias("text")).join(told, key, "left").join(jump, ["conv_id", "turn"], "left")
-    out = out.select("conv_id", "turn", "role", "text", F.coalesce("quotes", F.lit(0)).cast("long").alias("quotes"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"))
+    out = out.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.coalesce("quotes", F.lit(0)).cast("long").alias("quotes"),
+        F.coalesce("linked", F.lit(0)).cast("long").alias("linked"),
+        "reply_to",
+        F.coalesce("thread", "turn").alias("thread"),
+    )
     return out.orderBy("conv_id", "thread", "turn")
 
 

@@ -14,7 +14,17 @@ from .secrets import op6_secrets
 from .threshold_topk import OP3_SQL, op3_threshold_topk
 
 QUERIES = {
-    f.__name__: f
-    for f in (op1_quality, op2_exact_dedup, op3_threshold_topk, op4_language_id, op5_mixing, op6_secrets, op7_quotes, op8_line_chunks, op9_bagminhash, op10_packing)
+    f.__name__: f for f in (
+        op1_quality,
+        op2_exact_dedup,
+        op3_threshold_topk,
+        op4_language_id,
+        op5_mixing,
+        op6_secrets,
+        op7_quotes,
+        op8_line_chunks,
+        op9_bagminhash,
+        op10_packing,
+    )
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_threshold_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op7_quotes": OP7_SQL, "op8_line_chunks": OP8_SQL}

@@ -47,7 +47,20 @@ _KIND[[*b" \t\n\x0b\f\r\0\x1c\x1d\x1e\x1f"]] = 0
 _KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") : ord("9") + 1], _KIND[128] = 1, 2, 3, 5
 #: Values of each feature; their sums give every feature its place in one table of weights.
 _WORDS = 4096
-_SIZES = {"kinds,size": 32 * 16, "digits,changes": 8 * 8, "distinct,size": 8 * 8, "hex,size": 3 * 8, "sign,glue": 128 * 4, "before": _WORDS, "before2": _WORDS, "after": _WORDS, "run": 16 * 2 * 2, "cue": 2 * 32, "file": 5 * 2, "pair": 32 * 32 * 2}
+_SIZES = {
+    "kinds,size": 32 * 16,
+    "digits,changes": 8 * 8,
+    "distinct,size": 8 * 8,
+    "hex,size": 3 * 8,
+    "sign,glue": 128 * 4,
+    "before": _WORDS,
+    "before2": _WORDS,
+    "after": _WORDS,
+    "run": 16 * 2 * 2,
+    "cue": 2 * 32,
+    "file": 5 * 2,
+    "pair": 32 * 32 * 2,
+}
 _AT = np.concatenate(([0], np.cumsum([*_SIZES.values()])))
 
 
@@ -213,7 +226,10 @@ class Field:
         for t in range(1, rounds + 1):
             p, move, _ = self.gradient(self.emissions(flat).reshape(n, width, 3), tags, length)
             p = p.reshape(-1, 3)
-            g = np.stack([sum(np.bincount(flat[:, j], weights=p[:, y], minlength=len(own)) for j in range(k)) for y in range(3)], axis=1) + decay * own
+            g = np.stack(
+                [sum(np.bincount(flat[:, j], weights=p[:, y], minlength=len(own)) for j in range(k)) for y in range(3)],
+                axis=1,
+            ) + decay * own
             move = move + decay * self.step
             for x, grad, a, b in ((own, g, m1, v1), (self.step, move, m2, v2)):
                 a *= 0.9
@@ -399,7 +415,10 @@ def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches):
             chains = [w for x in texts for w in windows(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w, _ in chains], pa.binary()), pa.array([y.tobytes() for _, y in chains], pa.binary())], ["places", "tags"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.tobytes() for w, _ in chains], pa.binary()), pa.array([y.tobytes() for _, y in chains], pa.binary())],
+                ["places", "tags"],
+            )
 
     found = rows.where(draw < share).select("text").mapInArrow(run, "places binary, tags binary").limit(3 * size * WINDOWS * (3 + SPELLINGS))
     parts = sorted((bytes(r["places"]), bytes(r["tags"])) for r in found.toLocalIterator())
@@ -431,7 +450,10 @@ def find_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run,
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
+    )
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,13 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             place = {u: i for i, u in enumerate(uids.tolist())}
             found = [threshold_top_k(q, place.get(u, -1), have, lists, k, f) for u, q, f in zip(asking.tolist(), queries, floors.tolist(), strict=True)]
             size = [len(f[0]) for f in found]
-            columns = (np.repeat(asking, size), np.repeat(qids, size), ids[np.concatenate([f[0] for f in found])], np.concatenate([f[1] for f in found]).astype(np.int64), np.repeat([f[2] for f in found], size))
+            columns = (
+                np.repeat(asking, size),
+                np.repeat(qids, size),
+                ids[np.concatenate([f[0] for f in found])],
+                np.concatenate([f[1] for f in found]).astype(np.int64),
+                np.repeat([f[2] for f in found], size),
+            )
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score", "scored"])
 
 
@@ -139,7 +145,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     """
     small = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = materialize(vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), small.alias("v")))
+    rows = materialize(
+        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False))).select(
+            F.monotonically_increasing_id().alias("uid"),
+            F.col("vec_id").cast("long").alias("vec_id"),
+            small.alias("v"),
+        )
+    )
     count = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     wide, high = max(1, math.ceil(count[0] / block)), max(1, math.ceil(count[1] / QUERIES))
     cells = lambda: F.sequence(F.lit(0), F.lit(wide - 1))
@@ -155,7 +167,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, blo
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     local = start
     if wide > 1:
-        floor = start.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query").alias("uid"), F.col("score").alias("floor"))
+        floor = start.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(
+            F.col("query").alias("uid"),
+            F.col("score").alias("floor"),
+        )
         known = asked.join(floor, "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(-_LONG).cast("long")))
         local = start.unionByName(meet(known, F.filter(cells(), lambda b: b != F.col("row") % wide)))
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,16 +53,32 @@ def test_every_level_of_the_tree_keeps_the_smallest(spark, partitions, steps):
 
 
 def test_runs_go_on_over_batches():
-    names, rows = ["digest", "proof", "bytes", "doc_id", "n"], [(b"a" * 32, 1, 1, i, 1) for i in range(5)] + [(b"a" * 32, 2, 1, 5, 1), (b"b" * 32, 1, 1, 6, 3), (b"b" * 32, 1, 1, 7, 4)]
+    names, rows = ["digest", "proof", "bytes", "doc_id", "n"], [(b"a" * 32, 1, 1, i, 1) for i in range(5)] + [
+        (b"a" * 32, 2, 1, 5, 1),
+        (b"b" * 32, 1, 1, 6, 3),
+        (b"b" * 32, 1, 1, 7, 4),
+    ]
     schema = pa.schema([pa.field(x, pa.binary() if x == "digest" else pa.int64(), nullable=x == "doc_id") for x in names])
     for size in (1, 2, 3, 8):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]], schema=schema) for i in range(0, 8, size)]
+        batches = [
+            pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + size]], schema=schema) for i in range(0, 8, size)
+        ]
         got = [tuple(r.values()) for b in _retain(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
         assert [(r[1], r[3], r[4]) for r in got] == [(1, 0, 5), (2, 5, 1), (1, 6, 7)]
 
 
 def test_top_k_cases(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, -0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (20, [0.0, 0.0]), (None, [1.0, 1.0]), (6, [0.5, 9.0])]
+    rows = [
+        (0, [1.0, 0.0]),
+        (1, [0.5, 0.5]),
+        (2, [0.5, -0.5]),
+        (3, None),
+        (4, [float("nan"), 1.0]),
+        (5, [None, 1.0]),
+        (20, [0.0, 0.0]),
+        (None, [1.0, 1.0]),
+        (6, [0.5, 9.0]),
+    ]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).toPandas()
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 2, 6]
     assert got[got.query_id == 20].sort_values("rank").vec_id.tolist() == [0, 1, 2]
@@ -107,7 +123,14 @@ def test_the_bound_leaves_vectors_out():
 
 def test_line_dedup_cases(spark):
     passage = "\n".join(f"line {i} of a passage" for i in range(40))
-    rows = [(1, f"own\n{passage}\nend", "a"), (2, f"other start\nmore\n{passage}", "b"), (3, None, "c"), (4, "", "d"), (5, "one line", "e"), (6, "one line", "f")]
+    rows = [
+        (1, f"own\n{passage}\nend", "a"),
+        (2, f"other start\nmore\n{passage}", "b"),
+        (3, None, "c"),
+        (4, "", "d"),
+        (5, "one line", "e"),
+        (6, "one line", "f"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     got = {r.doc_id: r for r in dedup_lines(docs).collect()}
     assert got[1].removed_lines == got[1].removed_chunks == 0 and got[2].removed_lines == 40 and got[2].removed_chunks > 5 and got[2].text == "other start\nmore"
@@ -125,8 +148,13 @@ def test_lines_with_equal_codes_and_other_bytes_stay(spark, monkeypatch):
 
 
 def test_mixing_cases(spark):
-    rows = [(i, "w " * 10, "en" if i % 2 else None, f"s{i % 3}", "x") for i in range(200)] + [(500, None, "en", "s0", "x"), (501, "", "en", "s0", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _mix_key string").withColumn("_mix_tokens", F.lit(1)).withColumn("taken", F.lit("t"))
+    rows = [
+        (i, "w " * 10, "en" if i % 2 else None, f"s{i % 3}", "x") for i in range(200)
+    ] + [(500, None, "en", "s0", "x"), (501, "", "en", "s0", "x")]
+    docs = spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, _mix_key string",
+    ).withColumn("_mix_tokens", F.lit(1)).withColumn("taken", F.lit("t"))
     got = mix(docs, share=0.5).select("doc.doc_id", "doc._mix_key", "doc._mix_tokens", F.col("doc.taken").alias("own"), "tokens", "taken").toPandas()
     assert 900 <= got.taken.sum() <= 1000 and not {500, 501} & set(got.doc_id) and set(got._mix_key) == {"x"} and set(got._mix_tokens) == {1} and set(got.own) == {"t"}
     assert (got.taken > 0).all() and (got.taken <= got.tokens).all()
@@ -134,7 +162,15 @@ def test_mixing_cases(spark):
 
 
 def test_quote_cases(spark):
-    rows = [(1, 0, "u", "Hello there\nsecond"), (1, 1, "a", "> hello  there\n> second\nyes"), (1, 2, "u", ">> hello there\n>> second\n> yes\nok"), (1, 3, "u", "> nowhere\nlost"), (None, 1, "u", "> q"), (2, None, "u", "x"), (2, 0, "u", None)]
+    rows = [
+        (1, 0, "u", "Hello there\nsecond"),
+        (1, 1, "a", "> hello  there\n> second\nyes"),
+        (1, 2, "u", ">> hello there\n>> second\n> yes\nok"),
+        (1, 3, "u", "> nowhere\nlost"),
+        (None, 1, "u", "> q"),
+        (2, None, "u", "x"),
+        (2, 0, "u", None),
+    ]
     got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (got[1, 1].reply_to, got[1, 1].text) == (0, "yes") and (got[1, 2].reply_to, got[1, 2].thread, got[1, 2].linked) == (1, 0, 2)
     assert got[1, 3].reply_to is None and got[1, 3].quotes == 1 and got[2, 0].text == ""
@@ -165,7 +201,12 @@ def test_quotes_of_made_threads_against_sql(spark, same, seed):
     rows = made_conversations(seed)
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
-    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit(9)).withColumn("thread", F.lit("x"))).toPandas()
+    got = link_quotes(
+        spark.createDataFrame(
+            rows,
+            "conv_id long, turn long, role string, text string",
+        ).withColumn("level", F.lit(9)).withColumn("thread", F.lit("x"))
+    ).toPandas()
     same(got, con.sql(registry.ORACLE_SQL["op7_quotes"]).df())
     assert got.linked.sum() > 40 and (got.quotes > got.linked).any() and (got.thread < got.reply_to).any()
     for _, own in got.dropna(subset=["conv_id", "turn", "reply_to"]).groupby("conv_id"):

@@ -158,7 +158,10 @@ def test_quality_awkward_tables(spark, edge):
     words = lambda i: " ".join(f"w{(i * k) % 97}" for k in range(40)) if i % 2 else "!! ?? " * 30
     rows = [(i, words(i)) for i in range(120)] + [(1, words(1)), (None, "x"), (7, "y " * 3_000_000)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
-    labels = spark.createDataFrame([(i, i % 2, 5) for i in range(120)] + [(3, None, 5), (None, 1, 5), (4, 9, 5)], "doc_id int, quality long, score int")
+    labels = spark.createDataFrame(
+        [(i, i % 2, 5) for i in range(120)] + [(3, None, 5), (None, 1, 5), (4, 9, 5)],
+        "doc_id int, quality long, score int",
+    )
     got = score_quality(docs, labels).collect()
     assert len(got) == len(rows) and np.mean([r.predicted == r.doc_id % 2 for r in got[:120] if r.held_out]) > 0.9
     assert len({r.score for r in got if r.doc_id == 1}) == 1 and score_quality(edge.limit(0), labels).count() == 0
@@ -269,7 +272,17 @@ def test_pipeline_stages(spark, data, same):
 
 
 def test_language_kernel_by_sets():
-    texts = ["the cat and the dog", "der hund und die katze", "le chat et le chien", "el perro y el gato", "a b c", "die katze und der hund schlafen", "the dog sleeps", "le chien dort", "el gato duerme"]
+    texts = [
+        "the cat and the dog",
+        "der hund und die katze",
+        "le chat et le chien",
+        "el perro y el gato",
+        "a b c",
+        "die katze und der hund schlafen",
+        "the dog sleeps",
+        "le chien dort",
+        "el gato duerme",
+    ]
     labels = ["en", "de", "fr", "es", "en", "de", "en", "fr", "es"]
     model = KernelClassifier.fit(texts, labels, landmarks=9, ridge=1e-2)
     known = {int(p): k + 1 for k, p in enumerate(model.alphabet)}

@@ -14,7 +14,11 @@ from metricwell.llm.secrets import Field, Tokens, base_spans, digest, examples,
 
 def plain_base(text):
     """The base patterns as the rules say them: match, then drop what is too short."""
-    rules = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24)]
+    rules = [
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
     found = [(m.start(), k, m.end(), name) for k, (name, rule, fits) in enumerate(rules) for m in re.finditer(rule, text, re.ASCII) if fits(m)]
     return ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(found))
 
@@ -83,7 +87,9 @@ def test_gradient_by_differences_and_by_all_paths():
 
 
 def test_all_three_tags_are_learnt():
-    _, tags, length = examples([f'word number {i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more' for i in range(20)] + ["plain words 12"] * 5)
+    _, tags, length = examples(
+        [f'word number {i} token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more' for i in range(20)] + ["plain words 12"] * 5
+    )
     assert (np.bincount(tags.ravel(), minlength=3) > 20).all() and length.max() <= secrets.WINDOW
 
 
@@ -127,7 +133,14 @@ def test_base_patterns_at_their_edges():
 
 
 def test_awkward_rows(spark, field):
-    rows = [(1, None, "a"), (2, "", "b"), (3, "token = abcdef12 " * 3, "c"), (3, "token = abcdef12 " * 3, "c"), (None, "AKIA" + "Z" * 16, "d"), (4, "word " * 300_000 + "secret: 0123456", "e")]
+    rows = [
+        (1, None, "a"),
+        (2, "", "b"),
+        (3, "token = abcdef12 " * 3, "c"),
+        (3, "token = abcdef12 " * 3, "c"),
+        (None, "AKIA" + "Z" * 16, "d"),
+        (4, "word " * 300_000 + "secret: 0123456", "e"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = find_secrets(docs, field).collect()
     by = {r.doc_id: r for r in got}

@@ -30,7 +30,10 @@ def test_line_dedup_removes_whole_repeated_runs(spark):
         left = "\n".join(x for k, x in enumerate(lines) if k not in gone)
         if not gone or left.strip():
             want[i, text] = text if not gone else left
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
     got = corpus_pipeline.line_dedup(spark, docs, "").collect()
     assert len(got) == len(want) and sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for (i, _), t in want.items())
     assert all(r.n_chars == len(r.text or "") for r in got) and len(got) < len(rows)
@@ -38,8 +41,15 @@ def test_line_dedup_removes_whole_repeated_runs(spark):
 
 def test_language_id_scores_every_text(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    junk = [(9001, "xqzj kkwv zzqx wvkq jjxz qqkw zvxj " * 9), (9002, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 20), (9003, "12 34 !!"), (9004, None)]
-    docs = docs.unionByName(spark.createDataFrame([(i, t, None, "s", 1) for i, t in junk], "doc_id long, text string, lang string, source string, n_chars long"))
+    junk = [
+        (9001, "xqzj kkwv zzqx wvkq jjxz qqkw zvxj " * 9),
+        (9002, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 20),
+        (9003, "12 34 !!"),
+        (9004, None),
+    ]
+    docs = docs.unionByName(
+        spark.createDataFrame([(i, t, None, "s", 1) for i, t in junk], "doc_id long, text string, lang string, source string, n_chars long")
+    )
     texts, labels = sample(docs)
     model = KernelClassifier.fit(texts, labels)
 
@@ -88,7 +98,11 @@ def test_languages_beyond_the_64_commonest_are_learnt(spark):
 
 def test_minority_scripts_are_told_apart(spark):
     draw, rows = random.Random(3), []
-    words = {"la": "abcdefghijklmnopqrstuvwxyz0123456789àâçéèêëîïôûùüÿñæœäöß.,;:!?()", "el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщыэюя"}
+    words = {
+        "la": "abcdefghijklmnopqrstuvwxyz0123456789àâçéèêëîïôûùüÿñæœäöß.,;:!?()",
+        "el": "αβγδεζηθικλμνξοπρστυφχψω",
+        "ru": "абвгдежзийклмнопрстуфхцчшщыэюя",
+    }
     for i in range(330):
         lang = "la" if i % 11 < 9 else ("el", "ru")[i % 2]
         rows.append((i, lang, " ".join("".join(draw.choices(words[lang], k=6)) for _ in range(200 if lang == "la" else 4))))
