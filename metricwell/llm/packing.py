@@ -28,8 +28,8 @@ from .common import chunks, materialize, small_batches, table
 
 #: Tokens of a sequence; id that ends a document; pieces of an island.
 SEQUENCE, END, ISLAND = 2048, 0, 16384
-#: Chromosomes of an island, offspring of a spell, and bins that migrate.
-POPULATION, OFFSPRING, MIGRANTS = 8, 64, 64
+#: Chromosomes of an island, offspring of a spell, offspring in a row that better nothing before it ends, and migrants.
+POPULATION, OFFSPRING, PATIENCE, MIGRANTS = 8, 64, 6, 64
 #: Words whose ids a Python worker remembers; it forgets the later half when there are more.
 REMEMBERED = 1_100_000
 _TAIL = ".,;:!?"
@@ -195,7 +195,8 @@ def crossover(receiver: list[list[int]], donor: list[list[int]], stock: Counter,
 def evolve(lengths: list[int], seed: int, first: list[list[int]] | None = None, migrants: list[list[int]] | None = None, size: int = SEQUENCE) -> list[list[int]]:
     """The best chromosome of an island. first: the one it had; migrants: bins of another island.
 
-    It ends as soon as a chromosome has no more bins than all tokens need, which no other could better.
+    It ends as soon as a chromosome has no more bins than all tokens need, which no other could better, or when PATIENCE
+    offspring in a row have bettered nothing.
     """
     draw, stock = random.Random(seed), Counter(lengths)
     least = -(-sum(lengths) // size)
@@ -217,9 +218,11 @@ def evolve(lengths: list[int], seed: int, first: list[list[int]] | None = None,
                 else:
                     bins.append(own)
         people.append(bins + best_fit(left, size))
+    idle, best = 0, None
     for step in range(OFFSPRING):
         people.sort(key=lambda b: fitness(b, size), reverse=True)
-        if len(people[0]) <= least:
+        idle, best = (idle + 1, best) if fitness(people[0], size) == best else (0, fitness(people[0], size))
+        if len(people[0]) <= least or idle >= PATIENCE:
             break
         a, b = draw.sample(people, k=2)
         child = crossover(a, migrants if migrants and step % 4 == 0 else b, stock, draw, size)
