@@ -12,6 +12,7 @@ from .quality import op1_quality
 from .quotes import OP7_SQL, op7_quotes
 from .secrets import op6_secrets
 from .threshold_topk import OP3_SQL, op3_threshold_topk
+from .token_alignment import op11_token_alignment
 
 QUERIES = {
     f.__name__: f for f in (
@@ -25,6 +26,7 @@ QUERIES = {
         op8_line_chunks,
         op9_bagminhash,
         op10_packing,
+        op11_token_alignment,
     )
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_threshold_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op7_quotes": OP7_SQL, "op8_line_chunks": OP8_SQL}
