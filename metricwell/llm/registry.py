@@ -6,6 +6,7 @@ from .bagminhash import op9_bagminhash
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op4_language_id
 from .line_chunks import OP8_SQL, op8_line_chunks
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op10_packing
 from .quality import op1_quality
@@ -27,6 +28,7 @@ QUERIES = {
         op9_bagminhash,
         op10_packing,
         op11_token_alignment,
+        op12_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_threshold_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op7_quotes": OP7_SQL, "op8_line_chunks": OP8_SQL}
+ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_threshold_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op7_quotes": OP7_SQL, "op8_line_chunks": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
