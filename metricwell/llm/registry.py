@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bagminhash import op9_bagminhash
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .golay_simhash import op13_golay_simhash
 from .language_id import op4_language_id
 from .line_chunks import OP8_SQL, op8_line_chunks
 from .merkle import OP12_SQL, op12_merkle_manifest
@@ -29,6 +30,7 @@ QUERIES = {
         op10_packing,
         op11_token_alignment,
         op12_merkle_manifest,
+        op13_golay_simhash,
     )
 }
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL, "op3_threshold_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op7_quotes": OP7_SQL, "op8_line_chunks": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
