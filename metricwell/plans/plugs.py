@@ -132,8 +132,46 @@ _FOLD = """SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS
     last(value ORDER BY ts, event_id) FILTER (value IS NOT NULL) AS value, count(*) AS events FROM events GROUP BY 1, 2"""
 
 
+def _schema(df):
+    return ", ".join(f"{n} {t}" for n, t in df.dtypes)
+
+
 @query("m1_status_stream", _FOLD)
 def _stream(c):
+    """The log comes in two parts; the stream is stopped between them and goes on from its checkpoint."""
+    log, out, checkpoint = (T.scratch(c.spark) for _ in range(3))
+    given = c.raw("events")
+    for kind in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        L.append(given.where(kind), log)
+        state = S.fold(S.read_events(c.spark, log, _schema(given)))
+        S.run_updates(state, out, checkpoint)
+    return S.current(c.spark, out, _schema(state), ["user_id", "event_type"])
+
+
+#: Arrival of an event: most come in their week, every 50th four weeks later, every 51st a day later.
+_ARRIVES = "CASE WHEN event_id % 50 = 0 THEN 28 WHEN event_id % 51 = 0 THEN 1 ELSE 0 END"
+#: Days after the first event at which a batch arrives; the last one takes all the rest.
+_ARRIVALS = (7, 14, 21)
+_SLOT = " + ".join(f"({{arrived}} >= {d})::INTEGER" for d in _ARRIVALS)
+_LATE = """WITH a AS (SELECT event_type, ts, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) + {arrives} AS arrived FROM events WHERE ts IS NOT NULL),
+    b AS (SELECT event_type, ts, {slot} AS slot FROM a),
+    m AS (SELECT slot, max(max(ts)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS mark FROM b GROUP BY 1),
+    w AS (SELECT event_type, slot, unnest([{{'g': 'day', 's': date_trunc('day', ts)::TIMESTAMP, 'e': date_trunc('day', ts) + INTERVAL 1 DAY}}, {{'g': 'week', 's': date_trunc('week', ts)::TIMESTAMP, 'e': date_trunc('week', ts) + INTERVAL 7 DAY}},
+      {{'g': 'month', 's': date_trunc('month', ts)::TIMESTAMP, 'e': date_trunc('month', ts) + INTERVAL 1 MONTH}}]) AS w FROM b)
+    SELECT w.g AS grain, strftime(w.s, '%Y-%m-%d') AS start, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late
+    FROM (SELECT w, event_type, coalesce(w.e <= date_trunc('millisecond', mark), false) AS late FROM w JOIN m USING (slot)) GROUP BY ALL""".format(arrives=_ARRIVES, slot=_SLOT.format(arrived="arrived"))
+
+
+@query("m2_window_stream", _LATE)
+def _windows(c):
+    """Days, weeks and months of an event stream that arrives in batches, some rows after the watermark has passed them."""
+    log, out, checkpoint = (T.scratch(c.spark) for _ in range(3))
     given = c.raw("events")
-    stream = S.read_events(c.spark, f"{c.sf_dir}/events.parquet*", ", ".join(f"{n} {t}" for n, t in given.dtypes))
-    return S.run_to_table(S.fold(stream), T.scratch(c.spark), T.scratch(c.spark))
+    first = given.agg(F.to_date(F.min("ts")).alias("first"))
+    arrived = F.datediff(F.to_date("ts"), "first") + F.expr(_ARRIVES)
+    slotted = given.where("ts IS NOT NULL").crossJoin(F.broadcast(first)).withColumn("slot", sum((arrived >= d).cast("int") for d in _ARRIVALS))
+    for slot in range(len(_ARRIVALS) + 1):
+        L.append(slotted.where(F.col("slot") == slot).select(*given.columns), log)
+        counts = S.window_counts(S.read_events(c.spark, log, _schema(given)))
+        S.run_updates(counts, out, checkpoint)
+    return S.current(c.spark, out, _schema(counts), ["grain", "start", "event_type"])
