@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kpi import CLEARANCE
+from .text import redact
 
 # The tier of each type of evidence, and wording that claims a cause.
 TIERS = {
@@ -34,12 +35,12 @@ def worse(a: Column, b: Column) -> Column:
     return F.element_at(names, F.least(rank(a), rank(b)).cast("int"))
 
 
-def rows(df: DataFrame, kind: str, prefix: str, subject: Column, value: Column, confidence: Column, claim: Column, history: Column | None = None, seller: Column | None = None) -> DataFrame:
-    """Evidence of one kind: one row for each row of df. Rows about sellers are INTERNAL."""
+def rows(df: DataFrame, kind: str, prefix: str, subject: Column, value: Column, confidence: Column, claim: Column, history: Column | None = None, seller: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Evidence of one kind: one row for each row of df, with the columns kept. Rows about sellers are INTERNAL."""
     level = F.when(seller, "INTERNAL").otherwise("PUBLIC_ANALYTICAL") if seller is not None else F.lit("PUBLIC_ANALYTICAL")
     return df.select(
         evidence_id(prefix, F.lit(kind), subject).alias("evidence_id"), F.lit(kind).alias("evidence_type"), F.lit(TIERS[kind]).alias("evidence_tier"), subject.alias("subject"), value.cast("double").alias("value"),
-        confidence.alias("confidence"), claim.alias("claim"), (history if history is not None else F.lit(None)).cast("double").alias("historical_sufficiency"), level.alias("classification"),
+        confidence.alias("confidence"), claim.alias("claim"), (history if history is not None else F.lit(None)).cast("double").alias("historical_sufficiency"), level.alias("classification"), *kept,
     )
 
 
@@ -62,6 +63,11 @@ def visible(evidence: DataFrame, clearance: str) -> DataFrame:
     return evidence.where(F.col("classification").isin(*allowed))
 
 
+def redacted(text: Column, personal: Column) -> tuple[Column, Column]:
+    """A text as retrieval may show it, and whether it was redacted: where it holds personal data."""
+    return F.when(personal, redact(text)).otherwise(text), F.when(personal, "REDACTED_AT_RETRIEVAL").otherwise("NOT_REDACTED")
+
+
 def policy_violations(log: DataFrame, roles: DataFrame, policy: DataFrame) -> DataFrame:
     """Calls of tools that the caller's role may not use. log: user_id, tool; roles: user_id, role; policy: role, tool."""
     return log.join(roles, "user_id", "left").join(F.broadcast(policy), ["role", "tool"], "left_anti")

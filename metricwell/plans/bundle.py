@@ -12,7 +12,6 @@ from ..operators import drivers as D
 from ..operators import evidence as E
 from ..operators import kpi as K
 from .analytics import _NOW, _WAS, _items, _seg_sql, segments
-from .hypotheses import _CLS, classified
 from .movement import _DETECT, _OVER, _PVM1, detected
 from .sql import Registry
 
@@ -148,15 +147,6 @@ query(
     "j11_visible_evidence",
     f"WITH {_BUNDLE} SELECT evidence_id, evidence_type, subject FROM ev WHERE classification = 'PUBLIC_ANALYTICAL'",
 )(lambda c: E.visible(bundle(c), "PUBLIC_ANALYTICAL").select("evidence_id", "evidence_type", "subject"))
-query("j15_evidence_lookup", f"WITH {_BUNDLE} SELECT evidence_id, claim, value FROM ev WHERE subject = 'customer_state:' || (SELECT min(segment_value) FROM seg WHERE segment_type = 'customer_state')")(
-    lambda c: (
-        lambda e: e.join(
-            F.broadcast(e.where("subject LIKE 'customer_state:%'").agg(F.min("subject").alias("subject"))),
-            "subject",
-            "left_semi",
-        ).select("evidence_id", "claim", "value")
-    )(E.visible(bundle(c), "PUBLIC_ANALYTICAL"))
-)
 #: Roles are the customers' segments; tools are the kinds of event. Allowed pairs:
 _POLICY = (
     ("BUILDING", "view"),
@@ -173,12 +163,6 @@ query("j16_policy_violations", f"""SELECT event_id, user_id, c_mktsegment AS rol
     lambda c: E.policy_violations(c.raw("events").select("event_id", "user_id", F.col("event_type").alias("tool")), c.raw("customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS role"), c.spark.createDataFrame(_POLICY, "role string, tool string"))
     .select("event_id", "user_id", "role", "tool", E.clearance_of(F.col("role"), _LEVEL).alias("clearance"))
 )
-query("j17_graph_export", f"WITH {_CLS} SELECT classification AS relationship_type, count(*) AS edges, count(DISTINCT segment_value) AS nodes FROM cls WHERE hypothesis_id <> 'seller_state' GROUP BY 1")(
-    lambda c: classified(c).where("hypothesis_id <> 'seller_state'").groupBy(F.col("classification").alias("relationship_type")).agg(
-        F.count("*").alias("edges"),
-        F.count_distinct("segment_value").alias("nodes"),
-    )
-)
 query(
     "j18_listing",
     f"WITH {_BUNDLE} SELECT evidence_type, count(*) AS n FROM ev WHERE classification = 'PUBLIC_ANALYTICAL' GROUP BY 1",

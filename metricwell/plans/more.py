@@ -145,41 +145,7 @@ query(
     )
 )
 
-# J: a graph of months, categories and their movements, and the access filter on it
-_N = "SELECT 'month:' || month AS node, 'PUBLIC' AS class FROM kpi_items GROUP BY ALL UNION ALL SELECT 'state:' || seller_state, 'INTERNAL' FROM kpi_items GROUP BY ALL"
-_E = "SELECT 'month:' || month AS src, 'state:' || seller_state AS dst, 'SOLD_BY' AS relationship_type, count(*) AS n FROM kpi_items GROUP BY ALL UNION ALL SELECT 'month:' || month, 'month:' || strftime((month || '-01')::DATE + INTERVAL 1 MONTH, '%Y-%m'), 'NEXT', 1 FROM kpi_items GROUP BY ALL"
-
-
-def graph(c):
-    items = _items(c, "seller_state").select("month", "seller_state")
-    month, state = F.concat(F.lit("month:"), "month"), F.concat(F.lit("state:"), "seller_state")
-    nodes = items.select(month.alias("node"), F.lit("PUBLIC").alias("class")).distinct().union(
-        items.select(state.alias("node"), F.lit("INTERNAL").alias("class")).distinct()
-    )
-    later = F.concat(F.lit("month:"), F.date_format(F.add_months(F.to_date(F.concat("month", F.lit("-01"))), 1), "yyyy-MM"))
-    edges = items.groupBy(month.alias("src"), state.alias("dst"), F.lit("SOLD_BY").alias("relationship_type")).agg(F.count("*").alias("n"))
-    return nodes, edges.union(items.select("month").distinct().select(month, later, F.lit("NEXT"), F.lit(1).cast("long")))
-
-
-query("j8_graph_edges", _E)(lambda c: graph(c)[1])
-
-
-@query("j12_access_filtered_edges", f"WITH nd AS ({_N}), ed AS ({_E}) SELECT ed.* FROM ed WHERE src IN (SELECT node FROM nd WHERE class = 'PUBLIC') AND dst IN (SELECT node FROM nd WHERE class = 'PUBLIC')")
-def _filtered(c):
-    nodes, edges = graph(c)
-    shown = nodes.where("class = 'PUBLIC'").select("node")
-    return edges.join(shown.withColumnRenamed("node", "src"), "src", "left_semi").join(shown.withColumnRenamed("node", "dst"), "dst", "left_semi")
-
-
-query("j13_neighbours", f"SELECT dst AS neighbour, relationship_type, 'out' AS direction FROM ({_E}) WHERE src = 'month:2001-05' UNION ALL SELECT src, relationship_type, 'in' FROM ({_E}) WHERE dst = 'month:2001-05'")(
-    lambda c: (
-        lambda e: e.where("src = 'month:2001-05'").select(
-            F.col("dst").alias("neighbour"),
-            "relationship_type",
-            F.lit("out").alias("direction"),
-        ).union(e.where("dst = 'month:2001-05'").select("src", "relationship_type", F.lit("in")))
-    )(graph(c)[1])
-)
+# L
 query(
     "l18_illegal_transitions",
     "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id "

@@ -171,10 +171,6 @@ def evidence(c):
 
 
 query("j1_evidence_ids", _EV)(evidence)
-query(
-    "j7_duplicate_evidence",
-    f"SELECT evidence_id, count(*) AS n FROM ({_EV}) GROUP BY 1 HAVING count(*) > 1",
-)(lambda c: evidence(c).groupBy("evidence_id").agg(F.count("*").alias("n")).where("n > 1"))
 _Z = "SELECT coalesce(lang, '') AS category, count(*) FILTER (r < 500) AS n1, count(*) FILTER (r < 500 AND s <= 2) AS x1, count(*) FILTER (r >= 500) AS n2, count(*) FILTER (r >= 500 AND s <= 2) AS x2 FROM (SELECT lang, review_row_id % 1000 AS r, review_score AS s FROM fact_reviews) GROUP BY 1"
 query("j10_low_score_contradiction", f"SELECT *, round((x2 / n2::DOUBLE - x1 / n1::DOUBLE) / nullif(sqrt((x1 + x2) / (n1 + n2)::DOUBLE * (1 - (x1 + x2) / (n1 + n2)::DOUBLE) * (1 / n1::DOUBLE + 1 / n2::DOUBLE)), 0), 6) AS z, x2 / n2::DOUBLE <= x1 / n1::DOUBLE AS contradicts FROM ({_Z}) WHERE n1 >= 15 AND n2 >= 15")(
     lambda c: c.fact_reviews.selectExpr("coalesce(lang, '') AS category", "review_row_id % 1000 AS r", "review_score AS s").groupBy("category").agg(
