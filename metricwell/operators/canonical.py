@@ -102,6 +102,12 @@ class Canonical:
             self._stored[name] = store(build())
         return self._stored[name]
 
+    def kept(self, name: str, build):
+        """What build() gives, made on first use: for what is not a table, as an index."""
+        if name not in self._stored:
+            self._stored[name] = build()
+        return self._stored[name]
+
     @cached_property
     def dim_customer(self) -> DataFrame:
         people = self.raw("customer").join(F.broadcast(self.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey"))

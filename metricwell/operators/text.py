@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kpi import CLEARANCE
+from .skew import join_hot
 
 #: BM25+ parameters and the constant of rank fusion.
 K1, B, DELTA, RRF_K = 1.5, 0.75, 1.0, 60
@@ -86,40 +87,6 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, tokens(F.col(text)).alias("w"))
 
 
-def postings(words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl): the inverted index as a table, of tokenized texts."""
-    return words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(words: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score, rank): the k best documents of many queries at once.
-
-    words: tokenized texts; queries: (query_id, text). Query terms count once.
-    """
-    return bm25_terms(words, queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")), k, key)
-
-
-def bm25_terms(words: DataFrame, asked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """bm25 for queries given as rows (query_id, term)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return bm25_scores(words, asked, key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def bm25_scores(words: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score) of every document with a term of a query (query_id, term).
-
-    Terms that nobody asks for are dropped before any shuffle.
-    """
-    each = words.select(key, F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = each.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    rows = hits.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(size))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) + DELTA)
-    return rows.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
-
-
 def _packed(df: DataFrame, key: str, name: str) -> DataFrame:
     """(dims, name): the vectors of an Arrow batch as the bytes of ids and of unit rows; lengths of zero stay zero."""
 
@@ -176,6 +143,17 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def cosine_among(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """cosine_top_k where each query has its own candidates (query_id, vec_id): only their products are computed."""
+    unit = lambda e: F.transform(e, lambda x: x / F.greatest(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-30)))
+    side = lambda df, key, name: df.where("embedding IS NOT NULL").select(key, unit(F.col("embedding").cast("array<double>")).alias(name))
+    pairs = join_hot(candidates, side(vectors, "vec_id", "v"), ["vec_id"]).join(side(queries, "query_id", "q"), "query_id")
+    pairs = pairs.where(F.size("v") == F.size("q"))
+    score = F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def fuse(*rankings: DataFrame, key: str, k: int) -> DataFrame:
     """Reciprocal-rank fusion of rankings (query_id, key, rank)."""
     every = rankings[0].select("query_id", key, "rank")
@@ -242,13 +220,13 @@ DIMENSION, MMR = 64, 0.7
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility characters in their plain form; Spark has no function of its own for it."""
+    """Compatibility characters in their plain form; Spark has no function of its own for it. ASCII stays in the JVM."""
 
     @F.pandas_udf("string")
     def plain(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
 
-    return plain(text)
+    return F.coalesce(plain(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def joined_title(title: Column, message: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text as X
 from .sql import Registry
-from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, bm25, relevant, words
+from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, asked, bm25, index, relevant, words
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
@@ -23,10 +23,6 @@ _SYN = f"syn AS (SELECT term, CASE WHEN term = a THEN b ELSE a END AS synonym FR
 _EXP = f"{_SYN}, own AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), ex AS (SELECT *, true AS original FROM own UNION ALL SELECT DISTINCT query_id, synonym, false FROM own JOIN syn USING (term) WHERE (query_id, synonym) NOT IN (SELECT (query_id, term) FROM own))"
 
 
-def asked(c):
-    return c.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-
-
 def synonyms(c):
     """The governed table, and a stand-in where the queries hold none of its words: another term with the same four letters."""
     words = asked(c).select(F.explode(X.tokens(F.col("text"))).alias("term")).distinct().withColumn("p", F.substring("term", 1, 4))
@@ -38,7 +34,7 @@ def synonyms(c):
 
 
 def expanded(c, k=10):
-    return c.stored(f"expanded {k}", lambda: X.bm25_terms(words(c), X.expand(asked(c), synonyms(c)).select("query_id", "term"), k))
+    return c.stored(f"expanded {k}", lambda: index(c).top(X.expand(asked(c), synonyms(c)).select("query_id", "term"), k))
 
 
 def vectors(c):

@@ -8,7 +8,7 @@ from ..operators import text as X
 from .canonical import _ATTR, attribution
 from .retrieval import _EXP, _LANG, _PER, _TAIL, _VEC, _metrics, asked, dense, synonyms
 from .sql import Registry
-from .text import _BM25, _CATEGORY, _QT, PII_SQL, SAFETY_SQL, bm25, relevant, words
+from .text import _BM25, _CATEGORY, _QT, PII_SQL, SAFETY_SQL, bm25, index, relevant
 
 query = Registry()
 
@@ -87,8 +87,8 @@ def ladder(c):
     meta = metadata(c)
     among = lambda filters: meta.where(X.allowed(filters)).select(F.col("review_row_id").alias("doc_id"))
     own = asked(c).select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    plain = c.stored("scores", lambda: X.bm25_scores(words(c), own))
-    more = c.stored("expanded scores", lambda: X.bm25_scores(words(c), X.expand(asked(c), synonyms(c)).select("query_id", "term")))
+    plain = c.stored("scores", lambda: index(c).scores(own))
+    more = c.stored("expanded scores", lambda: index(c).scores(X.expand(asked(c), synonyms(c)).select("query_id", "term")))
     rungs = [(name, (plain if source == "sc" else more).join(among(f), "doc_id", "left_semi"), _FLOORS["bm25"]) for name, source, f in _STEPS[:-1]]
     return X.ladder(asked(c), [*rungs, ("dense", dense(c, 1, among(_FILTERS)), _FLOORS["dense"])])
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import text as X
 from ..operators import kpi as K
+from ..operators.index import TermIndex, terms_of
 from .sql import Registry
 
 query = Registry()
@@ -20,6 +21,20 @@ def words(c):
     return c.stored("words", lambda: X.tokenized(c.raw("documents")))
 
 
+def index(c):
+    """The index of all documents, built once for a query in two segments: the documents of one language come later."""
+
+    def build():
+        late = F.coalesce(F.col("lang") == "fr", F.lit(False))
+        return TermIndex(c.spark).add(c.raw("documents").where(~late)).add(c.raw("documents").where(late))
+
+    return c.kept("index", build)
+
+
+def asked(c):
+    return c.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_TOK} AS w FROM documents)")(
     lambda c: c.raw("documents").select("doc_id", X.tokens(X.nfkc(F.col("text"))).alias("w")).select(
         "doc_id",
@@ -27,12 +42,8 @@ query("i2_tokenize", f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w,
         F.md5(F.array_join("w", " ").cast("binary")).alias("digest"),
     )
 )
-query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: X.postings(X.tokenized(c.raw("documents"))))
-query("i6_index_stats", f"WITH {_POST} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT round(avg(len(w)), 6) FROM tok) AS avg_length")(
-    lambda c: words(c).agg(F.count("*").alias("documents"), F.round(F.avg(F.size("w")), 6).alias("avg_length")).crossJoin(
-        words(c).select(F.explode("w").alias("term")).agg(F.count_distinct("term").alias("vocabulary"))
-    )
-)
+query("i4_postings", f"WITH {_POST} SELECT * FROM post")(lambda c: index(c).postings().drop("shard", "segment"))
+query("i6_index_stats", f"WITH {_POST} SELECT (SELECT count(*) FROM tok) AS documents, (SELECT count(DISTINCT term) FROM post) AS vocabulary, (SELECT round(avg(len(w)), 6) FROM tok) AS avg_length")(lambda c: index(c).stats())
 _QT = _TOK.replace("text", "q.text")
 _BM25 = f"""{_POST}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) AS term FROM benchmark q), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
     df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
@@ -42,10 +53,24 @@ _BM25 = f"""{_POST}, qt AS (SELECT DISTINCT item_id AS query_id, unnest({_QT}) A
 
 def bm25(c, k=10):
     """BM25+ of the benchmark's texts over all documents, written once for each k."""
-    return c.stored(f"bm25 {k}", lambda: X.bm25(words(c), c.raw("benchmark").select(F.col("item_id").alias("query_id"), "text"), k))
+    return c.stored(f"bm25 {k}", lambda: index(c).top(terms_of(asked(c)), k))
 
 
 query("i5_bm25", f"WITH {_BM25} SELECT * FROM bm")(bm25)
+#: Each query searches the documents of one language only, which its number chooses.
+_LANGS = ("de", "en", "es", "fr")
+_OWN = f"lang = {[*_LANGS]}[1 + query_id % 4]"
+query("i5_candidate_subsets", f"WITH {_BM25}, own AS (SELECT sc.* FROM sc JOIN documents USING (doc_id) WHERE {_OWN}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM own) WHERE rank <= 10")(
+    lambda c: index(c).top(terms_of(asked(c)), 10, subsets(c))
+)
+
+
+def subsets(c):
+    """(query_id, doc_id): the documents that each query may find."""
+    own = F.element_at(F.array(*map(F.lit, _LANGS)), (1 + F.col("query_id") % 4).cast("int"))
+    return asked(c).select("query_id", own.alias("lang")).join(c.raw("documents").select("doc_id", "lang"), "lang").select("query_id", "doc_id")
+
+
 _COS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"
 
 
@@ -55,6 +80,17 @@ def cosine(c, k=10):
 
 
 query("i7_cosine_top_k", _COS)(cosine)
+
+
+@query("i7_candidate_subsets", _COS.replace("% 20 = 0", "% 20 = 0 AND v.vec_id % 7 = q.vec_id % 7"))
+def _cosine_among(c):
+    """Each query searches the vectors of its own seventh."""
+    v = c.raw("embeddings")
+    asking = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    own = asking.select("query_id", F.expr("query_id % 7").alias("part")).join(v.select("vec_id", F.expr("vec_id % 7").alias("part")), "part")
+    return X.cosine_among(c.stored("candidates", lambda: own.select("query_id", "vec_id")), v, asking, 10)
+
+
 query(
     "i9_rank_fusion",
     f"WITH {_BM25}, l AS (SELECT query_id, doc_id, rank FROM bm UNION ALL "
