@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import store
 from .evidence import CAUSAL
+from .ordered import sorted_parts
 
 # Weights of the confidence of an action and scores of its tiers.
 WEIGHTS = {"driver": 0.35, "quality": 0.25, "history": 0.25, "link": 0.15}
@@ -278,3 +280,43 @@ def run_candidates(cases: DataFrame, runner, schema: str) -> DataFrame:
             yield pd.DataFrame([one(r) for r in b.to_dict("records")])
 
     return cases.mapInPandas(run, schema)
+
+
+def telemetry(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """Roll-up of calls by investigation and role, by investigation, and over all (level 0, 1, 3): counts, tokens, cost, latency.
+
+    calls: investigation, role, latency, input and output tokens; prices: role, model, price_in and price_out of a million
+    tokens, a table of the models there are. Roles without a model are deterministic and cost nothing.
+    """
+    cost = F.round(F.col("input") / 1_000_000 * F.col("price_in") + F.col("output") / 1_000_000 * F.col("price_out"), 6)
+    rows = calls.join(F.broadcast(prices), "role", "left").withColumn("cost", F.coalesce(cost, F.lit(0.0)))
+    return rows.rollup("investigation", "role").agg(
+        F.grouping_id().alias("level"),
+        F.count("*").alias("calls"),
+        F.count("model").alias("llm_calls"),
+        (F.count("*") - F.count("model")).alias("deterministic_calls"),
+        F.sum("input").alias("input_tokens"),
+        F.sum("output").alias("output_tokens"),
+        F.round(F.sum("cost"), 6).alias("cost"),
+        F.round(F.sum("latency"), 3).alias("latency"),
+    )
+
+
+def budget_breaches(spending: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(investigation, budget, budget_limit, used, id): the first spending of each budget that finds it used up.
+
+    spending: investigation, at, id and a column for each budget. Running sums over sorted parts: a part adds up its own
+    rows and starts from the sums of the parts before it, so that an investigation of any length is dealt to many tasks.
+    """
+    names = list(limits)
+    parts = sorted_parts(spending, ["investigation", "at", "id"])
+    sums = parts.groupBy("investigation", "part").agg(*(F.sum(b).alias(b) for b in names))
+    earlier = Window.partitionBy("investigation").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sums = store(sums.select("investigation", "part", *(F.coalesce(F.sum(b).over(earlier), F.lit(0.0)).alias(f"{b}_0") for b in names)))
+    here = Window.partitionBy("investigation", "part").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.join(sums, ["investigation", "part"])
+    used = rows.select("investigation", "at", "id", *names, *((F.col(f"{b}_0") + F.sum(b).over(here) - F.col(b)).alias(f"{b}_1") for b in names))
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.lit(float(v)).alias("budget_limit"), F.col(b).alias("spent"), F.round(f"{b}_1", 4).alias("used")) for b, v in limits.items())))
+    over = used.select("investigation", "at", "id", each.alias("x")).select("investigation", "at", "id", "x.*").where("spent > 0 AND used >= budget_limit")
+    first = over.groupBy("investigation", "budget", "budget_limit").agg(F.min_by(F.struct("used", "id"), F.struct("at", "id")).alias("f"))
+    return first.select("investigation", "budget", "budget_limit", "f.used", "f.id")

@@ -317,7 +317,6 @@ def verified(c):
 
 
 query("l9_numeric_claims", f"WITH {_CLAIM} SELECT * FROM num")(lambda c: L.numeric_claims(claims(c)))
-query("l10_matched_numbers", f"WITH {_CLAIM} SELECT * FROM mat")(matched)
 query("l11_number_violations", f"WITH {_CLAIM} SELECT claim_id, value FROM num n WHERE NOT EXISTS (SELECT 1 FROM alw a WHERE a.claim_id = n.claim_id AND a.known = n.value)")(
     lambda c: (
         lambda r: L.numeric_claims(r).select("claim_id", "value").join(

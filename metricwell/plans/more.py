@@ -144,15 +144,3 @@ query(
         F.count_if(F.expr("abs(i - p) <= 0.01")).alias("matched"),
     )
 )
-
-# L
-query(
-    "l18_illegal_transitions",
-    "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id "
-    "ORDER BY ts, event_id) AS before FROM events) WHERE event_type = 'purchase' AND before = 'error'",
-)(
-    lambda c: c.raw("events").withColumn(
-        "before",
-        F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")),
-    ).where("event_type = 'purchase' AND before = 'error'").select("user_id", "event_id")
-)

@@ -241,13 +241,6 @@ query("l27_telemetry", "SELECT user_id::VARCHAR AS user_id, event_type, grouping
         F.round(F.sum("value"), 4).alias("latency"),
     )
 )
-query("l28_budget_breach", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 51")(
-    lambda c: c.raw("events").select(
-        "user_id",
-        "event_id",
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"),
-    ).where("n = 51").select("user_id", "event_id")
-)
 query("m2_events_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(
     lambda c: c.raw("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
 )
