@@ -169,10 +169,15 @@ def names(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda x: x.rlike(NAME) & ~x.isin(*NOT_NAMES)))
 
 
-def pii_types(text: Column) -> Column:
-    """Sorted names of the kinds of personal data found: address, email, name_heuristic (two names or more), phone, url."""
+def pii_kinds(text: Column) -> dict[str, Column]:
+    """By kind of personal data whether a text holds it: address, email, name_heuristic (two names or more), phone, url."""
     kinds = {name: text.rlike(p) for name, p in PII.items()} | {"address": text.rlike(ADDRESS), "name_heuristic": F.size(names(text)) >= 2}
-    return F.array_compact(F.array(*(F.when(found, name) for name, found in sorted(kinds.items()))))
+    return dict(sorted(kinds.items()))
+
+
+def pii_types(text: Column) -> Column:
+    """Sorted names of the kinds of personal data found."""
+    return F.array_compact(F.array(*(F.when(found, name) for name, found in pii_kinds(text).items())))
 
 
 def redact(text: Column) -> Column:
@@ -191,6 +196,11 @@ def safety(text: Column) -> Column:
     return out
 
 
+def matched_patterns(text: Column) -> Column:
+    """Every pattern of BLOCKED and SUSPICIOUS, in this order, that a text holds."""
+    return F.array_compact(F.array(*(F.when(text.rlike(p), p) for p in (*BLOCKED, *SUSPICIOUS))))
+
+
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
     """precision (of the returned), recall and reciprocal rank of each query. relevant: (query_id, key)."""
     marked = ranked.join(relevant.withColumn("hit", F.lit(1)), ["query_id", key], "left")
@@ -217,6 +227,9 @@ WORDS = {
     "fr": ("le", "les", "et", "pour", "dans", "pas", "que"),
 }
 DIMENSION, MMR = 64, 0.7
+#: Words up to which a text is short, and from which it is long; what looks like markup.
+SHORT_WORDS, LONG_WORDS = 2, 100
+HTML = r"<[a-zA-Z][^>]*>|&[a-z]{2,6};"
 
 
 def nfkc(text: Column) -> Column:
@@ -259,8 +272,8 @@ def hash_buckets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ).groupBy(key, _bucket(F.col("term")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def hash_vectors(words: DataFrame, key: str) -> DataFrame:
-    """(key, embedding) of tokenized texts by feature hashing, without a shuffle; texts without a token have none."""
+def hash_vectors(words: DataFrame, key: str, empty: bool = False) -> DataFrame:
+    """(key, embedding) of tokenized texts by feature hashing, without a shuffle; texts without a token have none, or zeros if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +285,7 @@ def hash_vectors(words: DataFrame, key: str) -> DataFrame:
                 [key, "embedding"],
             )
 
-    rows = words.where(F.size("w") > 0).select(key, F.transform("w", _bucket).alias("b"))
+    rows = (words if empty else words.where(F.size("w") > 0)).select(key, F.transform("w", _bucket).alias("b"))
     return rows.mapInArrow(run, f"{key} {dict(words.dtypes)[key]}, embedding array<double>")
 
 
@@ -404,10 +417,54 @@ def language(text: Column) -> Column:
 
 
 def pii_columns(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column, kind, n): values of every string column that look like personal data, in one pass per table."""
+    """(table_name, column, kind, n): values of every string column that look like personal data of each kind.
+
+    Columns are found in the schemas; a table is read once, for all its columns and kinds.
+    """
     out = None
     for name, df in tables.items():
-        parts = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count_if(F.col(c).rlike(p)).alias("n")) for c, t in df.dtypes if t == "string" for kind, p in PII.items()]
+        found = [(c, kind, test) for c, t in df.dtypes if t == "string" for kind, test in pii_kinds(F.col(f"`{c}`")).items()]
+        if not found:
+            continue
+        parts = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count_if(test).alias("n")) for c, kind, test in found]
         rows = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def text_report(docs: DataFrame, text: str = "text", title: str = "title", top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """One row about all texts, and the texts that most rows share (n rows each, ties by text).
+
+    Lengths are those of texts that are not blank. Short: at most SHORT_WORDS words, long: at least LONG_WORDS.
+    duplicate_texts counts texts that several rows share, duplicate_rows the rows that hold them.
+    """
+    t = F.col(text)
+    seen = F.trim(F.coalesce(t, F.lit(""))) != ""
+    words = F.size(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)))
+    rows = docs.select(t.alias("t"), seen.alias("seen"), F.when(seen, F.length(t)).alias("chars"), F.when(seen, words).alias("words"), (F.trim(F.coalesce(title, F.lit(""))) != "").alias("titled"))
+    held = {kind: F.count_if(F.col("seen") & test) for kind, test in (pii_kinds(F.col("t")) | {"html": F.col("t").rlike(HTML), "injection": safety(F.col("t")) != "SAFE"}).items()}
+    measures = [f(F.col(c)).alias(f"{n}_{c}") for c in ("chars", "words") for n, f in (("mean", lambda x: F.round(F.avg(x), 6)), ("median", F.median), ("p90", lambda x: F.round(F.percentile(x, F.lit(0.9)), 6)), ("max", F.max))]
+    one = rows.agg(
+        F.count("*").alias("rows"), F.count_if("titled").alias("with_title"), F.count_if("seen").alias("with_text"), F.round(F.avg((~F.col("seen")).cast("int")), 6).alias("empty_share"), *measures,
+        F.count_if(F.col("words") <= SHORT_WORDS).alias("short"), F.count_if(F.col("words") >= LONG_WORDS).alias("long"), *(v.alias(k) for k, v in held.items()),
+    )
+    shared = rows.where("seen").groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    twice = shared.agg(F.count("*").alias("duplicate_texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
+    return one.crossJoin(F.broadcast(twice)), shared.orderBy(F.desc("n"), "t").limit(top)
+
+
+def embed_new(docs: DataFrame, path: str, run: int, model: str, embedder, text: str = "text") -> None:
+    """Embeds the distinct texts whose key no earlier run has stored at path, and stores them as this run.
+
+    embedder: rows (key, text) to (key, embedding), one for each. A run writes under its own number and reads the lower
+    ones only, so that one repeated after a failure replaces what it wrote, and the store never holds a key twice.
+    """
+    keys = "key string, embedding array<double>, run int"
+    spark = docs.sparkSession
+    stored = spark.read.schema(keys).option("basePath", path).parquet(*(f"{path}/run={r}" for r in range(run))) if run else spark.createDataFrame([], keys)
+    embedder(unseen(docs, stored, model, text)).select("key", "embedding").write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def embedded(spark, path: str) -> DataFrame:
+    """(key, embedding, run) of everything at path."""
+    return spark.read.schema("key string, embedding array<double>, run int").option("basePath", path).parquet(path)

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Observation, Row
 from pyspark.sql import functions as F
 
+from ..operators import evidence as E
 from ..operators import text as X
+from ..sources.tables import scratch, store
 from .sql import Registry
-from .text import _ALL_TOK, _BM25, _QT, _REL, _TOK, asked, bm25, index, relevant, words
+from .text import _ALL_TOK, _BM25, _KINDS, _QT, _RED, _REL, _TOK, PII_SQL, asked, bm25, index, relevant, words
 
 query = Registry()
 _DOC = lambda c: c.raw("documents")
-query("i1_normalise")(
-    lambda c: _DOC(c).select("doc_id", X.normalise(F.col("text")).alias("t")).select(
+query("i1_normalise", r"SELECT doc_id, md5(t) AS digest, length(t) AS chars FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(CASE WHEN trim(coalesce(source, '')) = '' THEN text WHEN trim(coalesce(text, '')) = '' THEN source ELSE source || ' ' || text END), '\s+', ' ', 'g')) AS t FROM documents)")(
+    lambda c: _DOC(c).select("doc_id", X.normalise(X.joined_title(F.col("source"), F.col("text"))).alias("t")).select(
         "doc_id",
         F.md5(F.col("t").cast("binary")).alias("digest"),
-        F.length("t").alias("chars"),
+        F.length("t").cast("long").alias("chars"),
     )
 )
 _SYN = f"syn AS (SELECT term, CASE WHEN term = a THEN b ELSE a END AS synonym FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) JOIN (SELECT substr(term, 1, 4) AS p, min(term) AS a, max(term) AS b FROM (SELECT DISTINCT unnest({_QT}) AS term FROM benchmark q) GROUP BY 1) ON p = substr(term, 1, 4) WHERE a <> b UNION VALUES {', '.join(f"('{t}', '{x}')" for t, more in X.SYNONYMS.items() for x in more)})"
@@ -74,22 +77,69 @@ def _top(source: str, k: int, more: str = "") -> str:
 
 query("i3_query_expansion", f"WITH {_EXP} SELECT * FROM ex")(lambda c: X.expand(asked(c), synonyms(c)))
 _MODEL = "hash64-1"
-query("i8_embedding_job", f"""WITH k AS (SELECT sha256(text || '|{_MODEL}') AS key, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1),
-    b AS (SELECT key, ('0x' || substr(md5(term), 1, 4))::INTEGER % 64 AS bucket, count(*) AS n FROM (SELECT key, unnest({_TOK}) AS term FROM k) GROUP BY 1, 2) SELECT key, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS vector FROM b GROUP BY 1""")(
-    lambda c: X.hash_buckets(X.unseen(_DOC(c), c.spark.createDataFrame([], "key string"), _MODEL), "key").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: F.concat_ws(":", x["bucket"], x["n"])), ",").alias("vector"))
-)
+query("i8_embedding_job", f"""WITH k AS (SELECT sha256(text || '|{_MODEL}') AS key, any_value(text) AS text, CASE WHEN bool_or(coalesce(lang = 'en', false)) THEN 0 ELSE 1 END AS run FROM documents WHERE text IS NOT NULL GROUP BY 1),
+    b AS (SELECT key, ('0x' || substr(md5(term), 1, 4))::INTEGER % 64 AS bucket, count(*) AS n FROM (SELECT key, unnest({_TOK}) AS term FROM k) GROUP BY 1, 2)
+    SELECT key, run::INTEGER AS run, coalesce(string_agg(bucket || ':' || n, ',' ORDER BY bucket), '') AS vector FROM k LEFT JOIN b USING (key) GROUP BY 1, 2""")(lambda c: embedding_job(c))
+
+
+def embedding_job(c):
+    """Three runs into one store: the documents of one language, all documents, and all again, which adds nothing."""
+    path = scratch(c.spark)
+    embedder = lambda new: X.hash_vectors(X.tokenized(new, "key"), "key", empty=True)
+    for run, docs in enumerate((_DOC(c).where("lang = 'en'"), _DOC(c), _DOC(c))):
+        X.embed_new(docs, path, run, _MODEL, embedder)
+    parts = F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, F.concat_ws(":", i, x.cast("long")))), lambda x: x.isNotNull())
+    return X.embedded(c.spark, path).select("key", "run", F.array_join(parts, ",").alias("vector"))
+
+
 _B30 = _BM25.replace("rank <= 10", "rank <= 30")
 _HYB = f"{_B30}, {_VEC}, dn AS ({_top('cs', 30)}), un AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dn), fu AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM un GROUP BY 1, 2), hy AS ({_top('fu', 10)})"
 query("i10_hybrid", f"WITH {_HYB} SELECT * FROM hy")(hybrid)
-query(
-    "i11_structured_first",
-    f"WITH {_VEC}, f AS (SELECT cs.* FROM cs JOIN documents USING (doc_id) "
-    f"WHERE lang = 'en' AND n_chars >= 200) {_top('f', 10, ' WHERE score >= 0.5')}",
-)(lambda c: dense(c, 10, _DOC(c).where("lang = 'en' AND n_chars >= 200")).where("score >= 0.5"))
+def _mmr(source: str, k: int) -> str:
+    """SQL of the greedy rerank of source (query_id, doc_id, score, e), as CTEs that end in mr (query_id, doc_id, rank)."""
+    near = "CASE WHEN step = 0 THEN 0 ELSE list_max(list_transform(vecs, lambda v: list_cosine_similarity(v, p.e))) END"
+    return f"""mp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS ord FROM ({source})),
+    mm AS (SELECT DISTINCT query_id, 0 AS step, []::BIGINT[] AS ids, []::DOUBLE[][] AS vecs FROM mp UNION ALL
+      SELECT query_id, step + 1, list_append(ids, b.doc_id), list_append(vecs, b.e) FROM (
+        SELECT m.query_id, step, ids, vecs, first({{'doc_id': p.doc_id, 'e': p.e}} ORDER BY round({X.MMR} * score - (1 - {X.MMR}) * {near}, 9) DESC, ord) AS b
+        FROM mm m JOIN mp p USING (query_id) WHERE step < {k} AND NOT list_contains(ids, p.doc_id) GROUP BY m.query_id, step, ids, vecs)),
+    mr AS (SELECT query_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1)::INTEGER AS rank FROM (SELECT * FROM mm QUALIFY step = max(step) OVER (PARTITION BY query_id)))"""
+
+
+#: Filters of the structured search, and the relevance from which a text may be shown.
+_STRUCTURED, _RELEVANT = "lang = 'en' AND n_chars >= 200", 0.5
+_FIRST = f"{_VEC}, fs AS (SELECT cs.*, dv.e FROM cs JOIN documents USING (doc_id) JOIN dv USING (doc_id) WHERE {_STRUCTURED}), f50 AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50)"
+_SELECTED = f"WITH RECURSIVE {_FIRST}, {_mmr(f'SELECT query_id, doc_id, score, e FROM f50 WHERE score >= {_RELEVANT}', 10)}"
+_KIND = f"CASE WHEN {PII_SQL} <> '' THEN 'REDACTED_AT_RETRIEVAL' ELSE 'NOT_REDACTED' END"
+query("i11_structured_first", f"{_SELECTED} SELECT query_id, doc_id, rank, score, {_KIND} AS redaction_status, md5(CASE WHEN {PII_SQL} <> '' THEN {_RED} ELSE coalesce(text, '') END) AS content FROM mr JOIN f50 USING (query_id, doc_id) JOIN documents USING (doc_id)")(
+    lambda c: structured_first(c)[0]
+)
+query("i11_retrieval_counts", f"{_SELECTED} SELECT (SELECT count(*) FROM documents) AS candidates_before_filter, (SELECT count(*) FROM documents WHERE {_STRUCTURED}) AS candidates_after_filter, (SELECT count(*) FROM f50) AS pool, (SELECT count(*) FROM mp) AS relevant, (SELECT count(*) FROM mr) AS returned")(
+    lambda c: c.spark.createDataFrame([structured_first(c)[1]])
+)
+
 
+def structured_first(c, k: int = 10):
+    """Rows and counts of a governed search: filter, the best 5k by cosine, least relevance, rerank, redacted texts.
 
-@query("i12_mmr")
-def _mmr(c):
+    Counts are observed while the rows are made, in the passes that make them.
+    """
+    before, after, pooled, kept, out = (Observation(n) for n in ("before", "after", "pool", "relevant", "returned"))
+    n = F.count(F.lit(1)).alias("n")
+    docs = _DOC(c).select("doc_id", "lang", "n_chars").observe(before, n).where(_STRUCTURED).observe(after, n)
+    among = store(docs.select("doc_id"))
+    pool = dense(c, 5 * k, among).drop("rank").observe(pooled, n).where(F.col("score") >= _RELEVANT).observe(kept, n)
+    pool = store(pool)
+    ranked = X.mmr(pool.join(vectors(c), "doc_id"), k).join(pool, ["query_id", "doc_id"]).join(_DOC(c).select("doc_id", "text"), "doc_id")
+    content, status = E.redacted(F.coalesce("text", F.lit("")), F.size(X.pii_types(F.col("text"))) > 0)
+    rows = ranked.observe(out, n).select("query_id", "doc_id", "rank", "score", status.alias("redaction_status"), F.md5(content.cast("binary")).alias("content"))
+    rows = store(rows)
+    names = ("candidates_before_filter", "candidates_after_filter", "pool", "relevant", "returned")
+    return rows, Row(**{name: o.get["n"] for name, o in zip(names, (before, after, pooled, kept, out), strict=True)})
+
+
+@query("i12_mmr", f"WITH RECURSIVE {_VEC}, t30 AS (SELECT cs.*, dv.e FROM cs JOIN dv USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30), {_mmr('SELECT * FROM t30', 10)} SELECT * FROM mr")
+def _reranked(c):
     pool = dense(c, 30).drop("rank")
     return X.mmr(pool.join(vectors(c), "doc_id"), 10)
 
@@ -114,8 +164,14 @@ _LANG = f"(SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 10 OR greatest(
     f"{v} AS {k}" for k, v in _CNT.items()
 ) + f" FROM (SELECT doc_id, text, {_ALL_TOK} AS w FROM documents)))"
 query("i18_language_tag", f"SELECT * FROM {_LANG}")(lambda c: _DOC(c).select("doc_id", X.language(F.col("text")).alias("tag")))
-_STR = {"customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "events": ("event_type", "props")}
-query("i20_pii_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{x}' AS column, '{k}' AS kind, count(*) FILTER (regexp_matches({x}, '{p}')) AS n FROM {t}" for t, xs in _STR.items() for x in xs for k, p in X.PII.items()))(lambda c: X.pii_columns({t: c.raw(t).select(*xs) for t, xs in _STR.items()}))
+#: String columns of the structured tables; the operator finds them in the schemas.
+_STR = {
+    "region": ("r_name",), "nation": ("n_name",), "customer": ("c_name", "c_mktsegment"), "supplier": ("s_name",), "part": ("p_name", "p_brand", "p_type"), "orders": ("o_orderstatus", "o_orderpriority"),
+    "lineitem": ("l_returnflag", "l_linestatus"), "events": ("event_type", "props"), "pages": ("url", "html"), "labels": (),
+}
+query("i20_pii_columns", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{x}' AS column, '{k}' AS kind, count(*) FILTER ({p.replace('text', x)}) AS n FROM {t}" for t, xs in _STR.items() for x in xs for k, p in sorted(_KINDS.items())))(
+    lambda c: X.pii_columns({t: c.raw(t) for t in _STR})
+)
 _PER = f"{_REL}, wn AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1)"
 
 

@@ -125,37 +125,22 @@ query("i16_pii_redaction", f"SELECT doc_id, md5({_RED}) AS digest, length({_RED}
         F.length("t").cast("long").alias("chars"),
     )
 )
-query("i17_safety", f"SELECT doc_id, {SAFETY_SQL} AS safety FROM documents")(
-    lambda c: c.raw("documents").select("doc_id", X.safety(F.col("text")).alias("safety"))
+_HELD = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{p}' END" for p in (*X.BLOCKED, *X.SUSPICIOUS)) + "], lambda x: x IS NOT NULL), ' ; ')"
+query("i17_safety", f"SELECT doc_id, {SAFETY_SQL} AS safety, coalesce({_HELD}, '') AS patterns FROM documents")(
+    lambda c: c.raw("documents").select("doc_id", X.safety(F.col("text")).alias("safety"), F.array_join(X.matched_patterns(F.col("text")), " ; ").alias("patterns"))
 )
-#: Characters up to which a text is short, and from which it is long.
-SHORT, LONG = 20, 500
-_QUALITY = {
-    "texts": ("count(*)", "count(*)"),
-    "empty": ("count(*) FILTER (blank)", "count_if(blank)"),
-    "mean_chars": ("round(avg(chars), 6)", "round(avg(chars), 6)"),
-    "median_chars": ("median(chars)", "median(chars)"),
-    "p90_chars": ("round(quantile_cont(chars, 0.9), 6)", "round(percentile(chars, 0.9), 6)"),
-    "max_chars": ("max(chars)", "max(chars)"),
-    "mean_words": ("round(avg(words), 6)", "round(avg(words), 6)"),
-    "median_words": ("median(words)", "median(words)"),
-    "p90_words": ("round(quantile_cont(words, 0.9), 6)", "round(percentile(words, 0.9), 6)"),
-    "short": (f"count(*) FILTER (NOT blank AND chars <= {SHORT})", f"count_if(NOT blank AND chars <= {SHORT})"),
-    "long": (f"count(*) FILTER (chars >= {LONG})", f"count_if(chars >= {LONG})"),
-    "duplicates": ("count(*) - count(DISTINCT text)", "count(*) - count(DISTINCT text)"),
-}
+_MEASURES = ", ".join(f"{e.format(c)} AS {n}_{c}" for c in ("chars", "words") for n, e in (("mean", "round(avg({}), 6)"), ("median", "median({})"), ("p90", "round(quantile_cont({}, 0.9), 6)"), ("max", "max({})")))
+_SEEN = ", ".join(f"count(*) FILTER (seen AND {p}) AS {k}" for k, p in sorted(_KINDS.items()))
+_REPORT = f"""x AS (SELECT text, trim(coalesce(text, '')) <> '' AS seen, CASE WHEN seen THEN length(text) END AS chars, CASE WHEN seen THEN len(regexp_extract_all(text, '[^\\s]+')) END AS words, trim(coalesce(source, '')) <> '' AS titled FROM documents),
+    sh AS (SELECT text, count(*) AS n FROM x WHERE seen GROUP BY 1 HAVING count(*) > 1)"""
 query(
     "i19_text_quality",
-    f"SELECT {', '.join(f'{e} AS {n}' for n, (e, _) in _QUALITY.items())} "
-    "FROM (SELECT text, length(text) AS chars, len(regexp_extract_all(text, '[^\\s]+')) AS words, trim(coalesce(text, '')) = '' AS blank "
-    "FROM documents)",
-)(
-    lambda c: c.raw("documents") .selectExpr(
-        "text",
-        "length(text) AS chars",
-        "regexp_count(text, '[^\\\\s]+') AS words",
-        "trim(coalesce(text, '')) = '' AS blank",
-    ) .agg(*(F.expr(e).alias(n) for n, (_, e) in _QUALITY.items()))
+    f"WITH {_REPORT} SELECT count(*) AS rows, count(*) FILTER (titled) AS with_title, count(*) FILTER (seen) AS with_text, round(avg((NOT seen)::INTEGER), 6) AS empty_share, {_MEASURES}, "
+    f"count(*) FILTER (words <= {X.SHORT_WORDS}) AS short, count(*) FILTER (words >= {X.LONG_WORDS}) AS long, {_SEEN}, count(*) FILTER (seen AND regexp_matches(text, '{X.HTML}')) AS html, "
+    f"count(*) FILTER (seen AND {SAFETY_SQL} <> 'SAFE') AS injection, (SELECT count(*) FROM sh) AS duplicate_texts, (SELECT coalesce(sum(n), 0)::BIGINT FROM sh) AS duplicate_rows FROM x",
+)(lambda c: X.text_report(c.raw("documents"), title="source")[0])
+query("i19_repeated_texts", f"WITH {_REPORT} SELECT md5(text) AS digest, n FROM sh ORDER BY n DESC, text LIMIT 5")(
+    lambda c: X.text_report(c.raw("documents"), title="source")[1].select(F.md5(F.col("t").cast("binary")).alias("digest"), "n")
 )
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
