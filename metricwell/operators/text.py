@@ -391,14 +391,26 @@ def allowed(filters: dict, clearance: str = "RESTRICTED") -> Column:
     return structured({k: v for k, v in filters.items() if k not in own}, **{k: v for k, v in filters.items() if k in own}, clearance=clearance)
 
 
-def ladder(queries: DataFrame, rungs: list[tuple[str, DataFrame, float]]) -> DataFrame:
-    """(query_id, rung, best): the first rung whose best score reaches its floor, or insufficient. Rankings: query_id, score."""
+def ladder(queries: DataFrame, rungs: list[tuple[str, DataFrame, float]], among: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, rung, best, candidates, coverage): the first rung whose best score reaches its floor, or insufficient.
+
+    rungs: name, ranking (query_id, score) and floor, words first and vectors last. An insufficient search names the best
+    score by words, 0 without any, and how many candidates of the corpus the filters had left.
+    """
     out, rung, best = queries.select("query_id").distinct(), F.lit("insufficient"), F.lit(None).cast("double")
     for i, (_, ranking, _) in enumerate(rungs):
         out = out.join(ranking.groupBy("query_id").agg(F.max("score").alias(f"s{i}")), "query_id", "left")
     for i, (name, _, floor) in reversed(list(enumerate(rungs))):
         rung, best = F.when(F.col(f"s{i}") >= floor, name).otherwise(rung), F.when(F.col(f"s{i}") >= floor, F.col(f"s{i}")).otherwise(best)
-    return out.select("query_id", rung.alias("rung"), best.alias("best"))
+    sizes = among.agg(F.count("*").alias("few")).crossJoin(F.broadcast(corpus.agg(F.count("*").alias("all"))))
+    lacking = rung == "insufficient"
+    return out.crossJoin(F.broadcast(sizes)).select(
+        "query_id",
+        rung.alias("rung"),
+        F.when(lacking, F.coalesce(F.greatest("s0", "s1"), F.lit(0.0))).otherwise(best).alias("best"),
+        F.when(lacking, F.col("few")).alias("candidates"),
+        F.when(lacking, F.round(F.try_divide("few", "all"), 6)).alias("coverage"),
+    )
 
 
 def _one_of(values: tuple[str, ...]):

@@ -78,7 +78,8 @@ def _best(i: int, source: str, filters: dict) -> str:
 
 _PICK = [(n, f"s{i} >= {_FLOORS.get(n, _FLOORS['bm25'])}", f"s{i}") for i, (n, *_) in enumerate(_STEPS)]
 query("i14_ladder", f"""WITH {_META}, {_BM25}, {_EXP}, {_TAIL}, {_VEC}, s AS (SELECT item_id AS query_id, {', '.join(_best(i, t, f) for i, (_, t, f) in enumerate(_STEPS))} FROM benchmark)
-    SELECT query_id, CASE {' '.join(f"WHEN {t} THEN '{n}'" for n, t, _ in _PICK)} ELSE 'insufficient' END AS rung, CASE {' '.join(f"WHEN {t} THEN {v}" for _, t, v in _PICK)} END AS best FROM s""")(
+    SELECT query_id, rung, CASE WHEN rung = 'insufficient' THEN coalesce(greatest(s0, s1), 0) ELSE best END AS best, CASE WHEN rung = 'insufficient' THEN few END AS candidates, CASE WHEN rung = 'insufficient' THEN round(few / n_all::DOUBLE, 6) END AS coverage
+    FROM (SELECT *, CASE {' '.join(f"WHEN {t} THEN '{n}'" for n, t, _ in _PICK)} ELSE 'insufficient' END AS rung, CASE {' '.join(f"WHEN {t} THEN {v}" for _, t, v in _PICK)} END AS best FROM s), (SELECT count(*) FILTER ({_where(_FILTERS)}) AS few, count(*) AS n_all FROM meta)""")(
     lambda c: ladder(c)
 )
 
@@ -90,7 +91,7 @@ def ladder(c):
     plain = c.stored("scores", lambda: index(c).scores(own))
     more = c.stored("expanded scores", lambda: index(c).scores(X.expand(asked(c), synonyms(c)).select("query_id", "term")))
     rungs = [(name, (plain if source == "sc" else more).join(among(f), "doc_id", "left_semi"), _FLOORS["bm25"]) for name, source, f in _STEPS[:-1]]
-    return X.ladder(asked(c), [*rungs, ("dense", dense(c, 1, among(_FILTERS)), _FLOORS["dense"])])
+    return X.ladder(asked(c), [*rungs, ("dense", dense(c, 1, among(_FILTERS)), _FLOORS["dense"])], among(_FILTERS), meta)
 
 
 # I21, I22: by category of the query, and by its language
