@@ -157,9 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Attent
     small_batches(spark)
     labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = labels.where(
-        F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))
+        F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))
     ).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().where("quality IN (0, 1)").collect()}
+    sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     share = F.lit(0.0)
     for value, n in sizes.items():
         share = F.when(F.col("quality") == value, F.lit(min(1.0, per_class / n))).otherwise(share)

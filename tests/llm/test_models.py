@@ -310,3 +310,11 @@ def test_keep_identified_on_awkward_rows(spark, edge):
     got = sorted((r.doc_id or 0, r.text or "") for r in keep_identified(docs).collect())
     assert got == sorted((i or 0, t or "") for i, t in EDGE if t and any(map(str.isalpha, t))) and keep_identified(docs).columns == docs.columns
     assert keep_identified(docs.limit(0)).count() == 0 and keep_identified(docs.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
+def test_foreign_labels_cost_no_document(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.select("doc_id", "quality")
+    foreign = labels.selectExpr("doc_id", "5 AS quality").unionByName(labels.selectExpr("doc_id", "CAST(NULL AS int) AS quality")).unionByName(labels.selectExpr("doc_id", "-1 AS quality"))
+    want, got = (score_quality(docs, x).orderBy("doc_id").toPandas() for x in (labels, labels.unionByName(foreign)))
+    assert got.equals(want) and got.score.nunique() > 10
