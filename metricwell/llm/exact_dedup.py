@@ -1,10 +1,11 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
 Every partition turns its rows into a run: sorted by digest, one row for each. Then partitions exchange runs in the
-rounds of a binomial tree, STEPS levels of it at a time: the 2 ** STEPS partitions whose numbers differ in those binary
-digits only deal the pieces of their runs among themselves by the same digits of the digest. Every receiver merges the
-sorted pieces it gets (Spark's external sorter does the multiway merge) and keeps, of equal digests, the row with the
-smallest identifier and the number of rows behind it, which makes a sorted run again. After the last round each digest
+rounds of a binomial tree, STEPS levels of it at a time, one by default: the 2 ** STEPS partitions whose numbers differ
+in those binary digits only deal the pieces of their runs among themselves by the same digits of the digest. Every
+receiver merges the sorted pieces it gets: Spark's sorter, a TimSort for keys of several columns, takes ascending runs as
+they lie and merges them. It keeps, of equal digests, the row with the smallest identifier and the number of rows behind
+it, which makes a sorted run again. After the last round each digest
 is left in one partition; before it, a digest that every partition holds has been a single row of each run, so that a
 hot group never meets in one task. At every level digests are equal only if a second hash and the length agree too.
 """
@@ -23,7 +24,7 @@ from .common import join_keyed, materialize, table
 #: The characters that a comparison ignores: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 #: Levels of the binomial tree in one exchange; 2 ** STEPS runs meet in a merge.
-STEPS = 3
+STEPS = 1
 _KEY = ["digest", "proof", "bytes"]
 _ORDER = [*_KEY, "less", "none", "doc_id"]
 
