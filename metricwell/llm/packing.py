@@ -3,9 +3,10 @@
 Only documents longer than a sequence are cut. A piece as long as a sequence has one to itself; the others are dealt
 by hash to islands of about ISLAND pieces, one task each. A chromosome is a list of bins, and since pieces of equal
 length are alike, a bin is the list of its lengths. Crossover injects whole well-filled bins of one parent into the
-other, removes the bins that would use a piece twice, and best-fits the pieces so displaced. After a first spell every
-island passes its best bins on to the next one; these take part in the crossover of the second spell wherever the
-receiver owns pieces of those lengths. Pieces never leave their island, so no task or driver sees all of them.
+other, removes the bins that would use a piece twice, and best-fits the pieces so displaced: each, longest first, into
+the kept bin that it leaves least room in, and what fits into none into new bins. After a first spell every island
+passes its fullest bins on to the next one; these take part in the crossover of the second spell wherever the receiver
+owns pieces of those lengths. Pieces never leave their island, so no task or driver sees all of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import os
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -29,7 +31,7 @@ from .common import chunks, materialize, small_batches, table
 #: Tokens of a sequence; id that ends a document; pieces of an island.
 SEQUENCE, END, ISLAND = 2048, 0, 16384
 #: Chromosomes of an island, offspring of a spell, offspring in a row that better nothing before it ends, and migrants.
-POPULATION, OFFSPRING, PATIENCE, MIGRANTS = 8, 64, 6, 64
+POPULATION, OFFSPRING, PATIENCE, MIGRANTS = 8, 64, 16, 64
 #: Words whose ids a Python worker remembers; it forgets the later half when there are more.
 REMEMBERED = 1_100_000
 _TAIL = ".,;:!?"
@@ -173,23 +175,44 @@ def fitness(bins: list[list[int]], size: int = SEQUENCE) -> tuple[int, float]:
     return -len(bins), sum((sum(b) / size) ** 2 for b in bins) / max(len(bins), 1)
 
 
+def refill(bins: list[list[int]], left: Counter, size: int = SEQUENCE) -> list[list[int]]:
+    """bins with the pieces of left: longest first, each where it leaves least room; pieces without room get new bins."""
+    free = sorted((size - sum(own), i) for i, own in enumerate(bins))
+    bins, rest = [*bins], Counter()
+    while free and free[0][0] == 0:
+        free.pop(0)
+    for n in sorted(left, reverse=True):
+        for _ in range(left[n]):
+            at = bisect_left(free, (n, -1))
+            if at == len(free):
+                rest[n] += 1
+                continue
+            room, i = free.pop(at)
+            bins[i] = [*bins[i], n]
+            if room > n:
+                insort(free, (room - n, i))
+    return bins + best_fit(rest, size)
+
+
 def crossover(receiver: list[list[int]], donor: list[list[int]], stock: Counter, draw: random.Random, size: int = SEQUENCE) -> list[list[int]]:
     """Half of donor's better filled bins go in whole; bins of receiver that lack a piece then go, their rest is best-fitted."""
-    left, child = stock.copy(), []
+    left, child = dict(stock), []
 
     def put(own: list[int]) -> None:
-        need = Counter(own)
-        if all(left[n] >= c for n, c in need.items()):
-            left.subtract(need)
-            child.append(own)
+        for k, n in enumerate(own):
+            if left.get(n, 0) == 0:
+                for m in own[:k]:
+                    left[m] += 1
+                return
+            left[n] -= 1
+        child.append(own)
 
     full = sorted(donor, key=sum, reverse=True)[: -(-len(donor) // 2)]
     for own in draw.sample(full, k=-(-len(full) // 2)):
         put(own)
     for own in sorted(receiver, key=sum, reverse=True):
-        if sum(own) >= 0.95 * size or draw.random() < 0.5:
-            put(own)
-    return child + best_fit(left, size)
+        put(own)
+    return refill(child, Counter({n: c for n, c in left.items() if c}), size)
 
 
 def evolve(lengths: list[int], seed: int, first: list[list[int]] | None = None, migrants: list[list[int]] | None = None, size: int = SEQUENCE) -> list[list[int]]:
@@ -287,8 +310,8 @@ def pack(docs: DataFrame, path: str | None = None, island: int = ISLAND) -> Data
     filled = first.groupBy("island", "bin").agg(
         F.sort_array(F.collect_list("length"), asc=False).alias("lengths"),
         F.sum("length").alias("sum"),
-    ).where(F.col("sum") == SEQUENCE)
-    best = Window.partitionBy("island").orderBy(F.desc(F.size("lengths")), "bin")
+    )
+    best = Window.partitionBy("island").orderBy(F.desc("sum"), F.desc(F.size("lengths")), "bin")
     elite = filled.withColumn("n", F.row_number().over(best)).where(F.col("n") <= MIGRANTS)
     elite = elite.select(((F.col("island") + 1) % islands).alias("island"), "lengths")
     second = first.groupBy("island").cogroup(elite.groupBy("island")).applyInArrow(_second_spell, _SHAPE)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from metricwell.llm.bagminhash import multisets, near_duplicates, op9_bagminhash, signatures, similar_classes, spanning_links
 from metricwell.llm.language_id import KernelClassifier, identify_languages, keep_identified, op4_language_id
-from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack
+from metricwell.llm.packing import SEQUENCE, WordTokenizer, best_fit, crossover, default_tokenizer, evolve, op10_packing, pack, refill
 from metricwell.llm.quality import FEATURES, AttentionModel, op1_quality, score_quality
 
 EDGE = [(1, None), (2, ""), (3, "12 34 !!"), (4, "the cat sat on the mat " * 3000), (None, "ein Text"), (5, "ein Text"), (5, "ein Text")]
@@ -227,6 +227,30 @@ def test_genetic_steps_better_greedy_filling():
     assert len(evolve(lengths, 2)) < 0.98 * len(best_fit(Counter(lengths)))
 
 
+def test_a_kept_bin_takes_a_displaced_piece():
+    child = crossover([[6], [5, 4], [3, 2]], [[5, 3, 2]], Counter([6, 5, 4, 3, 2]), random.Random(1), 10)
+    assert sorted(map(sorted, child)) == [[2, 3, 5], [4, 6]]
+    assert sorted(map(sorted, refill([[7], [4], [5, 5]], Counter([3, 5, 2, 8]), 10))) == [[2, 8], [3, 7], [4, 5], [5, 5]]
+
+
+def test_a_child_is_no_worse_than_its_better_parent():
+    for seed in range(12):
+        draw = random.Random(seed)
+        stock = Counter(draw.randint(200, 1500) for _ in range(400))
+        parents = []
+        for _ in range(2):
+            bins, left = [], stock.copy()
+            for n in draw.sample(sorted(stock.elements()), k=150):
+                fits = [m for m in left if left[m] and m <= SEQUENCE - n and (m != n or left[m] > 1)]
+                if left[n] and fits:
+                    m = draw.choice(fits)
+                    left.subtract([n, m])
+                    bins.append([n, m])
+            parents.append(bins + best_fit(+left))
+        child = crossover(*parents, stock, draw)
+        assert len(child) <= min(map(len, parents)) and Counter(n for b in child for n in b) == stock
+
+
 def test_migrants_better_an_island():
     lengths = hard_lengths(4)
     poor, good = best_fit(Counter(lengths)), evolve(lengths, 1)
