@@ -4,14 +4,17 @@ The kernel of two texts is the blended-spectrum presence kernel: the number of d
 characters that both contain, divided by the root of the product of their own numbers. A bounded sample of labelled
 rows is fitted on the driver: some of them are landmarks; a text's features are its kernel values with the landmarks
 times the inverse root of the landmarks' kernel matrix; one ridge regression per language (against the rest) follows.
+Every language has landmarks of its own.
 
-Scoring needs only products of matrices: presence (texts x n-grams) times the landmarks' presence (n-grams x
+N-grams of code points are hashed into the columns of the presence matrix, so that no script or character is folded into
+another. Scoring needs only products of matrices: presence (texts x n-grams) times the landmarks' presence (n-grams x
 landmarks) times the fitted weights (landmarks x languages), the last two multiplied once, then divided by the text's
 own norm. All of a text is read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,44 +24,47 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, materialize, small_batches, table
 
-#: Rows to fit on for each language, characters of all of them together at most (rows are left out whole), landmarks.
-SAMPLE, SAMPLE_CHARS, LANDMARKS, RIDGE = 400, 24_000_000, 192, 1e-3
-#: Characters known to the model: the commonest of each language in turn; all others count as one.
-ALPHABET = 63
-#: Distinct n-grams that a text has at least before a low margin speaks against it.
-JUDGED_GRAMS = 32
-_BITS, _N = 6, 3
-_GRAMS = (1 << _BITS) + (1 << 2 * _BITS) + (1 << 3 * _BITS)
+#: Rows to fit on for each language, characters of all of them together at most (rows are left out whole), landmarks (or
+#: LEAST_LANDMARKS for each language, if that is more), ridge.
+SAMPLE, SAMPLE_CHARS, LANDMARKS, LEAST_LANDMARKS, RIDGE = 400, 24_000_000, 192, 4, 1e-3
+#: Words of the excerpts by which the lifts of short texts are known.
+EXCERPTS = (1, 2, 3, 5, 8, 13, 21, 34, 55)
+#: One in STRAYS texts and excerpts of a size may lie below the floor of that size, which takes FEWEST of them at least.
+STRAYS, FEWEST = 100, 20
+#: Bits of the columns of n-grams of 1, 2 and 3 characters.
+_BITS = (14, 16, 18)
+_GRAMS = sum(1 << b for b in _BITS)
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 class KernelClassifier:
     """Presence kernel with Nystroem features and one-versus-rest ridge regression."""
 
-    def __init__(self, languages: list[str], alphabet: np.ndarray, weights: np.ndarray):
-        self.languages, self.alphabet, self.weights = languages, alphabet, weights
+    def __init__(self, languages: list[str], place: np.ndarray, weights: np.ndarray):
+        """place: for each column its row of weights, 0 for those without; row 0 is zero and the last row the bias."""
+        self.languages, self.place, self.weights = languages, place, weights
 
     @staticmethod
-    def codes(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Small codes of all characters of the lower-cased texts, white space folded, and each text's first index."""
+    def columns(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of the 1-, 2- and 3-grams that begin at each character of the lower-cased texts, white space folded,
+        and each text's first character. An n-gram that would reach into the next text is the caller's to leave out."""
         low = [" ".join(x.lower().split()) for x in texts]
-        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        code = np.zeros(max(int(points.max(initial=0)) + 1, int(alphabet.max(initial=0)) + 1), dtype=np.int32)
-        code[alphabet] = np.arange(1, len(alphabet) + 1)
-        return code[points], np.concatenate(([0], np.cumsum([len(x) for x in low])))
+        points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        out, code, base = [], points * _FACTORS[0], 0
+        for n, bits in enumerate(_BITS):
+            if n:
+                code = code[:-1] * _FACTORS[1] + points[n:] * _FACTORS[0]
+            out.append(((((code ^ (code >> np.uint64(29))) * _FACTORS[2]) >> np.uint64(64 - bits)).astype(np.int32)) + np.int32(base))
+            base += 1 << bits
+        return out, np.concatenate(([0], np.cumsum([len(x) for x in low])))
 
     @classmethod
-    def grams(cls, texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def grams(cls, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of every text, as the columns of a sparse presence matrix, and each text's first index."""
-        code, first = cls.codes(texts, alphabet)
+        each, first = cls.columns(texts)
         last, found, at = np.zeros(_GRAMS, dtype=np.int64), [], [0]
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            gram, base, each = code[a:b], 0, []
-            for n in range(1, _N + 1):
-                if n > 1:
-                    gram = (gram[:-1] << _BITS) + code[a + n - 1 : b]
-                each.append(gram + base)
-                base += 1 << n * _BITS
-            gram = np.concatenate(each)
+            gram = np.concatenate([c[a : max(a, b - n)] for n, c in enumerate(each)])
             order = np.arange(len(gram))
             last[gram] = order  # an n-gram counts where it stands last
             found.append(gram[last[gram] == order])
@@ -66,65 +72,62 @@ class KernelClassifier:
         return np.concatenate([*found, np.zeros(0, np.int32)]), np.array(at)
 
     @classmethod
-    def presence(cls, texts: list[str], alphabet: np.ndarray) -> np.ndarray:
-        """(texts x n-grams) with 1 where a text contains an n-gram."""
-        column, first = cls.grams(texts, alphabet)
-        out = np.zeros((len(texts), _GRAMS), dtype=np.uint8)
-        out[np.repeat(np.arange(len(texts)), np.diff(first)), column] = 1
+    def presence(cls, texts: list[str], place: np.ndarray, width: int) -> np.ndarray:
+        """(texts x width) with 1 where a text contains an n-gram; place gives a column's number, 0 for what is left out."""
+        column, first = cls.grams(texts)
+        out = np.zeros((len(texts), width), dtype=np.float32)
+        out[np.repeat(np.arange(len(texts)), np.diff(first)), place[column]] = 1
+        out[:, 0] = 0
         return out
 
-    @staticmethod
-    def letters(texts: list[str], labels: list[str]) -> np.ndarray:
-        """ALPHABET code points in order: by their best rank in any language, so that each language has its commonest."""
-        rank, total = {}, {}
-        for lang in sorted(set(labels)):
-            joined = "".join(x.lower() for x, l in zip(texts, labels, strict=True) if l == lang)
-            points, seen = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-            for k, i in enumerate(np.lexsort((points, -seen)).tolist()):
-                p = int(points[i])
-                rank[p], total[p] = min(rank.get(p, k), k), total.get(p, 0) + int(seen[i])
-        return np.array(sorted(sorted(rank, key=lambda p: (rank[p], -total[p], p))[:ALPHABET]), dtype=np.int64)
-
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelClassifier:
-        languages = sorted(set(labels))
+        languages, place = sorted(set(labels)), np.zeros(_GRAMS, dtype=np.int32)
         if not languages:
-            return cls([], np.zeros(0, np.int64), np.zeros((_GRAMS, 0), np.float32))
-        alphabet = cls.letters(texts, labels)
-        chosen = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
-        land = cls.presence([texts[i] for i in chosen], alphabet)
-        used = np.flatnonzero(land.any(axis=0))
-        base = land[:, used].astype(np.float32)
-        norm = np.sqrt(np.maximum(land.sum(axis=1, dtype=np.int64), 1))
+            return cls([], place, np.zeros((2, 0), np.float32))
+        turn, seen = [], Counter()
+        for label in labels:
+            turn.append(seen[label])
+            seen[label] += 1
+        chosen = sorted(range(len(texts)), key=lambda i: (turn[i], labels[i]))[: max(landmarks, LEAST_LANDMARKS * len(languages))]
+        column, first = cls.grams([texts[i] for i in chosen])
+        used = np.unique(column)
+        place[used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        base = cls.presence([texts[i] for i in chosen], place, width)
+        norm = np.sqrt(np.maximum(np.diff(first), 1))
         value, vector = np.linalg.eigh((base @ base.T).astype(np.float64) / np.outer(norm, norm))
         good = value > 1e-9 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
         feature = []
         for at in range(0, len(texts), 64):
-            own = cls.presence(texts[at : at + 64], alphabet)
-            kernel = (own[:, used].astype(np.float32) @ base.T) / norm / np.sqrt(np.maximum(own.sum(axis=1, dtype=np.int64), 1))[:, None]
+            some = texts[at : at + 64]
+            own = np.diff(cls.grams(some)[1])
+            kernel = (cls.presence(some, place, width) @ base.T) / norm / np.sqrt(np.maximum(own, 1))[:, None]
             feature.append(kernel @ root)
         x = np.hstack((np.concatenate(feature), np.ones((len(texts), 1))))
         y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
         balance = 1 / np.array([labels.count(l) for l in labels])
         fitted = np.linalg.solve(x.T @ (x * balance[:, None]) + ridge * np.eye(x.shape[1]), x.T @ (y * balance[:, None]))
-        weights = np.zeros((_GRAMS + 1, len(languages)), dtype=np.float32)
-        weights[used] = base.T @ ((root @ fitted[:-1]) / norm[:, None])
-        weights[-1] = fitted[-1]
-        return cls(languages, alphabet, weights)
+        return cls(languages, place, np.vstack((base.T @ ((root @ fitted[:-1]) / norm[:, None]), fitted[-1:])).astype(np.float32))
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """(texts x languages) values of the one-versus-rest functions."""
         return self.scored(texts)[0]
 
+    def lifts(self, margins: np.ndarray) -> np.ndarray:
+        """How far each text's n-grams lift its winner above the winner's margin of an empty text: 0 for foreign scripts."""
+        best = margins.argmax(axis=1)
+        return margins[np.arange(len(best)), best] - self.weights[-1][best]
+
     def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The margins, and the number of distinct n-grams of each text."""
-        column, first = self.grams(texts, self.alphabet)
+        column, first = self.grams(texts)
         own = np.diff(first)
         some = own > 0
         out = np.tile(self.weights[-1].astype(np.float64), (len(texts), 1))
         if some.any():  # the presence matrix times the weights, over its entries that are not 0
-            out[some] += np.add.reduceat(self.weights[column], first[:-1][some], axis=0) / np.sqrt(own[some])[:, None]
+            out[some] += np.add.reduceat(self.weights[self.place[column]], first[:-1][some], axis=0) / np.sqrt(own[some])[:, None]
         return out, own
 
 
@@ -151,20 +154,53 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list
     return texts, labels
 
 
-def margin_floor(texts: list[str], labels: list[str]) -> float:
-    """The lowest winning margin of texts that get their own label from a model of the other half; -inf if there are none.
+def excerpts(texts: list[str], labels: list[str]) -> tuple[list[str], list[str]]:
+    """The texts, and of each one run of words of every size of EXCERPTS below its own, from places that differ by text."""
+    out, named = list(texts), list(labels)
+    for i, (text, label) in enumerate(zip(texts, labels, strict=True)):
+        words = text.split()
+        for n in EXCERPTS:
+            if n < len(words):
+                at = i * 7919 % (len(words) - n + 1)
+                out.append(" ".join(words[at : at + n]))
+                named.append(label)
+    return out, named
+
+
+def lift_floors(texts: list[str], labels: list[str]) -> np.ndarray:
+    """For each size of text, the binary logarithm of its distinct n-grams, the lowest lift of a text of a language.
 
-    A text's margin in the model fitted on it says nothing of texts not seen. Short texts are left aside.
+    Sampled texts and their excerpts are scored by a model of the other half of the sample, as a text's lift in the model
+    fitted on it says nothing of texts not seen; those that get their own label count. All but one in STRAYS of a size lie
+    above its floor, and so do all whole texts: a name or a number may be an excerpt, but seldom a text. A size of which there are fewer than FEWEST takes the floor of
+    the next smaller one; sizes below all others have none (-inf).
     """
-    low = np.inf
+    size, margin, whole = [], [], []
     for k in (0, 1):
         model = KernelClassifier.fit(texts[k::2], labels[k::2])
-        for at in range(1 - k, len(texts) if model.languages else 0, 128):
-            some, own_label = texts[at : at + 128 : 2], labels[at : at + 128 : 2]
-            margin, own = model.scored(some)
-            right = np.array([model.languages[b] == l for b, l in zip(margin.argmax(axis=1), own_label, strict=True)])
-            low = min(low, margin.max(axis=1)[right & (own >= JUDGED_GRAMS) & lettered(some)].min(initial=np.inf))
-    return float(low) if np.isfinite(low) else -np.inf
+        if not model.languages:
+            continue
+        some, named = excerpts(texts[1 - k :: 2], labels[1 - k :: 2])
+        for at in range(0, len(some), 256):
+            m, own = model.scored(some[at : at + 256])
+            right = lettered(some[at : at + 256]) & np.array([model.languages[b] == l for b, l in zip(m.argmax(axis=1), named[at : at + 256], strict=True)])
+            size.append(sizes(own[right]))
+            margin.append(model.lifts(m)[right])
+            whole.append((np.arange(at, at + len(m)) < len(texts[1 - k :: 2]))[right])
+    floors, last = np.full(64, -np.inf), -np.inf
+    size, margin, whole = np.concatenate([*size, np.zeros(0, np.int64)]), np.concatenate([*margin, np.zeros(0)]), np.concatenate([*whole, np.zeros(0, bool)])
+    for b in range(64):
+        here, texts_here = margin[size == b], margin[(size == b) & whole]
+        if len(here) >= FEWEST:
+            last = np.sort(here)[len(here) // STRAYS]
+            if len(texts_here):
+                last = min(last, texts_here.min())
+        floors[b] = last
+    return floors
+
+
+def sizes(own: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum(own, 1).astype(np.float64))[1] - 1
 
 
 def identify(docs: DataFrame, model: KernelClassifier) -> DataFrame:
@@ -208,24 +244,24 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose text has a language by the classifier. The columns stay as they are.
 
-    Every text is scored. Those that would get "und" go, and those whose winning margin is below margin_floor,
-    the lowest that a sampled text with the right label gets: no language fits them. Texts of fewer than JUDGED_GRAMS
-    distinct n-grams have low margins for want of evidence, and go only with "und". Null texts go; repeated rows share
-    their fate; without any labelled row nothing has a language and all rows go; an empty table gives an empty result.
+    Every text is scored. Those that would get "und" go, and those whose lift is below the one of
+    lift_floors for their number of distinct n-grams, which texts and excerpts of the languages reach: no language fits
+    them. Null texts go; repeated rows share their fate; without any labelled row nothing has a language and all rows go;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts, labels = sample(docs)
     model = KernelClassifier.fit(texts, labels)
-    shared = spark.sparkContext.broadcast((model, margin_floor(texts, labels)))
+    shared = spark.sparkContext.broadcast((model, lift_floors(texts, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, floor = shared.value
+        fitted, floors = shared.value
         for batch, texts in chunks(batches):
             keep = lettered(texts) & bool(fitted.languages)
             if fitted.languages:
                 margin, own = fitted.scored(texts)
-                keep &= (margin.max(axis=1) >= floor) | (own < JUDGED_GRAMS)
+                keep &= fitted.lifts(margin) >= floors[sizes(own)]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -309,10 +309,9 @@ def test_language_kernel_by_sets():
     ]
     labels = ["en", "de", "fr", "es", "en", "de", "en", "fr", "es"]
     model = KernelClassifier.fit(texts, labels, landmarks=9, ridge=1e-2)
-    known = {int(p): k + 1 for k, p in enumerate(model.alphabet)}
 
     def grams(t):
-        code = tuple(known.get(ord(c), 0) for c in " ".join(t.lower().split()))
+        code = " ".join(t.lower().split())
         return {code[i : i + n] for n in (1, 2, 3) for i in range(len(code) - n + 1)}
 
     kernel = lambda a, b: len(grams(a) & grams(b)) / max(len(grams(a)) * len(grams(b)), 1) ** 0.5
@@ -329,6 +328,37 @@ def test_language_kernel_by_sets():
     assert np.allclose(model.margins(new), want, atol=1e-4)
 
 
+@pytest.mark.parametrize(("languages", "letters", "words"), [(100, 30, 20), (70, 60, 20), (40, 30, 6)])
+def test_many_scripts_are_told_apart(languages, letters, words):
+    draw, texts, labels = random.Random(languages), {0: [], 1: []}, {0: [], 1: []}
+    for n in range(languages):
+        script = [chr(0x3400 + 64 * n + k) for k in range(letters)]
+        for i in range(24):
+            texts[i % 2].append(" ".join("".join(draw.choices(script, k=5)) for _ in range(words)))
+            labels[i % 2].append(f"l{n:03d}")
+    model = KernelClassifier.fit(texts[0], labels[0])
+    got = [model.languages[b] for b in model.margins(texts[1]).argmax(axis=1)]
+    assert np.mean([a == b for a, b in zip(got, labels[1], strict=True)]) >= 0.95
+
+
+def test_keep_identified_drops_texts_of_no_language(spark, data):
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(90_000 + i, t, None) for i, t in enumerate(["привет мир как дела сегодня утром", "xqzj kkwv zzqx wvkq jjxz qqkw zvxj"])]
+    got = {r.doc_id for r in keep_identified(docs.unionByName(spark.createDataFrame(junk, docs.schema))).collect()}
+    assert not [i for i in got if i >= 90_000] and len(got) >= 0.99 * docs.count()
+
+
+def test_keep_identified_judges_short_texts(spark):
+    """Fewer than 32 distinct n-grams are judged by what excerpts of that size reach."""
+    draw, rows = random.Random(6), []
+    for i in range(300):
+        letters = "abcdefghijklm" if i % 2 else "αβγδεζηθικλμν"
+        rows.append((i, " ".join("".join(draw.choices(letters, k=4)) for _ in range(draw.choice((2, 3, 40)))), "ab"[i % 2]))
+    foreign = [(1000, "привет мир", None), (1001, "мир", None), (1002, "opqr stuv", None), (1003, "abcd efgh", None), (1004, "αβγδ", None)]
+    got = {r.doc_id for r in keep_identified(spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string")).collect()}
+    assert not got & {1000, 1001, 1002} and {1003, 1004} <= got and len(got) >= 297
+
+
 def test_keep_identified_on_awkward_rows(spark, edge):
     docs = edge.withColumnRenamed("source", "lang_pred")
     got = sorted((r.doc_id or 0, r.text or "") for r in keep_identified(docs).collect())
