@@ -354,7 +354,7 @@ def test_keep_identified_judges_short_texts(spark):
     for i in range(300):
         letters = "abcdefghijklm" if i % 2 else "αβγδεζηθικλμν"
         rows.append((i, " ".join("".join(draw.choices(letters, k=4)) for _ in range(draw.choice((2, 3, 40)))), "ab"[i % 2]))
-    foreign = [(1000, "привет мир", None), (1001, "мир", None), (1002, "opqr stuv", None), (1003, "abcd efgh", None), (1004, "αβγδ", None)]
+    foreign = [(1000, "привет мир", None), (1001, "приветик", None), (1002, "opqr stuv", None), (1003, "abcd efgh", None), (1004, "αβγδ", None)]
     got = {r.doc_id for r in keep_identified(spark.createDataFrame(rows + foreign, "doc_id long, text string, lang string")).collect()}
     assert not got & {1000, 1001, 1002} and {1003, 1004} <= got and len(got) >= 297
 
