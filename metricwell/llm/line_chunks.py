@@ -7,9 +7,11 @@ for their first occurrence.
 
 A repeated passage rarely begins and ends at boundaries, and a short one may hold no whole chunk. So matches are then
 extended line by line: outside the repeated chunks every pair of neighbouring lines is looked up too, and the lines of a
-pair that has occurred earlier go. A run of two or more lines occurs again exactly if all its pairs do, so what goes is
-the whole repeated run. Chunks come first because they take out most of the volume: a passage that a third of all
-documents share has been reduced to its first occurrence before its pairs are looked at.
+pair that has occurred earlier go. So a line goes exactly if it stands in a pair of neighbouring lines, of a repeated
+chunk or on its own, that occurs earlier; every run of lines that occurs earlier goes whole, and so does one that earlier
+texts hold in overlapping parts (a-b and b-c take out a-b-c). Chunks come first because they take out most of the volume:
+a passage that a third of all documents share has been reduced to its first occurrence before its pairs are looked at.
+Work and memory grow in proportion to the lines of a text.
 
 Codes find what is equal; bytes decide: each code's lines are grouped by their bytes, and a line whose code stands for
 two different lines is never taken for another one. All steps but this one and the last work on codes alone.
@@ -101,12 +103,14 @@ def chunked(codes: DataFrame) -> DataFrame:
 
 def paired(codes: DataFrame) -> DataFrame:
     """row, at and code of every pair of neighbouring lines that are sure, not both blank, and in no chunk of dup."""
-    def pair(c: Column, i: Column) -> Column:
-        inside = F.exists(F.coalesce("dup", F.array().cast("array<struct<at:int,n:int>>")), lambda d: (i >= d["at"]) & (i + 1 < d["at"] + d["n"]))
+    def pair(i: Column) -> Column:
         both = F.get("blank", i) & F.get("blank", i + 1)
-        return F.when(~inside & ~both, F.struct(i.alias("at"), _code(F.concat(c, F.get("codes", i + 1))).alias("code")))
+        return F.when(~both, F.struct(i.alias("at"), _code(F.concat(F.get("codes", i), F.get("codes", i + 1))).alias("code")))
 
-    pairs = F.transform(F.slice("codes", F.lit(1), F.size("codes") - 1), pair)
+    none = F.array().cast("array<int>")
+    inside = F.coalesce(F.flatten(F.transform("dup", lambda d: F.sequence(d["at"], d["at"] + d["n"] - 2))), none)
+    every = F.when(F.size("codes") > 1, F.sequence(F.lit(0), F.size("codes") - 2)).otherwise(none)
+    pairs = F.transform(F.array_except(every, inside), pair)
     return codes.select("row", F.explode(F.filter(pairs, lambda p: p["code"].isNotNull())).alias("p")).select("row", "p.at", "p.code")
 
 
@@ -139,8 +143,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.array_union(F.coalesce(lines, none), F.coalesce(F.array_union("ats", F.transform("ats", lambda i: i + 1)), none)).alias("lines"),
     )
     out = docs.select(F.struct("*").alias("doc"), row).join(gone.hint("merge"), "row", "left")
-    every = _lines(F.col("doc.text"))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "lines"), lambda i: F.get(every, i)), "\n")
+
+    def rest(every: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "lines"), lambda i: F.get(every, i)), "\n")
+
+    # bound to a variable: inside a lambda the text would be split again for every line
+    left = F.transform(F.array(_lines(F.col("doc.text"))), rest)[0]
     return out.select(
         "doc",
         F.when(F.col("lines").isNull(), F.col("doc.text")).otherwise(left).alias("text"),
