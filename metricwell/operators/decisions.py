@@ -75,6 +75,12 @@ def with_impact(actions: DataFrame) -> DataFrame:
     )
 
 
+def with_revenue(actions: DataFrame, order_value: DataFrame) -> DataFrame:
+    """actions with revenue_impact: the effect where its unit is currency, else times the average order value (aov, one row)."""
+    impact = F.when(F.col("unit") == "currency", F.col("estimated_effect")).otherwise(F.col("estimated_effect") * F.col("aov"))
+    return actions.crossJoin(F.broadcast(order_value)).withColumn("revenue_impact", impact).drop("aov")
+
+
 def constraints(actions: DataFrame) -> DataFrame:
     """(action_id, constraint, status): budget_pct, utilization_pct, units, coverage and owner_allowed; unknown is a warning."""
 
@@ -155,10 +161,11 @@ def language_violation(text: Column, claim_type: Column) -> Column:
     return text.rlike(CAUSAL) & ~((claim_type == "ANALYTICAL_FINDING") & hedged)
 
 
-def verify_claims(claims: DataFrame, evidence: DataFrame, matched: DataFrame) -> DataFrame:
-    """status and the first failure of each claim, in order: evidence, strength, language, numbers, decoration.
+def verify_claims(claims: DataFrame, evidence: DataFrame, matched: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """status and the first failure of each claim: evidence, recommendation, strength, language, numbers, decoration.
 
-    claims: claim_id, text, claim_type, cited (ids); evidence: evidence_id, claim_type, value.
+    claims: claim_id, text, claim_type, cited (ids), recommendation (an id or null); evidence: evidence_id, claim_type,
+    value; recommendations: recommendation, those that decisions have made.
     """
     rank = lambda c: F.array_position(F.array(*(F.lit(x) for x in ("UNKNOWN", "HYPOTHESIS", "ASSOCIATION", "FACT", "ANALYTICAL_FINDING"))), c)
     known = evidence.select("evidence_id", rank(F.col("claim_type")).alias("strength"), "value")
@@ -168,9 +175,10 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, matched: DataFrame) ->
         F.count("value").alias("valued"),
     )
     numbers = matched.groupBy("claim_id").agg(F.count("*").alias("numbers"), F.count_if(~F.col("matched")).alias("wrong"))
-    out = claims.join(cited, "claim_id", "left").join(numbers, "claim_id", "left")
+    made = recommendations.select("recommendation").distinct().withColumn("made", F.lit(True))
+    out = claims.join(cited, "claim_id", "left").join(numbers, "claim_id", "left").join(made, "recommendation", "left")
     reason = (
-        F.when(F.col("unknown") > 0, "unknown_evidence").when(rank(F.col("claim_type")) > F.col("strength"), "stronger_than_evidence").when(language_violation(F.col("text"), F.col("claim_type")), "language")
+        F.when(F.col("unknown") > 0, "unknown_evidence").when(F.col("recommendation").isNotNull() & F.col("made").isNull(), "unsupported_recommendation").when(rank(F.col("claim_type")) > F.col("strength"), "stronger_than_evidence").when(language_violation(F.col("text"), F.col("claim_type")), "language")
         .when(F.col("wrong") > 0, "number").when(F.col("claim_type").isin("FACT", "ANALYTICAL_FINDING") & F.col("numbers").isNull() & (F.col("valued") > 0), "decorative_citation")
     )
     return out.withColumn("reason", reason).select(
@@ -180,6 +188,12 @@ def verify_claims(claims: DataFrame, evidence: DataFrame, matched: DataFrame) ->
     )
 
 
+def verify_stories(verified: DataFrame, stories: DataFrame) -> DataFrame:
+    """(story, claims_checked, claims_rejected, status): a story is approved if all of its claims are. stories: claim_id, story."""
+    out = stories.join(verified, "claim_id").groupBy("story").agg(F.count("*").alias("claims_checked"), F.count_if(F.col("status") == "REJECTED").alias("claims_rejected"))
+    return out.withColumn("status", F.when(F.col("claims_rejected") == 0, "APPROVED").otherwise("REJECTED"))
+
+
 def persona_order(evidence: DataFrame, personas: DataFrame, size: int) -> DataFrame:
     """persona x evidence without excluded types, preferred metric first, then type and id; sections of size rows."""
     both = evidence.crossJoin(F.broadcast(personas)).where(~F.array_contains("excluded", F.col("evidence_type")))
@@ -212,7 +226,8 @@ def next_version(versions: DataFrame, column: str) -> DataFrame:
 def evaluate_cases(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     """passed per declared dimension of each case (null if not declared). A case without an output fails.
 
-    cases: case_id, forbidden, expected, driver, low, high; outputs: case_id, claims, driver_out, score.
+    cases: case_id, forbidden, expected, driver, low, high, recommendation (a map, whose entries the output's must have);
+    outputs: case_id, claims, driver_out, score, recommendation_out.
     """
     out = cases.join(outputs, "case_id", "left")
     absent = F.col("claims").isNull()
@@ -220,10 +235,11 @@ def evaluate_cases(cases: DataFrame, outputs: DataFrame) -> DataFrame:
     return out.select(
         "case_id", no(F.size("forbidden") > 0, ~F.arrays_overlap("forbidden", "claims")).alias("forbidden_absent"), no(F.size("expected") > 0, F.size(F.array_except("expected", "claims")) == 0).alias("expected_present"),
         no(F.col("driver").isNotNull(), F.col("driver") == F.col("driver_out")).alias("driver_right"), no(F.col("low").isNotNull(), F.col("score").between(F.col("low"), F.col("high"))).alias("confidence_in_range"),
+        no(F.col("recommendation").isNotNull(), F.forall(F.map_entries("recommendation"), lambda x: F.coalesce(F.try_element_at("recommendation_out", x["key"]) == x["value"], F.lit(False)))).alias("recommendation_right"),
     )
 
 
-DIMENSIONS = ("forbidden_absent", "expected_present", "driver_right", "confidence_in_range")
+DIMENSIONS = ("forbidden_absent", "expected_present", "driver_right", "confidence_in_range", "recommendation_right")
 
 
 def evaluation_metrics(results: DataFrame) -> DataFrame:
@@ -320,3 +336,11 @@ def budget_breaches(spending: DataFrame, limits: dict[str, float]) -> DataFrame:
     over = used.select("investigation", "at", "id", each.alias("x")).select("investigation", "at", "id", "x.*").where("spent > 0 AND used >= budget_limit")
     first = over.groupBy("investigation", "budget", "budget_limit").agg(F.min_by(F.struct("used", "id"), F.struct("at", "id")).alias("f"))
     return first.select("investigation", "budget", "budget_limit", "f.used", "f.id")
+
+
+def audit_log(entries: DataFrame, **equal: str | None) -> DataFrame:
+    """The entries of a log (at, id and others) whose columns have the values asked for, newest first; None asks for nothing."""
+    for name, value in equal.items():
+        if value is not None:
+            entries = entries.where(F.col(name) == value)
+    return entries.orderBy(F.desc("at"), F.desc("id"))

@@ -88,11 +88,17 @@ def dimension_ranking(segments: DataFrame) -> DataFrame:
     )
 
 
-def reconciliation(segments: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Per segment type: the sum of its changes, its distance from the total change, and whether that is within tolerance."""
-    out = segments.groupBy("segment_type").agg(F.sum("absolute_change").cast("decimal(18,4)").alias("sum_change"))
-    total = F.max("sum_change").over(Window.partitionBy(F.lit(1)))
-    return out.withColumn("distance", (total - F.col("sum_change")).cast("decimal(18,4)")).withColumn("reconciled", F.abs("distance") <= tolerance)
+def change(items: DataFrame, current: str, previous: str) -> DataFrame:
+    """(change): the difference of all prices of two months, from the items themselves."""
+    of = lambda month: F.coalesce(F.sum(F.when(F.col("month") == month, F.col("price"))), F.lit(0))
+    return items.agg((of(current) - of(previous)).cast("decimal(18,4)").alias("change"))
+
+
+def reconciliation(segments: DataFrame, total: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Per segment type: the sum of its changes, its distance from the total (change), and whether that is within tolerance."""
+    out = segments.groupBy("segment_type").agg(F.sum("absolute_change").cast("decimal(18,4)").alias("sum_change")).crossJoin(F.broadcast(total))
+    out = out.withColumn("distance", (F.col("change") - F.col("sum_change")).cast("decimal(18,4)")).drop("change")
+    return out.withColumn("reconciled", F.abs("distance") <= tolerance)
 
 
 def monthly_pvm(items: DataFrame, key: str) -> DataFrame:

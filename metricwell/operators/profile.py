@@ -143,3 +143,68 @@ def relationships(pairs: dict) -> DataFrame:
         row = row.select(F.lit(name).alias("relationship"), "*", kind.alias("multiplicity"), (F.col("right_max") > 1).alias("fanout_risk"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def sparse_history(facts: dict[str, tuple[DataFrame, str, DataFrame, str]], limits: tuple[int, ...] = (30, 90, 180)) -> DataFrame:
+    """For each entity (rows and their key, all entities and their key): how many have rows, how many of these fewer than
+    each limit and the share of them, the median number of rows, and how many have none."""
+    out = None
+    for name, (rows, key, entities, own) in facts.items():
+        counted = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+        every = entities.select(F.col(own).alias("k")).where("k IS NOT NULL").distinct()
+        none = every.join(counted, "k", "left_anti").agg(F.count("*").alias("without_rows"))
+        under = [x for v in limits for x in (F.count_if(F.col("n") < v).alias(f"under_{v}"), F.round(F.avg((F.col("n") < v).cast("int")), 6).alias(f"share_under_{v}"))]
+        row = counted.agg(F.count("*").alias("entities"), *under, F.median("n").alias("median")).crossJoin(F.broadcast(none)).select(F.lit(name).alias("entity"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def histogram(rows: DataFrame, key: str, clip: int) -> DataFrame:
+    """(observations, entities): how many keys have so many rows, those beyond clip counted as clip."""
+    each = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return each.groupBy(F.least("n", F.lit(clip)).alias("observations")).agg(F.count("*").alias("entities"))
+
+
+def value_counts(columns: dict[str, tuple[DataFrame, str]], top: int | None = None) -> DataFrame:
+    """(column, value, n, share of all rows) of each column, null values as they are; the top ones by n, ties by value."""
+    out = None
+    for name, (rows, column) in columns.items():
+        counted = rows.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        total = counted.agg(F.sum("n").alias("all"))
+        part = counted.crossJoin(F.broadcast(total)).select(F.lit(name).alias("column"), "value", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
+        if top:
+            part = part.orderBy(F.desc("n"), "value").limit(top)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, count, mean, stddev, min, quartiles and max of number columns, in one pass."""
+    q = lambda c, p: F.round(F.percentile(F.col(c).cast("double"), F.lit(p)), 6)
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(c).alias("count"), F.round(F.avg(F.col(c).cast("double")), 6).alias("mean"), F.round(F.stddev(F.col(c).cast("double")), 6).alias("std"), F.min(c).cast("double").alias("min"),
+            q(c, 0.25).alias("p25"), q(c, 0.5).alias("p50"), q(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"),
+        ) for c in columns
+    ]
+    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def repeats_of(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """(members, groups): how many groups have so many distinct members."""
+    each = rows.groupBy(group).agg(F.count_distinct(member).alias("members"))
+    return each.groupBy("members").agg(F.count("*").alias("groups"))
+
+
+def temporal_coverage(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table_name, grain, period, n): rows of each month and year, and of the whole calendar the days without any (n 0)."""
+    out = None
+    for name, (rows, column) in tables.items():
+        days = rows.where(F.col(column).isNotNull()).groupBy(F.to_date(column).alias("d")).agg(F.count("*").alias("n"))
+        spans = [F.struct(F.lit(g).alias("grain"), F.date_format("d", p).alias("period")) for g, p in (("month", "yyyy-MM"), ("year", "yyyy"))]
+        counted = days.select("n", F.explode(F.array(*spans)).alias("s")).groupBy("s.grain", "s.period").agg(F.sum("n").alias("n"))
+        calendar = days.agg(F.explode(F.sequence(F.min("d"), F.max("d"))).alias("d")).join(days, "d", "left_anti")
+        gaps = calendar.select(F.lit("day").alias("grain"), F.date_format("d", "yyyy-MM-dd").alias("period"), F.lit(0).cast("long").alias("n"))
+        part = counted.unionByName(gaps).select(F.lit(name).alias("table_name"), "grain", "period", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -19,11 +19,6 @@ query("b1_column_profile", " UNION ALL ".join(f"""SELECT '{x}' AS column, '{t}'
     min({x})::VARCHAR AS min, max({x})::VARCHAR AS max, {f'round(avg({x}), 6)' if t == 'bigint' else 'NULL::DOUBLE'} AS mean FROM orders""" for x, t in _COLS.items()))(
     lambda c: P.column_profile(c.raw("orders").select(*(F.col(x).cast(t).alias(x) for x, t in _COLS.items())))
 )
-query(
-    "b1_duplicate_rows",
-    "SELECT sum(n)::BIGINT AS rows, sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT l_orderkey, l_partkey, l_quantity, count(*) AS n "
-    "FROM lineitem GROUP BY 1, 2, 3)",
-)(lambda c: P.duplicate_rows(c.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity")))
 query(
     "b2_null_report",
     "SELECT * "
@@ -72,10 +67,6 @@ query(
     "b8_suspicious_values",
     " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({t}) AS violations FROM fact_order_items" for n, t in _RULES.items()),
 )(lambda c: P.suspicious(c.items, _RULES))
-query(
-    "b9_customer_identity",
-    "SELECT n AS orders, count(*) AS customers FROM (SELECT customer_unique_id, count(*) AS n FROM dim_customer GROUP BY 1) GROUP BY 1",
-)(lambda c: c.dim_customer.groupBy("customer_unique_id").agg(F.count("*").alias("orders")).groupBy("orders").agg(F.count("*").alias("customers")))
 query("b10_days_without_orders", "SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(min(purchase_timestamp)::DATE, max(purchase_timestamp)::DATE, INTERVAL 1 DAY)) AS d FROM order_dates) WHERE d NOT IN (SELECT purchase_timestamp::DATE FROM order_dates)")(
     lambda c: c.order_dates.agg(
         F.explode(F.sequence(F.min("purchase_timestamp").cast("date"), F.max("purchase_timestamp").cast("date"))).alias("d")
@@ -116,25 +107,6 @@ query("b15_status_summary", f"SELECT order_status, count(*) AS orders, count(i)
         F.sum("p").cast("decimal(18,4)").alias("paid"),
     )
 )
-_B16 = "SELECT i.order_id, abs(item_gmv_total - total_payment_value) > 0.01 AS bad, payment_types LIKE '%voucher%' AS voucher, payment_count > 1 AS multi_payment, item_count > 1 AS multi_item FROM agg_order_items i JOIN agg_order_payments p ON i.order_id = p.order_id"
-query("b16_mismatch_rates", f"SELECT voucher, multi_payment, multi_item, count(*) AS orders, round(avg(bad::INTEGER), 6) AS rate FROM ({_B16}) GROUP BY GROUPING SETS ((voucher), (multi_payment), (multi_item))")(
-    lambda c: c.agg_order_items.join(c.agg_order_payments, "order_id").select(
-        F.expr("int(abs(item_gmv_total - total_payment_value) > 0.01)").alias("bad"),
-        F.expr("payment_types LIKE '%voucher%'").alias("voucher"),
-        F.expr("payment_count > 1").alias("multi_payment"),
-        F.expr("item_count > 1").alias("multi_item"),
-    ).groupingSets(
-        [["voucher"], ["multi_payment"], ["multi_item"]], "voucher", "multi_payment", "multi_item"
-    ).agg(F.count("*").alias("orders"), F.round(F.avg("bad"), 6).alias("rate"))
-)
-query("b18_sparse_history", "SELECT count(*) AS products, count(*) FILTER (n < 30) AS under_30, count(*) FILTER (n < 90) AS under_90, median(n) AS median FROM (SELECT product_id, count(*) AS n FROM fact_order_items GROUP BY 1)")(
-    lambda c: c.items.groupBy("product_id").agg(F.count("*").alias("n")).agg(
-        F.count("*").alias("products"),
-        F.count_if(F.col("n") < 30).alias("under_30"),
-        F.count_if(F.col("n") < 90).alias("under_90"),
-        F.median("n").alias("median"),
-    )
-)
 query(
     "b19_revenue_by_seller_state",
     "SELECT seller_state, sum(price)::DECIMAL(18,4) AS revenue, count(DISTINCT seller_id) AS sellers FROM fact_order_items "
@@ -157,19 +129,6 @@ query("b20_date_anomalies", "SELECT count(*) FILTER (shipping_limit_date > (SELE
     ).agg(F.count_if(F.col("shipping_limit_date") > F.col("last")).alias("shipped_late"), F.max("before").alias("delivered_before"))
 )
 query("b22_reliable_window", "SELECT * FROM win")(lambda c: c.window)
-query(
-    "b24_score_distribution",
-    "SELECT review_score, count(*) AS n FROM fact_reviews GROUP BY 1",
-)(lambda c: c.fact_reviews.groupBy("review_score").agg(F.count("*").alias("n")))
-query(
-    "b25_observation_histogram",
-    "SELECT least(n, 50) AS observations, count(*) AS products FROM (SELECT product_id, count(*) AS n FROM fact_order_items GROUP BY 1) GROUP BY 1",
-)(
-    lambda c: c.items.groupBy("product_id").agg(F.count("*").alias("n")).groupBy(
-        F.least("n", F.lit(50)).alias("observations")
-    ).agg(F.count("*").alias("products"))
-)
-
 # F and G: series
 _MONTHLY = "SELECT product_category AS series_id, month AS period, sum(price)::DOUBLE AS value, count(*) AS sample_size FROM kpi_items GROUP BY ALL"
 
@@ -278,10 +237,10 @@ query(
 )(lambda c: D.dimension_ranking(segments(c)).withColumn("total_contribution", F.round(F.col("total_contribution").cast("double"), 4)))
 query(
     "h8_reconciliation",
-    f"WITH {_seg_sql()}, s AS (SELECT segment_type, round(sum(absolute_change), 4) AS sum_change FROM seg GROUP BY 1) "
-    "SELECT *, round(max(sum_change) OVER () - sum_change, 4) AS distance, round(max(sum_change) OVER () - sum_change, 4) <= 0.01 AS reconciled "
-    "FROM s",
-)(lambda c: D.reconciliation(segments(c)).withColumn("sum_change", F.round(F.col("sum_change").cast("double"), 4)))
+    f"WITH {_seg_sql()}, s AS (SELECT segment_type, round(sum(absolute_change), 4) AS sum_change FROM seg GROUP BY 1), "
+    f"t AS (SELECT coalesce(sum(price) FILTER (month = '{_NOW}'), 0) - coalesce(sum(price) FILTER (month = '{_WAS}'), 0) AS change FROM kpi_items) "
+    "SELECT s.*, round(change::DOUBLE - sum_change, 4) AS distance, abs(round(change::DOUBLE - sum_change, 4)) <= 0.01 AS reconciled FROM s, t",
+)(lambda c: D.reconciliation(segments(c), D.change(_items(c), _NOW, _WAS)).withColumn("sum_change", F.round(F.col("sum_change").cast("double"), 4)))
 
 # K: causal estimates
 _K2 = "SELECT customer_state AS segment, month >= '1998-01' AS post, customer_state < 'NATION_2' AS treated, price FROM kpi_items"

@@ -163,6 +163,17 @@ query("j16_policy_violations", f"""SELECT event_id, user_id, c_mktsegment AS rol
     lambda c: E.policy_violations(c.raw("events").select("event_id", "user_id", F.col("event_type").alias("tool")), c.raw("customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS role"), c.spark.createDataFrame(_POLICY, "role string, tool string"))
     .select("event_id", "user_id", "role", "tool", E.clearance_of(F.col("role"), _LEVEL).alias("clearance"))
 )
+query("l26_audit_filtered", f"""SELECT event_id AS id, user_id, role, tool, decision, ts FROM (SELECT event_id, user_id, ts, c_mktsegment AS role, event_type AS tool, CASE WHEN (c_mktsegment, event_type) IN (VALUES {', '.join(map(str, _POLICY))}) THEN 'ALLOWED' ELSE 'DENIED' END AS decision
+    FROM events LEFT JOIN customer ON c_custkey = user_id) WHERE role = 'MACHINERY' AND decision = 'DENIED' AND tool = 'error'""")(lambda c: L.audit_log(audited(c), role="MACHINERY", decision="DENIED", tool="error", user_id=None).withColumnRenamed("at", "ts"))
+
+
+def audited(c):
+    """The log with the role of each caller and whether the policy lets it use the tool."""
+    policy = c.spark.createDataFrame(_POLICY, "role string, tool string").withColumn("decision", F.lit("ALLOWED"))
+    rows = c.raw("events").selectExpr("event_id AS id", "user_id", "ts AS at", "event_type AS tool").join(c.raw("customer").selectExpr("c_custkey AS user_id", "c_mktsegment AS role"), "user_id", "left")
+    return rows.join(F.broadcast(policy), ["role", "tool"], "left").select("id", "user_id", "role", "tool", F.coalesce("decision", F.lit("DENIED")).alias("decision"), "at")
+
+
 query(
     "j18_listing",
     f"WITH {_BUNDLE} SELECT evidence_type, count(*) AS n FROM ev WHERE classification = 'PUBLIC_ANALYTICAL' GROUP BY 1",
@@ -230,10 +241,18 @@ def ranked(c):
 
 
 query("l1_candidates", f"WITH {_ACT} SELECT action_id, action FROM act")(lambda c: actions(c).select("action_id", "action"))
-query(
-    "l2_expected_impact",
-    f"WITH {_ACT} SELECT action_id, round(estimated_effect, 2) AS estimated_effect, missing FROM act",
-)(lambda c: actions(c).select("action_id", F.round("estimated_effect", 2).alias("estimated_effect"), "missing"))
+_UNIT = "CASE WHEN signal_id LIKE 'customer_state:%' THEN 'orders' ELSE 'currency' END"
+query("l2_expected_impact", f"""WITH {_ACT}, aov AS (SELECT (sum(price) / count(DISTINCT order_id))::DOUBLE AS aov FROM kpi_items) SELECT action_id, {_UNIT} AS unit, round(estimated_effect, 2) AS estimated_effect, missing,
+    round(estimated_effect * CASE WHEN {_UNIT} = 'currency' THEN 1 ELSE aov END, 2) AS revenue_impact FROM act, aov""")(lambda c: impact(c))
+
+
+def impact(c):
+    """Expected effects, and what they are in revenue: those counted in orders by the average order value."""
+    value = _items(c).agg((F.sum("price").cast("double") / F.count_distinct("order_id")).alias("aov"))
+    rows = L.with_revenue(actions(c).withColumn("unit", F.expr(_UNIT)), value)
+    return rows.select("action_id", "unit", F.round("estimated_effect", 2).alias("estimated_effect"), "missing", F.round("revenue_impact", 2).alias("revenue_impact"))
+
+
 query("l3_constraints", f"WITH {_ACT} SELECT * FROM cs")(lambda c: L.constraints(actions(c)))
 query(
     "l4_confidence",
@@ -269,13 +288,14 @@ query("l29_narrative", f"WITH {_ACT} SELECT action_id, CASE tier WHEN 'BLOCKED'
 # L: claims about segments; every 7th number is altered, every 11th citation unknown, every 5th wording causal.
 _CLAIM = f"""{_seg_sql()}, nr AS (SELECT segment_type || ':' || segment_value AS claim_id, row_number() OVER (PARTITION BY segment_type ORDER BY abs(absolute_change) DESC, segment_value) AS n, floor(abs(absolute_change))::BIGINT AS v, floor(abs(share_of_total))::BIGINT AS p FROM seg),
     clm AS (SELECT claim_id, ['FACT', 'ASSOCIATION', 'ANALYTICAL_FINDING'][1 + n % 3] AS claim_type, CASE WHEN n % 11 = 0 THEN 'ev_missing' ELSE 'ev_seg_' || substr(sha256('SEGMENT_CONTRIBUTION|' || claim_id), 1, 16) END AS cited,
-      CASE WHEN n % 13 = 0 THEN 'Revenue moved' ELSE 'Revenue moved by R$ ' || format('{{:,}}', (v + CASE WHEN n % 7 = 0 THEN 1000000 ELSE 0 END)::BIGINT) || ', ' || p || '% of the change, in {_NOW}' END || CASE WHEN n % 5 = 0 THEN ', caused by demand' ELSE '' END AS text, v, p FROM nr),
+      CASE WHEN n % 13 = 0 THEN 'Revenue moved' ELSE 'Revenue moved by R$ ' || format('{{:,}}', (v + CASE WHEN n % 7 = 0 THEN 1000000 ELSE 0 END)::BIGINT) || ', ' || p || '% of the change, in {_NOW}' END || CASE WHEN n % 5 = 0 THEN ', caused by demand' ELSE '' END AS text, v, p, CASE WHEN n % 17 = 0 THEN claim_id || ':teleport' WHEN n % 4 = 0 THEN claim_id || ':promote' END AS recommendation FROM nr),
     raw AS (SELECT claim_id, generate_subscripts(r, 1) - 1 AS position, unnest(r) AS raw FROM (SELECT claim_id, regexp_extract_all(text, '[-+]?R?\\$?\\s?[0-9][0-9,]*\\.?[0-9]*[KkMm]?\\s?%?') AS r FROM clm)),
     num AS (SELECT * FROM (SELECT claim_id, position::INTEGER AS position, regexp_replace(raw, '[^0-9.+-]', '', 'g')::DOUBLE AS value, CASE WHEN contains(raw, '%') THEN 'percent' WHEN contains(raw, 'R$') THEN 'BRL' WHEN contains(raw, '$') THEN 'USD' ELSE 'unitless' END AS unit FROM raw) WHERE NOT (unit = 'unitless' AND (value BETWEEN 1900 AND 2100 OR abs(value) < 20))),
     alw AS (SELECT claim_id, 'BRL' AS unit, v::DOUBLE AS known FROM clm UNION ALL SELECT claim_id, 'percent', p FROM clm),
     mat AS (SELECT claim_id, position, value, unit, coalesce(bool_or(abs(value - known) <= greatest(0.0005 * abs(known), 0.01)), false) AS matched, first(known ORDER BY abs(value - known), known) AS nearest FROM num LEFT JOIN alw USING (claim_id, unit) GROUP BY ALL),
-    lng AS (SELECT claim_id, regexp_matches(text, '{E.CAUSAL}') AS violates FROM clm),
-    res AS (SELECT claim_id, CASE WHEN cited = 'ev_missing' THEN 'unknown_evidence' WHEN violates THEN 'language' WHEN wrong > 0 THEN 'number' WHEN numbers IS NULL AND claim_type IN ('FACT', 'ANALYTICAL_FINDING') THEN 'decorative_citation' END AS reason
+    lng AS (SELECT claim_id, regexp_matches(text, '{E.CAUSAL}') AS violates FROM clm)"""
+_VERIFIED = f"""{_ACT}, {_CLAIM.removeprefix(_seg_sql() + ", ")},
+    res AS (SELECT claim_id, CASE WHEN cited = 'ev_missing' THEN 'unknown_evidence' WHEN recommendation NOT IN (SELECT action_id FROM act) THEN 'unsupported_recommendation' WHEN violates THEN 'language' WHEN wrong > 0 THEN 'number' WHEN numbers IS NULL AND claim_type IN ('FACT', 'ANALYTICAL_FINDING') THEN 'decorative_citation' END AS reason
       FROM clm JOIN lng USING (claim_id) LEFT JOIN (SELECT claim_id, count(*) AS numbers, count(*) FILTER (NOT matched) AS wrong FROM mat GROUP BY 1) USING (claim_id))"""
 
 
@@ -302,6 +322,7 @@ def claims(c):
         text.alias("text"),
         "v",
         "p",
+        F.when(F.col("n") % 17 == 0, F.concat("claim_id", F.lit(":teleport"))).when(F.col("n") % 4 == 0, F.concat("claim_id", F.lit(":promote"))).alias("recommendation"),
     )
 
 
@@ -313,7 +334,7 @@ def matched(c):
 
 def verified(c):
     known = segment_rows(c).select("evidence_id", F.lit("ANALYTICAL_FINDING").alias("claim_type"), "value")
-    return L.verify_claims(claims(c), known, matched(c))
+    return L.verify_claims(claims(c), known, matched(c), actions(c).select(F.col("action_id").alias("recommendation")))
 
 
 query("l9_numeric_claims", f"WITH {_CLAIM} SELECT * FROM num")(lambda c: L.numeric_claims(claims(c)))
@@ -331,8 +352,11 @@ query("l12_language_gate", f"WITH {_CLAIM} SELECT * FROM lng")(
 )
 query(
     "l13_verified_claims",
-    f"WITH {_CLAIM} SELECT claim_id, CASE WHEN reason IS NULL THEN 'APPROVED' ELSE 'REJECTED' END AS status, reason FROM res",
+    f"WITH {_VERIFIED} SELECT claim_id, CASE WHEN reason IS NULL THEN 'APPROVED' ELSE 'REJECTED' END AS status, reason FROM res",
 )(verified)
+query("l13_stories", f"WITH {_VERIFIED} SELECT string_split(claim_id, ':')[1] AS story, count(*) AS claims_checked, count(reason) AS claims_rejected, CASE WHEN count(reason) = 0 THEN 'APPROVED' ELSE 'REJECTED' END AS status FROM res GROUP BY 1")(
+    lambda c: L.verify_stories(verified(c), claims(c).select("claim_id", F.split("claim_id", ":")[0].alias("story")))
+)
 _TYPES = {
     "KPI_OBSERVATION": "FACT",
     "KPI_MOVEMENT": "FACT",
@@ -400,7 +424,7 @@ def cases(c):
     """A case for each customer; those that no event names have no output."""
     return c.raw("customer").selectExpr(
         "c_custkey AS case_id", "CASE WHEN c_custkey % 2 = 0 THEN array('error') ELSE CAST(array() AS array<string>) END AS forbidden", "array('purchase') AS expected",
-        "CASE WHEN c_custkey % 3 > 0 THEN 'click' END AS driver", "CASE WHEN c_custkey % 4 > 0 THEN 0.2D END AS low", "CASE WHEN c_custkey % 4 > 0 THEN 0.6D END AS high",
+        "CASE WHEN c_custkey % 10 = 1 THEN map('action', 'promote', 'target', 'click') WHEN c_custkey % 5 > 0 THEN map('action', 'promote') END AS recommendation", "CASE WHEN c_custkey % 3 > 0 THEN 'click' END AS driver", "CASE WHEN c_custkey % 4 > 0 THEN 0.2D END AS low", "CASE WHEN c_custkey % 4 > 0 THEN 0.6D END AS high",
     )
 
 
@@ -414,17 +438,19 @@ def outputs(c, run: int):
     each = c.raw("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
     each = each.withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).withColumn("v", F.round("v", 4))
     claims = F.collect_set(F.when(F.expr(claimed), F.col("event_type"))).alias("claims")
-    return each.groupBy(F.col("user_id").alias("case_id")).agg(
+    out = each.groupBy(F.col("user_id").alias("case_id")).agg(
         claims,
         F.max_by("event_type", F.struct(by, "event_type")).alias("driver_out"),
         (F.sum("v") / F.sum("n") / 200).alias("score"),
     )
+    return out.withColumn("recommendation_out", F.create_map(F.lit("action"), F.when(F.col("driver_out") == "error", "fix").otherwise("promote"), F.lit("target"), F.col("driver_out")))
 
 
 def _res(run: int) -> str:
     claimed, by = _RUNS[run]
     return f"""SELECT case_id, CASE WHEN case_id % 2 = 0 THEN coalesce(NOT list_contains(claims, 'error'), false) END AS forbidden_absent, coalesce(list_contains(claims, 'purchase'), false) AS expected_present,
-      CASE WHEN case_id % 3 > 0 THEN coalesce(driver_out = 'click', false) END AS driver_right, CASE WHEN case_id % 4 > 0 THEN coalesce(score BETWEEN 0.2 AND 0.6, false) END AS confidence_in_range
+      CASE WHEN case_id % 3 > 0 THEN coalesce(driver_out = 'click', false) END AS driver_right, CASE WHEN case_id % 4 > 0 THEN coalesce(score BETWEEN 0.2 AND 0.6, false) END AS confidence_in_range,
+      CASE WHEN case_id % 10 = 1 THEN coalesce(driver_out = 'click', false) WHEN case_id % 5 > 0 THEN coalesce(driver_out <> 'error', false) END AS recommendation_right
       FROM (SELECT c_custkey AS case_id FROM customer) LEFT JOIN (SELECT user_id AS case_id, coalesce(list(event_type) FILTER ({claimed}), []) AS claims, first(event_type ORDER BY {by} DESC, event_type DESC) AS driver_out, sum(v) / sum(n) / 200 AS score
       FROM (SELECT user_id, event_type, n, round(v, 4) AS v, n / sum(n) OVER (PARTITION BY user_id) AS s FROM (SELECT user_id, event_type, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)) GROUP BY 1) USING (case_id)"""
 
@@ -435,7 +461,7 @@ def _met(run: int) -> str:
     ) + f" UNION ALL SELECT 'unsupported_claim_rate', round(1 - avg(forbidden_absent::INTEGER), 6), count(forbidden_absent) FROM ({_res(run)})"
 
 
-_MIN_OF = (("forbidden_absent", 0.5), ("expected_present", 0.9), ("driver_right", 0.2), ("confidence_in_range", 0.8), ("unsupported_claim_rate", 0.4))
+_MIN_OF = (("forbidden_absent", 0.5), ("expected_present", 0.9), ("driver_right", 0.2), ("confidence_in_range", 0.8), ("recommendation_right", 0.5), ("unsupported_claim_rate", 0.4))
 query("l22_case_evaluation", _res(0))(lambda c: L.evaluate_cases(cases(c), outputs(c, 0)))
 query("l23_evaluation_metrics", _met(0))(lambda c: L.evaluation_metrics(L.evaluate_cases(cases(c), outputs(c, 0))))
 query(

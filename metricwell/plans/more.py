@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import kpi as K
 from .analytics import _NOW, _WAS, _items, reconciled
@@ -55,15 +54,6 @@ query("b17_revenue_definitions", "SELECT sum(item_price_total)::DOUBLE AS items_
         F.sum(F.when(F.col("order_status") == "delivered", F.col("item_price_total"))).alias("items_delivered"),
     )
 )
-query("b21_monthly_reliability", "SELECT month, count(*) AS orders, (sum(item_price_total))::DOUBLE AS revenue, count(*) - count(item_price_total) AS without_items, count(*) - count(customer_delivery_timestamp) AS without_delivery, round(100.0 * count(item_price_total) / count(*)::DOUBLE, 4) AS items_coverage FROM order_dates LEFT JOIN agg_order_items USING (order_id) GROUP BY 1")(
-    lambda c: c.order_dates.select("order_id", "month", "customer_delivery_timestamp").join(c.agg_order_items.select("order_id", "item_price_total"), "order_id", "left").groupBy("month").agg(
-        F.count("*").alias("orders"),
-        F.sum("item_price_total").alias("revenue"),
-        (F.count("*") - F.count("item_price_total")).alias("without_items"),
-        (F.count("*") - F.count("customer_delivery_timestamp")).alias("without_delivery"),
-        F.round(100.0 * F.count("item_price_total") / F.count("*"), 4).alias("items_coverage"),
-    )
-)
 query("b23_review_dedup", "SELECT round(avg(latest), 6) AS latest, round(avg(earliest), 6) AS earliest, round(avg(highest), 6) AS highest, round(avg(mean), 6) AS per_order_mean FROM (SELECT order_id, last(review_score ORDER BY review_answer_timestamp, review_row_id) AS latest, first(review_score ORDER BY review_creation_date, review_row_id) AS earliest, max(review_score) AS highest, avg(review_score) AS mean FROM fact_reviews GROUP BY 1)")(
     lambda c: c.fact_reviews.groupBy("order_id").agg(F.max_by("review_score", F.struct("review_answer_timestamp", "review_row_id")).alias("latest"), F.min_by("review_score", F.struct("review_creation_date", "review_row_id")).alias("earliest"), F.max("review_score").alias("highest"), F.avg("review_score").alias("mean")).agg(*(F.round(F.avg(a), 6).alias(b) for a, b in (("latest", "latest"), ("earliest", "earliest"), ("highest", "highest"), ("mean", "per_order_mean"))))
 )
@@ -96,9 +86,8 @@ def gap_filled(c):
         F.count("*").alias("orders"),
         F.sum("item_price_total").alias("revenue"),
     )
-    ends = Window.partitionBy(F.lit(1))
-    first, last = F.min("d").over(ends), F.max("d").over(ends)
-    spans = cells.select("customer_state", first.alias("first"), last.alias("last")).distinct()
+    ends = cells.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    spans = cells.select("customer_state").distinct().crossJoin(F.broadcast(ends))
     calendar = spans.select("customer_state", F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("d"))
     on = calendar["d"].eqNullSafe(cells["d"]) & calendar["customer_state"].eqNullSafe(cells["customer_state"])
     out = calendar.join(cells, on, "left")
@@ -110,25 +99,6 @@ def gap_filled(c):
     )
 
 
-query("f5_spike_by_state", f"SELECT customer_state, was, now, round(100.0 * (now - was) / greatest(was, 1)::DOUBLE, 4) AS growth_pct FROM (SELECT customer_state, count(*) FILTER (month = '{_WAS}') AS was, count(*) FILTER (month = '{_NOW}') AS now FROM fact_orders WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1) ORDER BY growth_pct DESC, 1 LIMIT 10")(
-    lambda c: K.Kpi(c, window=False).orders(["customer_state"]).where(F.col("month").isin(_WAS, _NOW)).groupBy("customer_state").agg(
-        F.count_if(F.col("month") == _WAS).alias("was"),
-        F.count_if(F.col("month") == _NOW).alias("now"),
-    ).withColumn(
-        "growth_pct", F.round(100.0 * (F.col("now") - F.col("was")) / F.greatest("was", F.lit(1)), 4)
-    ).orderBy(F.desc("growth_pct"), "customer_state").limit(10)
-)
-query(
-    "f7_monthly_gmv",
-    "SELECT month, sum(item_gmv_total)::DOUBLE AS gmv, count(*) AS orders, max(item_gmv_total)::DOUBLE AS largest FROM order_dates "
-    "JOIN agg_order_items USING (order_id) WHERE order_status = 'delivered' GROUP BY 1",
-)(
-    lambda c: c.order_dates.where("order_status = 'delivered'").join(c.agg_order_items, "order_id").groupBy("month").agg(
-        F.sum("item_gmv_total").alias("gmv"),
-        F.count("*").alias("orders"),
-        F.max("item_gmv_total").alias("largest"),
-    )
-)
 query("h5_history_periods", f"SELECT coalesce(seller_state, 'unknown_state') AS segment, count(DISTINCT month) AS months FROM kpi_items WHERE month <= '{_WAS}' GROUP BY 1")(
     lambda c: _items(c, "seller_state").where(F.col("month") <= _WAS).groupBy(
         F.coalesce("seller_state", F.lit("unknown_state")).alias("segment")
