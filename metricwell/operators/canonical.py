@@ -240,7 +240,10 @@ class Canonical:
 
     @cached_property
     def window(self) -> DataFrame:
-        """One row: first and last month whose orders are a tenth of the median month's or more."""
+        """One row: first and last month whose orders are a tenth of the median month's or more; counted once, then stored."""
+        return self.stored("window", self._window)
+
+    def _window(self) -> DataFrame:
         months = self.orders.groupBy("month").agg(F.count("*").alias("n"))
         limit = months.agg(F.median("n").alias("m"))
         return months.crossJoin(F.broadcast(limit)).where("n >= 0.1 * m").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))

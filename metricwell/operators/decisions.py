@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources.tables import store
 from .evidence import CAUSAL
-from .ordered import sorted_parts
+from .ordered import numbered, sorted_parts
 
 # Weights of the confidence of an action and scores of its tiers.
 WEIGHTS = {"driver": 0.35, "quality": 0.25, "history": 0.25, "link": 0.15}
@@ -197,8 +197,8 @@ def verify_stories(verified: DataFrame, stories: DataFrame) -> DataFrame:
 def persona_order(evidence: DataFrame, personas: DataFrame, size: int) -> DataFrame:
     """persona x evidence without excluded types, preferred metric first, then type and id; sections of size rows."""
     both = evidence.crossJoin(F.broadcast(personas)).where(~F.array_contains("excluded", F.col("evidence_type")))
-    order = Window.partitionBy("persona").orderBy((F.col("subject") != F.col("preferred")).cast("int"), "evidence_type", "evidence_id")
-    return both.withColumn("position", F.row_number().over(order)).select(
+    both = both.withColumn("_other", (F.col("subject") != F.col("preferred")).cast("int"))
+    return numbered(both, "persona", ["_other", "evidence_type", "evidence_id"], "place").withColumn("position", F.col("place").cast("int")).select(
         "persona",
         "evidence_id",
         "position",

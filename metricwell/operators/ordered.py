@@ -26,6 +26,16 @@ def sorted_parts(rows: DataFrame, columns: list[str | Column]) -> DataFrame:
     return store(_sorted(rows, columns))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str | Column], name: str) -> DataFrame:
+    """rows with name, their place in their group by order, from 1: a part numbers its own rows and adds those before it."""
+    parts = store(_sorted(rows, [group, *order]).withColumn("_at", F.monotonically_increasing_id()))
+    ends = parts.groupBy(group, "part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(group).orderBy("part")) - F.col("_n")  # one row for each part
+    ends = store(ends.select(group, "part", "_first", earlier.alias("_before")))
+    placed = parts.alias("p").join(ends.alias("e"), F.col(f"p.{group}").eqNullSafe(F.col(f"e.{group}")) & (F.col("p.part") == F.col("e.part")))
+    return placed.select(*(F.col(f"p.{c}").alias(c) for c in rows.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+
+
 def nearest_known(points: DataFrame, known: DataFrame, group: str, value: str) -> DataFrame:
     """points with below and above: the largest known value (group, known) up to theirs and the smallest one from theirs on.
 

@@ -117,9 +117,17 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine search; vectors of length zero score 0.
 
     Both sides are packed into matrices, one for each Arrow batch; each pair of a batch of vectors and one of queries is
-    a product of matrices, of which only the k best of every query go on. Vectors of different lengths don't meet.
+    a product of matrices, of which only the k best of every query go on. Batches are dealt to the rows and columns of a
+    grid, whose cells are the keys of the join, about as many as there are shuffle partitions. Vectors of different
+    lengths don't meet.
     """
-    pairs = _packed(vectors, "vec_id", "v").join(_packed(queries, "query_id", "q"), "dims")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    high, wide = max(1, round(2 * parts**0.5)), max(1, round(0.5 * parts**0.5))  # more rows, as there are more vectors
+    dealt = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(vectors, "vec_id", "v").select("dims", "v", dealt("v.ids", high).alias("i"), each(wide).alias("j"))
+    right = _packed(queries, "query_id", "q").select("dims", "q", dealt("q.ids", wide).alias("j"), each(high).alias("i"))
+    pairs = left.join(right, ["dims", "i", "j"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

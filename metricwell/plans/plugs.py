@@ -25,7 +25,7 @@ _CSV = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 def _csv(c):
     rows, path = c.raw("orders").select(*_CSV), T.scratch(c.spark)
     rows.write.option("header", True).option("escape", '"').csv(path)
-    return T.read_csv(c.spark, path, rows.schema)
+    return T.read_csv(c.spark, path, rows.schema, multiline=False)
 
 
 @query("a3_parquet_sink", "SELECT event_id, user_id, strftime(ts, '%Y-%m') AS month FROM events")

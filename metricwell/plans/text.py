@@ -145,30 +145,42 @@ query("i19_repeated_texts", f"WITH {_REPORT} SELECT md5(text) AS digest, n FROM
 _REL = "rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-#: Words of an item's inner text by which documents are looked up before its whole text is compared.
+#: Inner words of an item, at most, by which documents are looked up before its whole text is compared.
 ANCHOR = 5
+#: Bitmaps of 32,768 bits that tell which hashes of anchors there are: 256 KB in all, whatever the number of items.
+MARKS = 64
 
 
 def relevant(c):
-    """Documents that contain a benchmark text, found by a run of its inner words; items too short for that are compared with all."""
+    """Documents that contain a benchmark text.
+
+    An item is looked up by the hash of a run of its inner words, which stand in a document as whole words too. Windows of
+    documents are held against bitmaps of these hashes before they leave their row, so that few are exploded and joined.
+    Items of one or two words have no inner word and are compared with all documents.
+    """
     split = lambda t: F.split(F.trim(t, F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0b\f\r]+")
-    key = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, ANCHOR), " "))
-    items = c.raw("benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.col("text").alias("q"),
-        split(F.col("text")).alias("w"),
-    ).where("q IS NOT NULL")
-    long = items.where(F.size("w") >= ANCHOR + 2).select("query_id", "q", key(F.col("w"), 2).alias("anchor"))
-    docs = c.raw("documents").select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= ANCHOR + 1)
-    at = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: key(F.col("w"), i))).alias("anchor"))
-    found = at.join(long.select("query_id", "anchor"), "anchor").select("query_id", "doc_id").distinct()
-    sure = found.join(
-        c.raw("documents").select("doc_id", "text"),
-        "doc_id",
-    ).join(long.select("query_id", "q"), "query_id").where(F.contains("text", "q"))
-    short = items.where(F.size("w") < ANCHOR + 2).select("query_id", "q")
-    rest = c.raw("documents").join(short, F.contains("text", "q"))
-    return sure.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+    key = lambda w, at, n: F.xxhash64(F.lit(n) if isinstance(n, int) else n, F.array_join(F.slice(w, at, n), " "))
+    items = c.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), split(F.col("text")).alias("w")).where("q IS NOT NULL")
+    n = F.least(F.lit(ANCHOR), F.size("w") - 2)
+    long = items.where(F.size("w") >= 3).select("query_id", "q", n.alias("n"), key(F.col("w"), F.lit(2), n).alias("anchor"))
+    place, bit = lambda h: F.shiftright(h, 15).bitwiseAND(F.lit(MARKS - 1)).cast("int"), lambda h: h.bitwiseAND(F.lit(32767))
+    maps = long.groupBy(place(F.col("anchor")).alias("at")).agg(F.bitmap_construct_agg(bit(F.col("anchor"))).alias("bits"))
+    marks = maps.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m")).select(F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), lambda i: F.try_element_at("m", i)).alias("marks"))
+
+    def marked(h):
+        byte = F.conv(F.hex(F.substring(F.get("marks", place(h)), F.floor(bit(h) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, (bit(h) % 8).cast("int")) == 1, F.lit(False))
+
+    sizes = [r["n"] for r in long.select("n").distinct().collect()]  # 1 to ANCHOR
+    docs = c.raw("documents").select("doc_id", split(F.col("text")).alias("w")).crossJoin(F.broadcast(marks))
+    windows = lambda k: F.when(F.size("w") >= k, F.filter(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: key(F.col("w"), i, k)), marked))
+    at = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*map(windows, sizes)))))).alias("anchor")) if sizes else None
+    rest = c.raw("documents").join(items.where(F.size("w") < 3), F.contains("text", "q")).select("query_id", "doc_id")
+    if at is None:
+        return rest
+    found = at.join(long.select("query_id", "q", "anchor"), "anchor").select("query_id", "doc_id", "q").distinct()
+    sure = found.join(c.raw("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "q"))
+    return sure.select("query_id", "doc_id").unionByName(rest)
 
 
 #: Queries by the length of their text, as a category.

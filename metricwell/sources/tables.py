@@ -19,9 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with a header, an explicit schema and quoted line breaks; a byte-order mark is dropped."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').option("enforceSchema", True).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """A CSV file with a header, an explicit schema and quoted line breaks; a byte-order mark is dropped.
+
+    Spark can only split files without quoted line breaks: say multiline=False for those.
+    """
+    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multiline).option("escape", '"').option("enforceSchema", True).schema(schema).csv(path)
     first = schema.fields[0].name
     return raw.withColumnRenamed("﻿" + first, first)
 
