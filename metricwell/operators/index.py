@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import scratch
+from ..sources.tables import scratch, shared_folder, state_of
 from .text import DELTA, K1, B, nfkc, tokens
 
 #: Parts of a term's postings, by a hash of the document; a term of every document is that many keys and not one.
 SHARDS = 16
+_COMMITS = "name string, segment string, buckets int, n long, words long"
 
 
 def bitmaps(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -33,50 +35,89 @@ def among(rows: DataFrame, bits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 class TermIndex:
-    """An index in a folder of its own.
+    """An index in a folder of its own, which a later session may open again by its path.
 
     Tables: postings (term, shard, doc_id, tf, dl, segment), bucketed by term and shard, so that queries meet them
-    without shuffling them; terms (term, df, max_tf, min_dl) of each segment, from which a bound on any score follows;
-    sizes (n, words). add() reads and writes its own segment only; df, n and the mean length are sums over the segments,
-    so that an index of several segments scores like one built at once.
+    without shuffling them; terms (term, df, max_tf, min_dl, segment), from which a bound on any score follows; commits
+    (name, segment, buckets, n, words), one row for each segment, written last. add() reads and writes its own segment
+    only; df, n and the mean length are sums over the segments, so that an index of several segments scores like one
+    built at once. Only committed segments are read: what an add that was cut short has left is never seen, and of two
+    that added the same name at once one counts.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.path = spark, scratch(spark)
-        self.table = f"postings_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.segments = 0
-
-    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> TermIndex:
-        """Adds the documents (key, text), none of which is there already. A null text has no words, but counts."""
-        words = docs.select(F.col(key).alias("doc_id"), tokens(nfkc(F.col(text))).alias("w")).withColumn("dl", F.size("w"))
-        each = words.select("doc_id", "dl", F.explode("w").alias("term")).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
+    def __init__(self, spark: SparkSession, buckets: int | None = None, path: str | None = None):
+        self.spark, self.path = spark, path or scratch(spark)
+        self.table = f"postings_{hashlib.md5(self.path.encode()).hexdigest()}"
+        spark.createDataFrame([], _COMMITS).write.mode("ignore").parquet(f"{self.path}/commits")
+        self.segments = self._committed()
+        kept = {r["buckets"] for r in self.segments.values()}
+        self.buckets = min(kept) if kept else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if kept and not spark.catalog.tableExists(self.table):
+            self._register()
+
+    @classmethod
+    def of_table(cls, docs: DataFrame, buckets: int | None = None) -> TermIndex:
+        """The index kept for what the table docs holds now; one of its earlier files is never taken for it."""
+        return cls(docs.sparkSession, buckets, f"{shared_folder(docs.sparkSession)}/index-{state_of(docs)}")
+
+    def _committed(self) -> dict[str, Row]:
+        rows = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits").collect()  # a row for each segment
+        return {r["name"]: r for r in sorted(rows, key=lambda r: r["segment"], reverse=True)}
+
+    def _register(self) -> None:
+        """Makes the stored postings known to the catalog of a session that has not written them."""
+        types = {f.name: f.dataType.simpleString() for f in self.spark.read.parquet(f"{self.path}/postings").schema} | {"segment": "string"}
+        columns = ", ".join(f"`{n}` {t}" for n, t in types.items())
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({columns}) USING parquet PARTITIONED BY (segment) "
+            f"CLUSTERED BY (term, shard) SORTED BY (term, shard) INTO {self.buckets} BUCKETS LOCATION '{self.path}/postings'"
+        )
+        self.spark.catalog.recoverPartitions(self.table)
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str | None = None) -> TermIndex:
+        """Adds the documents (key, text), none of which is there already. A null text has no words, but counts.
+
+        name: of the segment; one that is there already is left as it is, and nothing is read.
+        """
+        if name in self.segments:
+            return self
+        segment = uuid.uuid4().hex
+        words = docs.select(F.col(key).alias("doc_id"), tokens(nfkc(F.col(text))).alias("w"))
+        each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"))
         # dealt by the bucket's columns, which the grouping takes as they lie: one shuffle, one file for a bucket
         found = each.repartition(self.buckets, "term", "shard").groupBy("term", "shard", "doc_id", "dl").agg(F.count("*").alias("tf"))
-        writer = found.withColumn("segment", F.lit(self.segments)).write.mode("append").partitionBy("segment")
+        writer = found.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment")
         writer.bucketBy(self.buckets, "term", "shard").sortBy("term", "shard").option("path", f"{self.path}/postings").saveAsTable(self.table)
-        seen = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("words"))
-        seen.write.mode("append").parquet(f"{self.path}/sizes")
-        own = self.postings().where(F.col("segment") == self.segments)
-        of_shard = own.groupBy("term", "shard").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        self._merged(of_shard).write.mode("append").parquet(f"{self.path}/terms")
-        self.segments += 1
+        own = self.spark.table(self.table).where(F.col("segment") == segment)
+        of_shard = own.groupBy("term", "shard").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("tf").alias("words"))
+        self._merged(of_shard, F.sum("words").alias("words")).withColumn("segment", F.lit(segment)).write.mode("append").parquet(f"{self.path}/terms")
+        count = self._all_terms().where(F.col("segment") == segment).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+        row = docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(count))
+        row = row.select(F.lit(name or segment).alias("name"), F.lit(segment).alias("segment"), F.lit(self.buckets).alias("buckets"), "n", "words")
+        row.write.mode("append").parquet(f"{self.path}/commits")
+        self.segments = self._committed()
         return self
 
     @staticmethod
-    def _merged(terms: DataFrame) -> DataFrame:
-        return terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    def _merged(terms: DataFrame, *more: Column) -> DataFrame:
+        return terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"), *more)
+
+    def _all_terms(self) -> DataFrame:
+        return self.spark.read.schema("term string, df long, max_tf long, min_dl int, words long, segment string").parquet(f"{self.path}/terms")
+
+    def _known(self) -> Column:
+        return F.col("segment").isin([r["segment"] for r in self.segments.values()])
 
     def postings(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.spark.table(self.table).where(self._known())
 
     def terms(self) -> DataFrame:
-        return self._merged(self.spark.read.schema("term string, df long, max_tf long, min_dl int").parquet(f"{self.path}/terms"))
+        return self._merged(self._all_terms().where(self._known()))
 
     def size(self) -> DataFrame:
         """(n, avgdl), one row."""
-        rows = self.spark.read.schema("n long, words long").parquet(f"{self.path}/sizes")
-        return rows.agg(F.sum("n").alias("n"), F.try_divide(F.sum("words"), F.sum("n")).alias("avgdl"))
+        rows = self.spark.read.schema(_COMMITS).parquet(f"{self.path}/commits").where(self._known())
+        return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("words"), F.sum("n")).alias("avgdl"))
 
     def stats(self) -> DataFrame:
         """(documents, avg_length, vocabulary), one row."""

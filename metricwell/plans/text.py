@@ -22,11 +22,11 @@ def words(c):
 
 
 def index(c):
-    """The index of all documents, built once for a query in two segments: the documents of one language come later."""
+    """The kept index of all documents: its two segments (the documents of one language come later) are built by the first query that asks."""
 
     def build():
-        late = F.coalesce(F.col("lang") == "fr", F.lit(False))
-        return TermIndex(c.spark).add(c.raw("documents").where(~late)).add(c.raw("documents").where(late))
+        docs, late = c.raw("documents"), F.coalesce(F.col("lang") == "fr", F.lit(False))
+        return TermIndex.of_table(docs).add(docs.where(~late), name="first").add(docs.where(late), name="late")
 
     return c.kept("index", build)
 

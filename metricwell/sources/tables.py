@@ -45,8 +45,8 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, which driver and executors must share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors must share.
 
     Where none is set and Spark runs in one process, a temporary folder serves.
     """
@@ -56,7 +56,19 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='metricwell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/stored-{uuid.uuid4().hex}"
+    return folder
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def state_of(table: DataFrame) -> str:
+    """A name for what a table read from files holds now: of all its files' paths, sizes and times, in any order."""
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    row = table.select(file.alias("file")).distinct().agg(F.count("*").alias("n"), F.bit_xor("file").alias("files")).first()
+    return f"{row['n']}-{(row['files'] or 0) & (1 << 64) - 1:016x}"
 
 
 def store(df: DataFrame) -> DataFrame:

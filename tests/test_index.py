@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricwell.operators import text as X
 from metricwell.operators.index import TermIndex, among, bitmaps, terms_of
@@ -56,6 +57,46 @@ def test_segments_score_like_one_index(spark, given):
     assert ranked == sorted(ranked, key=lambda r: (-r[1], r[2])) and len(ranked) == 5
 
 
+def test_an_index_is_opened_again_and_skips_what_is_not_committed(spark, given):
+    docs, queries, d, q = given
+    index = TermIndex(spark, 3).add(d.where("doc_id < 20"), name="first").add(d.where("doc_id >= 20"), name="second")
+    left = spark.table(index.table).limit(5).withColumn("segment", F.lit("cut_short"))  # postings without a commit
+    left.write.mode("append").partitionBy("segment").bucketBy(3, "term", "shard").sortBy("term", "shard").option("path", f"{index.path}/postings").saveAsTable(index.table)
+    spark.sql(f"DROP TABLE {index.table}")  # a session that has not written it
+    again = TermIndex(spark, 7, index.path)
+    assert again.buckets == 3 and set(again.segments) == {"first", "second"}
+    before = again.segments
+    assert again.add(d, name="second").segments == before  # there already: nothing is added
+    assert scored(again.scores(terms_of(q))) == pytest.approx(plain(docs, queries), abs=2e-5)
+    more = [(1000, "w1 w2 w3"), (1001, "Ünder w5")]
+    again.add(spark.createDataFrame(more, "doc_id long, text string"), name="third")
+    assert scored(again.scores(terms_of(q))) == pytest.approx(plain(docs + more, queries), abs=2e-5)
+
+
+def test_two_writers_of_one_segment_count_once(spark, given):
+    docs, queries, d, q = given
+    one = TermIndex(spark, 2)
+    other = TermIndex(spark, 2, one.path)  # opened before the first has committed
+    one.add(d, name="all")
+    other.add(d, name="all")
+    for index in (other, TermIndex(spark, path=one.path)):
+        assert scored(index.scores(terms_of(q))) == pytest.approx(plain(docs, queries), abs=2e-5)
+        assert index.stats().first()["documents"] == len(docs)
+
+
+def test_an_index_of_a_table_follows_its_files(spark, given, tmp_path):
+    docs, queries, d, q = given
+    path = f"file://{tmp_path}/docs"
+    d.where("doc_id < 50").write.parquet(path)
+    table = spark.read.parquet(path)
+    first = TermIndex.of_table(table).add(table, name="all")
+    assert TermIndex.of_table(spark.read.parquet(path)).segments == first.segments
+    d.where("doc_id >= 50").write.mode("append").parquet(path)
+    table = spark.read.parquet(path)
+    assert TermIndex.of_table(table).segments == {}
+    assert scored(TermIndex.of_table(table).add(table, name="all").scores(terms_of(q))) == pytest.approx(plain(docs, queries), abs=2e-5)
+
+
 def test_candidates_are_kept_apart_by_query(spark, given):
     docs, queries, d, q = given
     draw = random.Random(2)
