@@ -9,15 +9,15 @@ change of the result.
 
 The field is trained on the driver, on windows of tokens from a bounded sample of texts outside the evaluation fold.
 Its labels are the values that the base patterns find. Every such window is shown as it is, without the word that
-gave the secret away, and then with the value spelled in other ways too (a case, an alphabet, a grouping that the
-patterns don't know), so that the field learns what secrets look like elsewhere. Base matches always stay; the field
-adds spans of kind "crf" that overlap none of them.
+gave the secret away, and then with the value spelled in other ways too (an alphabet, a length, a grouping drawn at
+random), as an assignment and as in a sentence, so that the field learns what secrets look like elsewhere. What it tags
+is made whole (complete). Base matches always stay; the field adds spans of kind "crf" that overlap none of them.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Texts to train on: with a base match, without one (about; a hash chooses them); windows of a text; tokens of one.
 SAMPLE, WINDOWS, WINDOW = 400, 3, 32
 #: Other spellings in which a sampled value is shown.
-SPELLINGS = 3
+SPELLINGS = 4
 #: Kinds in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "crf")
 _B, _I, _O = 0, 1, 2
@@ -275,19 +275,61 @@ class Field:
         return tags
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
-        """(start, end) of each secret of each text."""
+        """(start, end) of each secret of each text, made whole by complete()."""
         t = Tokens(texts)
         tags = self.tags(t, features(t))
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         last = -2
         for i in np.flatnonzero(tags != _O).tolist():
-            home, a, b = out[t.text[i]], int(t.begin[i]), int(t.end[i])
+            home = out[t.text[i]]
             if tags[i] == _I and last == i - 1 and home:
-                home[-1] = (home[-1][0], b)
+                home[-1] = (home[-1][0], i + 1)
             else:
-                home.append((a, b))
+                home.append((i, i + 1))
             last = i
-        return out
+        return [complete(t, text, at) if at else [] for text, at in zip(texts, out, strict=True)]
+
+
+def complete(t: Tokens, text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tagged stretches of tokens of one text as (start, end) in it.
+
+    Each grows over the tokens on both sides that no space parts from it, up to an @ or a word (three letters or more, large
+    only the first or all). At its edges signs are cut, and words that such signs as in addresses and assignments part
+    from the rest; what is nothing but words goes, and so do the name and the host of a mail address, but not a
+    password before its host. Stretches that meet are one.
+    """
+    home = int(t.text[found[0][0]])
+    low, high = int(t.first[home]), int(t.first[home + 1])
+    own = lambda i: text[t.begin[i] : t.end[i]]
+    sign = lambda i: t.kind[t.left[i]] == 4
+    glued = lambda i: t.begin[i] == t.end[i - 1]  # noqa: E731  to the token before
+    stops = lambda i: own(i) == "@" or _WORD.fullmatch(own(i))
+    out: list[tuple[int, int]] = []
+    reach = low  # the end of what the stretches before have grown over: no token is gone over for each stretch in it
+    for i, j in found:
+        if j <= reach:
+            continue
+        while i > low and glued(i) and not stops(i - 1):
+            i -= 1
+        while j < high and glued(j) and not stops(j):
+            j += 1
+        reach = j
+        while i < j and (sign(i) or i + 1 < j and _WORD.fullmatch(own(i)) and (own(i + 1) in _PARTS or sign(i + 1) and i + 2 < j and sign(i + 2))):
+            i += 1
+        while i < j and (sign(j - 1) or j - i > 1 and _WORD.fullmatch(own(j - 1)) and own(j - 2) in (*_PARTS, ".")):
+            j -= 1
+        before, after = own(i - 1) if i > low and i < high and glued(i) else "", own(j) if j < high and glued(j) else ""
+        if all(sign(k) or _WORD.fullmatch(own(k)) for k in range(i, j)) or before == "@" or after == "@" and before != ":":
+            continue
+        if out and i < out[-1][1]:
+            out[-1] = (out[-1][0], max(j, out[-1][1]))
+        else:
+            out.append((i, j))
+    return [(int(t.begin[i]), int(t.end[j - 1])) for i, j in out]
+
+
+_WORD = re.compile(r"[^\W\d_][^\W\d_A-Z]{2,}|[A-Z]{3,}")
+_PARTS = frozenset(":/=@")
 
 
 def scan(texts: list[str], field: Field) -> list[list[tuple[int, int, str]]]:
@@ -328,28 +370,49 @@ def values(text: str) -> list[tuple[int, int]]:
 
 
 def respelled(value: str, nth: int = 1) -> str:
-    """Another secret in a spelling that no base pattern finds, the nth drawn by a hash of value."""
-    raw = hashlib.sha512(f"{nth} {value}".encode("utf-8", "surrogatepass")).digest()
-    kind, size = raw[63] % 5, 16 + raw[62] % 24
-    big, mixed = raw.hex().upper(), base64.b64encode(raw).decode()
-    if kind == 0:
-        return big[:size]
-    if kind == 1:
-        return "-".join(raw.hex()[i : i + n] for i, n in ((0, 8), (8, 4), (12, 4), (16, 4), (20, 12)))
-    if kind == 2:
-        return mixed[:size]
-    if kind == 3:
-        return f"{('sk', 'pk', 'ghp', 'xoxb')[raw[61] % 4]}_{base64.urlsafe_b64encode(raw).decode().replace('=', '')[:size]}"
-    return ".".join(mixed.replace("+", "a").replace("/", "b")[i : i + n] for i, n in ((0, 10), (10, 18), (28, 12)))
-
-
-def shown(text: str, found: list[tuple[int, int]], masked: bool, nth: int) -> tuple[str, list[tuple[int, int]]]:
-    """The text with its cue words masked and its values in the nth other spelling (0: their own), and where they stand."""
+    """Another secret in a spelling that no base pattern finds, the nth drawn by value.
+
+    No list of known kinds: alphabet, length and build (one run, groups, a prefix, lines, signs in between) are drawn.
+    """
+    draw = random.Random(f"{nth} {value}".encode("utf-8", "surrogatepass"))
+    while True:
+        letters = draw.choice(("abcdef", "ABCDEF", _LETTERS, _LETTERS.upper(), _LETTERS + _LETTERS.upper(), _LETTERS + _LETTERS.upper()))
+        known = letters + "0123456789" * (len(letters) <= 26 or draw.random() < 0.75)  # letters of one case alone are words
+        runs = lambda *sizes: ["".join(draw.choices(known, k=n)) for n in sizes]  # noqa: B023, E731
+        build = draw.randrange(8)
+        if build < 2:
+            out = runs(draw.randint(16, 44))[0]
+        elif build < 4:
+            size = draw.randint(2, 24)
+            out = draw.choice("-._:/+").join(runs(*[size if draw.random() < 0.6 else draw.randint(2, 30) for _ in range(draw.randint(3, max(3, 30 // size)))]))
+        elif build == 4:
+            out = "".join(draw.choices(_LETTERS, k=draw.randint(2, 5))) + draw.choice("_-.") + runs(draw.randint(14, 40))[0]
+        elif build == 5:
+            width = draw.randint(40, 76)
+            out = "\n".join(runs(*[width] * draw.randint(1, 4), draw.randint(4, width)))
+        else:  # few signs between long runs, or many between short ones
+            size = draw.choice((2, 2, 3, 12))
+            parts = runs(*[draw.randint(1, 2 * size - 1) for _ in range(draw.randint(3, 5))])
+            out = "".join(x + draw.choice("!#$%&*+/=?^~") for x in parts[:-1]) + parts[-1]
+        if len(out) >= 10 and not base_spans(out):
+            return out
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def shown(text: str, found: list[tuple[int, int]], masked: bool, nth: int, bare: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its cue words masked and its values in the nth other spelling (0: their own), and where they stand.
+
+    bare: without the signs before a value, as in a sentence.
+    """
     parts, out, at, size = [], [], 0, 0
     for a, b in [*found, (len(text), len(text))]:
         gap = text[at:a]
         if masked:
             gap = _CUE.sub(lambda m: "x" * len(m[0]), gap)
+        if bare and a < b:
+            gap = gap.rstrip(" :='\"") + " "
         value = respelled(text[a:b], nth) if nth and a < b else text[a:b]
         parts += [gap, value]
         if a < b:
@@ -361,13 +424,14 @@ def shown(text: str, found: list[tuple[int, int]], masked: bool, nth: int) -> tu
 def windows(text: str, width: int = WINDOW, most: int = WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training chains of a text: (places of features, tags) of up to width tokens, up to most for each way to show it.
 
-    They lie around the first values or, in a text without any, around tokens with digits and one other token; a hash
-    of the text shifts them.
+    They lie around the first values or, in a text without any, around tokens with digits, its two longest tokens and
+    one other; a hash of the text shifts them.
     """
     found, out = values(text), []
     shift = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
-    for masked, nth in ((False, 0), (True, 0), *((True, k + 1) for k in range(SPELLINGS))) if found else ((False, 0),):
-        new, spans = shown(text, found, masked, nth)
+    ways = ((False, 0, False), (True, 0, False), *((True, k + 1, k % 2 > 0) for k in range(SPELLINGS)), (False, SPELLINGS + 1, True))
+    for masked, nth, bare in ways if found else ways[:1]:
+        new, spans = shown(text, found, masked, nth, bare)
         t = Tokens([new])
         if not len(t.left):
             continue
@@ -379,7 +443,8 @@ def windows(text: str, width: int = WINDOW, most: int = WINDOWS) -> list[tuple[n
         if found:
             centres = np.flatnonzero(tags == _B)[:most].tolist()
         else:
-            centres = [int.from_bytes(shift[:4], "little") % len(tags), *[i for i in range(len(tags)) if new[t.begin[i]].isdigit()][: most - 1]]
+            centres = [int.from_bytes(shift[:4], "little") % len(tags), *np.argsort(t.begin - t.end, kind="stable")[:2].tolist()]
+            centres += [i for i in range(len(tags)) if new[t.begin[i]].isdigit()][: most - 1]
         where = features(t)
         for k, c in enumerate(centres):
             a = max(0, c - shift[4 + k] % width)
