@@ -141,6 +141,20 @@ def test_mmr_against_a_plain_loop(spark):
     assert got == taken
 
 
+def test_every_rung_of_the_ladder_may_decide(spark):
+    names = ["bm25", "expansion", "dropped_category", "dropped_customer_state", "dropped_score_min", "dense"]
+    asked, meta = spark.range(7).withColumnRenamed("id", "query_id"), spark.range(10)
+    rungs = []
+    for i, n in enumerate(names):  # query i reaches the floor at rung i, with a worse and a better document, and query 6 never does
+        floor = 0.82 if n == "dense" else 0.5
+        rows = [(i, floor), (i, floor - 0.1)] + [(q, floor - 0.01 * (q + 1)) for q in range(i + 1, 7)] + [(q, 9.0) for q in range(i)]
+        rungs.append((n, spark.createDataFrame(rows, "query_id long, score double"), floor))
+    got = {r.query_id: r for r in X.ladder(asked, rungs, meta.limit(4), meta).collect()}
+    assert [got[q].rung for q in range(7)] == [*names, "insufficient"]
+    assert [got[q].best for q in range(6)] == [0.5] * 5 + [0.82] and all(got[q].candidates is None for q in range(6))
+    assert got[6].best == 0.43 and got[6].candidates == 4 and got[6].coverage == 0.4
+
+
 def test_normalise(spark):
     rows = spark.createDataFrame([("ﬁne \n  text ",), (None,)], "t string")
     assert [r[0] for r in rows.select(X.normalise(F.col("t"))).collect()] == ["fine text", None]
