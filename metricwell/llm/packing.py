@@ -22,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,7 +68,7 @@ class WordTokenizer:
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids without the offsets that nobody asks for."""
@@ -76,7 +77,7 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return self._ids([text])[0].tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         known, split, simple, other = self.known, [], set(), []
         for w in words:
             stem = w.rstrip(_TAIL)
@@ -104,19 +105,24 @@ class WordTokenizer:
             known[w] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if "<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else _lower(x).split() for x in texts]
+        """Words are split and numbered by Arrow, so that Python looks each of them up once for all texts given."""
+        plain = [not ("<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f")) for x in texts]
+        split = pc.utf8_split_whitespace(pa.array([_lower(x) if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()))
+        numbered = split.values.dictionary_encode()
+        words, which = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:  # the words met first are the most frequent ones
             self.known = dict(islice(self.known.items(), REMEMBERED // 2))
-        get, new = self.known.get, set()
-        found = [[] if p is None else list(map(get, p)) for p in parts]
-        lacking = [i for i, f in enumerate(found) if None in f]
-        for i in lacking:
-            new.update(w for w, f in zip(parts[i], found[i], strict=True) if f is None)
-        if new:
-            self._learn(new)
-        for i in lacking:
-            found[i] = map(get, parts[i])
-        return [self._whole(x) if p is None else b"".join(f) for x, p, f in zip(texts, parts, found, strict=True)]
+        found = list(map(self.known.get, words))
+        if lacking := [i for i, f in enumerate(found) if f is None]:
+            self._learn([words[i] for i in lacking])
+            for i in lacking:
+                found[i] = self.known[words[i]]
+        ids, size = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own, first = size[which], (size.cumsum() - size)[which]
+        end = np.concatenate(([0], own.cumsum()))
+        data = ids[np.arange(end[-1]) + np.repeat(first - end[:-1], own)].tobytes()
+        bounds = (4 * end[split.offsets.to_numpy()]).tolist()
+        return [data[a:b] if p else self._whole(x) for x, p, a, b in zip(texts, plain, bounds, bounds[1:], strict=False)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

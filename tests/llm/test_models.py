@@ -223,6 +223,22 @@ def test_genetic_steps_better_greedy_filling():
     lengths = hard_lengths(10)
     assert len(best_fit(Counter(lengths))) == 110 and len(evolve(lengths, 1)) == 90 == sum(lengths) // SEQUENCE
     draw = random.Random(4)
+def test_a_word_is_looked_up_once_for_all_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return dict.get(self, *key)
+
+    tokenizer = WordTokenizer(default_tokenizer())
+    tokenizer.known = Counted(tokenizer.known)
+    texts = ["the cat sat on the mat, " * 40, " The\tcat\u2003sat\u00a0on\x85it\n\n", "", "  ", "<|endoftext|> cat", "a\x1ccat", "\u0130 \u03a3\u03a3 \u4e2d\u6587 cat"]
+    got = tokenizer.encode(texts)
+    want = [np.array(tokenizer.model.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert got == want and 0 < Counted.asked < 40
+
+
     lengths = [draw.randint(500, 1000) for _ in range(600)]
     assert len(evolve(lengths, 2)) < 0.98 * len(best_fit(Counter(lengths)))
 
