@@ -123,3 +123,20 @@ def test_minority_scripts_are_told_apart(spark):
         rows.append((i, lang, " ".join("".join(draw.choices(words[lang], k=6)) for _ in range(200 if lang == "la" else 4))))
     got = identify_languages(spark.createDataFrame(rows, "doc_id long, lang string, text string")).toPandas().set_index("doc_id")
     assert all(got.lang_pred[i] == lang for i, lang, _ in rows)
+
+
+def test_the_pipeline_learns_from_every_row(spark):
+    from metricwell.llm import language_id
+
+    draw, words = random.Random(2), {"aa": [f"ab{i}o" for i in range(300)], "bb": [f"ba{i}u" for i in range(300)]}
+    rows = [(i, "ab"[i % 4 == 0] * 2, " ".join(draw.choices(words["ab"[i % 4 == 0] * 2], k=12))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    every = sample(docs, per_language=10_000)
+    assert len(every[0]) > len(sample(docs)[0])  # more rows than a sample of SAMPLE a language holds
+    numbered = language_id.numbered(docs.repartition(5))
+    got = [r.text for r in numbered.orderBy("number").collect()]
+    assert got == every[0] and [r.number for r in numbered.orderBy("number").collect()] == list(range(len(got)))
+    shown = every[0][::50]
+    for model, k in zip(language_id.fit_all(numbered), (slice(None), slice(0, None, 2), slice(1, None, 2)), strict=True):
+        want = KernelClassifier.fit(every[0][k], every[1][k])
+        assert model.languages == want.languages and np.allclose(model.margins(shown), want.margins(shown), atol=1e-4)
