@@ -204,10 +204,11 @@ def _compare(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
 
 
-def _apart(buckets: DataFrame, classes: DataFrame | None, block: int) -> DataFrame:
+def _apart(buckets: DataFrame, classes: DataFrame | None, block: int, least: int = 1) -> DataFrame | None:
     """The members of buckets that hold more than one class, with their class (root), the bucket's blocks (k) and first text.
 
     Buckets are not joined back to their rows by a shuffle where they are hot. Of buckets with equal members one is left.
+    Buckets of fewer than least blocks are left out before rows are joined; None if no bucket is left.
     """
     members = buckets.withColumn("root", F.col("digest"))
     if classes is not None:
@@ -224,7 +225,8 @@ def _apart(buckets: DataFrame, classes: DataFrame | None, block: int) -> DataFra
     )
     one = told.where("low <> high").groupBy("n", "x", "y", "first").agg(F.min(F.struct("band", "all")).alias("b"))
     k = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("b.all") / ITEMS), F.lit(1)).cast("int")
-    return join_keyed(members, materialize(one.select("b.band", "n", "first", k.alias("k"))), ["band"], "n")
+    one = materialize(one.select("b.band", "n", "first", k.alias("k")).where(F.col("k") >= least))
+    return None if one.isEmpty() else materialize(join_keyed(members, one, ["band"], "n"))
 
 
 def _joined(classes: DataFrame | None, tasks: DataFrame, items: DataFrame) -> DataFrame:
@@ -247,6 +249,8 @@ def similar_classes(buckets: DataFrame, items: DataFrame, block: int = BLOCK) ->
     classes = None
     for some in (buckets.where(F.col("number") < EARLY), buckets):
         here = _apart(some, classes, block)
+        if here is None:
+            continue
         at = here.select("band", "digest", "root", own.alias("i"), F.lit(0).alias("j"))
         firsts = here.where("digest = first AND k > 1").select(
             "band",
@@ -256,9 +260,9 @@ def similar_classes(buckets: DataFrame, items: DataFrame, block: int = BLOCK) ->
             F.lit(0).alias("j"),
         )
         classes = _joined(classes, at.unionByName(firsts), items)
-    hot = materialize(_apart(buckets, classes, block).where("k > 1"))
-    if hot.isEmpty():
-        return classes
+    hot = _apart(buckets, classes, block, 2)
+    if hot is None:
+        return buckets.select(F.col("digest").alias("node"), F.col("digest").alias("root")).limit(0) if classes is None else classes
     sizes = hot.groupBy("band", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("band").agg(F.max(F.struct("m", "root")).alias("b"), F.sum("m").alias("n"))
     main = materialize(main.select("band", "n", F.col("b.root").alias("main"), F.ceil((F.col("n") - F.col("b.m")) / block).cast("int").alias("rest")))

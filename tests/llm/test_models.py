@@ -95,6 +95,22 @@ def test_verified_links_connect_all_that_share_a_bucket(spark):
         assert [roots[n] for n in names] == [names[k - k % 12] for k in range(len(names))]
 
 
+def test_buckets_are_joined_once_a_round_and_never_for_blocks_that_are_not_there(spark, monkeypatch):
+    from metricwell.llm import bagminhash
+
+    met, joined, held = [], bagminhash.join_keyed, bagminhash.materialize
+    written = []
+    monkeypatch.setattr(bagminhash, "join_keyed", lambda many, one, keys, *rest: met.append(joined(many, one, keys, *rest)) or met[-1])
+    monkeypatch.setattr(bagminhash, "materialize", lambda df: written.append(df) or held(df))
+    names = [bytes([i]) * 16 for i in range(40)]
+    b = spark.createDataFrame([(n % 2, n % 2, d, 100) for n, d in enumerate(names)], "band long, number int, digest binary, size long")
+    i = spark.createDataFrame([(d, np.arange(1000 * n, 1000 * n + 100, dtype=np.uint64).tobytes()) for n, d in enumerate(names)], "digest binary, items binary")
+    assert similar_classes(b, i).isEmpty()
+    assert len(met) == 2 and all(any(m is w for w in written) for m in met)  # the two rounds, each written; no third one
+    alone = spark.createDataFrame([(n, 0, d, 100) for n, d in enumerate(names)], "band long, number int, digest binary, size long")
+    assert similar_classes(alone, i).isEmpty() and len(met) == 2
+
+
 def test_spanning_links_connect_chains():
     items = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 8, 16, 24, 500)]
     links = spanning_links(items)
@@ -207,22 +223,6 @@ def test_packing_against_the_tokenizer(spark, data, edge):
     assert pack(edge.limit(0)).count() == 0
 
 
-def test_packing_on_islands_and_large_ids_beside_null(spark):
-    rows = [(2**53 + k if k % 9 else None, "the cat sat on a mat " * (1 + k * 7 % 260)) for k in range(240)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    used, least = check_packing(pack(docs, island=80).collect(), rows)
-    assert used <= least + 4
-
-
-def hard_lengths(times):
-    """Triples and quadruples that fill a sequence, of which greedy filling makes pairs that nothing fits beside."""
-    return [1044] * (6 * times) + [552] * (6 * times) + [532] * (6 * times) + [472] * (12 * times)
-
-
-def test_genetic_steps_better_greedy_filling():
-    lengths = hard_lengths(10)
-    assert len(best_fit(Counter(lengths))) == 110 and len(evolve(lengths, 1)) == 90 == sum(lengths) // SEQUENCE
-    draw = random.Random(4)
 def test_a_word_is_looked_up_once_for_all_texts():
     class Counted(dict):
         asked = 0
@@ -239,6 +239,22 @@ def test_a_word_is_looked_up_once_for_all_texts():
     assert got == want and 0 < Counted.asked < 40
 
 
+def test_packing_on_islands_and_large_ids_beside_null(spark):
+    rows = [(2**53 + k if k % 9 else None, "the cat sat on a mat " * (1 + k * 7 % 260)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    used, least = check_packing(pack(docs, island=80).collect(), rows)
+    assert used <= least + 4
+
+
+def hard_lengths(times):
+    """Triples and quadruples that fill a sequence, of which greedy filling makes pairs that nothing fits beside."""
+    return [1044] * (6 * times) + [552] * (6 * times) + [532] * (6 * times) + [472] * (12 * times)
+
+
+def test_genetic_steps_better_greedy_filling():
+    lengths = hard_lengths(10)
+    assert len(best_fit(Counter(lengths))) == 110 and len(evolve(lengths, 1)) == 90 == sum(lengths) // SEQUENCE
+    draw = random.Random(4)
     lengths = [draw.randint(500, 1000) for _ in range(600)]
     assert len(evolve(lengths, 2)) < 0.98 * len(best_fit(Counter(lengths)))
 
