@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, materialize, small_batches, table
+from .common import CHUNK_CHARS, chunks, materialize, small_batches, table
 
 #: Tokens of a sequence; id that ends a document; pieces of an island.
 SEQUENCE, END, ISLAND = 2048, 0, 16384
@@ -35,7 +35,12 @@ SEQUENCE, END, ISLAND = 2048, 0, 16384
 POPULATION, OFFSPRING, PATIENCE, MIGRANTS = 8, 64, 16, 64
 #: Words whose ids a Python worker remembers; it forgets the later half when there are more.
 REMEMBERED = 1_100_000
-_TAIL = ".,;:!?"
+#: Kinds of bytes of UTF-8: ASCII signs, the apostrophe, ASCII letters and digits, first bytes of U+00C0 to U+017F.
+_SIGN, _APOSTROPHE, _ALNUM, _LATIN = 1, 2, 3, 4
+_KIND = bytearray(256)
+for _c in range(33, 127):
+    _KIND[_c] = _APOSTROPHE if _c == ord("'") else _ALNUM if chr(_c).isalnum() else _SIGN
+_KIND[0xC3:0xC6] = bytes([_LATIN]) * 3
 
 
 def default_tokenizer() -> str:
@@ -53,61 +58,93 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+def _apart(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """Texts with a space between letters or digits and ASCII signs, where the tokenizer cuts too.
+
+    Before a letter an apostrophe may be part of a token, so nothing goes between these. Beyond ASCII, letters of Latin-1
+    and Latin Extended-A count, save the one whose lower case ends in a mark.
+    """
+    _, offsets, data = texts.buffers()
+    if not data or not data.size:
+        return texts
+    data = b"  %b  " % data.to_pybytes()
+    raw, kind, at = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KIND), np.uint8), np.frombuffer(offsets, np.int64)
+
+    def letter(i: np.ndarray) -> np.ndarray:
+        """Whether a letter of two bytes begins at i."""
+        code = (raw[i].astype(np.int32) & 31) << 6 | raw[i + 1] & 63
+        return (kind[i] == _LATIN) & (code != 0xD7) & (code != 0xF7) & (code != 0x130)
+
+    sign = np.flatnonzero(kind - 1 < _APOSTROPHE)  # a sign or an apostrophe: 0 less 1 is 255
+    before = sign[(kind[sign - 1] == _ALNUM) | letter(sign - 2)]
+    after = sign[kind[sign] == _SIGN] + 1
+    after = after[(kind[after] == _ALNUM) | letter(after)]
+    gaps = np.sort(np.concatenate((before, after))) - 2
+    spaced = np.insert(raw[2:-2], gaps, ord(" "))
+    at = at[: len(texts) + 1]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at + np.searchsorted(gaps, at)), pa.py_buffer(spaced))
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian bytes, by a tokenizer that drops white space and never joins over it.
 
-    Words between white space are encoded once and remembered; what could depend on more than the word (special
-    tokens, separators that only Python takes for white space) is encoded as a whole text.
+    Words between white space and signs are encoded once and remembered; what could depend on more than the word (special
+    tokens, separators that only Python takes for white space) is encoded as a whole text. Words of lower-case letters
+    go through the same model without the steps that leave them as they are: normalizing and the search for words.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.model = Tokenizer.from_file(path)
+        self.model, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.model._resize_cache(0)  # each word comes once
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.ends = np.zeros(self.model.get_vocab_size() + 1, dtype=bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str], letters: bool = False) -> list[np.ndarray]:
         """Ids without the offsets that nobody asks for."""
-        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        model = self.letters if letters else self.model
+        return [np.array(e.ids, dtype="<u4") for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _whole(self, text: str) -> bytes:
         return self._ids([text])[0].tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        known, split, simple, other = self.known, [], set(), []
+        known, respelled, simple, other = self.known, [], set(), []
         for w in words:
-            stem = w.rstrip(_TAIL)
-            core = stem.lower()
+            core = w.lower()
             if core.isalpha() and (core.isascii() or max(core) < "Ͱ" and "İ" not in w):
                 if core not in known:
                     simple.add(core)
                 if core != w:
-                    split.append((w, core, w[len(stem) :]))
+                    respelled.append((w, core))
             else:
                 other.append(w)
         known.update(zip(other, (x.tobytes() for x in self._ids(other)), strict=True))
         order = list(simple)
         if order:  # a word of letters ends with the one token that has the end mark
-            ids = self._ids([" ".join(order)])[0]
+            ids = self._ids([" ".join(order)], letters=True)[0]
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(order):
                 data, ends = ids.tobytes(), (4 * stop).tolist()
                 known.update(zip(order, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:
                 known.update(zip(order, (x.tobytes() for x in self._ids(order)), strict=True))
-        for w, core, tail in split:
-            if tail and tail not in known:
-                known[tail] = self._whole(tail)
-            known[w] = known[core] + known[tail] if tail else known[core]
+        for w, core in respelled:
+            known[w] = known[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Words are split and numbered by Arrow, so that Python looks each of them up once for all texts given."""
         plain = [not ("<|" in x or any(c in x for c in "\x1c\x1d\x1e\x1f")) for x in texts]
-        split = pc.utf8_split_whitespace(pa.array([_lower(x) if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()))
+        lower = pa.array([_lower(x) if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string())
+        split = pc.utf8_split_whitespace(_apart(lower))
         numbered = split.values.dictionary_encode()
         words, which = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > REMEMBERED:  # the words met first are the most frequent ones
@@ -137,7 +174,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, chars=2 * CHUNK_CHARS):
             rows, out = [], []
             for i, data in enumerate(_tokenizers[path].encode(texts)):
                 data += np.array([END], dtype="<u4").tobytes()
