@@ -323,19 +323,24 @@ def budget_breaches(spending: DataFrame, limits: dict[str, float]) -> DataFrame:
 
     spending: investigation, at, id and a column for each budget. Running sums over sorted parts: a part adds up its own
     rows and starts from the sums of the parts before it, so that an investigation of any length is dealt to many tasks.
+    Rows without a time or an id come last, and rows alike in both are spent at once. What is compared is the sum itself,
+    not the rounded one that is shown. Spending without an investigation counts as one of its own.
     """
     names = list(limits)
-    parts = sorted_parts(spending, ["investigation", "at", "id"])
+    order = [F.asc_nulls_last("at"), F.asc_nulls_last("id")]
+    parts = sorted_parts(spending, ["investigation", *order])
     sums = parts.groupBy("investigation", "part").agg(*(F.sum(b).alias(b) for b in names))
     earlier = Window.partitionBy("investigation").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     sums = store(sums.select("investigation", "part", *(F.coalesce(F.sum(b).over(earlier), F.lit(0.0)).alias(f"{b}_0") for b in names)))
-    here = Window.partitionBy("investigation", "part").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = parts.join(sums, ["investigation", "part"])
+    here = Window.partitionBy("investigation", "part").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parts.alias("p").join(sums.alias("s"), F.col("p.investigation").eqNullSafe(F.col("s.investigation")) & (F.col("p.part") == F.col("s.part")))
+    rows = rows.select("p.*", *(f"s.{b}_0" for b in names))
     used = rows.select("investigation", "at", "id", *names, *((F.col(f"{b}_0") + F.sum(b).over(here) - F.col(b)).alias(f"{b}_1") for b in names))
-    each = F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.lit(float(v)).alias("budget_limit"), F.col(b).alias("spent"), F.round(f"{b}_1", 4).alias("used")) for b, v in limits.items())))
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.lit(float(v)).alias("budget_limit"), F.col(b).alias("spent"), F.col(f"{b}_1").alias("used")) for b, v in limits.items())))
     over = used.select("investigation", "at", "id", each.alias("x")).select("investigation", "at", "id", "x.*").where("spent > 0 AND used >= budget_limit")
-    first = over.groupBy("investigation", "budget", "budget_limit").agg(F.min_by(F.struct("used", "id"), F.struct("at", "id")).alias("f"))
-    return first.select("investigation", "budget", "budget_limit", "f.used", "f.id")
+    place = F.struct(F.col("at").isNull(), "at", F.col("id").isNull(), "id", "used")  # of rows alike the one that finds least used
+    first = over.groupBy("investigation", "budget", "budget_limit").agg(F.min_by(F.struct("used", "id"), place).alias("f"))
+    return first.select("investigation", "budget", "budget_limit", F.round("f.used", 4).alias("used"), "f.id")
 
 
 def audit_log(entries: DataFrame, **equal: str | None) -> DataFrame:

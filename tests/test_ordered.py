@@ -61,6 +61,23 @@ def test_budgets_run_over_parts(spark):
     assert got == want and want
 
 
+def test_budgets_of_odd_rows_like_sql(spark, duck, same, tmp_path):
+    at = lambda n: f"2024-01-01 00:00:{n:02d}"
+    rows = [
+        (1, at(1), 1, 1499.99996), (2, at(2), 1, 5.0), (3, at(3), 1, 7.0),  # just under the limit, shown as the limit
+        (4, None, 2, 2000.0), (5, at(1), 2, 5.0), (6, at(2), 2, 6.0),  # no time: last
+        (7, at(1), None, 2000.0), (8, at(2), None, 5.0),  # no user
+        (9, at(1), 3, 1500.0), (9, at(1), 3, 10.0),  # alike in time and id
+    ]
+    events = spark.createDataFrame(rows, "event_id long, t string, user_id long, value double")
+    events = events.selectExpr("event_id", "CAST(t AS timestamp_ntz) AS ts", "user_id", "'error' AS event_type", "value", "'' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sql = checks.query.sql["l28_budget_breach"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.sql(sql).df()
+    same(checks.query.queries["l28_budget_breach"](spark, str(tmp_path)).toPandas(), want)
+    assert sorted(want.id) == [3, 8, 9]
+
+
 def test_every_rule_is_broken_once(spark):
     dim, flag = {"name": "state", "source_table": "dim_customer", "supported": True, "unsupported_reason": None}, {"source_column": C.DELIVERY_FLAG, "applied_by_default": True}
     variants = [{"variant_id": v, "is_default": i == 0} for i, v in enumerate(C.REVIEW_VARIANTS)]
