@@ -8,6 +8,8 @@ that holds most of the rows is dealt to many tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,31 @@ def numbered(rows: DataFrame, group: str, order: list[str | Column], name: str)
     return placed.select(*(F.col(f"p.{c}").alias(c) for c in rows.columns), (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
 
 
+def quantiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each of shares): exact quantiles of each group's values, linear between neighbours, without nulls.
+
+    Equal values are counted first, so that a frequent one is a row; the distinct ones are range-sorted, and only the
+    parts that hold a place asked for are gone through. No task holds all values of a group.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    parts = sorted_parts(counted, [group, value])
+    sums = parts.groupBy(group, "part").agg(F.sum("_n").alias("_n"))
+    of_group = Window.partitionBy(group)  # a row for each sorted part
+    sums = store(sums.select(group, "part", "_n", (F.sum("_n").over(of_group.orderBy("part")) - F.col("_n")).alias("_before"), F.sum("_n").over(of_group).alias("_all")))
+    place = {name: share * (F.col("_all") - 1) for name, share in shares.items()}
+    ends = [end for p in place.values() for end in (F.floor(p), F.ceil(p))]
+    inside = lambda end: (F.col("_before") <= end) & (end < F.col("_before") + F.col("_n"))
+    asked = reduce(or_, map(inside, ends))
+    held = sums.where(asked).select(F.col(group).alias("_g"), F.col("part").alias("_part"), F.col("_before").alias("_start"), "_all")
+    near = parts.join(F.broadcast(held), F.col(group).eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part")))  # a row or two for each place
+    here = Window.partitionBy(group, "part").orderBy(value)
+    near = near.withColumn("_before", F.col("_start") + F.sum("_n").over(here) - F.col("_n")).where(asked)
+    at = lambda end: F.max(F.when(inside(end), F.col(value)))
+    both = near.groupBy(group, "_all").agg(*(at(f(p)).alias(f"{name}_{i}") for name, p in place.items() for i, f in enumerate((F.floor, F.ceil))))
+    between = lambda name, p: F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (p - F.floor(p))
+    return both.select(group, *(between(name, p).alias(name) for name, p in place.items()))
+
+
 def nearest_known(points: DataFrame, known: DataFrame, group: str, value: str) -> DataFrame:
     """points with below and above: the largest known value (group, known) up to theirs and the smallest one from theirs on.
 

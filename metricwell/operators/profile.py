@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import store
+from .ordered import quantiles
+
 
 def column_profile(df: DataFrame) -> DataFrame:
     """column, dtype, nulls, null_rate, distinct_count, min, max (as text) and mean (numbers) of every column, in one pass."""
@@ -179,15 +182,17 @@ def value_counts(columns: dict[str, tuple[DataFrame, str]], top: int | None = No
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, count, mean, stddev, min, quartiles and max of number columns, in one pass."""
-    q = lambda c, p: F.round(F.percentile(F.col(c).cast("double"), F.lit(p)), 6)
+    """column, count, mean, stddev, min, quartiles and max of number columns; the rows are written once, their values sorted."""
+    rows = store(df.select(*columns))
     parts = [
         F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.round(F.avg(F.col(c).cast("double")), 6).alias("mean"), F.round(F.stddev(F.col(c).cast("double")), 6).alias("std"), F.min(c).cast("double").alias("min"),
-            q(c, 0.25).alias("p25"), q(c, 0.5).alias("p50"), q(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"),
+            F.lit(c).alias("column"), F.count(c).alias("count"), F.round(F.avg(F.col(c).cast("double")), 6).alias("mean"), F.round(F.stddev(F.col(c).cast("double")), 6).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
         ) for c in columns
     ]
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    each = rows.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    values = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("v")).select("v.*")
+    quarters = quantiles(values, "column", "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return each.join(quarters, "column", "left").select("column", "count", "mean", "std", "min", *(F.round(p, 6).alias(p) for p in ("p25", "p50", "p75")), "max")
 
 
 def repeats_of(rows: DataFrame, group: str, member: str) -> DataFrame:

@@ -3,12 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from metricwell.operators import contracts as C
 from metricwell.operators import decisions as L
 from metricwell.operators import ordered as O
+from metricwell.operators import profile as P
 from metricwell.plans import checks
 
 
@@ -78,6 +80,30 @@ def test_budgets_of_odd_rows_like_sql(spark, duck, same, tmp_path):
     assert sorted(want.id) == [3, 8, 9]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_quantiles_over_parts(spark, parts, capsys):
+    draw = random.Random(parts)
+    values = {"hot": [draw.choice((1.0, 1.0, 1.0, 2.0, 3.0)) for _ in range(701)], "many": [round(draw.uniform(-9, 9), 4) for _ in range(1000)], "two": [1.0, 2.0], "one": [5.0], "none": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "g string, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: (r.a, r.b, r.c) for r in O.quantiles(rows, "g", "v", {"a": 0.25, "b": 0.5, "c": 1.0}).collect()}
+        wide = spark.range(3000).selectExpr("id % 7 AS few", "CAST(id * 7 % 3000 AS decimal(18,4)) / 8 AS many", "CAST(NULL AS double) AS none")
+        found = P.described(wide, ["few", "many", "none"])
+        table = {r["column"]: r for r in found.collect()}
+        found.explain()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == set(values) - {"none"}
+    for g, found_at in got.items():
+        assert found_at == pytest.approx(tuple(np.quantile(values[g], (0.25, 0.5, 1.0))), abs=1e-9)
+    assert (table["many"].p25, table["many"].p50, table["many"].p75) == tuple(np.quantile(np.arange(3000) / 8, (0.25, 0.5, 0.75)).round(6))
+    assert (table["few"].p25, table["few"].p75, table["none"]["count"], table["none"].p50) == (1.0, 5.0, 0, None)
+    assert "percentile" not in capsys.readouterr().out  # which holds all distinct values in one task
+
+
 def test_every_rule_is_broken_once(spark):
     dim, flag = {"name": "state", "source_table": "dim_customer", "supported": True, "unsupported_reason": None}, {"source_column": C.DELIVERY_FLAG, "applied_by_default": True}
     variants = [{"variant_id": v, "is_default": i == 0} for i, v in enumerate(C.REVIEW_VARIANTS)]
