@@ -25,26 +25,29 @@ def pvm(groups: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def two_periods(items: DataFrame, key: str, current: str, previous: str) -> DataFrame:
-    """q0, r0, q1, r1 by key in one scan: no join aligns the periods."""
+def two_periods(items: DataFrame, key: str, current: str, previous: str, n: str | None = None) -> DataFrame:
+    """q0, r0, q1, r1 by key in one scan: no join aligns the periods. n: column of how many items a row sums, else each is one."""
+    many = F.col(n) if n else F.lit(1).cast("long")
+    count = lambda c: F.coalesce(F.sum(F.when(c, many)), F.lit(0))
     was, now = F.col("month") == previous, F.col("month") == current
     money = lambda c: F.coalesce(F.sum(F.when(c, F.col("price"))), F.lit(0)).cast("decimal(18,4)")
     return items.where(was | now).groupBy(key).agg(
-        F.count_if(was).alias("q0"),
+        count(was).alias("q0"),
         money(was).alias("r0"),
-        F.count_if(now).alias("q1"),
+        count(now).alias("q1"),
         money(now).alias("r1"),
     )
 
 
-def segment_contributions(items: DataFrame, kinds: list[str], current: str, previous: str) -> DataFrame:
+def segment_contributions(items: DataFrame, kinds: list[str], current: str, previous: str, n: str | None = None) -> DataFrame:
     """Change, percent, share of the total change and confidence of each segment of each kind, in one scan of items.
 
+    n: column of how many items a row sums, else each row is one.
     Months and segments are aggregated by grouping sets; both periods and the months of history are sums over that.
     """
     sets = items.groupingSets([["month", k] for k in kinds], "month", *kinds).agg(
         F.grouping_id().alias("g"),
-        F.count("*").alias("n"),
+        (F.sum(n) if n else F.count("*")).alias("n"),
         F.sum("price").alias("p"),
     )
     bit = {k: 1 << (len(kinds) - 1 - i) for i, k in enumerate(kinds)}

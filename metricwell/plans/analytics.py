@@ -134,10 +134,10 @@ _MONTHLY = "SELECT product_category AS series_id, month AS period, sum(price)::D
 
 
 def monthly(c):
-    return K.Kpi(c, window=False).items(["product_category"]).groupBy(
+    return summed(c, "product_category").groupBy(
         F.coalesce("product_category", F.lit("none")).alias("series_id"),
         F.col("month").alias("period"),
-    ).agg(F.sum("price").cast("double").alias("value"), F.count("*").alias("sample_size"))
+    ).agg(F.sum("price").cast("double").alias("value"), F.sum("n").alias("sample_size"))
 
 
 _S = "SELECT coalesce(series_id, 'none') AS series_id, period, value, sample_size FROM (" + _MONTHLY + ")"
@@ -187,6 +187,18 @@ def _items(c, *dims):
     return K.Kpi(c, window=False).items(list(dims))
 
 
+def item_sums(c):
+    """n and price of the items by month and the dimensions of segments; written once, for they hold what all evidence of items needs."""
+    return c.stored("item sums", lambda: _items(c, *_SEG).groupBy("month", *_SEG).agg(F.count("*").alias("n"), F.sum("price").alias("price")))
+
+
+def summed(c, *dims):
+    """n and price of the items by month and dims: of item_sums where the query has written them, else of the items."""
+    if c.has("item sums"):
+        return item_sums(c).groupBy("month", *dims).agg(F.sum("n").alias("n"), F.sum("price").alias("price"))
+    return _items(c, *dims).groupBy("month", *dims).agg(F.count("*").alias("n"), F.sum("price").alias("price"))
+
+
 def _two_sql(key: str) -> str:
     return f"SELECT {key} AS k, count(*) FILTER (month = '{_WAS}') AS q0, coalesce(sum(price) FILTER (month = '{_WAS}'), 0) AS r0, count(*) FILTER (month = '{_NOW}') AS q1, coalesce(sum(price) FILTER (month = '{_NOW}'), 0) AS r1 FROM kpi_items WHERE month IN ('{_WAS}', '{_NOW}') GROUP BY 1"
 
@@ -208,8 +220,8 @@ _SEG = {"product_category": "product_category", "customer_state": "customer_stat
 
 def segments(c):
     """Segment contributions of both months; written once, for many queries read them more than once."""
-    labelled = lambda: _items(c, *_SEG).withColumns({k: F.coalesce(k, F.lit("uncategorized" if k == "product_category" else "unknown_state")) for k in _SEG})
-    return c.stored("segments", lambda: D.segment_contributions(labelled(), [*_SEG], _NOW, _WAS))
+    labelled = lambda: item_sums(c).withColumns({k: F.coalesce(k, F.lit("uncategorized" if k == "product_category" else "unknown_state")) for k in _SEG})
+    return c.stored("segments", lambda: D.segment_contributions(labelled(), [*_SEG], _NOW, _WAS, "n"))
 
 
 def _seg_sql() -> str:

@@ -11,7 +11,7 @@ from ..operators import decisions as L
 from ..operators import drivers as D
 from ..operators import evidence as E
 from ..operators import kpi as K
-from .analytics import _NOW, _WAS, _items, _seg_sql, segments
+from .analytics import _NOW, _WAS, _items, _seg_sql, item_sums, segments, summed
 from .movement import _DETECT, _OVER, _PVM1, detected
 from .sql import Registry
 
@@ -36,7 +36,7 @@ _BUNDLE = f"{_OVER}, {_seg_sql()}, {_DETECT}, ev AS ({' UNION ALL '.join(_PARTS.
 
 
 def observations(c):
-    months = _items(c).groupBy("month").agg(F.sum("price").alias("v"), F.count("*").alias("n"))
+    months = summed(c).withColumnRenamed("price", "v")
     sure = F.when(F.col("n") >= 30, "HIGH").when(F.col("n") >= 5, "MEDIUM").otherwise("LOW")
     return E.rows(
         months,
@@ -55,7 +55,7 @@ def movements(c):
 
 
 def drivers(c):
-    rows = D.driver_rows(D.pvm(D.two_periods(_items(c, "product_category"), "product_category", _NOW, _WAS)))
+    rows = D.driver_rows(D.pvm(D.two_periods(summed(c, "product_category"), "product_category", _NOW, _WAS, "n")))
     return E.rows(
         rows,
         "DRIVER_CONTRIBUTION",
@@ -102,6 +102,7 @@ def anomalies(c):
 
 
 def bundle(c):
+    item_sums(c)  # which all parts but the movements are made of
     return reduce(lambda a, b: a.unionByName(b), (f(c) for f in (observations, movements, drivers, segment_rows, anomalies)))
 
 

@@ -173,3 +173,13 @@ def test_appended_records(spark, tmp_path):
     for k in (1, 2):
         L.append(spark.createDataFrame([(k,)], "k long"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_evidence_reads_items_once(spark, data):
+    from metricwell.operators.canonical import Canonical
+    from metricwell.plans import bundle
+
+    c = Canonical(spark, data)
+    plan = bundle.bundle(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") <= 2  # of the movements: items and dates of two months' orders
+    assert plan.count("LeftSemi") >= 2
