@@ -183,3 +183,13 @@ def test_evidence_reads_items_once(spark, data):
     plan = bundle.bundle(c)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") <= 2  # of the movements: items and dates of two months' orders
     assert plan.count("LeftSemi") >= 2
+
+def test_ladder_keeps_one_row_for_each_query(spark, data):
+    from metricwell.operators.canonical import Canonical
+    from metricwell.plans import reviews
+
+    c = Canonical(spark, data)
+    assert reviews.ladder(c).count() == c.raw("benchmark").select("item_id").distinct().count()
+    assert all(c.stored(n, None).count() <= c.raw("benchmark").count() for n in ("best scores", "best expanded scores"))
+    plan = c.raw("documents").select(X.language(F.col("text")).alias("tag"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a text's words are found once
