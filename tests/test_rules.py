@@ -184,6 +184,7 @@ def test_evidence_reads_items_once(spark, data):
     assert plan.count("Relation [l_orderkey") <= 2  # of the movements: items and dates of two months' orders
     assert plan.count("LeftSemi") >= 2
 
+
 def test_ladder_keeps_one_row_for_each_query(spark, data):
     from metricwell.operators.canonical import Canonical
     from metricwell.plans import reviews
